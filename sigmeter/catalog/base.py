@@ -155,7 +155,7 @@ def labels_sql(k: int, band_bps: str, src: str = "bars", extra: str = "") -> str
     ticker || '|' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') AS sample_id, fr, ok
   FROM (SELECT *, NOT (miss OR cross_day OR irr OR cross_split) AND fr IS NOT NULL AS ok FROM (
     SELECT *, (hts IS NULL OR (same_day AND fr IS NULL)) AS miss, NOT same_day AS cross_day,
-      (same_day AND epoch_us(hts) - epoch_us("timestamp") <> {k} * 60 * 60000000) AS irr,
+      (same_day AND epoch_us(hts) - epoch_us("timestamp") <> {k * 60 * 60000000}::BIGINT) AS irr,
       (hts IS NOT NULL AND NOT (same_day AND fr IS NULL) AND split <> {split_case('hts')}) AS cross_split
     FROM (SELECT *, coalesce(hday = trading_day, false) AS same_day,
         CASE WHEN hday = trading_day THEN hclose / nullif(close, 0) - 1.0::DOUBLE END AS fr
@@ -166,6 +166,39 @@ def labels_sql(k: int, band_bps: str, src: str = "bars", extra: str = "") -> str
 
 cte("labelled", labels_sql(TP.HORIZON_K, f"{TP.BAND_BPS}::DOUBLE"))
 
+
+def _ewm(lst: str, alpha: float) -> str:
+    return f"list_reduce({lst}, lambda a, x: a * {1.0 - alpha!r}::DOUBLE + x * {alpha!r}::DOUBLE)"
+
+
+def _gate(value: str, counted: str, n: int, minimum: int) -> str:
+    w = f"w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
+    return f"CASE WHEN count({counted}) OVER ({w}) >= {minimum} THEN {value} OVER ({w}) END"
+
+
+cte("feat1", """SELECT *, CASE WHEN close / nullif(prev, 0) > 0 THEN ln(close / nullif(prev, 0)) END AS log_return,
+    CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS gain, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS loss
+  FROM (SELECT *, lag(close) OVER w AS prev, close - lag(close) OVER w AS d,
+    list(close) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hist FROM bars
+    WINDOW w AS (PARTITION BY ticker, trading_day ORDER BY "timestamp"))""")
+cte("feat2", f"""SELECT *, {_ewm('hist', 2.0 / 13)} - {_ewm('hist', 2.0 / 27)} AS macd FROM feat1""")
+cte("feat3", f"""SELECT *, list(macd) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mhist,
+    {_gate('stddev_samp(log_return)', 'log_return', 20, 5)} AS rolling_volatility_20,
+    {_gate('avg(gain)', 'gain', 14, 5)} AS ag, {_gate('avg(loss)', 'loss', 14, 5)} AS al,
+    {_gate('avg(close)', 'close', 20, 10)} AS m, {_gate('stddev_samp(close)', 'close', 20, 10)} AS s,
+    {_gate('avg(volume)', 'volume', 20, 5)} AS mv
+  FROM feat2 WINDOW w AS (PARTITION BY ticker, trading_day ORDER BY "timestamp")""")
+cte("features", f"""SELECT ticker, trading_day, "timestamp", split, open, close, log_return,
+    CASE WHEN close / nullif(open, 0) > 0 THEN ln(close / nullif(open, 0)) END AS close_to_open_return,
+    (high - low) / nullif(close, 0) AS high_low_range, rolling_volatility_20,
+    CASE WHEN al = 0 AND ag > 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - 1.0::DOUBLE / (1.0::DOUBLE + ag / nullif(al, 0)) END AS rsi_14,
+    (close - (m - 2 * s)) / nullif(4 * s, 0) AS bollinger_pctb,
+    (macd - {_ewm('mhist', 0.2)}) / nullif(s, 0) AS normalized_macd_hist,
+    volume / nullif(mv, 0) - 1 AS normalized_volume_20,
+    sin(2 * pi() * (hour("timestamp") * 60 + minute("timestamp") - 570) / 390) AS time_of_day_sin,
+    cos(2 * pi() * (hour("timestamp") * 60 + minute("timestamp") - 570) / 390) AS time_of_day_cos
+  FROM feat3""")
+
 # ---- prediction fragments --------------------------------------------------------------
 
 cte("facts", """SELECT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS sample_id,

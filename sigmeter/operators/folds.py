@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ranks import group_rank
 
@@ -61,6 +61,16 @@ def walkforward_rows(rows: DataFrame, periods: DataFrame, ts: str = "target_time
         "period_start", "period_end")
 
 
+def stride_hit(pos: Column, n: Column, per: Column) -> Column:
+    """Whether 0-based ``pos`` of ``n`` is one of ``per`` even-stride positions (all if they fit)."""
+    step = (n - 1).cast("double") / F.greatest(per - 1, F.lit(1)).cast("double")
+    guess = F.ceil(pos / F.when(step > 0, step).otherwise(1.0))
+    hit = (pos == n - 1) | (pos == 0)
+    for g in (guess, guess - 1):  # the division may land one off either way
+        hit = hit | ((g >= 0) & (g < per - 1) & (F.floor(g * step) == pos))
+    return (n <= per) | F.when(per == 1, pos == 0).otherwise(hit)
+
+
 def even_stride_cap(rows: DataFrame, cap: int, groups: list[str] | None = None,
                     order: tuple[str, ...] = ("target_timestamp", "sample_id")) -> DataFrame:
     """Even-stride sample per group, at most ``cap`` rows in all; whole input when it fits.
@@ -76,12 +86,47 @@ def even_stride_cap(rows: DataFrame, cap: int, groups: list[str] | None = None,
                          F.count("*").over(every).alias("_groups"),
                          F.row_number().over(Window.orderBy(*groups)).alias("_order"))
     per = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("_groups")).cast("long"))
-    pos, n = F.col("rk") - 1, F.col("group_n")
-    step = (n - 1).cast("double") / F.greatest(per - 1, F.lit(1)).cast("double")
-    guess = F.ceil(pos / F.when(step > 0, step).otherwise(1.0))
-    hit = ((F.floor(guess * step) == pos) & (guess < per - 1)) | (
-        (guess > 0) & (F.floor((guess - 1) * step) == pos) & (guess - 1 < per - 1)) | (pos == n - 1)
-    keep = ((F.col("_total") <= cap) | (n <= per) | F.when(per == 1, pos == 0).otherwise(hit))
+    hit = stride_hit(F.col("rk") - 1, F.col("group_n"), per)
+    keep = (F.col("_total") <= cap) | (hit & ((F.col("_groups") <= cap) | (F.col("_order") <= cap)))
     return (rk.join(F.broadcast(sizes), groups)
-            .filter(keep & ((F.col("_total") <= cap) | (F.col("_groups") <= cap) | (F.col("_order") <= cap)))
+            .filter(keep)
             .drop("_total", "_groups", "_order", "group_n", "rk"))
+
+
+def capped_fold_rows(members: DataFrame, cap: int) -> DataFrame:
+    """The cap applied inside every (fold, side); group sizes come from one small aggregate."""
+    keys, groups = ["fold_id", "fold_side"], ["fold_id", "fold_side", "ticker", "label"]
+    rk = group_rank(members, groups, [F.col("target_timestamp").asc(), F.col("sample_id").asc()])
+    per_side = Window.partitionBy(*keys)
+    sizes = rk.groupBy(*groups).agg(F.max("group_n").alias("_n")).select(
+        *groups, F.sum("_n").over(per_side).alias("_total"), F.count("*").over(per_side).alias("_groups"),
+        F.row_number().over(per_side.orderBy("ticker", "label")).alias("_order"))
+    per = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("_groups")).cast("long"))
+    keep = (F.col("_total") <= cap) | (stride_hit(F.col("rk") - 1, F.col("group_n"), per)
+                                      & ((F.col("_groups") <= cap) | (F.col("_order") <= cap)))
+    return rk.join(F.broadcast(sizes), groups).filter(keep).drop("_n", "_total", "_groups", "_order", "group_n", "rk")
+
+
+def early_stop_tail(train: DataFrame, group: list[str], fraction: float, min_eval: int,
+                    min_train: int) -> DataFrame:
+    """Tags the chronological tail of each group; ``reason`` says why a group has none."""
+    order = [F.col(c).asc() for c in ("target_timestamp", "trading_day", "ticker", "sample_id")]
+    rk = group_rank(train, group, order)
+    n = F.col("group_n")
+    n_eval = F.greatest(F.lit(min_eval), F.ceil(n * F.lit(fraction)).cast("int"))
+    rk = rk.withColumn("_tail", F.col("rk") > n - n_eval)
+    ones = F.when(F.col("label") == 1, 1).otherwise(0)
+    mix = rk.groupBy(*group).agg(
+        F.max("group_n").alias("_n"),
+        *[F.sum(F.when(F.col("_tail") == side, ones)).alias(f"_up_{side}") for side in (True, False)],
+        *[F.count_if(F.col("_tail") == side).alias(f"_n_{side}") for side in (True, False)])
+    short = (F.col("_n_True") >= F.col("_n")) | (F.col("_n_False") < min_train)
+    single = F.lit(False)
+    for side in ("True", "False"):
+        single = single | (F.col(f"_up_{side}") == 0) | (F.col(f"_up_{side}") == F.col(f"_n_{side}"))
+    reason = (F.when(short, "insufficient_inner_train_rows_for_minimum_validation_subsplit")
+              .when(single, "inner_train_early_stopping_subsplit_single_class")
+              .otherwise("configured_inner_train_subsplit"))
+    mix = mix.select(*group, reason.alias("reason"))
+    return rk.join(mix, group).withColumn(
+        "is_stop", F.col("_tail") & (F.col("reason") == "configured_inner_train_subsplit")).drop("_tail", "rk", "group_n")
