@@ -284,7 +284,7 @@ def f3(spark, sf):
     return rounded(L.cell_summary(train_cells(spark, sf)))
 
 
-_bandq = ", ".join(f"{r(f'quantile_cont(abs(fr) * 10000, {q})', 6)} AS abs_return_p{int(q * 100)}_bps" for q in L.DIAGNOSTIC_QUANTILES)
+_bandq = ", ".join(f"{r(f'quantile_cont(abs(fr) * 10000, {q})', 6)} AS abs_return_p{round(q * 100)}_bps" for q in L.DIAGNOSTIC_QUANTILES)
 
 
 @query("f4_band_diagnostic", f"""WITH el AS (SELECT ticker, fr FROM labelled WHERE split = 'train' AND ok),
@@ -381,7 +381,7 @@ def c1(spark, sf):
 
 
 WINDOW, WIN_FEATS = 5, ["log_return", "high_low_range", "time_of_day_sin"]
-cte("windows5", """SELECT sample_id, ticker, target_timestamp, label, e - 5 AS window_start_position, e AS window_end_position_exclusive,
+cte("windows5", """SELECT sample_id, x.ticker, target_timestamp, label, e - 5 AS window_start_position, e AS window_end_position_exclusive,
     fs, lr, hl, td FROM (SELECT ticker, trading_day, "timestamp", row_number() OVER (w) AS e,
     count(log_return + high_low_range + time_of_day_sin) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS okn,
     sum(log_return::FLOAT::DOUBLE + high_low_range::FLOAT::DOUBLE + time_of_day_sin::FLOAT::DOUBLE) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS fs,

@@ -65,16 +65,18 @@ def fingerprint(df: DataFrame, group: list[str], key: Column) -> DataFrame:
 
 
 def ordered_sha256(df: DataFrame, group: list[str], order: list[str], text: Column) -> DataFrame:
-    """sha256 over newline-joined ordered ids, chained per day so no group is ever whole.
+    """Order-stable sha256 of a group's ids, chained block -> day -> group.
 
-    The exact form joins every id of a group in one string; here each day's ids (bounded by
-    the bar grid) are hashed first and the day digests are hashed in day order.
+    A (ticker, trading_day) block is bounded by the bar grid; a day has one digest per ticker
+    and a group one per day, so no list ever grows with the rows of a group.
     """
+    def chain(entries: Column) -> Column:
+        return F.sha2(F.array_join(F.transform(F.sort_array(entries), lambda s: s["_t"]), "\n"), 256)
+
     item = F.struct(*order, text.alias("_t"))
-    per_day = df.groupBy(*group, "trading_day").agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda s: s["_t"]), "\n"), 256).alias("_d"),
-        F.count("*").alias("_n"))
-    return per_day.groupBy(*group).agg(
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("trading_day", "_d"))),
-                                        lambda s: s["_d"]), "\n"), 256).alias("ids_sha256"),
-        F.sum("_n").alias("n_ids"))
+    blocks = df.groupBy(*group, "ticker", "trading_day").agg(
+        chain(F.collect_list(item)).alias("_t"), F.count("*").alias("_n"))
+    days = blocks.groupBy(*group, "trading_day").agg(
+        chain(F.collect_list(F.struct("ticker", "_t"))).alias("_t"), F.sum("_n").alias("_n"))
+    return days.groupBy(*group).agg(
+        chain(F.collect_list(F.struct("trading_day", "_t"))).alias("ids_sha256"), F.sum("_n").alias("n_ids"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .bars import SplitBoundaries, split_of
+from .ranks import exact_quantiles, group_rank
 
 BPS = 10000.0
 
@@ -148,7 +149,8 @@ def band_diagnostic(f: DataFrame, bands: tuple[float, ...] = DIAGNOSTIC_BANDS_BP
     The quantiles do not depend on the band, so they are taken once per scope and joined to
     the counts; the counts are one hash aggregate with the bands as columns of an array.
     """
-    base = f.filter(structural_ok()).select("ticker", "forward_return")
+    base = f.filter(structural_ok()).select(
+        "ticker", "forward_return", F.concat_ws("|", "ticker", "timestamp").alias("sample_key"))
     r = F.col("forward_return")
     scoped = base.withColumn("scope", F.explode(F.array(F.lit("overall"), F.col("ticker"))))
     counts = (scoped.withColumn("band_bps", F.explode(F.array(*[F.lit(b) for b in bands])))
@@ -158,11 +160,13 @@ def band_diagnostic(f: DataFrame, bands: tuple[float, ...] = DIAGNOSTIC_BANDS_BP
                   F.count_if(r > F.col("band_bps") / BPS).alias("up_rows"),
                   F.count_if(r < -F.col("band_bps") / BPS).alias("down_rows"),
                   F.count_if(F.abs(r) <= F.col("band_bps") / BPS).alias("no_trade_rows")))
-    qs = scoped.groupBy("scope").agg(
-        F.percentile(F.abs(r) * BPS, F.array(*[F.lit(q) for q in DIAGNOSTIC_QUANTILES])).alias("_q"))
+    ranked = group_rank(scoped.select("scope", (F.abs(r) * BPS).alias("_v"), F.col("sample_key").alias("_k")),
+                        ["scope"], [F.col("_v").asc(), F.col("_k").asc()])
+    qs = exact_quantiles(ranked, ["scope"], "_v", list(DIAGNOSTIC_QUANTILES)).groupBy("scope").pivot(
+        "q", list(DIAGNOSTIC_QUANTILES)).agg(F.first("quantile"))
     out = counts.join(qs, "scope")
     for name in ("valid", "up", "down", "no_trade"):
         out = out.withColumn(f"{name}_pct", F.try_divide(f"{name}_rows", "n_train_base_rows"))
-    for i, q in enumerate(DIAGNOSTIC_QUANTILES):
-        out = out.withColumn(f"abs_return_p{int(q * 100)}_bps", F.col("_q")[i])
-    return out.drop("_q")
+    for q in DIAGNOSTIC_QUANTILES:
+        out = out.withColumnRenamed(str(q), f"abs_return_p{round(q * 100)}_bps")
+    return out

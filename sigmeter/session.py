@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "sigmeter", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,3 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage and fixes the statistics."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+# Largest table that is sent to every executor, by row count of a materialised table.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint when a (materialised) table is counted as small; else a shuffle join."""
+    return F.broadcast(df) if df.count() <= limit else df
