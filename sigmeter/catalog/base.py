@@ -108,7 +108,7 @@ RESUM_SQL = ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("n", "p", "pp", "tp",
 
 def t_table(df: str) -> str:
     from ..functions.student_t import t975
-    pairs = " ".join(f"WHEN {i} THEN {t975(i)!r}::DOUBLE" for i in range(1, 31))
+    pairs = " ".join(f"WHEN {i} THEN {t975(i)!r}::DOUBLE" for i in range(1, 251))
     return f"(CASE {df} {pairs} END)"
 
 

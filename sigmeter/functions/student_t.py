@@ -1,7 +1,7 @@
 """The 0.975 quantile of Student's t, by degrees of freedom.
 
 Up to ``TABLE_DF`` the values come from bisection on the distribution function (computed
-once on the driver, at most 60 numbers); above it the Cornish-Fisher series is exact to
+once on the driver, 120 numbers); above it the Cornish-Fisher series is exact to
 1e-9 and works as a column expression, so any number of groups and sizes is covered.
 """
 
@@ -12,7 +12,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-TABLE_DF = 60
+TABLE_DF = 120
 Z975 = 1.959963984540054
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import ratio
+from ..session import materialise
 from .ranks import exact_quantiles, group_rank
 
 SCHEMES = ("equal_width", "equal_mass")
@@ -27,38 +28,36 @@ def bin_edges(values: DataFrame, group: list[str], bin_counts: list[int]) -> Dat
     ranked = group_rank(values.select(*group, "value", "sample_id"), group,
                         [F.col("value").asc(), F.col("sample_id").asc()])
     probs = sorted({i / n for n in bin_counts for i in range(n + 1)})
-    qs = exact_quantiles(ranked, group, "value", probs)
-    parts = []
+    qs = exact_quantiles(ranked, group, "value", probs).groupBy(*group).agg(
+        F.map_from_entries(F.collect_list(F.struct("q", "quantile"))).alias("_m"))  # a few dozen entries
+    options = []
     for n in bin_counts:
-        want = [i / n for i in range(n + 1)]
-        mass = (qs.filter(F.col("q").isin(want)).groupBy(*group)
-                .agg(F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("edges")))
-        mass = mass.withColumn("edges", F.when(F.size("edges") < 2, F.array(F.col("edges")[0], F.col("edges")[0]))
-                               .otherwise(F.col("edges")))
-        width = mass.select(*group, F.array(*[F.lit(i / n) for i in range(n + 1)]).alias("edges"))
-        for scheme, t in zip(SCHEMES, (width, mass)):
-            parts.append(t.withColumns({"binning_scheme": F.lit(scheme), "n_bins": F.lit(n)}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        mass = F.array_sort(F.array_distinct(F.array(*[F.col("_m")[F.lit(i / n)] for i in range(n + 1)])))
+        mass = F.when(F.size(mass) < 2, F.array(mass[0], mass[0])).otherwise(mass)
+        width = F.array(*[F.lit(i / n) for i in range(n + 1)])
+        for scheme, e in zip(SCHEMES, (width, mass)):
+            options.append(F.struct(F.lit(scheme).alias("binning_scheme"), F.lit(n).alias("n_bins"), e.alias("edges")))
+    return qs.select(*group, F.explode(F.array(*options)).alias("_o")).select(*group, "_o.*")
 
 
 def reliability_bins(values: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
     """Per bin: bounds, rows, mean prediction, frequency and gap; empty bins do not appear."""
     per_group = edges.groupBy(*group).agg(F.collect_list(F.struct("binning_scheme", "n_bins", "edges")).alias("_e"))
-    # a few edge arrays per group; each row then meets its own group's arrays only
-    x = values.join(F.broadcast(per_group), group).withColumn("_s", F.explode("_e"))
-    e = F.col("_s.edges")
-    at = F.size(F.filter(e, lambda b: b <= F.col("value"))) - 1
-    x = x.select(*group, "_s.binning_scheme", "_s.n_bins",
-                 F.greatest(F.lit(0), F.least(at, F.size(e) - 2)).alias("bin_index"), e.alias("_edges"), "value", "outcome")
-    g = x.groupBy(*group, "binning_scheme", "n_bins", "bin_index").agg(
-        F.count("*").alias("n_rows"), F.sum("value").alias("_v"), F.sum("outcome").alias("_o"),
-        F.first("_edges").alias("_edges"))
-    g = g.select(*group, "binning_scheme", "n_bins", "bin_index", F.get("_edges", F.col("bin_index")).alias("bin_lower"),
-                 F.get("_edges", F.col("bin_index") + 1).alias("bin_upper"), "n_rows",
-                 ratio("_v", "n_rows").alias("mean_predicted"), ratio("_o", "n_rows").alias("empirical_frequency"))
+    # a few edge arrays per group; each row meets its own group's arrays and keeps only indexes
+    def place(o: Column) -> Column:
+        e = o["edges"]
+        at = F.size(F.filter(e, lambda b: b <= F.col("value"))) - 1
+        return F.struct(o["binning_scheme"].alias("binning_scheme"), o["n_bins"].alias("n_bins"),
+                        F.greatest(F.lit(0), F.least(at, F.size(e) - 2)).alias("bin_index"))
+
+    x = values.join(F.broadcast(per_group), group).select(
+        *group, "value", "outcome", F.explode(F.transform("_e", place)).alias("_s"))
+    g = x.groupBy(*group, "_s.binning_scheme", "_s.n_bins", "_s.bin_index").agg(
+        F.count("*").alias("n_rows"), F.sum("value").alias("_v"), F.sum("outcome").alias("_o"))
+    g = g.join(edges, group + ["binning_scheme", "n_bins"]).select(
+        *group, "binning_scheme", "n_bins", "bin_index", F.get("edges", F.col("bin_index")).alias("bin_lower"),
+        F.get("edges", F.col("bin_index") + 1).alias("bin_upper"), "n_rows",
+        ratio("_v", "n_rows").alias("mean_predicted"), ratio("_o", "n_rows").alias("empirical_frequency"))
     return g.withColumn("abs_gap", F.abs(F.col("empirical_frequency") - F.col("mean_predicted")))
 
 
@@ -94,7 +93,7 @@ def calibration_frames(rows: DataFrame, bin_counts: list[int], primary: tuple[st
     by_ticker = views.filter(F.col("view") == primary[0])
     allv = pooled.unionByName(by_ticker)
     edges = bin_edges(allv, keys, bin_counts)
-    edges = edges.filter((F.col("ticker") == "pooled") | ((F.col("binning_scheme") == primary[1])
+    edges = materialise(edges, "bin-edges").filter((F.col("ticker") == "pooled") | ((F.col("binning_scheme") == primary[1])
                                                            & (F.col("n_bins") == primary[2])))
     bins = reliability_bins(allv, edges, keys)
     combo = keys + ["binning_scheme", "n_bins"]

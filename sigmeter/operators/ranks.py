@@ -99,19 +99,17 @@ def selective_summary(ranked: DataFrame, group: list[str], onset: float | None =
 def exact_quantiles(ranked: DataFrame, group: list[str], value: str, probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles read off the ranks: (group, q, quantile).
 
-    Only the two rows around each quantile leave the scan, so nothing holds all values.
+    Each group asks for the two ranks around every quantile; an equi-join on the rank fetches
+    just those rows, so nothing holds all values.
     """
-    targets = F.array(*[F.struct(F.lit(float(q)).alias("q")) for q in probs])
-    at = F.col("rk") - 1
-
-    def spot(t: Column) -> Column:
-        return F.lit(1.0) * t["q"] * (F.col("group_n") - 1)
-
-    near = F.filter(targets, lambda t: (at == F.floor(spot(t))) | (at == F.ceil(spot(t))))
-    hit = ranked.filter(F.size(near) > 0).withColumn("_t", F.explode(near)).withColumn("q", F.col("_t.q"))
-    h = F.col("q") * (F.col("group_n") - 1)
-    hit = hit.withColumns({"_lo": at == F.floor(h), "_hi": at == F.ceil(h), "_w": h - F.floor(h)})
-    g = hit.groupBy(*group, "q").agg(
-        F.max(F.when(F.col("_lo"), F.col(value))).alias("_l"), F.max(F.when(F.col("_hi"), F.col(value))).alias("_h"),
+    sizes = ranked.groupBy(*group).agg(F.max("group_n").alias("_n"))
+    want = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
+    h = F.col("q") * (F.col("_n") - 1)
+    want = want.withColumn("_w", h - F.floor(h)).withColumn(
+        "_e", F.explode(F.array(F.struct(F.lit(True).alias("lo"), (F.floor(h) + 1).alias("rk")),
+                                F.struct(F.lit(False).alias("lo"), (F.ceil(h) + 1).alias("rk")))))
+    want = want.select(*group, "q", "_w", "_e.lo", F.col("_e.rk").alias("rk"))
+    g = ranked.select(*group, "rk", value).join(want, group + ["rk"]).groupBy(*group, "q").agg(
+        F.max(F.when(F.col("lo"), F.col(value))).alias("_l"), F.max(F.when(~F.col("lo"), F.col(value))).alias("_h"),
         F.max("_w").alias("_w"))
     return g.select(*group, "q", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_w")).alias("quantile"))
