@@ -17,25 +17,34 @@ def hypergeometric(u: Column, total: Column, good: Column, drawn: Column) -> Col
     factorials are needed. The walk spans 12 standard deviations either side of the mean
     (below double precision beyond), hence its length grows with the root of the block size.
     """
-    n, k, d = (c.cast("double") for c in (total, good, drawn))
-    least = F.greatest(F.lit(0.0), d + k - n)
-    most = F.least(d, k)
-    mean = F.coalesce(F.try_divide(d * k, n), F.lit(0.0))
-    var = mean * (1 - F.coalesce(F.try_divide(k, n), F.lit(0.0))) * F.coalesce(F.try_divide(n - d, n - 1), F.lit(0.0))
-    reach = 12 * F.sqrt(F.greatest(var, F.lit(0.0))) + 12
-    lo = F.greatest(least, F.floor(mean - reach).cast("double"))
-    hi = F.least(most, F.ceil(mean + reach).cast("double"))
-    steps = F.sequence(lo.cast("long"), F.greatest(lo, hi).cast("long"))
-
-    def ratio(x: Column) -> Column:
-        x = x.cast("double")
-        return (k - x) * (d - x) / ((x + 1) * (n - k - d + x + 1))
-
-    zero = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"), lo.cast("long").alias("x"))
-    mass = F.aggregate(steps, zero, lambda a, x: F.struct(
-        (a["w"] * ratio(x)).alias("w"), (a["s"] + a["w"]).alias("s"), x.alias("x")), lambda a: a["s"])
-    at = u * mass
-    found = F.aggregate(steps, zero, lambda a, x: F.struct(
-        (a["w"] * ratio(x)).alias("w"), (a["s"] + a["w"]).alias("s"),
-        F.when(a["s"] + a["w"] <= at, x + 1).otherwise(a["x"]).alias("x")), lambda a: a["x"])
-    return F.when(hi <= lo, lo.cast("long")).otherwise(F.least(found, hi.cast("long")))
+    def bind(value: Column, body) -> Column:
+        # A one-element transform evaluates ``value`` once and names it inside ``body``.
+        return F.transform(F.array(value), body)[0]
+
+    def bounds(q: Column) -> Column:
+        n, k, d = q["n"], q["k"], q["d"]
+        share = F.coalesce(F.try_divide(k, n), F.lit(0.0))
+        spread = d * share * (1 - share) * F.coalesce(F.try_divide(n - d, n - 1), F.lit(0.0))
+        reach = 12 * F.sqrt(F.greatest(spread, F.lit(0.0))) + 12
+        lo = F.greatest(F.lit(0.0), d + k - n, F.floor(d * share - reach).cast("double"))
+        hi = F.least(d, k, F.ceil(d * share + reach).cast("double"))
+        return F.struct(lo.cast("long").alias("lo"), F.greatest(lo, hi).cast("long").alias("hi"),
+                        k.alias("k"), d.alias("d"), (n - k - d).alias("rest"), q["u"].alias("u"))
+
+    def walk(b: Column) -> Column:
+        def following(a: Column, x: Column) -> Column:
+            return a["w"] * (b["k"] - x) * (b["d"] - x) / ((x + 1) * (b["rest"] + x + 1))
+
+        steps = F.sequence(b["lo"], b["hi"])
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
+        mass = F.aggregate(steps, start, lambda a, x: F.struct(
+            following(a, x).alias("w"), (a["s"] + a["w"]).alias("s")), lambda a: a["s"])
+        begin = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"), b["lo"].alias("x"), (b["u"] * mass).alias("at"))
+        found = F.aggregate(steps, begin, lambda a, x: F.struct(
+            following(a, x).alias("w"), (a["s"] + a["w"]).alias("s"),
+            F.when(a["s"] + a["w"] <= a["at"], x + 1).otherwise(a["x"]).alias("x"), a["at"].alias("at")), lambda a: a["x"])
+        return F.when(b["hi"] <= b["lo"], b["lo"]).otherwise(F.least(found, b["hi"]))
+
+    params = F.struct(total.cast("double").alias("n"), good.cast("double").alias("k"),
+                      drawn.cast("double").alias("d"), u.alias("u"))
+    return bind(params, lambda q: bind(bounds(q), walk))

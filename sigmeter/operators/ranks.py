@@ -19,14 +19,14 @@ def global_position(df: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ``pos`` (0-based) in the order given; the order must be total."""
     spark = df.sparkSession
     path = scratch_path(spark, "ranked")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(path))
+    # No partition count: adaptive execution merges neighbouring ranges to sensible file sizes.
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
     rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_f"),
                                            F.col("_metadata.row_index").alias("_i"))
     sizes = rows.groupBy("_f").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    # one row per written file, at most ``parts``
+    # one row per written file, at most spark.sql.shuffle.partitions
     return rows.join(F.broadcast(offsets), "_f").withColumn(
         "pos", F.col("_o") + F.col("_i")).drop("_f", "_i", "_o")
 

@@ -12,7 +12,7 @@ from ..functions import confusion as C
 from ..functions.hypergeom import hypergeometric
 from ..functions.scalar import hex01, key_hex
 from ..functions.student_t import lcb_agg
-from ..session import materialise, small_or_shuffled
+from ..session import materialise, small_or_shuffled, spread
 from .ranks import global_position
 from .readouts import BLOCK
 
@@ -45,7 +45,8 @@ def bootstrap_draws(blocks: DataFrame, slices: list[str], values: list[str], n_b
     idx = materialise(index_blocks(blocks, slices, block).select(*slices, "idx", "n_blocks", *values), "blocks")
     groups = (n_boot + PICKS_PER_HASH - 1) // PICKS_PER_HASH
     hexed = key_hex(F.lit(seed), F.col("_g"), F.col("idx"))
-    picks = (idx.select(*slices, "idx", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    slots = spread(idx.select(*slices, "idx", "n_blocks"), *slices, "idx")
+    picks = (slots.select(*slices, "idx", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
              .withColumn("_hex", hexed)
              .withColumn("_p", F.explode(F.array(*[
                  F.struct((F.col("_g") * PICKS_PER_HASH + j).alias("draw"), hex01(F.col("_hex"), 1 + 13 * j).alias("u"))
@@ -93,7 +94,7 @@ def shuffled_counts(blocks: DataFrame, keep: list[str], n_perm: int, seed: int)
     """
     n, p, q11 = F.col("n"), F.col("p"), F.col("q11")
     c10, c01 = F.col("pp") - q11, F.col("bp") - q11
-    x = blocks.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).withColumn(
+    x = spread(blocks, "seed", *BLOCK).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).withColumn(
         "_h", key_hex(F.lit(seed), F.col("draw"), F.col("seed"), *[F.col(b) for b in BLOCK]))
     x = x.withColumn("_a", hypergeometric(hex01(F.col("_h"), 1), n, p, q11))
     x = x.withColumn("_b", hypergeometric(hex01(F.col("_h"), 14), n - q11, p - F.col("_a"), c10))
@@ -156,7 +157,7 @@ def cscv_splits(matrix: DataFrame, trial: str = "trial", block: str = "block", p
     m = m.filter((F.col("n_trials") >= 2) & (F.col("n_blocks") >= 2) & (F.col("_cells") == F.col("n_trials") * F.col("n_blocks")))
     k = F.floor(F.col("n_blocks") / 2) if is_block_count is None else F.lit(is_block_count)
     k = F.greatest(F.lit(1), F.least(k, F.col("n_blocks") - 1)).cast("int")
-    masks = F.filter(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("n_blocks").cast("int")) - 1),
+    masks = F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n_blocks").cast("int")) - 1),
                      lambda x: F.bit_count(x) == k)
     x = m.withColumn("_k", k).withColumn("_mask", F.explode(masks))
     inside = F.getbit(F.col("_mask"), F.col("_b").cast("int")) == 1

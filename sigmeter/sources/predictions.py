@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalar import hash01, ratio
+from ..session import spread
 from .tables import table
 
 # Fixed values of this adapter.
@@ -57,6 +58,7 @@ def scored(spark: SparkSession, sf_dir: str, families: list[str] | None = None,
     rows = facts(spark, sf_dir)
     priors = period_priors(rows)
     live = rows.filter(F.col("target_timestamp") >= F.lit(WARMUP_END).cast("timestamp_ntz"))
+    live = spread(live, "sample_id")  # families x seeds rows and two hashes per input row follow
     live = live.join(F.broadcast(priors), "year")  # one row per calendar year
     edge = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
     live = (live.withColumn("model_family", F.explode(F.array(*[F.lit(f) for f in families])))
