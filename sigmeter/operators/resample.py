@@ -28,6 +28,7 @@ def index_blocks(blocks: DataFrame, slices: list[str], block: list[str] = BLOCK)
     b = blocks.withColumn("_h", key_hex(*[F.col(c) for c in block])).withColumn("_k", F.substring("_h", 1, 3))
     sizes = b.groupBy(*slices, "_k").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*slices)
+    # at most 4,096 buckets per slice
     sizes = sizes.select(*slices, "_k", F.sum("_n").over(w).alias("n_blocks"),
                          (F.sum("_n").over(w.orderBy("_k")) - F.col("_n")).alias("_o"))
     inner = Window.partitionBy(*slices, "_k").orderBy("_h")
@@ -35,27 +36,34 @@ def index_blocks(blocks: DataFrame, slices: list[str], block: list[str] = BLOCK)
     return out.withColumn("idx", F.col("_i") + F.col("_o")).drop("_h", "_k", "_i", "_o")
 
 
+def _picks(idx: DataFrame, slices: list[str], n_boot: int, seed: int) -> DataFrame:
+    """Every block row stands for one slot and draws its picks itself, keyed by (seed, draw, slot)."""
+    groups = (n_boot + PICKS_PER_HASH - 1) // PICKS_PER_HASH
+    slots = spread(idx.select(*slices, "idx", "n_blocks"), *slices, "idx")
+    return (slots.select(*slices, "idx", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+            .withColumn("_hex", key_hex(F.lit(seed), F.col("_g"), F.col("idx")))
+            .withColumn("_p", F.explode(F.array(*[
+                F.struct((F.col("_g") * PICKS_PER_HASH + j).alias("draw"), hex01(F.col("_hex"), 1 + 13 * j).alias("u"))
+                for j in range(PICKS_PER_HASH)])))
+            .filter(F.col("_p.draw") < n_boot)
+            .select(*slices, F.col("_p.draw").alias("draw"),
+                    F.least(F.floor(F.col("_p.u") * F.col("n_blocks")), F.col("n_blocks") - 1).alias("idx")))
+
+
+def bootstrap_picks(blocks: DataFrame, slices: list[str], n_boot: int, seed: int, block: list[str] = BLOCK) -> DataFrame:
+    """One row per draw and slot with the picked block's columns."""
+    idx = materialise(index_blocks(blocks, slices, block), "blocks")
+    return _picks(idx, slices, n_boot, seed).join(small_or_shuffled(idx), slices + ["idx"])
+
+
 def bootstrap_draws(blocks: DataFrame, slices: list[str], values: list[str], n_boot: int, seed: int,
                     block: list[str] = BLOCK) -> DataFrame:
     """Sums of ``values`` per (slice, draw): n_blocks picks with replacement per draw.
 
-    Every block row stands for one slot and draws its picks itself, keyed by (seed, draw, slot);
-    the picked sums come from an equi-join that broadcasts only a counted-small block table.
+    The picked sums come from an equi-join that broadcasts only a counted-small block table.
     """
-    idx = materialise(index_blocks(blocks, slices, block).select(*slices, "idx", "n_blocks", *values), "blocks")
-    groups = (n_boot + PICKS_PER_HASH - 1) // PICKS_PER_HASH
-    hexed = key_hex(F.lit(seed), F.col("_g"), F.col("idx"))
-    slots = spread(idx.select(*slices, "idx", "n_blocks"), *slices, "idx")
-    picks = (slots.select(*slices, "idx", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-             .withColumn("_hex", hexed)
-             .withColumn("_p", F.explode(F.array(*[
-                 F.struct((F.col("_g") * PICKS_PER_HASH + j).alias("draw"), hex01(F.col("_hex"), 1 + 13 * j).alias("u"))
-                 for j in range(PICKS_PER_HASH)])))
-             .filter(F.col("_p.draw") < n_boot)
-             .select(*slices, F.col("_p.draw").alias("draw"),
-                     F.least(F.floor(F.col("_p.u") * F.col("n_blocks")), F.col("n_blocks") - 1).alias("idx")))
-    side = small_or_shuffled(idx.select(*slices, "idx", "n_blocks", *values))
-    return picks.join(side, slices + ["idx"]).groupBy(*slices, "draw").agg(
+    keep = blocks.select(*slices, *block, *values)
+    return bootstrap_picks(keep, slices, n_boot, seed, block).groupBy(*slices, "draw").agg(
         *[F.sum(v).alias(v) for v in values], F.max("n_blocks").alias("n_blocks"))
 
 

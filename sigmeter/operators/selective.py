@@ -53,3 +53,102 @@ def selective_grid(ranked: DataFrame, group: list[str]) -> DataFrame:
     return j.select(*group, ratio("n", "_total").alias("coverage"), F.col("n").alias("n_covered"),
                     F.col("_conf").alias("confidence_at_coverage"), (1.0 - acc).alias("selective_risk"),
                     acc.alias("selective_accuracy"), C.macro_f1().alias("selective_macro_f1"))
+
+
+def bootstrap_bands(ranked: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """Bands of the mean-over-seeds risk curve under whole-day resampling.
+
+    Rows reduce to (seed, day, grid cell) counts of the full-sample ranking; a draw re-weights
+    days, which leaves the cells' order unchanged, so risk is exact at the 191 cell ends and
+    linear between them. Cost is draws x (day, cell) counts, not draws x rows.
+    """
+    from ..session import materialise
+    from .resample import bootstrap_picks
+
+    cells = ranked.withColumn("_i", grid_cell(F.col("rk"), F.col("group_n"))).groupBy("seed", "trading_day", "_i").agg(
+        F.count("*").alias("n"), F.sum(1 - F.col("correct")).alias("e"))
+    cells = materialise(cells, "day-cells")
+    picks = bootstrap_picks(cells.select("trading_day").distinct(), [], n_boot, seed, ["trading_day"])
+    mult = picks.groupBy("draw", "trading_day").agg(F.count("*").alias("m"))
+    s = mult.join(cells, "trading_day").groupBy("draw", "seed", "_i").agg(
+        F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("e")).alias("e"))
+    run = Window.partitionBy("draw", "seed").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("draw", "seed")
+    s = s.withColumns({"_cn": F.sum("n").over(run), "_ce": F.sum("e").over(run), "_tn": F.sum("n").over(whole)})
+    s = s.withColumns({"x": ratio("_cn", "_tn"), "y": ratio("_ce", "_cn")})
+    knots = s.groupBy("draw", "seed").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("k"))  # at most 191
+    grid = knots.select("draw", "seed", "k", F.posexplode(F.array(*[F.lit(GRID_MIN + i * GRID_STEP) for i in range(GRID_SIZE)])).alias("grid_index", "c"))
+    after = F.greatest(F.lit(1), F.size(F.filter("k", lambda p: p["x"] < F.col("c"))))
+    b, a = F.get("k", F.least(after, F.size("k") - 1)), F.get("k", F.least(after, F.size("k") - 1) - 1)
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("c") - a["x"], b["x"] - a["x"]), F.lit(0.0))))
+    v = grid.select("draw", "grid_index", (a["y"] + (b["y"] - a["y"]) * t).alias("risk"))
+    mean = v.groupBy("draw", "grid_index").agg(F.avg("risk").alias("risk"))
+    return mean.groupBy("grid_index").agg(F.percentile("risk", 0.025).alias("risk_lo"), F.percentile("risk", 0.975).alias("risk_hi"),
+                                          F.avg("risk").alias("risk_mean"))
+
+
+def permutation_band(rows: DataFrame, n_perm: int, seed: int, grid_step: int = 1) -> DataFrame:
+    """Band of the mean-over-two-seeds risk curve under a random ranking common to both.
+
+    A prefix of a random order holds a hypergeometric number of each error pattern (wrong for
+    both seeds, one, or none), so a draw walks the grid on four counts instead of all rows.
+    """
+    from ..functions.hypergeom import hypergeometric
+    from ..functions.scalar import hex01, key_hex
+
+    per = rows.groupBy("sample_id").agg(F.min(1 - F.col("correct")).alias("_lo"), F.max(1 - F.col("correct")).alias("_hi"))
+    c = per.agg(F.count("*").alias("n"), F.count_if(F.col("_lo") == 1).alias("both"),
+                F.count_if((F.col("_hi") == 1) & (F.col("_lo") == 0)).alias("one"))
+    spark = rows.sparkSession
+    draws = spark.range(n_perm, numPartitions=spark.sparkContext.defaultParallelism).withColumnRenamed("id", "draw").crossJoin(F.broadcast(c))  # one row
+    steps = F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))
+
+    def covered_at(i: Column) -> Column:
+        return F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.round((F.lit(GRID_MIN) + i * F.lit(GRID_STEP)) * F.col("n"), 9)))).cast("long")
+
+    start = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("o"),
+                     F.array().cast("array<double>").alias("r"))
+
+    def move(a: Column, i: Column) -> Column:
+        def with_step(s: Column) -> Column:
+            left = F.col("n") - a["k"]
+            x = hypergeometric(hex01(s["h"], 1), left, F.col("both") - a["b"], s["d"])
+
+            def with_both(q: Column) -> Column:
+                o = hypergeometric(hex01(s["h"], 14), left - (F.col("both") - a["b"]), F.col("one") - a["o"], s["d"] - q["x"])
+
+                def close(z: Column) -> Column:
+                    k, b, n1 = a["k"] + s["d"], a["b"] + q["x"], a["o"] + z["o"]
+                    return F.struct(k.alias("k"), b.alias("b"), n1.alias("o"),
+                                    F.concat(a["r"], F.array((b + n1 / 2.0) / k)).alias("r"))
+                return F.transform(F.array(F.struct(o.alias("o"))), close)[0]
+            return F.transform(F.array(F.struct(x.alias("x"))), with_both)[0]
+        step = F.struct((covered_at(i) - a["k"]).alias("d"), key_hex(F.lit(seed), F.col("draw"), i).alias("h"))
+        return F.transform(F.array(step), with_step)[0]
+
+    curve = F.aggregate(steps, start, move, lambda a: a["r"])
+    v = draws.select("draw", F.posexplode(curve).alias("grid_index", "risk"))
+    return v.groupBy("grid_index").agg(F.percentile("risk", 0.025).alias("risk_lo"), F.percentile("risk", 0.975).alias("risk_hi"),
+                                       F.avg("risk").alias("risk_mean"))
+
+
+def selective_autopsy(rows: DataFrame, day_terciles: DataFrame, block_sums: DataFrame, n_boot: int, boot_seed: int) -> DataFrame:
+    """Per tercile (and all) x seed: metrics, the AURC set and the bootstrap's detectable effect."""
+    from .ranks import selective_summary
+    from .resample import block_bootstrap
+    from .slices import tercile_cells
+
+    t = with_confidence(rows, ["seed", "ticker", "trading_day"]).join(day_terciles, ["ticker", "trading_day"])
+    t = t.select("seed", "sample_id", "confidence", "correct", F.explode(F.array(F.lit("all"), F.col("activity_tercile"))).alias("activity_tercile"))
+    keys = ["activity_tercile", "seed"]
+    s = selective_summary(confidence_rank(t, keys), keys).drop("oracle_aurc")
+    tc = tercile_cells(block_sums)
+    m = tc.groupBy(*keys).agg(*C.resum()).select(*keys, C.macro_f1().alias("macro_f1"), C.accuracy().alias("accuracy"), C.delta_f1().alias("delta_vs_dummy"))
+    ci = block_bootstrap(tc, keys, n_boot, boot_seed).select(*keys, "lcb")
+    per = s.join(m, keys).join(ci, keys).select(
+        "activity_tercile", F.col("seed").cast("string").alias("seed"), "n_rows", "macro_f1", "accuracy", "aurc", "e_aurc", "augrc", "full_coverage_risk",
+        "delta_vs_dummy", (F.col("delta_vs_dummy") - F.col("lcb")).alias("mde_vs_dummy"), (F.col("lcb") > 0).alias("delta_clears_mde"))
+    stats = ["macro_f1", "accuracy", "aurc", "e_aurc", "augrc", "full_coverage_risk", "delta_vs_dummy", "mde_vs_dummy"]
+    mean = per.groupBy("activity_tercile").agg(F.round(F.avg("n_rows")).cast("long").alias("n_rows"), *[F.avg(c).alias(c) for c in stats])
+    mean = mean.withColumn("seed", F.lit("seed_mean")).withColumn("delta_clears_mde", F.col("delta_vs_dummy") > F.col("mde_vs_dummy"))
+    return per.unionByName(mean)
