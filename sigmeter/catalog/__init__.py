@@ -2,6 +2,6 @@
 
 from . import base
 from .base import ORACLE, QUERIES
-from . import ingest, scoring, robust, spreads, closing  # noqa: F401
+from . import ingest, scoring, robust, spreads, closing, fitted  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES", "base"]

@@ -22,8 +22,9 @@ def unnegated_count(text: Column, term: str, negators: list[str], reach: int = 6
     A negated occurrence is one whose look-behind holds a negator and no boundary after it.
     """
     quoted = re.escape(term)
-    behind = "|".join(re.escape(n) + r"[^.;:]{0," + str(reach - len(n)) + "}" for n in negators)
-    negated = F.regexp_count(text, F.lit(f"(?<={behind}){quoted}"))
+    # The term comes first, so the look-behind only runs where the term stands.
+    behind = "|".join(re.escape(n) + r"[^.;:]{0," + str(reach - len(n)) + "}" + quoted for n in negators)
+    negated = F.regexp_count(text, F.lit(f"{quoted}(?<={behind})"))
     return F.regexp_count(text, F.lit(quoted)) - negated
 
 
@@ -85,6 +86,28 @@ def title_match(a: Column, b: Column, threshold: float = 0.6) -> Column:
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a) | (jac >= threshold))
 
 
+def contained_short(short: DataFrame, s_name: str, whole: DataFrame, w_name: str) -> DataFrame:
+    """Pairs where a title of one or two tokens is text inside another title.
+
+    One token lies inside some token; two tokens are the end of a token and the start of the
+    next. The pieces are cut from the distinct tokens and token pairs, not from every title.
+    """
+    s = short.filter(F.size(F.split(s_name, " ")) < 3)
+    w = F.split(w_name, " ")
+    nxt = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)),
+                      lambda i: F.when(i < F.size(w), F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
+    grams = whole.select(w_name, F.explode(F.array_distinct(F.array_compact(F.concat(w, nxt)))).alias("gram"))
+    a, b = F.split_part("gram", F.lit(" "), F.lit(1)), F.split_part("gram", F.lit(" "), F.lit(2))
+    inside = F.flatten(F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.transform(
+        F.sequence(F.lit(1), F.length(a) - i + 1), lambda n: F.substring(a, i, n))))
+    across = F.flatten(F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b))), lambda n: F.concat_ws(" ", F.substring(a, -i, i), F.substring(b, F.lit(1), n)))))
+    pieces = grams.select("gram").distinct().select("gram", F.explode(F.array_distinct(
+        F.when(F.col("gram").contains(" "), across).otherwise(inside))).alias("piece"))
+    hit = s.join(pieces, s[s_name] == pieces["piece"]).select(s_name, "gram")
+    return hit.join(grams, "gram").select(s_name, w_name).distinct()
+
+
 def title_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
     """All matching (left_id, right_id) pairs of two (id, title) tables, exactly.
 
@@ -92,8 +115,8 @@ def title_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> Da
     share one token among the rarest of both sides: a pair above the threshold must share one
     of each side's n - ceil(t n) + 1 rarest tokens, and a contained title of three tokens or
     more has its inner tokens in the other, of which the rarest is looked up among all tokens
-    there. Titles below three tokens can only be contained as text; their distinct values are
-    few and are tested by a nested loop.
+    there. Titles below three tokens are found by equality with pieces of tokens and of
+    neighbouring token pairs. Every step is an equi-join.
     """
     def prep(df: DataFrame, tag: str) -> DataFrame:
         t = df.select(F.col("id"), normal_title(F.col("title")).alias("title")).filter("title <> ''")
@@ -120,10 +143,8 @@ def title_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> Da
     # One row per side meets per shared token unless it is a prefix or probe token of either side.
     cand = a.join(b.filter("r_prefix or r_probe"), "token").filter("(in_prefix and r_prefix) or r_probe").select("left_title", "right_title")
     cand2 = a.filter("probe").join(b, "token").select("left_title", "right_title")
-    short_l = lt.filter(F.size(F.split("left_title", " ")) < 3)
-    short_r = rt.filter(F.size(F.split("right_title", " ")) < 3)
-    sub = F.col("left_title").contains(F.col("right_title")) | F.col("right_title").contains(F.col("left_title"))
-    text = short_l.join(rt, sub).unionByName(lt.join(short_r, sub))
+    text = contained_short(lt, "left_title", rt, "right_title").unionByName(
+        contained_short(rt, "right_title", lt, "left_title").select("left_title", "right_title"))
     pairs = cand.unionByName(cand2).unionByName(text.select("left_title", "right_title")).distinct()
     hit = pairs.filter(title_match(F.col("left_title"), F.col("right_title"), threshold))
     return hit.join(l, "left_title").join(r, "right_title").select("left_id", "right_id")
