@@ -102,7 +102,9 @@ def contained_short(short: DataFrame, s_name: str, whole: DataFrame, w_name: str
         F.sequence(F.lit(1), F.length(a) - i + 1), lambda n: F.substring(a, i, n))))
     across = F.flatten(F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b))), lambda n: F.concat_ws(" ", F.substring(a, -i, i), F.substring(b, F.lit(1), n)))))
-    pieces = grams.select("gram").distinct().select("gram", F.explode(F.array_distinct(
+    width = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = grams.select("gram").distinct().repartition(width, "gram")  # few bytes, many pieces
+    pieces = vocabulary.select("gram", F.explode(F.array_distinct(
         F.when(F.col("gram").contains(" "), across).otherwise(inside))).alias("piece"))
     hit = s.join(pieces, s[s_name] == pieces["piece"]).select(s_name, "gram")
     return hit.join(grams, "gram").select(s_name, w_name).distinct()
