@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import confusion as C
 from ..operators import (decide as DE, features as FT, folds as FD, guards as G, integrity as Q, joins as J, labels as L,
                          planted as PL, readouts as RO, resample as RS, selective as SEL, slices as SL, textqa as TX)
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import predictions as P, tape as TP
 from ..sources.tables import table
 from . import spreads as SP
 from .base import RESUM_SQL, SUMS_SQL, bf1, cf1, cte, delta, f1, h01, hx, lcb, query, r, rounded
 from .ingest import CELLS, N_FOLDS, featured, labelled, members, train_cells, train_events
 from .robust import BOOT_SEED, N_BOOT, PERM_SEED, SIX, boot_sql, hg
-from .scoring import ALL, cells, ledger
+from .scoring import ALL, cells, ledger, stored
 
 # ---- planted labels --------------------------------------------------------------------
 
@@ -378,7 +378,7 @@ cte("band_vals", """SELECT draw, g.i AS grid_index, avg(k[lo][2] + (k[lo + 1][2]
 
 def day_ranked(spark, sf):
     from ..operators.ranks import confidence_rank
-    return confidence_rank(SEL.with_confidence(P.scored(spark, sf), ["seed", "trading_day"]), ["seed"])
+    return confidence_rank(SEL.with_confidence(stored(spark, sf), ["seed", "trading_day"]), ["seed"])
 
 
 @query("i10_bootstrap_bands", f"""SELECT grid_index, {r('quantile_cont(risk, 0.025)', 7)} AS risk_lo, {r('quantile_cont(risk, 0.975)', 7)} AS risk_hi, {r('avg(risk)', 7)} AS risk_mean FROM band_vals GROUP BY 1""")
@@ -408,8 +408,9 @@ _I12 = ["macro_f1", "accuracy", "aurc", "e_aurc", "augrc", "full_coverage_risk",
 @query("i12_selective_autopsy", f"""SELECT activity_tercile, seed, n_rows, {', '.join(f'{r(c)} AS {c}' for c in _I12)}, delta_clears_mde FROM autopsy_per
   UNION ALL SELECT activity_tercile, 'seed_mean', round(avg(n_rows))::BIGINT, {', '.join(r(f'avg({c})') for c in _I12)}, avg(delta_vs_dummy) > avg(mde_vs_dummy) FROM autopsy_per GROUP BY 1""")
 def i12(spark, sf):
-    rows = P.scored(spark, sf)
-    return rounded(SEL.selective_autopsy(rows, SL.activity_terciles(rows), cells(spark, sf), N_BOOT, BOOT_SEED))
+    rows = stored(spark, sf)
+    blocks = materialise(RO.block_cells(rows, ["seed"]), "blocks")
+    return rounded(SEL.selective_autopsy(rows, SL.activity_terciles(rows), blocks, N_BOOT, BOOT_SEED))
 
 
 # ---- text ------------------------------------------------------------------------------

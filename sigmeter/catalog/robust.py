@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import confusion as C
 from ..operators import joins as J, micro as MI, ranks as R, readouts as RO, resample as RS, selective as SEL, slices as SL
+from ..session import materialise
 from ..sources import predictions as P, tape as TP
 from .base import (RESUM_SQL, SUMS_SQL, bf1, cf1, cte, delta, div, f1, hx, lcb, query, r, rounded)
-from .scoring import ACC, ALL, cells, ledger, units
+from .scoring import ACC, ALL, cells, ledger, stored, units
 
 N_BOOT, BOOT_SEED = 200, 12345
 N_PERM, PERM_SEED = 50, 20260617
@@ -82,12 +83,12 @@ cte("reversed", f"SELECT seed, {delta()} AS time_reverse_delta FROM (SELECT seed
 
 @query("k4_time_reverse", f"SELECT seed, {r('time_reverse_delta')} AS time_reverse_delta FROM reversed")
 def k4(spark, sf):
-    return rounded(RS.time_reverse(P.scored(spark, sf), ["seed"]))
+    return rounded(RS.time_reverse(stored(spark, sf), ["seed"]))
 
 
 @query("e21_within_block_reverse", """SELECT seed, count(*)::BIGINT AS n, sum(y_true * y_pred)::BIGINT AS tp_reversed FROM mirrored GROUP BY 1""")
 def e21(spark, sf):
-    rows = P.scored(spark, sf)
+    rows = stored(spark, sf)
     keys = ["seed", "ticker", "trading_day"]
     p = R.global_position(rows.select(*keys, "target_timestamp", "sample_id", "y_true", "y_pred"),
                           [F.col(k).asc() for k in keys + ["target_timestamp", "sample_id"]])
@@ -151,7 +152,7 @@ def k8(spark, sf):
   {r('label_shuffle_p_value')} AS label_shuffle_p_value, {r('time_reverse_delta')} AS time_reverse_delta, {N_PERM} AS n_perm, 'computed' AS sentinel_status FROM shuf_sum JOIN reversed USING (seed)""")
 def k9(spark, sf):
     s = RS.label_shuffle(cells(spark, sf), ["seed"], N_PERM, PERM_SEED).drop("label_shuffle_sd")
-    t = RS.time_reverse(P.scored(spark, sf), ["seed"])
+    t = RS.time_reverse(stored(spark, sf), ["seed"])
     return rounded(s.join(t, "seed").withColumns({"n_perm": F.lit(N_PERM), "sentinel_status": F.lit("computed")}))
 
 
@@ -213,13 +214,14 @@ def hour_cells(spark, sf):
     """Counts per seed, block and hour, with calendar and tercile columns."""
     rows = P.scored(spark, sf)
     c = rows.groupBy("seed", "ticker", "trading_day", F.lpad(F.hour("target_timestamp").cast("string"), 2, "0").alias("time_of_day_hour")).agg(*C.row_sums())
+    c = materialise(c, "hour-cells")  # read several times below
     day = F.to_date("trading_day")
     return SL.with_terciles(c).withColumns({"calendar_year": F.year(day).cast("string"), "calendar_quarter": F.concat(F.year(day), F.lit("Q"), F.quarter(day)),
                                             "calendar_month": F.substring("trading_day", 1, 7)})
 
 
 def robustness(spark, sf):
-    return SL.robustness_slices(hour_cells(spark, sf), {a: F.col(a) for a in AXES}, SL.majority_class(spark, sf), BOOT_AXES,
+    return SL.robustness_slices(materialise(hour_cells(spark, sf), "axis-cells"), {a: F.col(a) for a in AXES}, SL.majority_class(spark, sf), BOOT_AXES,
                                 ["ticker", "activity_tercile", "calendar_year", "seed"], N_BOOT, BOOT_SEED)
 
 

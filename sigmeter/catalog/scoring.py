@@ -9,6 +9,7 @@ from ..functions.scalar import ratio
 from ..functions.student_t import lcb_agg
 from ..operators import (baselines as BL, calibration as CAL, joins as J, ranks as R, readouts as RO,
                          selective as SEL, slices as SL)
+from ..session import materialise
 from ..sources import predictions as P
 from .base import (RESUM_SQL, SUMS_SQL, _scored, bf1, cf1, cte, delta, div, f1, lcb, query, r, rounded)
 
@@ -20,6 +21,12 @@ def cells(spark, sf, families=None):
     return RO.block_cells(P.scored(spark, sf, families), KEYS)
 
 
+def stored(spark, sf, families=None, *columns):
+    """The dump as a stored table: queries that sort or scan it several times read this."""
+    cols = columns or ("seed", "ticker", "trading_day", "target_timestamp", "sample_id", "y_true", "y_pred", "base_pred", "p_up")
+    return materialise(P.scored(spark, sf, families).select(*cols), "dump")
+
+
 ACC = div("n - p - pp + 2*tp", "n")
 BAL = (f"CASE WHEN p = 0 THEN {div('n-p-pp+tp', 'n-p')} WHEN p = n THEN {div('tp', 'p')} "
        f"ELSE ({div('tp', 'p')} + {div('n-p-pp+tp', 'n-p')}) / 2 END")
@@ -189,14 +196,14 @@ cte("auc", AUC_SQL)
 @query("h2_score_classifier", f"""SELECT model_family, seed, n AS n_rows, {r(f1())} AS macro_f1, {r(BAL)} AS balanced_accuracy, {r(ACC)} AS accuracy,
   {r(MCC)} AS mcc, {r('roc_auc')} AS roc_auc FROM (SELECT model_family, seed, {RESUM_SQL} FROM cells_all GROUP BY 1, 2) JOIN auc USING (model_family, seed)""")
 def h2(spark, sf):
-    rows = P.scored(spark, sf, ALL)
-    m = RO.metrics(cells(spark, sf, ALL), ["model_family", "seed"])
+    rows = stored(spark, sf, ALL, "model_family", "seed", "ticker", "trading_day", "sample_id", "y_true", "y_pred", "base_pred", "p_up")
+    m = RO.metrics(RO.block_cells(rows, ["model_family", "seed"]), ["model_family", "seed"])
     return rounded(m.join(R.roc_auc(rows, ["model_family", "seed"]), ["model_family", "seed"]))
 
 
 @query("h3_roc_auc", f"""SELECT model_family, seed, {r('roc_auc')} AS roc_auc FROM auc""")
 def h3(spark, sf):
-    return rounded(R.roc_auc(P.scored(spark, sf, ALL), ["model_family", "seed"]))
+    return rounded(R.roc_auc(stored(spark, sf, ALL, "model_family", "seed", "sample_id", "y_true", "p_up"), ["model_family", "seed"]))
 
 
 @query("h3_roc_auc_tied_scores", f"""WITH s AS (SELECT seed, ticker, y_true, round(p_up, 1) AS s FROM scored_one), k AS (SELECT *,
@@ -204,7 +211,7 @@ def h3(spark, sf):
   SELECT seed, ticker, {r('(sum(CASE WHEN y_true = 1 THEN ar END) - sum(y_true)::DOUBLE * (sum(y_true) + 1) / 2) / (sum(y_true)::DOUBLE * (count(*) - sum(y_true)))')} AS roc_auc
   FROM k GROUP BY 1, 2""")
 def h3b(spark, sf):
-    rows = P.scored(spark, sf).withColumn("p_up", F.round("p_up", 1))
+    rows = stored(spark, sf).withColumn("p_up", F.round("p_up", 1))
     return rounded(R.roc_auc(rows, ["seed", "ticker"]))
 
 
@@ -424,7 +431,7 @@ CAL_STATS = ["ece", "mce", "brier_score", "brier_reliability", "brier_resolution
 
 
 def calibration(spark, sf):
-    return CAL.calibration_frames(P.scored(spark, sf), BINS, ("p_up", "equal_mass", 10))
+    return CAL.calibration_frames(stored(spark, sf), BINS, ("p_up", "equal_mass", 10))
 
 
 @query("i1_reliability_bins", f"""SELECT seed, view, binning_scheme, n_bins, bin_index, {r('bin_lower')} AS bin_lower, {r('bin_upper')} AS bin_upper, n_rows,
@@ -458,7 +465,7 @@ cte("ranked", """SELECT *, row_number() OVER w AS rk, count(*) OVER (PARTITION B
 
 
 def ranked(spark, sf):
-    return R.confidence_rank(SEL.with_confidence(P.scored(spark, sf), ["seed"]), ["seed"])
+    return R.confidence_rank(SEL.with_confidence(stored(spark, sf, None, "seed", "sample_id", "y_true", "y_pred", "p_up"), ["seed"]), ["seed"])
 
 
 @query("i5_risk_coverage_curve", f"""SELECT seed, rk AS n_covered, {r('rk::DOUBLE / nn')} AS coverage, {r('confidence')} AS confidence_at_coverage,

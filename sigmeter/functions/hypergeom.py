@@ -1,50 +1,96 @@
-"""Hypergeometric draws by inversion, as a column expression.
+"""Hypergeometric draws by inversion, vectorised over Arrow batches.
 
 Shuffling the labels inside a block matters to a confusion count only through how many of the
 block's positives land on its predicted rows, which is hypergeometric in the block's counts.
-One draw per (permutation, block) therefore replaces one shuffle of every row.
+One draw per (permutation, block) therefore replaces one shuffle of every row. SQL has no such
+draw and a higher-order fold costs a boxed row per step, so this is a small numpy helper.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
-def hypergeometric(u: Column, total: Column, good: Column, drawn: Column) -> Column:
+def invert(u: np.ndarray, total: np.ndarray, good: np.ndarray, drawn: np.ndarray) -> np.ndarray:
     """Number of ``good`` among ``drawn`` of ``total``, at uniform ``u``.
 
     The mass is walked by its ratio recurrence from a start far in the lower tail, so no
     factorials are needed. The walk spans 12 standard deviations either side of the mean
-    (below double precision beyond), hence its length grows with the root of the block size.
+    (below double precision beyond), hence its length grows with the root of the block size;
+    finished elements leave the loop, so one large block does not slow a batch of small ones.
     """
-    def bind(value: Column, body) -> Column:
-        # A one-element transform evaluates ``value`` once and names it inside ``body``.
-        return F.transform(F.array(value), body)[0]
-
-    def bounds(q: Column) -> Column:
-        n, k, d = q["n"], q["k"], q["d"]
-        share = F.coalesce(F.try_divide(k, n), F.lit(0.0))
-        spread = d * share * (1 - share) * F.coalesce(F.try_divide(n - d, n - 1), F.lit(0.0))
-        reach = 12 * F.sqrt(F.greatest(spread, F.lit(0.0))) + 12
-        lo = F.greatest(F.lit(0.0), d + k - n, F.floor(d * share - reach).cast("double"))
-        hi = F.least(d, k, F.ceil(d * share + reach).cast("double"))
-        return F.struct(lo.cast("long").alias("lo"), F.greatest(lo, hi).cast("long").alias("hi"),
-                        k.alias("k"), d.alias("d"), (n - k - d).alias("rest"), q["u"].alias("u"))
-
-    def walk(b: Column) -> Column:
-        def following(a: Column, x: Column) -> Column:
-            return a["w"] * (b["k"] - x) * (b["d"] - x) / ((x + 1) * (b["rest"] + x + 1))
-
-        steps = F.sequence(b["lo"], b["hi"])
-        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"))
-        mass = F.aggregate(steps, start, lambda a, x: F.struct(
-            following(a, x).alias("w"), (a["s"] + a["w"]).alias("s")), lambda a: a["s"])
-        begin = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"), b["lo"].alias("x"), (b["u"] * mass).alias("at"))
-        found = F.aggregate(steps, begin, lambda a, x: F.struct(
-            following(a, x).alias("w"), (a["s"] + a["w"]).alias("s"),
-            F.when(a["s"] + a["w"] <= a["at"], x + 1).otherwise(a["x"]).alias("x"), a["at"].alias("at")), lambda a: a["x"])
-        return F.when(b["hi"] <= b["lo"], b["lo"]).otherwise(F.least(found, b["hi"]))
-
-    params = F.struct(total.cast("double").alias("n"), good.cast("double").alias("k"),
-                      drawn.cast("double").alias("d"), u.alias("u"))
-    return bind(params, lambda q: bind(bounds(q), walk))
+    n, k, d = (np.asarray(v, dtype=float) for v in (total, good, drawn))
+    u = np.asarray(u, dtype=float)
+    share = np.divide(k, n, out=np.zeros_like(n), where=n > 0)
+    shrink = np.divide(n - d, n - 1, out=np.zeros_like(n), where=n > 1)
+    reach = 12 * np.sqrt(np.maximum(d * share * (1 - share) * shrink, 0)) + 12
+    lo = np.maximum(np.maximum(0, d + k - n), np.floor(d * share - reach))
+    hi = np.maximum(lo, np.minimum(np.minimum(d, k), np.ceil(d * share + reach)))
+
+    def walk(limit: np.ndarray | None) -> np.ndarray:
+        """Total mass, or with ``limit`` the first value whose running mass exceeds it."""
+        out = np.zeros(len(n)) if limit is None else hi.copy()
+        live = np.arange(len(n))
+        x, w, s = lo.copy(), np.ones(len(n)), np.zeros(len(n))
+        while live.size:
+            s = s + w
+            if limit is None:
+                stop = x >= hi[live]
+                out[live[stop]] = s[stop]
+            else:
+                found = s > limit[live]
+                out[live[found]] = x[found]
+                stop = found | (x >= hi[live])
+            go = ~stop
+            live, x, w, s = live[go], x[go], w[go], s[go]
+            kk, dd, nn = k[live], d[live], n[live]
+            w = w * (kk - x) * (dd - x) / ((x + 1) * (nn - kk - dd + x + 1))
+            x = x + 1
+        return out
+
+    return walk(u * walk(None)).astype(np.int64)
+
+
+def shuffled_true_positives(u1: Column, u2: Column, u3: Column) -> Column:
+    """(tp, btp) of a block's shuffled labels from its counts n, p, pp, bp and q11.
+
+    The cells (predicted by both, by the model alone, by the baseline alone) receive the
+    block's positives one after the other.
+    """
+    @F.pandas_udf("tp long, btp long")
+    def draw(a: pd.Series, b: pd.Series, c: pd.Series, n: pd.Series, p: pd.Series, pp: pd.Series, bp: pd.Series,
+             q11: pd.Series) -> pd.DataFrame:
+        n, p, pp, bp, q = (v.to_numpy(dtype=float) for v in (n, p, pp, bp, q11))
+        both = invert(a.to_numpy(), n, p, q)
+        model = invert(b.to_numpy(), n - q, p - both, pp - q)
+        base = invert(c.to_numpy(), n - pp, p - both - model, bp - q)
+        return pd.DataFrame({"tp": both + model, "btp": both + base})
+
+    return draw(u1, u2, u3, F.col("n"), F.col("p"), F.col("pp"), F.col("bp"), F.col("q11"))
+
+
+def random_prefix_errors(steps: Column, u1: Column, u2: Column) -> Column:
+    """Mean risk over two seeds at each prefix of a random order.
+
+    ``steps`` holds the prefix lengths, ``u1``/``u2`` a uniform per step; columns n, both and
+    one count all samples, those wrong for both seeds and those wrong for one.
+    """
+    @F.pandas_udf("array<double>")
+    def curve(ks: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series, both: pd.Series, one: pd.Series) -> pd.Series:
+        k, ua, ub = (np.array(v.tolist(), dtype=float) for v in (ks, a, b))
+        left, bo, on = (v.to_numpy(dtype=float) for v in (n, both, one))
+        done = np.zeros(len(left))
+        eb, eo = np.zeros(len(left)), np.zeros(len(left))
+        out = np.empty_like(k)
+        for i in range(k.shape[1]):
+            take = k[:, i] - done
+            x = invert(ua[:, i], left, bo, take)
+            y = invert(ub[:, i], left - bo, on, take - x)
+            left, bo, on, done = left - take, bo - x, on - y, k[:, i]
+            eb, eo = eb + x, eo + y
+            out[:, i] = (eb + eo / 2) / k[:, i]
+        return pd.Series(list(out))
+
+    return curve(steps, u1, u2, F.col("n"), F.col("both"), F.col("one"))

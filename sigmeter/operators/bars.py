@@ -34,7 +34,7 @@ def session_filter(df: DataFrame, open_minute: int, close_minute: int, include_c
 
 
 def trading_day(ts: Column | str = "timestamp") -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    return F.to_date(ts).cast("string")
 
 
 def bar_start(ts: Column | str, minutes: int) -> Column:

@@ -40,22 +40,30 @@ def bin_edges(values: DataFrame, group: list[str], bin_counts: list[int]) -> Dat
     return qs.select(*group, F.explode(F.array(*options)).alias("_o")).select(*group, "_o.*")
 
 
-def reliability_bins(values: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
+def merged_cells(values: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
+    """Sums per (group, cell) where the cells are cut by all of the group's edges together.
+
+    Each row makes one search; every scheme, bin count and score is then a sum of cells.
+    """
+    merged = edges.groupBy(*group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("_m"))
+    at = F.greatest(F.lit(0), F.size(F.filter("_m", lambda b: b <= F.col("value"))) - 1)
+    d = F.col("value") - F.col("outcome")
+    # one short array per group
+    cells = values.join(F.broadcast(merged), group).groupBy(*group, at.alias("_c")).agg(
+        F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("outcome").alias("o"), F.sum("y_true").alias("y"),
+        F.sum(d * d).alias("sq"))
+    return cells.join(merged, group).withColumn("low", F.get("_m", F.col("_c"))).drop("_m", "_c")
+
+
+def reliability_bins(cells: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
     """Per bin: bounds, rows, mean prediction, frequency and gap; empty bins do not appear."""
-    per_group = edges.groupBy(*group).agg(F.collect_list(F.struct("binning_scheme", "n_bins", "edges")).alias("_e"))
-    # a few edge arrays per group; each row meets its own group's arrays and keeps only indexes
-    def place(o: Column) -> Column:
-        e = o["edges"]
-        at = F.size(F.filter(e, lambda b: b <= F.col("value"))) - 1
-        return F.struct(o["binning_scheme"].alias("binning_scheme"), o["n_bins"].alias("n_bins"),
-                        F.greatest(F.lit(0), F.least(at, F.size(e) - 2)).alias("bin_index"))
-
-    x = values.join(F.broadcast(per_group), group).select(
-        *group, "value", "outcome", F.explode(F.transform("_e", place)).alias("_s"))
-    g = x.groupBy(*group, "_s.binning_scheme", "_s.n_bins", "_s.bin_index").agg(
-        F.count("*").alias("n_rows"), F.sum("value").alias("_v"), F.sum("outcome").alias("_o"))
-    g = g.join(edges, group + ["binning_scheme", "n_bins"]).select(
-        *group, "binning_scheme", "n_bins", "bin_index", F.get("edges", F.col("bin_index")).alias("bin_lower"),
+    bin_index = F.greatest(F.lit(0), F.least(
+        F.size(F.filter("edges", lambda b: b <= F.col("low"))) - 1, F.size("edges") - 2))
+    keys = group + ["binning_scheme", "n_bins"]
+    g = cells.join(edges, group).groupBy(*keys, bin_index.alias("bin_index")).agg(
+        F.sum("n").alias("n_rows"), F.sum("v").alias("_v"), F.sum("o").alias("_o"))
+    g = g.join(edges, keys).select(
+        *keys, "bin_index", F.get("edges", F.col("bin_index")).alias("bin_lower"),
         F.get("edges", F.col("bin_index") + 1).alias("bin_upper"), "n_rows",
         ratio("_v", "n_rows").alias("mean_predicted"), ratio("_o", "n_rows").alias("empirical_frequency"))
     return g.withColumn("abs_gap", F.abs(F.col("empirical_frequency") - F.col("mean_predicted")))
@@ -78,10 +86,10 @@ def brier_terms(bins: DataFrame, keys: list[str]) -> DataFrame:
                     (base * (1.0 - base)).alias("brier_uncertainty"))
 
 
-def brier_score(rows: DataFrame, keys: list[str]) -> DataFrame:
-    d = F.col("value") - F.col("outcome")
-    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.avg("value").alias("mean_predicted"),
-                                   F.avg("y_true").alias("base_rate_up"), F.avg(d * d).alias("_brier"))
+def brier_score(cells: DataFrame, keys: list[str]) -> DataFrame:
+    return cells.groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"), ratio(F.sum("v"), F.sum("n")).alias("mean_predicted"),
+        ratio(F.sum("y"), F.sum("n")).alias("base_rate_up"), ratio(F.sum("sq"), F.sum("n")).alias("_brier"))
 
 
 def calibration_frames(rows: DataFrame, bin_counts: list[int], primary: tuple[str, str, int]) -> tuple[DataFrame, DataFrame]:
@@ -95,10 +103,11 @@ def calibration_frames(rows: DataFrame, bin_counts: list[int], primary: tuple[st
     edges = bin_edges(allv, keys, bin_counts)
     edges = materialise(edges, "bin-edges").filter((F.col("ticker") == "pooled") | ((F.col("binning_scheme") == primary[1])
                                                            & (F.col("n_bins") == primary[2])))
-    bins = reliability_bins(allv, edges, keys)
+    cells = materialise(merged_cells(allv, edges, keys), "calibration-cells")
+    bins = materialise(reliability_bins(cells, edges, keys), "bins")
     combo = keys + ["binning_scheme", "n_bins"]
     summary = (calibration_errors(bins, combo).join(brier_terms(bins, combo), combo)
-               .join(brier_score(allv, keys), keys))
+               .join(brier_score(cells, keys), keys))
     up = F.col("view") == "p_up"
     summary = summary.withColumn("brier_score", F.when(up, F.col("_brier"))).drop("_brier")
     for c in ("brier_reliability", "brier_resolution", "brier_uncertainty"):

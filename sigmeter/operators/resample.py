@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import confusion as C
-from ..functions.hypergeom import hypergeometric
+from ..functions.hypergeom import shuffled_true_positives
 from ..functions.scalar import hex01, key_hex
 from ..functions.student_t import lcb_agg
 from ..session import materialise, small_or_shuffled, spread
@@ -98,17 +98,12 @@ def bootstrap_mean_lcb(block_values: DataFrame, slices: list[str], n_boot: int,
 def shuffled_counts(blocks: DataFrame, keep: list[str], n_perm: int, seed: int) -> DataFrame:
     """True positives of model and baseline under a label shuffle, per (keep, block, draw).
 
-    The four cells of (y_pred, base_pred) receive the block's positives one after the other.
+    Cost is draws x blocks; each draw is keyed by (seed, draw, block).
     """
-    n, p, q11 = F.col("n"), F.col("p"), F.col("q11")
-    c10, c01 = F.col("pp") - q11, F.col("bp") - q11
     x = spread(blocks, "seed", *BLOCK).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).withColumn(
         "_h", key_hex(F.lit(seed), F.col("draw"), F.col("seed"), *[F.col(b) for b in BLOCK]))
-    x = x.withColumn("_a", hypergeometric(hex01(F.col("_h"), 1), n, p, q11))
-    x = x.withColumn("_b", hypergeometric(hex01(F.col("_h"), 14), n - q11, p - F.col("_a"), c10))
-    x = x.withColumn("_c", hypergeometric(hex01(F.col("_h"), 27), n - q11 - c10, p - F.col("_a") - F.col("_b"), c01))
-    return x.select(*keep, "draw", "n", "p", "pp", "bp", (F.col("_a") + F.col("_b")).alias("tp"),
-                    (F.col("_a") + F.col("_c")).alias("btp"))
+    x = x.withColumn("_t", shuffled_true_positives(*[hex01(F.col("_h"), i) for i in (1, 14, 27)]))
+    return x.select(*keep, "draw", "n", "p", "pp", "bp", "_t.tp", "_t.btp")
 
 
 def label_shuffle(cells: DataFrame, slices: list[str], n_perm: int = 200, seed: int = 20260617) -> DataFrame:

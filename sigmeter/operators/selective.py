@@ -87,46 +87,27 @@ def bootstrap_bands(ranked: DataFrame, n_boot: int, seed: int) -> DataFrame:
                                           F.avg("risk").alias("risk_mean"))
 
 
-def permutation_band(rows: DataFrame, n_perm: int, seed: int, grid_step: int = 1) -> DataFrame:
+def permutation_band(rows: DataFrame, n_perm: int, seed: int) -> DataFrame:
     """Band of the mean-over-two-seeds risk curve under a random ranking common to both.
 
     A prefix of a random order holds a hypergeometric number of each error pattern (wrong for
-    both seeds, one, or none), so a draw walks the grid on four counts instead of all rows.
+    both seeds, one, or none), so a draw walks the grid on three counts instead of all rows.
     """
-    from ..functions.hypergeom import hypergeometric
+    from ..functions.hypergeom import random_prefix_errors
     from ..functions.scalar import hex01, key_hex
 
     per = rows.groupBy("sample_id").agg(F.min(1 - F.col("correct")).alias("_lo"), F.max(1 - F.col("correct")).alias("_hi"))
     c = per.agg(F.count("*").alias("n"), F.count_if(F.col("_lo") == 1).alias("both"),
                 F.count_if((F.col("_hi") == 1) & (F.col("_lo") == 0)).alias("one"))
     spark = rows.sparkSession
-    draws = spark.range(n_perm, numPartitions=spark.sparkContext.defaultParallelism).withColumnRenamed("id", "draw").crossJoin(F.broadcast(c))  # one row
+    draws = spark.range(n_perm, numPartitions=spark.sparkContext.defaultParallelism).withColumnRenamed("id", "draw")
+    draws = draws.crossJoin(F.broadcast(c))  # one row of counts
     steps = F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))
 
-    def covered_at(i: Column) -> Column:
-        return F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.round((F.lit(GRID_MIN) + i * F.lit(GRID_STEP)) * F.col("n"), 9)))).cast("long")
+    def uniform(start: int) -> Column:
+        return F.transform(steps, lambda i: hex01(key_hex(F.lit(seed), F.col("draw"), i), start))
 
-    start = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("o"),
-                     F.array().cast("array<double>").alias("r"))
-
-    def move(a: Column, i: Column) -> Column:
-        def with_step(s: Column) -> Column:
-            left = F.col("n") - a["k"]
-            x = hypergeometric(hex01(s["h"], 1), left, F.col("both") - a["b"], s["d"])
-
-            def with_both(q: Column) -> Column:
-                o = hypergeometric(hex01(s["h"], 14), left - (F.col("both") - a["b"]), F.col("one") - a["o"], s["d"] - q["x"])
-
-                def close(z: Column) -> Column:
-                    k, b, n1 = a["k"] + s["d"], a["b"] + q["x"], a["o"] + z["o"]
-                    return F.struct(k.alias("k"), b.alias("b"), n1.alias("o"),
-                                    F.concat(a["r"], F.array((b + n1 / 2.0) / k)).alias("r"))
-                return F.transform(F.array(F.struct(o.alias("o"))), close)[0]
-            return F.transform(F.array(F.struct(x.alias("x"))), with_both)[0]
-        step = F.struct((covered_at(i) - a["k"]).alias("d"), key_hex(F.lit(seed), F.col("draw"), i).alias("h"))
-        return F.transform(F.array(step), with_step)[0]
-
-    curve = F.aggregate(steps, start, move, lambda a: a["r"])
+    curve = random_prefix_errors(F.transform(steps, lambda i: covered(i, F.col("n"))), uniform(1), uniform(14))
     v = draws.select("draw", F.posexplode(curve).alias("grid_index", "risk"))
     return v.groupBy("grid_index").agg(F.percentile("risk", 0.025).alias("risk_lo"), F.percentile("risk", 0.975).alias("risk_hi"),
                                        F.avg("risk").alias("risk_mean"))
@@ -134,6 +115,7 @@ def permutation_band(rows: DataFrame, n_perm: int, seed: int, grid_step: int = 1
 
 def selective_autopsy(rows: DataFrame, day_terciles: DataFrame, block_sums: DataFrame, n_boot: int, boot_seed: int) -> DataFrame:
     """Per tercile (and all) x seed: metrics, the AURC set and the bootstrap's detectable effect."""
+    from ..session import materialise
     from .ranks import selective_summary
     from .resample import block_bootstrap
     from .slices import tercile_cells
@@ -142,7 +124,7 @@ def selective_autopsy(rows: DataFrame, day_terciles: DataFrame, block_sums: Data
     t = t.select("seed", "sample_id", "confidence", "correct", F.explode(F.array(F.lit("all"), F.col("activity_tercile"))).alias("activity_tercile"))
     keys = ["activity_tercile", "seed"]
     s = selective_summary(confidence_rank(t, keys), keys).drop("oracle_aurc")
-    tc = tercile_cells(block_sums)
+    tc = materialise(tercile_cells(block_sums), "tercile-cells")
     m = tc.groupBy(*keys).agg(*C.resum()).select(*keys, C.macro_f1().alias("macro_f1"), C.accuracy().alias("accuracy"), C.delta_f1().alias("delta_vs_dummy"))
     ci = block_bootstrap(tc, keys, n_boot, boot_seed).select(*keys, "lcb")
     per = s.join(m, keys).join(ci, keys).select(

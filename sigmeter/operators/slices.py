@@ -62,6 +62,7 @@ def robustness_slices(cells: DataFrame, axes: dict[str, Column], majority: DataF
     from .resample import block_bootstrap
 
     long = axis_cells(cells, {**axes, "seed": F.col("seed")}, ["seed", "ticker", "trading_day"])
+    # ``cells`` is read for the slices, the totals and the bootstrap: pass a materialised table.
     s = long.groupBy("seed", "slice_axis", "slice_value").agg(*C.resum())
     seeds = cells.groupBy("seed").agg(*C.resum())
     every = Window.partitionBy()

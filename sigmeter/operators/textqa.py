@@ -94,20 +94,26 @@ def contained_short(short: DataFrame, s_name: str, whole: DataFrame, w_name: str
     """
     s = short.filter(F.size(F.split(s_name, " ")) < 3)
     w = F.split(w_name, " ")
-    nxt = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)),
-                      lambda i: F.when(i < F.size(w), F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
-    grams = whole.select(w_name, F.explode(F.array_distinct(F.array_compact(F.concat(w, nxt)))).alias("gram"))
-    a, b = F.split_part("gram", F.lit(" "), F.lit(1)), F.split_part("gram", F.lit(" "), F.lit(2))
-    inside = F.flatten(F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(a) - i + 1), lambda n: F.substring(a, i, n))))
-    across = F.flatten(F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b))), lambda n: F.concat_ws(" ", F.substring(a, -i, i), F.substring(b, F.lit(1), n)))))
+    last = F.size(w) - 1
+    pairs = F.when(last > 0, F.zip_with(F.slice(w, F.lit(1), last), F.slice(w, F.lit(2), last),
+                                        lambda x, y: F.struct(x.alias("t1"), y.alias("t2"))))
+    tokens = whole.select(w_name, F.explode(F.array_distinct(w)).alias("token"))
+    bigrams = whole.select(w_name, F.explode(F.array_distinct(pairs)).alias("_b")).select(w_name, "_b.*")
     width = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vocabulary = grams.select("gram").distinct().repartition(width, "gram")  # few bytes, many pieces
-    pieces = vocabulary.select("gram", F.explode(F.array_distinct(
-        F.when(F.col("gram").contains(" "), across).otherwise(inside))).alias("piece"))
-    hit = s.join(pieces, s[s_name] == pieces["piece"]).select(s_name, "gram")
-    return hit.join(grams, "gram").select(s_name, w_name).distinct()
+    longest = s.agg(F.coalesce(F.max(F.length(F.split_part(s_name, F.lit(" "), F.lit(1)))), F.lit(0)).alias("_max"))
+    words_seen = tokens.select("token").distinct().repartition(width, "token")  # few bytes, many pieces
+    words_seen = words_seen.crossJoin(F.broadcast(longest)).filter("_max > 0")  # one row: no longer piece can match
+    n = F.length("token")
+    inside = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(n - i + 1, F.col("_max"))), lambda k: F.substring(F.col("token"), i, k)))))
+    ends = F.transform(F.sequence(F.lit(1), F.least(n, F.col("_max"))), lambda i: F.substring(F.col("token"), -i, i))
+    one = s.filter(~F.col(s_name).contains(" ")).select(s_name, F.col(s_name).alias("piece"))
+    hit1 = one.join(words_seen.select("token", F.explode(inside).alias("piece")), "piece").join(tokens, "token")
+    two = s.filter(F.col(s_name).contains(" ")).select(
+        s_name, F.split_part(s_name, F.lit(" "), F.lit(1)).alias("piece"), F.split_part(s_name, F.lit(" "), F.lit(2)).alias("_y"))
+    hit2 = two.join(words_seen.select(F.col("token").alias("t1"), F.explode(ends).alias("piece")), "piece").join(
+        bigrams, "t1").filter(F.startswith("t2", "_y"))
+    return hit1.select(s_name, w_name).unionByName(hit2.select(s_name, w_name)).distinct()
 
 
 def title_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:

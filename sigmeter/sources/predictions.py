@@ -30,7 +30,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("sample_id"),
         F.concat(F.lit("T"), F.col("l_suppkey") % 5).alias("ticker"),
         ts.alias("target_timestamp"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("trading_day"),
+        F.to_date("l_shipdate").cast("string").alias("trading_day"),
         F.year("l_shipdate").alias("year"),
         F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("y_true"),
         F.concat(F.lit("set_"), F.col("l_linestatus")).alias("candidate_id"),
@@ -61,12 +61,13 @@ def scored(spark: SparkSession, sf_dir: str, families: list[str] | None = None,
     live = spread(live, "sample_id")  # families x seeds rows and two hashes per input row follow
     live = live.join(F.broadcast(priors), "year")  # one row per calendar year
     edge = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
-    live = (live.withColumn("model_family", F.explode(F.array(*[F.lit(f) for f in families])))
-            .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))))
+    # The dummy's uniform depends on the seed only: draw it before the families multiply rows.
+    live = live.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn(
+        "base_u", hash01("dummy", F.col("seed"), F.col("sample_id")))
+    live = live.withColumn("model_family", F.explode(F.array(*[F.lit(f) for f in families])))
     e = edge[F.col("model_family")]
     p_up = (hash01(F.col("model_family"), F.col("seed"), F.col("sample_id")) + e * F.col("y_true")) / (1 + e)
-    live = live.withColumn("p_up", p_up).withColumn(
-        "base_u", hash01("dummy", F.col("seed"), F.col("sample_id")))
+    live = live.withColumn("p_up", p_up)
     return live.select(
         "model_family", period_of("year").alias("period_id"), "seed", "sample_id", "ticker",
         "target_timestamp", "trading_day", "y_true", "p_up",
