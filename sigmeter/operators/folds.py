@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise, small_or_shuffled
 from .ranks import group_rank
 
 POLICY = "chronological_expanding_day_block_no_overlap"
@@ -88,7 +89,7 @@ def even_stride_cap(rows: DataFrame, cap: int, groups: list[str] | None = None,
     per = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("_groups")).cast("long"))
     hit = stride_hit(F.col("rk") - 1, F.col("group_n"), per)
     keep = (F.col("_total") <= cap) | (hit & ((F.col("_groups") <= cap) | (F.col("_order") <= cap)))
-    return (rk.join(F.broadcast(sizes), groups)
+    return (rk.join(small_or_shuffled(materialise(sizes, "group-sizes")), groups)
             .filter(keep)
             .drop("_total", "_groups", "_order", "group_n", "rk"))
 
@@ -104,7 +105,7 @@ def capped_fold_rows(members: DataFrame, cap: int) -> DataFrame:
     per = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("_groups")).cast("long"))
     keep = (F.col("_total") <= cap) | (stride_hit(F.col("rk") - 1, F.col("group_n"), per)
                                       & ((F.col("_groups") <= cap) | (F.col("_order") <= cap)))
-    return rk.join(F.broadcast(sizes), groups).filter(keep).drop("_n", "_total", "_groups", "_order", "group_n", "rk")
+    return rk.join(small_or_shuffled(materialise(sizes, "group-sizes")), groups).filter(keep).drop("_n", "_total", "_groups", "_order", "group_n", "rk")
 
 
 def early_stop_tail(train: DataFrame, group: list[str], fraction: float, min_eval: int,

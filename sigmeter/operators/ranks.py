@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import harmonic, ratio
-from ..session import scratch_path
+from ..session import materialise, scratch_path, small_or_shuffled
 
 
 def global_position(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -35,6 +35,9 @@ def group_rank(df: DataFrame, group: list[str], order: list[Column]) -> DataFram
     """Adds ``rk`` (1-based rank in the group) and ``group_n``."""
     p = global_position(df, [F.col(g) for g in group] + order)
     starts = p.groupBy(*group).agg(F.min("pos").alias("_start"), F.count("*").alias("group_n"))
+    # Written first so its size is known: few groups are broadcast and the ranked rows stay put,
+    # many groups meet them in a shuffle join.
+    starts = small_or_shuffled(materialise(starts, "group-starts"))
     return p.join(starts, group).withColumn("rk", F.col("pos") - F.col("_start") + 1).drop("pos", "_start")
 
 
@@ -109,6 +112,7 @@ def exact_quantiles(ranked: DataFrame, group: list[str], value: str, probs: list
         "_e", F.explode(F.array(F.struct(F.lit(True).alias("lo"), (F.floor(h) + 1).alias("rk")),
                                 F.struct(F.lit(False).alias("lo"), (F.ceil(h) + 1).alias("rk")))))
     want = want.select(*group, "q", "_w", "_e.lo", F.col("_e.rk").alias("rk"))
+    want = small_or_shuffled(materialise(want, "quantile-ranks"))
     g = ranked.select(*group, "rk", value).join(want, group + ["rk"]).groupBy(*group, "q").agg(
         F.max(F.when(F.col("lo"), F.col(value))).alias("_l"), F.max(F.when(~F.col("lo"), F.col(value))).alias("_h"),
         F.max("_w").alias("_w"))

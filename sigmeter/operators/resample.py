@@ -114,7 +114,7 @@ def label_shuffle(cells: DataFrame, slices: list[str], n_perm: int = 200, seed:
     null = per.select(*slices, C.delta_f1().alias("_d"))
     obs = blocks.groupBy(*slices).agg(*C.resum(), F.count("*").alias("n_blocks")).select(
         *slices, "n_blocks", F.col("n").alias("n_rows"), C.delta_f1().alias("observed_delta"))
-    j = null.join(F.broadcast(obs), slices)  # one row per slice against n_perm rows per slice
+    j = null.join(obs, slices)  # n_perm rows per slice against one
     return j.groupBy(*slices).agg(
         F.max("n_rows").alias("n_rows"), F.max("n_blocks").alias("n_blocks"), F.max("observed_delta").alias("observed_delta"),
         F.avg("_d").alias("label_shuffle_mean"), F.stddev_samp("_d").alias("label_shuffle_sd"),

@@ -180,3 +180,30 @@ def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     status, _, _, _, msg = compare(spark, duck(sf), name, QUERIES[name], ORACLE[name], sf)
     assert status == "ok", msg
+
+
+def test_staged_runs_end_to_end(spark, tmp_path):
+    """Label freeze, model inputs, a walk-forward with resume, and diagnostics on tape data."""
+    from sigmeter.operators import labels as L, models as M
+    from sigmeter.plans import runs
+    from sigmeter.sources import predictions as P, tape as TP
+
+    sf, out = "/root/testdata/sf0.01", str(tmp_path)
+    policy = L.LabelPolicy(TP.HORIZON_K, TP.BAND_BPS, TP.INTERVAL_MINUTES)
+    runs.label_freeze(TP.ticks_as_minutes(spark, sf).drop("tie"), out, policy, TP.SPLITS, session=None)
+    events = spark.read.parquet(f"{out}/event_index")
+    assert events.filter("valid_label").count() > 1000
+    names = ["log_return", "high_low_range"]
+    runs.model_inputs(TP.bars(spark, sf), events, out, names, 3, "base", 3)
+    periods = [("wf_1", "2024-01-15", "2024-01-20"), ("wf_2", "2024-01-20", "2024-01-25")]
+    args = (spark.read.parquet(f"{out}/windows"), periods, [M.Profile("logit", "l2")], [101], f"{out}/wf", 2, 3)
+    runs.walkforward(*args)
+    ledger = spark.read.parquet(f"{out}/wf/ledger")
+    assert ledger.count() == 2
+
+    def never(*_):
+        raise AssertionError("a finished unit was fitted again")
+
+    runs.walkforward(*args, completed=ledger, hook=never)
+    runs.diagnostics(P.scored(spark, "/root/testdata/sf0.001"), f"{out}/diag", P.SEEDS, P.HOLDOUT, n_boot=20, n_perm=10)
+    assert spark.read.parquet(f"{out}/diag/bootstrap").count() == 2
