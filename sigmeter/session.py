@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -74,3 +75,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     width = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= width else df.repartition(width, *keys)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package; once per Spark context, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sigmeter_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "sigmeter.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("sigmeter", os.path.relpath(full, root)))
+    sc.addPyFile(target)  # served by the driver, so any local folder will do
+    sc._sigmeter_shipped = True
