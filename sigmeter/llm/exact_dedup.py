@@ -34,7 +34,7 @@ def keyed_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest").agg(F.max(F.struct("doc_id", *LOCATOR)).alias("keep"), F.count(F.lit(1)).alias("n"))
 
 
-def run_state(spark: SparkSession, source: str, checkpoint: str, bytes_per_trigger: str = "2g") -> DataFrame:
+def run_state(spark: SparkSession, source: str, checkpoint: str, bytes_per_trigger: int = 2 << 30) -> DataFrame:
     """Take every arrival file that the checkpoint has not seen into the state, and read the state.
 
     A second call with the same checkpoint takes only new files. Nothing is kept on a machine's own
@@ -55,7 +55,7 @@ def run_state(spark: SparkSession, source: str, checkpoint: str, bytes_per_trigg
     return state.select(F.col("key.digest").alias("digest"), *(F.col(f"value.{c}").alias(c) for c in state.schema["value"].dataType.names))
 
 
-def label(docs: DataFrame, digest=sha256_hex, bytes_per_trigger: str = "2g") -> DataFrame:
+def label(docs: DataFrame, digest=sha256_hex, bytes_per_trigger: int = 2 << 30) -> DataFrame:
     """Each row's locator, doc_id, digest, keep_id, group_size and kept.
 
     * Null text counts as empty; empty texts form one group.
@@ -70,7 +70,7 @@ def label(docs: DataFrame, digest=sha256_hex, bytes_per_trigger: str = "2g") ->
     arrivals(docs, digest).write.parquet(path)
     seen = spark.read.parquet(path)
     if seen.isEmpty():
-        groups = keyed_state(seen).withColumn("keep", F.col("keep"))
+        groups = keyed_state(seen)
     else:
         state = run_state(spark, path, scratch_path(spark, "dedup-state"), bytes_per_trigger)
         groups = state.toDF("digest", *state.columns[1:])
