@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii
+from . import exact_dedup, pieces, pii
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_pii": pii.op4_pii,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
 }
 
 ORACLE = {
