@@ -15,7 +15,11 @@ from pyspark.sql.utils import AnalysisException
 from ..session import materialise, scratch_path
 from .common import documents, fold_ascii, located
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Without this every partition's store reserves several MB of disk, however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LOCATOR = ["src_file", "src_row"]
 
 
@@ -41,16 +45,17 @@ def run_state(spark: SparkSession, source: str, checkpoint: str, bytes_per_trigg
     disk but RocksDB's working copy; each micro-batch commits to ``checkpoint``, so a lost executor
     costs the batch in hand.
     """
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE_CONF}
+    for k, v in STORE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = (spark.readStream.schema(spark.read.parquet(source).schema)
                   .option("maxBytesPerTrigger", bytes_per_trigger).parquet(source))
         (keyed_state(stream).writeStream.format("noop").outputMode("update").trigger(availableNow=True)
          .option("checkpointLocation", checkpoint).start().awaitTermination())
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(checkpoint)
     return state.select(F.col("key.digest").alias("digest"), *(F.col(f"value.{c}").alias(c) for c in state.schema["value"].dataType.names))
 
