@@ -66,14 +66,14 @@ class ChunkTable:
             self.ids = np.concatenate([self.ids, flat])
         return np.fromiter((at[c] for c in distinct), np.int64, len(distinct))
 
-    def cut(self, data: np.ndarray, starts: np.ndarray, cuts: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Table row of every chunk in order, and the number of chunks before each text."""
+    def cut(self, data: np.ndarray, starts: np.ndarray, cuts: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Table rows of the distinct chunks, the distinct chunk at each position, and the number of chunks before each text."""
         inner = cuts(data) if len(data) else np.zeros(0, np.int64)
         bounds = np.union1d(inner, starts)  # the end of the last text is among starts
         chunk = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1,
                                       [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data)])
         coded = chunk.dictionary_encode()
-        return self.rows(coded.dictionary.to_pylist())[np.asarray(coded.indices)], np.searchsorted(bounds, starts)
+        return self.rows(coded.dictionary.to_pylist()), np.asarray(coded.indices), np.searchsorted(bounds, starts)
 
     def join(self, row: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts end to end and the offset of each text's ids."""

@@ -49,10 +49,10 @@ class Codec:
         got = self.sp.encode([c[1:].decode("utf-8", "replace") for c in chunks], num_threads=1)
         if b" " in chunks:  # a lone marker at the end of a text; the library gives an empty text no marker
             got[chunks.index(b" ")] = self.sp.encode("x ")[len(self.guard):]
-        skip = len(self.sp.decode(self.guard))
         if not self.ids.at:
             self.texts = []
-        self.texts += [t[skip:] for t in self.sp.decode([self.guard + g for g in got], num_threads=1)]
+        # Decoding drops the first marker of a text, which every chunk has.
+        self.texts += [" " + t for t in self.sp.decode(got, num_threads=1)]
         return got
 
     def whole(self, text: str) -> tuple[np.ndarray, str]:
@@ -64,10 +64,9 @@ class Codec:
         odd = np.asarray(pc.fill_null(pc.match_substring(texts, MARK), False))
         plain = pc.if_else(pa.array(odd), "", pc.fill_null(texts, ""))
         marked = pc.if_else(pc.equal(plain, ""), "", pc.binary_join_element_wise("", plain, " "))
-        row, before = self.ids.cut(*utf8(marked), cut_at_space_after_other)
-        ids, at = self.ids.join(row, before)
-        distinct, place = np.unique(row, return_inverse=True)
-        shown, ends = utf8(pa.array([self.texts[r] for r in distinct], pa.large_string()).take(pa.array(place)))
+        rows, place, before = self.ids.cut(*utf8(marked), cut_at_space_after_other)
+        ids, at = self.ids.join(rows[place], before)
+        shown, ends = utf8(pa.array([self.texts[r] for r in rows.tolist()], pa.large_string()).take(pa.array(place)))
         shown, ends = shown.tobytes(), ends[before]
         bos, eos = np.array([self.sp.bos_id()], "<u4"), np.array([self.sp.eos_id()], "<u4")
         for i in range(len(texts)):
