@@ -69,7 +69,8 @@ class ChunkTable:
     def cut(self, data: np.ndarray, starts: np.ndarray, cuts: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Table rows of the distinct chunks, the distinct chunk at each position, and the number of chunks before each text."""
         inner = cuts(data) if len(data) else np.zeros(0, np.int64)
-        bounds = np.union1d(inner, starts)  # the end of the last text is among starts
+        bounds = np.sort(np.concatenate([inner, starts]), kind="stable")  # the end of the last text is among starts
+        bounds = bounds[np.concatenate([[True], bounds[1:] != bounds[:-1]])]
         chunk = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1,
                                       [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data)])
         coded = chunk.dictionary_encode()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pieces, pii
+from . import exact_dedup, jaccard_join, pieces, pii
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_pii": pii.op4_pii,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
 ORACLE = {
