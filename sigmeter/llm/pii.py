@@ -87,7 +87,7 @@ def _score(kind: str, before: Column, after: Column) -> Column:
 
 def _proposals(text: Column, kind: str) -> Column:
     """Spans of one kind, each with what precedes it since the last match and what follows."""
-    pattern = rf"(?s)(.*?)({PATTERN[kind]})(?=(.{{0,{NEAR}}}))"
+    pattern = rf"(?s)\G(.*?)({PATTERN[kind]})(?=(.{{0,{NEAR}}}))"  # without \G the rest of a text is tried from every start
     parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
     rows = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("gap", "hit", "after"))))
     empty = F.expr(f"struct(0 as pos, cast(array() as {SPAN}) as found)")
