@@ -234,24 +234,6 @@ def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return both.select("a", "b", "fa", "fb").mapInArrow(_linked, "a long, b long, linked boolean")
 
 
-def _emit_known(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, keys, held = [], [], 0
-        for batch in batches:
-            for key, features in zip(batch.column("key").to_pylist(), batch.column("features")):
-                sigs.append(signatures(np.frombuffer(features.as_buffer(), np.uint64)))
-                keys.append(key)
-                held += len(sigs[-1])
-                if held > 1_500_000:
-                    yield from _pack(parts, sigs, keys)
-                    sigs, keys, held = [], [], 0
-        yield from _pack(parts, sigs, keys)
-
-    return run
-
-
-
-
 def _rest(left: pa.Table, right: pa.Table) -> pa.Table:
     """Pairs of one part's buckets in different components that pass the size and sketch bounds."""
     empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -284,13 +266,14 @@ def _rest(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def remaining(features: DataFrame, state: DataFrame, parts: int) -> DataFrame:
+def remaining(docs: DataFrame, state: DataFrame, parts: int) -> DataFrame:
     """Pairs (a, b) that share a bucket, are in different components and may reach the threshold.
 
-    ``state`` has key, comp, n_shingles and parity of every set in ``features``. Each part gets the
-    description of the sets that it names.
+    ``state`` has rep, key, comp, n_shingles and parity of every set that shares a bucket; only their texts
+    are read again. Each part gets the description of the sets that it names.
     """
-    packed = materialise(features.mapInArrow(_emit_known(parts), PACKED), "packed")
+    at = state.select("rep.src_file", "rep.src_row")
+    packed = materialise(located(docs, [F.col("text")]).join(at, LOCATOR, "left_semi").select("text").mapInArrow(_emit(parts), PACKED), "sets-packed")
     names = packed.select("part", "names").mapInArrow(_names, "part int, key long").distinct()
     told = names.join(state.select("key", "comp", "n_shingles", "parity"), "key")
     return packed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_rest, "a long, b long").distinct()
@@ -318,7 +301,8 @@ def classes(docs: DataFrame) -> DataFrame:
     sizes = materialise(sizes, "sets-distinct")
     volume = told.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // SIGNATURES_PER_PART)
-    ties = materialise(bounded(stars(docs, parts), sizes), "sets-ties")
+    raw = materialise(stars(docs, parts), "sets-stars")
+    ties = materialise(bounded(raw, sizes).select("a", "b", "n"), "sets-ties")
 
     wanted = ties.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     features = materialise(full_sets(docs, sizes, wanted), "sets-features")
@@ -326,17 +310,20 @@ def classes(docs: DataFrame) -> DataFrame:
     best = ties.groupBy("b").agg(F.max_by("a", "n").alias("a"))
     links = materialise(verify(best, features).filter("linked").select("a", "b"), "sets-links")
     comp = components(links)
-    apart = _apart(ties, comp)
-    more = materialise(verify(apart, features).filter("linked").select("a", "b"), "sets-links")
+    more = materialise(verify(_apart(ties, comp), features).filter("linked").select("a", "b"), "sets-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         comp = components(links)
-    if not _apart(ties, comp).isEmpty():
-        state = features.select("key").join(sizes, "key").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        rest = materialise(remaining(features, state, parts), "sets-rest")
-        last = materialise(verify(rest, features).filter("linked").select("a", "b"), "sets-links")
-        if not last.isEmpty():
-            comp = components(links.unionByName(last))
+    # Two members of a bucket may be similar where neither is similar to its hub.
+    if not _apart(raw, comp).isEmpty():
+        wide = raw.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        state = sizes.join(wide, "key", "left_semi").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        rest = materialise(remaining(docs, materialise(state, "sets-state"), parts), "sets-rest")
+        if not rest.isEmpty():
+            wanted = rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+            last = materialise(verify(rest, full_sets(docs, sizes, wanted)).filter("linked").select("a", "b"), "sets-links")
+            if not last.isEmpty():
+                comp = components(links.unionByName(last))
 
     named = sizes.select("key", "rep").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     heads = named.groupBy("comp").agg(F.min("rep").alias("head"))
