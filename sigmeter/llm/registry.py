@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, pieces, pii
+from . import exact_dedup, jaccard_join, packing, pieces, pii
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_pii": pii.op4_pii,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op7_packing": packing.op7_packing,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
