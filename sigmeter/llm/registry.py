@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, packing, pieces, pii
+from . import exact_dedup, jaccard_join, language, packing, pieces, pii
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op7_packing": packing.op7_packing,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op10_language": language.op10_language,
 }
 
 ORACLE = {
