@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language, packing, pieces, pii
+from . import exact_dedup, jaccard_join, language, packing, pieces, pii, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op7_packing": packing.op7_packing,
