@@ -4,7 +4,8 @@ Sets are banded by size so that partners lie in the same or the next band. Withi
 two neighbouring bands the symmetric difference of a pair is bounded, so the hashed feature domain is
 cut into first-level parts of ``N2`` cells, and a part in which the pair differs in at most ``K2``
 features must agree on some ``N2 - K2`` of its cells. The content of every such choice of cells is
-one signature; similar pairs share one with certainty (see ``signatures`` for empty cells).
+one signature; similar pairs share one with certainty (see ``signatures``). Shingles that very many
+documents share are left out of signatures wherever enough others remain.
 
 A bucket of equal signatures is not expanded into pairs. Every member is tied to one hub (a star), the
 ties are verified on the full sets, and components are formed. Only pairs of a bucket that are still in
@@ -30,7 +31,9 @@ from .shingles import mix, sets
 K2, N2 = 1, 2  # differences allowed in a part, cells of a part
 SKETCH_WORDS = 8  # 64-bit words of the parity sketch
 SIGNATURES_PER_PART = 1 << 20
-SLAB = 8 << 20
+SAMPLE = 5000  # documents in which frequent shingles are looked for, about
+FREQUENT = 0.0012  # share of the sample from which a shingle is frequent
+MOST_FREQUENT = 100_000
 
 
 def band_bounds(top: int = 1 << 40) -> list[int]:
@@ -53,39 +56,59 @@ def instances(size: int) -> list[int]:
 def parts_of(instance: int) -> tuple[int, int]:
     """First-level parts and the largest set size of an instance."""
     top = int(BANDS[instance + 1]) - 1
-    return int(np.ceil(1.12 * (2 * top / 7) / (K2 + 1))) + 3, top
+    return int(np.ceil(1.3 * (2 * top / 7) / (K2 + 1))) + 3, top
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of one set.
+def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """All signatures of one set; ``frequent`` are shingles that many documents share, sorted.
 
-    A pair differs in at most d features, so at most d // (K2 + 1) parts have more than K2 differences.
-    A set with more parts than that in which every choice of cells holds a feature is found through a
-    choice that is not empty, and leaves its empty choices out. Any other set emits those as well, so two
-    such sets still share a signature.
+    A pair that differs in at most d features differs in at most d of those left when the frequent ones are
+    taken out, so signatures over the others alone are complete too, as long as enough cells hold one. A set
+    for which they are not (``_over`` says so) emits signatures over all its features as well, so that
+    two such sets still share one.
     """
-    size, out = len(s), []
-    spread = mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    for t in instances(size):
-        parts, top = parts_of(t)
-        largest = min(4 * size // 3, top)
-        bad = (size + largest) // 7 // (K2 + 1)
-        cell = (spread % np.uint64(parts * N2)).astype(np.int64)
-        content = np.zeros(parts * N2, np.uint64)
-        np.add.at(content, cell, s)
-        filled = (np.bincount(cell, minlength=parts * N2) > 0).reshape(parts, N2)
-        content = content.reshape(parts, N2)
-        safe = int((filled.sum(1) > K2).sum()) > bad
-        name = np.arange(parts, dtype=np.uint64) + np.uint64(t << 40)
-        for c, chosen in enumerate(combinations(range(N2), N2 - K2)):
-            chosen = list(chosen)
-            h = mix(name + np.uint64((c + 1) << 56))
-            for k in chosen:
-                h = mix(h ^ content[:, k])
-            out.append(h[filled[:, chosen].any(1)] if safe else h)
+    rare = s
+    if len(frequent):
+        rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+    out = []
+    for t in instances(len(s)):
+        first, safe = _over(rare, len(s), t, 0)
+        out.append(first)
+        if not safe:
+            second, safe = _over(s, len(s), t, 1)
+            out.append(second)
+            if not safe:
+                out.append(_over(s, len(s), t, 1, True)[0])
     return np.concatenate(out)
 
 
+def _over(s: np.ndarray, size: int, t: int, domain: int, empty: bool = False) -> tuple[np.ndarray, bool]:
+    """Signatures of one instance over the features ``s`` of a set of ``size``, and whether they suffice.
+
+    At most d // (K2 + 1) parts of a pair have more than K2 differences. If more parts than that hold a
+    feature in every choice of cells (or, where a choice is one cell, if more than d cells hold one), a
+    similar set shares a choice that is not empty. ``empty`` gives the empty choices instead.
+    """
+    parts, top = parts_of(t)
+    d = (size + min(4 * size // 3, top)) // 7
+    cell = (mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts * N2)).astype(np.int64)
+    content = np.zeros(parts * N2, np.uint64)
+    np.add.at(content, cell, s)
+    filled = (np.bincount(cell, minlength=parts * N2) > 0).reshape(parts, N2)
+    content = content.reshape(parts, N2)
+    safe = int((filled.sum(1) > K2).sum()) > d // (K2 + 1) or (N2 - K2 == 1 and int(filled.sum()) > d)
+    name = np.arange(parts, dtype=np.uint64) + np.uint64((2 * t + domain) << 40)
+    out = []
+    for c, chosen in enumerate(combinations(range(N2), N2 - K2)):
+        chosen = list(chosen)
+        h = mix(name + np.uint64((c + 1) << 56))
+        for k in chosen:
+            h = mix(h ^ content[:, k])
+        held = filled[:, chosen].any(1)
+        out.append(h[~held if empty else held])
+    return np.concatenate(out), safe
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     """Parity of the features in each of 512 cells: two sets differ in at least as many features as parities."""
     bits = SKETCH_WORDS * 64
@@ -117,6 +140,26 @@ def describe(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_describe, f"src_file string, src_row long, doc_id {kind['doc_id']}, n_shingles long, key long, parity array<long>")
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = list(sets(batch.column("text")))
+        key, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["shingle", "n"])
+
+
+def frequent_shingles(docs: DataFrame, rows: int, sample: int = SAMPLE, share: float = FREQUENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """Shingles in at least ``share`` of a sample of documents, ``most`` of them at most.
+
+    They only steer which signatures are made: any set of shingles gives the same links.
+    """
+    slot = F.pmod(F.xxhash64(*LOCATOR), F.lit(1 << 30)) / float(1 << 30)
+    some = located(docs, [F.col("text")]).filter(slot < sample / max(rows, 1)).select("text")
+    counts = some.mapInArrow(_tally, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    least = max(4, int(share * min(sample, rows)))
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
+    return np.sort(np.asarray(top["shingle"]).astype(np.int64).view(np.uint64))
+
+
 PACKED = "part int, sigs binary, idx binary, names binary"
 
 
@@ -141,13 +184,13 @@ def _pack(parts: int, sigs: list[np.ndarray], keys: list[int]) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "sigs", "idx", "names"])
 
 
-def _emit(parts: int):
+def _emit(parts: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, keys, held = [], [], 0
         for batch in batches:
             for s in sets(batch.column("text")):
                 if len(s):
-                    sigs.append(signatures(s))
+                    sigs.append(signatures(s, frequent))
                     keys.append(set_key(s))
                     held += len(sigs[-1])
                     if held > 1_500_000:
@@ -188,9 +231,9 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "n": n.astype(np.int64)})
 
 
-def stars(docs: DataFrame, parts: int) -> DataFrame:
+def stars(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
     """(a, b, n): each set of a shared bucket tied to the bucket's hub, and the number of buckets that tie them."""
-    packed = docs.select("text").mapInArrow(_emit(parts), PACKED)
+    packed = docs.select("text").mapInArrow(_emit(parts, frequent), PACKED)
     ties = packed.groupBy("part").applyInArrow(_stars, "a long, b long, n long")
     return ties.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -245,7 +288,7 @@ def _rest(left: pa.Table, right: pa.Table) -> pa.Table:
     at = order[np.searchsorted(keys, name, sorter=order)]
     comp = np.asarray(right.column("comp").combine_chunks())[at]
     size = np.asarray(right.column("n_shingles").combine_chunks())[at]
-    parity = np.stack(right.column("parity").to_pylist()).astype(np.int64).view(np.uint64)[at]
+    parity = np.asarray(right.column("parity").combine_chunks().flatten()).view(np.uint64).reshape(-1, SKETCH_WORDS)[at]
     ends = np.concatenate([start[1:], [len(name)]])
     mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
     found = []
@@ -266,14 +309,14 @@ def _rest(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def remaining(docs: DataFrame, state: DataFrame, parts: int) -> DataFrame:
+def remaining(docs: DataFrame, state: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
     """Pairs (a, b) that share a bucket, are in different components and may reach the threshold.
 
     ``state`` has rep, key, comp, n_shingles and parity of every set that shares a bucket; only their texts
     are read again. Each part gets the description of the sets that it names.
     """
     at = state.select("rep.src_file", "rep.src_row")
-    packed = materialise(located(docs, [F.col("text")]).join(at, LOCATOR, "left_semi").select("text").mapInArrow(_emit(parts), PACKED), "sets-packed")
+    packed = materialise(located(docs, [F.col("text")]).join(at, LOCATOR, "left_semi").select("text").mapInArrow(_emit(parts, frequent), PACKED), "sets-packed")
     names = packed.select("part", "names").mapInArrow(_names, "part int, key long").distinct()
     told = names.join(state.select("key", "comp", "n_shingles", "parity"), "key")
     return packed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_rest, "a long, b long").distinct()
@@ -301,7 +344,8 @@ def classes(docs: DataFrame) -> DataFrame:
     sizes = materialise(sizes, "sets-distinct")
     volume = told.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // SIGNATURES_PER_PART)
-    raw = materialise(stars(docs, parts), "sets-stars")
+    frequent = frequent_shingles(docs, told.count())
+    raw = materialise(stars(docs, parts, frequent), "sets-stars")
     ties = materialise(bounded(raw, sizes).select("a", "b", "n"), "sets-ties")
 
     wanted = ties.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -318,7 +362,7 @@ def classes(docs: DataFrame) -> DataFrame:
     if not _apart(raw, comp).isEmpty():
         wide = raw.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         state = sizes.join(wide, "key", "left_semi").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        rest = materialise(remaining(docs, materialise(state, "sets-state"), parts), "sets-rest")
+        rest = materialise(remaining(docs, materialise(state, "sets-state"), parts, frequent), "sets-rest")
         if not rest.isEmpty():
             wanted = rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()
             last = materialise(verify(rest, full_sets(docs, sizes, wanted)).filter("linked").select("a", "b"), "sets-links")
