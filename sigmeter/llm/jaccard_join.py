@@ -215,6 +215,8 @@ def _runs(sig: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """Sorted by signature, then name: starts of runs, run of each row, names."""
     order = np.lexsort((name, sig))
     sig, name = sig[order], name[order]
+    once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])])
+    sig, name = sig[once], name[once]
     opens = np.concatenate([[True], sig[1:] != sig[:-1]])
     return np.flatnonzero(opens), np.cumsum(opens) - 1, name
 
@@ -289,20 +291,21 @@ def _rest(left: pa.Table, right: pa.Table) -> pa.Table:
     comp = np.asarray(right.column("comp").combine_chunks())[at]
     size = np.asarray(right.column("n_shingles").combine_chunks())[at]
     parity = np.asarray(right.column("parity").combine_chunks().flatten()).view(np.uint64).reshape(-1, SKETCH_WORDS)[at]
-    ends = np.concatenate([start[1:], [len(name)]])
-    mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-    found = []
-    for s, e in zip(start[mixed], ends[mixed]):
-        for i in range(s, e - 1):
-            j = np.arange(i + 1, e)
-            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            j = j[(comp[j] != comp[i]) & (100 * small >= 75 * large)]
-            apart = np.bitwise_count(parity[j] ^ parity[i]).sum(1, dtype=np.int64)
-            j = j[7 * apart <= size[i] + size[j]]
-            if len(j):
-                found.append(np.stack([np.full(len(j), name[i]), name[j]], 1))
-        if len(found) > 64:
-            found = [np.unique(np.concatenate(found), axis=0)]
+    mixed = (np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start))[run]
+    run, name, comp, size, parity = run[mixed], name[mixed], comp[mixed], size[mixed], parity[mixed]
+    found, i, step = [], np.arange(len(run)), 0
+    while len(i):  # rows that have a row of their bucket ``step`` places on
+        step += 1
+        i = i[i + step < len(run)]
+        i = i[run[i + step] == run[i]]
+        j = i + step
+        ok = comp[i] != comp[j]
+        x, y = i[ok], j[ok]
+        ok = 100 * np.minimum(size[x], size[y]) >= 75 * np.maximum(size[x], size[y])
+        x, y = x[ok], y[ok]
+        ok = 7 * np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64) <= size[x] + size[y]
+        if ok.any():
+            found.append(np.unique(np.stack([name[x[ok]], name[y[ok]]], 1), axis=0))
     if not found:
         return empty
     pairs = np.unique(np.concatenate(found), axis=0)
