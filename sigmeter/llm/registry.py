@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language, packing, pieces, pii, toxicity
+from . import exact_dedup, jaccard_join, language, packing, pieces, pii, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
     "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op6_topk": topk.op6_topk,
     "op7_packing": packing.op7_packing,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_language": language.op10_language,
@@ -16,4 +17,5 @@ QUERIES = {
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op6_topk": topk.OP6_SQL,
 }
