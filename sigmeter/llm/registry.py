@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language, packing, pieces, pii, topk, toxicity
+from . import exact_dedup, jaccard_join, language, packing, pieces, pii, quality, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_quality": quality.op2_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
     "op5_sentencepiece": pieces.op5_sentencepiece,
