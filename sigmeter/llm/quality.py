@@ -25,6 +25,7 @@ FIT_ROWS = 4000  # documents that the scorer is fitted on, about
 BUCKETS = 1 << 11
 KEEP = 0.5
 MOST_FALSE_ALARMS = 0.01
+SHORT = 40  # trigrams by which the shares of a text are damped
 LONG_ENOUGH = 12  # words below which shape statistics say little
 
 # name, statistic, bad when, good when
@@ -112,7 +113,7 @@ def expectation_maximisation(patterns: list[tuple[str, int]], rounds: int = 60)
 
 
 def hashed(text: str, stats: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the shape trigrams of a text (each with an equal share of 1) and of its discretised statistics."""
+    """Buckets of the shape trigrams of a text (each with an equal share, damped for short texts) and of its discretised statistics."""
     shape = SHAPE[np.frombuffer(f" {text} ".encode(), np.uint8)].astype(np.uint32)
     grams = shape[:-2] | (shape[1:-1] << np.uint32(8)) | (shape[2:] << np.uint32(16))
     grams = ((grams * np.uint32(2654435761)) >> np.uint32(15)) % np.uint32(BUCKETS)
@@ -125,7 +126,7 @@ def _vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for text in batch.column("text").to_pylist():
             grams, extra = hashed(text, statistics(text))
-            v = np.bincount(grams, minlength=BUCKETS) / len(grams)
+            v = np.bincount(grams, minlength=BUCKETS) / (len(grams) + SHORT)
             np.add.at(v, extra, 1.0)
             out.append(v)
         yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(out, pa.list_(pa.float64()))], names=["good", "x"])
@@ -170,7 +171,7 @@ class Scorer:
                         out.append(0.0)
                     else:
                         grams, extra = hashed(text, stats)
-                        out.append(float(1 / (1 + np.exp(-np.clip(bias + weights[grams].mean() + weights[extra].sum(), -50, 50)))))
+                        out.append(float(1 / (1 + np.exp(-np.clip(bias + weights[grams].sum() / (len(grams) + SHORT) + weights[extra].sum(), -50, 50)))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "quality"])
 
         return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality", T.DoubleType())]))

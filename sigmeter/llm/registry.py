@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language, packing, pieces, pii, quality, topk, toxicity
+from . import exact_dedup, jaccard_join, language, licences, packing, pieces, pii, quality, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_topk": topk.op6_topk,
     "op7_packing": packing.op7_packing,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_licences": licences.op9_licences,
     "op10_language": language.op10_language,
 }
 
