@@ -30,9 +30,11 @@ from .shingles import mix, sets
 
 K2, N2 = 1, 2  # differences allowed in a part, cells of a part
 SKETCH_WORDS = 8  # 64-bit words of the parity sketch
-SIGNATURES_PER_PART = 1 << 20
-SAMPLE = 5000  # documents in which frequent shingles are looked for, about
-FREQUENT = 0.0012  # share of the sample from which a shingle is frequent
+FOLDED_WORDS = 4  # words of the sketch that travels with signatures: halves of the other, folded
+SHINGLES_PER_PART = 4 << 20
+BROADCAST_BYTES = 16 << 20
+SAMPLE = 10000  # documents in which frequent shingles are looked for, about
+FREQUENT = 0.0006  # share of the sample from which a shingle is frequent
 MOST_FREQUENT = 100_000
 
 
@@ -163,13 +165,16 @@ def frequent_shingles(docs: DataFrame, rows: int, sample: int = SAMPLE, share: f
 PACKED = "part int, sigs binary, idx binary, names binary"
 
 
-def _pack(parts: int, sigs: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
-    """Signatures of a slab by part: 32 bits of each (beside the part), its set's index, and the sets' names."""
+NAME = np.dtype([("key", "<i8")])
+TOLD = np.dtype([("key", "<i8"), ("comp", "<i8"), ("size", "<i8"), ("parity", "<u8", (FOLDED_WORDS,))])
+
+
+def _pack(parts: int, sigs: list[np.ndarray], names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Signatures of a slab by part: 32 bits of each (beside the part), its set's index, and what is told of the sets."""
     if not sigs:
         return
     sig = np.concatenate(sigs)
     owner = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs]).astype(np.uint32)
-    names = np.array(keys, np.int64)
     part = (sig >> np.uint64(32)) % np.uint64(parts)
     order = np.argsort((part << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF)))
     sig, owner, part = sig[order].astype(np.uint32), owner[order], part[order]
@@ -185,45 +190,60 @@ def _pack(parts: int, sigs: list[np.ndarray], keys: list[int]) -> Iterator[pa.Re
 
 
 def _emit(parts: int, frequent: np.ndarray):
+    """Packed signatures of a table of texts; where comp, n_shingles and parity are told, they go along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, keys, held = [], [], 0
+        sigs, names, held = [], [], 0
         for batch in batches:
+            told = "comp" in batch.schema.names
+            facts = zip(*(batch.column(c).to_pylist() for c in ("comp", "n_shingles", "parity"))) if told else None
             for s in sets(batch.column("text")):
-                if len(s):
-                    sigs.append(signatures(s, frequent))
-                    keys.append(set_key(s))
-                    held += len(sigs[-1])
-                    if held > 1_500_000:
-                        yield from _pack(parts, sigs, keys)
-                        sigs, keys, held = [], [], 0
-        yield from _pack(parts, sigs, keys)
+                fact = next(facts) if told else ()
+                if not len(s):
+                    continue
+                sigs.append(signatures(s, frequent))
+                if told:
+                    parity = np.array(fact[2], np.int64).view(np.uint64).reshape(-1, FOLDED_WORDS)
+                    names.append((set_key(s), fact[0], fact[1], np.bitwise_xor.reduce(parity, axis=0)))
+                else:
+                    names.append((set_key(s),))
+                held += len(sigs[-1])
+                if held > 1_500_000:
+                    yield from _pack(parts, sigs, np.array(names, TOLD if told else NAME))
+                    sigs, names, held = [], [], 0
+        if sigs:
+            yield from _pack(parts, sigs, np.array(names, TOLD if len(names[0]) > 1 else NAME))
 
     return run
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Signature remainders and set names of one part."""
+def _unpack(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Signature remainders of one part, and what is told of the set of each."""
     sig, name = [], []
     for sigs, idx, names in zip(*(table.column(c).to_pylist() for c in ("sigs", "idx", "names"))):
-        s, held = np.frombuffer(sigs, np.uint32), np.frombuffer(names, np.int64)
+        s, held = np.frombuffer(sigs, np.uint32), np.frombuffer(names, kind)
         sig.append(s)
         name.append(held[np.frombuffer(idx, np.uint16 if len(idx) == 2 * len(s) else np.uint32)])
     return np.concatenate(sig), np.concatenate(name)
 
 
 def _runs(sig: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by signature, then name: starts of runs, run of each row, names."""
-    order = np.lexsort((name, sig))
+    """By signature, then key, each once, without signatures of one set: starts of runs, run of each row, names."""
+    order = np.lexsort((name["key"], sig))
     sig, name = sig[order], name[order]
-    once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])])
+    once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (name["key"][1:] != name["key"][:-1])])
     sig, name = sig[once], name[once]
-    opens = np.concatenate([[True], sig[1:] != sig[:-1]])
+    same = sig[1:] == sig[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    sig, name = sig[shared], name[shared]
+    opens = np.concatenate([[True], sig[1:] != sig[:-1]])[:len(sig)]
     return np.flatnonzero(opens), np.cumsum(opens) - 1, name
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    start, run, name = _runs(*_unpack(table))
-    hub = name[start][run]
+    start, run, name = _runs(*_unpack(table, NAME))
+    name = name["key"]
+    hub = name[start][run] if len(name) else name
     tie = hub != name
     pairs = np.stack([hub[tie], name[tie]], 1)
     if len(pairs):
@@ -255,10 +275,23 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.tobytes() for s in got], pa.binary())], names=["key", "features"])
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rep and more columns) with the text of each row's document.
+
+    While the wanted locators are few by their written size, they go to the scan, so that no other text
+    moves; beyond that, texts and locators meet in a shuffle.
+    """
+    at = materialise(wanted.select(F.xxhash64("rep.src_file", "rep.src_row").alias("slot"), "rep.src_row", *(c for c in wanted.columns if c != "rep")), "sets-wanted")
+    width = 200 if "parity" in wanted.columns else 48  # bytes of a row in memory, at most
+    few = at.count() * width <= BROADCAST_BYTES
+    texts = located(docs, [F.col("text")]).withColumn("slot", F.xxhash64(*LOCATOR)).drop("src_file")
+    return texts.join(F.broadcast(at) if few else at, ["slot", "src_row"])
+
+
 def full_sets(docs: DataFrame, sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, features) of the wanted sets, each from the text of one document that has it."""
-    at = sizes.join(wanted, "key", "left_semi").select("key", "rep.src_file", "rep.src_row")
-    return located(docs, [F.col("text")]).join(at, LOCATOR).select("key", "text").mapInArrow(_sets_of, "key long, features binary")
+    at = sizes.join(wanted, "key", "left_semi").select("key", "rep")
+    return texts_of(docs, at).select("key", "text").mapInArrow(_sets_of, "key long, features binary")
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,35 +312,28 @@ def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return both.select("a", "b", "fa", "fb").mapInArrow(_linked, "a long, b long, linked boolean")
 
 
-def _rest(left: pa.Table, right: pa.Table) -> pa.Table:
+def _rest(table: pa.Table) -> pa.Table:
     """Pairs of one part's buckets in different components that pass the size and sketch bounds."""
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    if not left.num_rows or not right.num_rows:
-        return empty
-    start, run, name = _runs(*_unpack(left))
-    keys = np.asarray(right.column("key").combine_chunks())
-    order = np.argsort(keys)
-    at = order[np.searchsorted(keys, name, sorter=order)]
-    comp = np.asarray(right.column("comp").combine_chunks())[at]
-    size = np.asarray(right.column("n_shingles").combine_chunks())[at]
-    parity = np.asarray(right.column("parity").combine_chunks().flatten()).view(np.uint64).reshape(-1, SKETCH_WORDS)[at]
-    mixed = (np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start))[run]
-    run, name, comp, size, parity = run[mixed], name[mixed], comp[mixed], size[mixed], parity[mixed]
-    found, i, step = [], np.arange(len(run)), 0
+    start, run, name = _runs(*_unpack(table, TOLD))
+    found = [np.zeros((0, 2), np.int64)]
+    if len(name):
+        mixed = (np.minimum.reduceat(name["comp"], start) != np.maximum.reduceat(name["comp"], start))[run]
+        run, name = run[mixed], name[mixed]
+    key, comp, size, parity = (name[f] for f in ("key", "comp", "size", "parity"))
+    i, step = np.arange(len(run)), 0
     while len(i):  # rows that have a row of their bucket ``step`` places on
         step += 1
         i = i[i + step < len(run)]
         i = i[run[i + step] == run[i]]
-        j = i + step
-        ok = comp[i] != comp[j]
-        x, y = i[ok], j[ok]
-        ok = 100 * np.minimum(size[x], size[y]) >= 75 * np.maximum(size[x], size[y])
-        x, y = x[ok], y[ok]
-        ok = 7 * np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64) <= size[x] + size[y]
-        if ok.any():
-            found.append(np.unique(np.stack([name[x[ok]], name[y[ok]]], 1), axis=0))
-    if not found:
-        return empty
+        for a in range(0, len(i), 1 << 18):
+            x = i[a:a + (1 << 18)]
+            x = x[comp[x] != comp[x + step]]
+            y = x + step
+            ok = 100 * np.minimum(size[x], size[y]) >= 75 * np.maximum(size[x], size[y])
+            x, y = x[ok], y[ok]
+            ok = 7 * np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64) <= size[x] + size[y]
+            if ok.any():
+                found.append(np.unique(np.stack([key[x[ok]], key[y[ok]]], 1), axis=0))
     pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -315,21 +341,11 @@ def _rest(left: pa.Table, right: pa.Table) -> pa.Table:
 def remaining(docs: DataFrame, state: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
     """Pairs (a, b) that share a bucket, are in different components and may reach the threshold.
 
-    ``state`` has rep, key, comp, n_shingles and parity of every set that shares a bucket; only their texts
-    are read again. Each part gets the description of the sets that it names.
+    ``state`` has rep, comp, n_shingles and parity of every set that shares a bucket; only their texts are
+    read again.
     """
-    at = state.select("rep.src_file", "rep.src_row")
-    packed = materialise(located(docs, [F.col("text")]).join(at, LOCATOR, "left_semi").select("text").mapInArrow(_emit(parts, frequent), PACKED), "sets-packed")
-    names = packed.select("part", "names").mapInArrow(_names, "part int, key long").distinct()
-    told = names.join(state.select("key", "comp", "n_shingles", "parity"), "key")
-    return packed.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_rest, "a long, b long").distinct()
-
-
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("names")]
-        part = np.repeat(np.asarray(batch.column("part")), [len(x) for x in names])
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.concatenate(names) if names else [], pa.int64())], names=["part", "key"])
+    packed = texts_of(docs, state.select("rep", "comp", "n_shingles", "parity")).select("text", "comp", "n_shingles", "parity").mapInArrow(_emit(parts, frequent), PACKED)
+    return packed.groupBy("part").applyInArrow(_rest, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -346,7 +362,8 @@ def classes(docs: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", *LOCATOR)).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
     sizes = materialise(sizes, "sets-distinct")
     volume = told.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), volume // SIGNATURES_PER_PART)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, volume // SHINGLES_PER_PART)
     frequent = frequent_shingles(docs, told.count())
     raw = materialise(stars(docs, parts, frequent), "sets-stars")
     ties = materialise(bounded(raw, sizes).select("a", "b", "n"), "sets-ties")
@@ -365,7 +382,10 @@ def classes(docs: DataFrame) -> DataFrame:
     if not _apart(raw, comp).isEmpty():
         wide = raw.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         state = sizes.join(wide, "key", "left_semi").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        rest = materialise(remaining(docs, materialise(state, "sets-state"), parts, frequent), "sets-rest")
+        state = materialise(state, "sets-state")
+        volume = state.agg(F.sum("n_shingles")).first()[0]
+        rest = materialise(remaining(docs, state, max(least, volume // SHINGLES_PER_PART), frequent), "sets-rest")
+        rest = materialise(bounded(rest, sizes).select("a", "b"), "sets-rest")
         if not rest.isEmpty():
             wanted = rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()
             last = materialise(verify(rest, full_sets(docs, sizes, wanted)).filter("linked").select("a", "b"), "sets-links")
