@@ -20,6 +20,7 @@ from .common import crc_bucket, documents
 
 ORDER = 3
 SAMPLE_PER_LANGUAGE = 400  # labelled documents, about; the whole texts of these are counted
+MAX_LANGUAGES = 500
 MAX_NODES = 1 << 18  # deepest nodes kept, the most frequent ones
 PAD = "\n" * ORDER  # context of a text's first bytes
 EVIDENCE_BYTES = 24.0  # bytes whose code length counts in full towards the score
@@ -31,7 +32,9 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> D
     rows = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(sizes, "lang").filter(share < per_language / F.col("n")).select("lang", "text")
+    # One row per language, so the texts need not move before they are sampled.
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    return rows.join(F.broadcast(sizes), "lang").filter(share < per_language / F.col("n")).select("lang", "text")
 
 
 def _folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
