@@ -87,7 +87,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     n = own.count()
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     own = own.filter(share < rows / max(n, 1))
-    return docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # The sample is bounded by ``rows``, so texts that are not in it need not move.
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
