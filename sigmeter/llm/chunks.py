@@ -7,7 +7,7 @@ holds ``limit`` chunks, so memory is bounded and results never depend on what it
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ def cut_at_space_after_other(data: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """chunk -> ids, filled through ``encode(list[bytes]) -> list[list[int]]``."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self.reset()
 
@@ -84,6 +84,14 @@ class ChunkTable:
         return self.ids[take], np.concatenate([[0], ends]).astype(np.int64)[before]
 
 
+def small(batches: Iterator[pa.RecordBatch], budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each take little memory as Python objects."""
+    for batch in batches:
+        for a, b in slabs(batch.column("text"), budget):
+            yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
+
+
 def slabs(texts: pa.Array, budget: int = 8 << 20):
     """Row ranges of about ``budget`` bytes of text (one text at least)."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialise
+from .chunks import small
 from .common import documents, located
 from .components import components
 from .exact_dedup import LOCATOR, file_backed
@@ -124,7 +125,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         n, key, parity = [], [], []
         for s in sets(batch.column("text")):
             n.append(len(s))
@@ -143,7 +144,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         got = list(sets(batch.column("text")))
         key, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["shingle", "n"])
@@ -194,7 +195,7 @@ def _emit(parts: int, frequent: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, names, held = [], [], 0
-        for batch in batches:
+        for batch in small(batches):
             told = "comp" in batch.schema.names
             facts = zip(*(batch.column(c).to_pylist() for c in ("comp", "n_shingles", "parity"))) if told else None
             for s in sets(batch.column("text")):
@@ -270,7 +271,7 @@ def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         got = list(sets(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([s.tobytes() for s in got], pa.binary())], names=["key", "features"])
 

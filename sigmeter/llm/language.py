@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .chunks import slabs, utf8
+from .chunks import small, utf8
 from .common import crc_bucket, documents
 
 ORDER = 3
@@ -43,7 +43,7 @@ def _folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of byte (ORDER + 1)-grams by language within each batch."""
-    for batch in batches:
+    for batch in small(batches):
         langs = np.asarray(batch.column("lang").to_pylist(), object)
         for lang in sorted(set(langs)):
             data, starts = _folded(batch.column("text").filter(pa.array(langs == lang)))
@@ -164,24 +164,22 @@ def train(docs: DataFrame) -> Model | None:
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in slabs(texts, 1 << 19):
-                part = texts.slice(a, b - a)
-                letters = [t is not None and any(map(str.isalpha, t)) for t in part.to_pylist()]
-                lang, score = [UNKNOWN] * (b - a), [0.0] * (b - a)
-                if model is not None:
-                    data, starts = _folded(part)
-                    total = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(model.code_lengths(data), axis=0, dtype=np.float64)])
-                    bits = total[starts[1:]] - total[starts[:-1] + ORDER]
-                    size = np.maximum(starts[1:] - starts[:-1] - ORDER, 1)
-                    best = bits.argmin(1)
-                    gap = (bits - bits.min(1, keepdims=True)) / size[:, None] * np.minimum(size, EVIDENCE_BYTES)[:, None]
-                    sure = 1.0 / np.exp2(-gap).sum(1)
-                    for i, ok in enumerate(letters):
-                        if ok:
-                            lang[i], score[i] = model.langs[best[i]], float(sure[i])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(lang), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for batch in small(batches, 1 << 19):
+            part = batch.column("text")
+            letters = [t is not None and any(map(str.isalpha, t)) for t in part.to_pylist()]
+            lang, score = [UNKNOWN] * len(part), [0.0] * len(part)
+            if model is not None:
+                data, starts = _folded(part)
+                total = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(model.code_lengths(data), axis=0, dtype=np.float64)])
+                bits = total[starts[1:]] - total[starts[:-1] + ORDER]
+                size = np.maximum(starts[1:] - starts[:-1] - ORDER, 1)
+                best = bits.argmin(1)
+                gap = (bits - bits.min(1, keepdims=True)) / size[:, None] * np.minimum(size, EVIDENCE_BYTES)[:, None]
+                sure = 1.0 / np.exp2(-gap).sum(1)
+                for i, ok in enumerate(letters):
+                    if ok:
+                        lang[i], score[i] = model.langs[best[i]], float(sure[i])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return run
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunks import small
 from .common import documents
 
 THRESHOLD = 0.8
@@ -91,7 +92,7 @@ class Scanner:
 def _scan(templates: list[tuple[str, str]], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
-        for batch in batches:
+        for batch in small(batches):
             best, score, names, n = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found, own = scanner.scan(text or "")

@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import materialise
+from .chunks import small
 from .common import documents
 
 FIT_ROWS = 4000  # documents that the scorer is fitted on, about
@@ -74,7 +75,7 @@ def votes(stats: dict[str, float]) -> str:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for text in batch.column("text").to_pylist():
             stats = statistics(text or "")
@@ -122,7 +123,7 @@ def hashed(text: str, stats: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for text in batch.column("text").to_pylist():
             grams, extra = hashed(text, statistics(text))
@@ -163,7 +164,7 @@ class Scorer:
             raise ValueError("column quality exists")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 out = []
                 for text in batch.column("text").to_pylist():
                     stats = statistics(text or "")
@@ -178,7 +179,7 @@ class Scorer:
 
 
 def _vote_keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         stats = [statistics(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array([None if s is None else votes(s) for s in stats], pa.string())], names=["text", "votes"])
 

@@ -21,6 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialise
+from .chunks import small
 from .common import crc_bucket, documents, table
 
 FIT_ROWS = 12000  # labelled rows that are learned from, about
@@ -93,7 +94,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies by class within each batch; hidden forms count as their plain ones."""
-    for batch in batches:
+    for batch in small(batches):
         seen: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = Counter(w for w in (w.strip("@$*_") for w in WORD.findall(text.lower())) if w.isalpha())
@@ -121,7 +122,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
 def _featured(lexicon: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(lexicon)
-        for batch in batches:
+        for batch in small(batches):
             x = [features(t or "", known) for t in batch.column("text").to_pylist()]
             rest = [batch.column(c) for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(x, pa.list_(pa.float64()))], names=[c for c in batch.schema.names if c != "text"] + ["x"])
