@@ -363,7 +363,7 @@ def f6(spark, sf):
   want AS (SELECT DISTINCT fold_id, fold_side, ticker, label, CASE WHEN i = per - 1 AND per > 1 THEN n - 1
       ELSE floor(i * ((n - 1)::DOUBLE / greatest(per - 1, 1)))::BIGINT END AS pos
     FROM (SELECT DISTINCT fold_id, fold_side, ticker, label, n, per FROM h), (SELECT unnest(range({CAP})) AS i) WHERE i < per),
-  kept AS (SELECT * FROM h WHERE total <= {CAP} OR n <= per OR EXISTS (SELECT 1 FROM want w WHERE w.fold_id = h.fold_id
+  kept AS (SELECT * FROM h WHERE fold_side <> 'train' OR total <= {CAP} OR n <= per OR EXISTS (SELECT 1 FROM want w WHERE w.fold_id = h.fold_id
     AND w.fold_side = h.fold_side AND w.ticker = h.ticker AND w.label = h.label AND w.pos = h.pos))
   SELECT fold_id, fold_side, count(*)::BIGINT AS n_rows,
     sum(('0x' || substr(sha256(sample_id), 1, 13))::BIGINT)::DOUBLE AS id_sum FROM kept GROUP BY 1, 2""")

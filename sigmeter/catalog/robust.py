@@ -13,6 +13,7 @@ from .scoring import ACC, ALL, cells, ledger, stored, units
 
 N_BOOT, BOOT_SEED = 200, 12345
 N_PERM, PERM_SEED = 50, 20260617
+LOO_AXES = ["ticker", "seed", "calendar_year", "calendar_quarter", "time_of_day_hour", "activity_tercile"]
 
 
 def boot_sql(name: str, blocks: str, keys: list[str], n_boot: int, sums: list[str], block: str = "ticker || '|' || trading_day") -> None:
@@ -203,7 +204,7 @@ def _dl(m):
 cte("m1_rows", f"""SELECT a.seed, a.slice_axis, a.slice_value, a.n AS n_rows, {f1(*[_A[c] for c in SIX[:4]])} AS macro_f1,
     {f1(*[_A[c] for c in SIX[:4]])} - CASE WHEN mj.maj = 1 THEN {cf1(1, 'a.n', 'a.p')} ELSE {cf1(0, 'a.n', 'a.p')} END AS delta_vs_majority, {_dl(_A)} AS delta_vs_dummy,
     CASE WHEN {_dl(_T)} > 0 AND a.slice_axis <> 'seed' THEN {div('a.n', 't.n')} * {_dl(_A)} / {_dl(_T)} END AS share_of_pooled_positive_delta,
-    CASE WHEN a.slice_axis IN ('ticker', 'activity_tercile', 'calendar_year', 'seed') THEN {_dl(_rest)} END AS loo_pooled_delta, b.l AS bootstrap_delta_lcb, b.u AS bootstrap_delta_ucb
+    CASE WHEN a.slice_axis IN ({', '.join(repr(x) for x in LOO_AXES)}) THEN {_dl(_rest)} END AS loo_pooled_delta, b.l AS bootstrap_delta_lcb, b.u AS bootstrap_delta_ucb
   FROM axis_counts a JOIN (SELECT seed, {RESUM_SQL} FROM cells_one GROUP BY 1) t USING (seed), (SELECT {RESUM_SQL} FROM cells_one) g,
     (SELECT CASE WHEN avg(y_true) > 0.5 THEN 1 ELSE 0 END AS maj FROM facts WHERE yr < 1996) mj
   LEFT JOIN (SELECT seed, slice_axis, slice_value, quantile_cont(d, 0.025) AS l, quantile_cont(d, 0.975) AS u FROM (SELECT *, {delta()} AS d FROM m1_draws) GROUP BY 1, 2, 3) b
@@ -222,7 +223,7 @@ def hour_cells(spark, sf):
 
 def robustness(spark, sf):
     return SL.robustness_slices(materialise(hour_cells(spark, sf), "axis-cells"), {a: F.col(a) for a in AXES}, SL.majority_class(spark, sf), BOOT_AXES,
-                                ["ticker", "activity_tercile", "calendar_year", "seed"], N_BOOT, BOOT_SEED)
+                                LOO_AXES, N_BOOT, BOOT_SEED)
 
 
 _m1c = ["macro_f1", "delta_vs_majority", "delta_vs_dummy", "share_of_pooled_positive_delta", "loo_pooled_delta", "bootstrap_delta_lcb", "bootstrap_delta_ucb"]
@@ -242,7 +243,7 @@ cte("fail_counts", " UNION ALL ".join(
     f"SELECT seed, '{a}' AS slice_axis, {e} AS slice_value, count(*)::BIGINT AS n, sum(y_true)::BIGINT AS p, sum((y_true <> y_pred)::INTEGER)::BIGINT AS errors FROM axis_rows GROUP BY 1, 2, 3"
     for a, e in (("ticker_hour", "ticker || '|' || time_of_day_hour"), ("ticker_trading_day", "ticker || '|' || trading_day"), ("activity_tercile", "activity_tercile"),
                  ("calendar_month", "strftime(target_timestamp, '%Y-%m')"))))
-MIN_SLICE, TOP_K = 10, 25
+MIN_SLICE, TOP_K = 200, 25
 
 
 @query("m2_failure_slices", f"""SELECT f.seed, slice_axis, slice_value, f.n AS n_rows, errors AS error_count, {r('er')} AS error_rate, {r('er - pe')} AS error_rate_lift_vs_seed_pooled, f.p AS support_up, f.n - f.p AS support_down

@@ -71,26 +71,32 @@ def shuffled_true_positives(u1: Column, u2: Column, u3: Column) -> Column:
     return draw(u1, u2, u3, F.col("n"), F.col("p"), F.col("pp"), F.col("bp"), F.col("q11"))
 
 
-def random_prefix_errors(steps: Column, u1: Column, u2: Column) -> Column:
-    """Mean risk over two seeds at each prefix of a random order.
+def random_prefix_errors(steps: Column, uniforms: Column) -> Column:
+    """Mean risk over the seeds at each prefix of a random order.
 
-    ``steps`` holds the prefix lengths, ``u1``/``u2`` a uniform per step; columns n, both and
-    one count all samples, those wrong for both seeds and those wrong for one.
+    ``steps`` holds the prefix lengths and ``uniforms`` as many uniforms per level as there are steps. Column
+    n counts all samples; column wrong counts those wrong for all seeds, for all but one, and so on down
+    to one seed.
     """
     @F.pandas_udf("array<double>")
-    def curve(ks: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series, both: pd.Series, one: pd.Series) -> pd.Series:
-        k, ua, ub = (np.array(v.tolist(), dtype=float) for v in (ks, a, b))
-        left, bo, on = (v.to_numpy(dtype=float) for v in (n, both, one))
-        done = np.zeros(len(left))
-        eb, eo = np.zeros(len(left)), np.zeros(len(left))
+    def curve(ks: pd.Series, us: pd.Series, n: pd.Series, wrong: pd.Series) -> pd.Series:
+        k = np.array(ks.tolist(), dtype=float)
+        rows, width = k.shape
+        u = np.array(us.tolist(), dtype=float).reshape(rows, -1, width)
+        left, rest = n.to_numpy(dtype=float), np.array(wrong.tolist(), dtype=float)
+        seeds = rest.shape[1]
+        done, errors = np.zeros(rows), np.zeros(rows)
         out = np.empty_like(k)
-        for i in range(k.shape[1]):
+        for i in range(width):
             take = k[:, i] - done
-            x = invert(ua[:, i], left, bo, take)
-            y = invert(ub[:, i], left - bo, on, take - x)
-            left, bo, on, done = left - take, bo - x, on - y, k[:, i]
-            eb, eo = eb + x, eo + y
-            out[:, i] = (eb + eo / 2) / k[:, i]
+            pool, want = left.copy(), take.copy()
+            for level in range(seeds):
+                x = invert(u[:, level, i], pool, rest[:, level], want)
+                errors += x * (seeds - level) / seeds
+                pool, want = pool - rest[:, level], want - x
+                rest[:, level] -= x
+            left, done = left - take, k[:, i]
+            out[:, i] = errors / k[:, i]
         return pd.Series(list(out))
 
-    return curve(steps, u1, u2, F.col("n"), F.col("both"), F.col("one"))
+    return curve(steps, uniforms, F.col("n"), F.col("wrong"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import ratio
-from ..session import materialise, small_or_shuffled
+from ..session import materialise
 from .ranks import exact_quantiles, group_rank
 
 SCHEMES = ("equal_width", "equal_mass")
@@ -49,7 +49,7 @@ def merged_cells(values: DataFrame, edges: DataFrame, group: list[str]) -> DataF
     at = F.greatest(F.lit(0), F.size(F.filter("_m", lambda b: b <= F.col("value"))) - 1)
     d = F.col("value") - F.col("outcome")
     # One short array per group, from a written table: its real size decides the join.
-    cells = values.join(small_or_shuffled(materialise(merged, "merged-edges")), group).groupBy(*group, at.alias("_c")).agg(
+    cells = values.join(materialise(merged, "merged-edges"), group).groupBy(*group, at.alias("_c")).agg(
         F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("outcome").alias("o"), F.sum("y_true").alias("y"),
         F.sum(d * d).alias("sq"))
     return cells.join(merged, group).withColumn("low", F.get("_m", F.col("_c"))).drop("_m", "_c")

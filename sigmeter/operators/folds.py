@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialise, small_or_shuffled
-from .ranks import group_rank
+from ..session import materialise
+from .ranks import group_rank, join_on_groups
 
 POLICY = "chronological_expanding_day_block_no_overlap"
 
@@ -89,23 +89,27 @@ def even_stride_cap(rows: DataFrame, cap: int, groups: list[str] | None = None,
     per = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("_groups")).cast("long"))
     hit = stride_hit(F.col("rk") - 1, F.col("group_n"), per)
     keep = (F.col("_total") <= cap) | (hit & ((F.col("_groups") <= cap) | (F.col("_order") <= cap)))
-    return (rk.join(small_or_shuffled(materialise(sizes, "group-sizes")), groups)
+    return (join_on_groups(rk, materialise(sizes, "group-sizes"), groups)
             .filter(keep)
             .drop("_total", "_groups", "_order", "group_n", "rk"))
 
 
-def capped_fold_rows(members: DataFrame, cap: int) -> DataFrame:
-    """The cap applied inside every (fold, side); group sizes come from one small aggregate."""
+def capped_fold_rows(members: DataFrame, cap: int, eval_cap: int | None = None) -> DataFrame:
+    """Caps inside every (fold, side): ``cap`` on rows to fit on, ``eval_cap`` (none by default) on rows to evaluate.
+
+    Group sizes come from one small aggregate.
+    """
     keys, groups = ["fold_id", "fold_side"], ["fold_id", "fold_side", "ticker", "label"]
     rk = group_rank(members, groups, [F.col("target_timestamp").asc(), F.col("sample_id").asc()])
     per_side = Window.partitionBy(*keys)
     sizes = rk.groupBy(*groups).agg(F.max("group_n").alias("_n")).select(
         *groups, F.sum("_n").over(per_side).alias("_total"), F.count("*").over(per_side).alias("_groups"),
         F.row_number().over(per_side.orderBy("ticker", "label")).alias("_order"))
-    per = F.greatest(F.lit(1), F.floor(F.lit(cap) / F.col("_groups")).cast("long"))
-    keep = (F.col("_total") <= cap) | (stride_hit(F.col("rk") - 1, F.col("group_n"), per)
-                                      & ((F.col("_groups") <= cap) | (F.col("_order") <= cap)))
-    return rk.join(small_or_shuffled(materialise(sizes, "group-sizes")), groups).filter(keep).drop("_n", "_total", "_groups", "_order", "group_n", "rk")
+    most = F.when(F.col("fold_side") == "train", F.lit(cap)).otherwise(F.lit(eval_cap).cast("int"))
+    per = F.greatest(F.lit(1), F.floor(most / F.col("_groups")).cast("long"))
+    keep = most.isNull() | (F.col("_total") <= most) | (stride_hit(F.col("rk") - 1, F.col("group_n"), per)
+                                                        & ((F.col("_groups") <= most) | (F.col("_order") <= most)))
+    return join_on_groups(rk, materialise(sizes, "group-sizes"), groups).filter(keep).drop("_n", "_total", "_groups", "_order", "group_n", "rk")
 
 
 def early_stop_tail(train: DataFrame, group: list[str], fraction: float, min_eval: int,

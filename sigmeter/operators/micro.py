@@ -23,7 +23,7 @@ DAY_KEYS = ["ticker", "trading_day"]
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
-    """Day-local log close returns; a non-positive price stops the job."""
+    """Day-local log close returns; null, and so in no pair, beside a non-positive price."""
     w = Window.partitionBy(*DAY_KEYS).orderBy("timestamp")
     return bars.withColumn("log_return", safe_log(ratio("close", F.lag("close").over(w))))
 

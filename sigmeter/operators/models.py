@@ -11,14 +11,12 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import confusion as C
-from ..functions.scalar import ratio
+from ..functions.scalar import hash01, ratio
 from .folds import early_stop_tail
 from .windows import last_bar, moving_average
 
@@ -78,33 +76,68 @@ def prepared(rows: DataFrame, profile: Profile, n_features: int, width: int) ->
     return rows.withColumn("vec", array_to_vector(inputs_of(profile, n_features, width)))
 
 
-def fit(train: DataFrame, profile: Profile, seed: int, n_features: int, width: int):
+@dataclass(frozen=True)
+class Scaling:
+    """Mean and std per feature of the fit rows, the same at every time step."""
+
+    mean: tuple[float, ...]
+    std: tuple[float, ...]
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        mean, std = F.array(*map(F.lit, self.mean)), F.array(*map(F.lit, self.std))
+        at = lambda a, i: F.get(a, i % len(self.mean))
+        return rows.withColumn("features", F.transform("features", lambda v, i: (v.cast("double") - at(mean, i)) / at(std, i)))
+
+
+@dataclass(frozen=True)
+class Fitted:
+    scaling: Scaling
+    model: object
+
+
+def scaling_of(train: DataFrame, n_features: int) -> Scaling:
+    rows = sorted(feature_statistics(train, n_features).collect(), key=lambda r: r["feature_index"])  # one row per feature
+    if len(rows) != n_features:
+        raise ValueError("no fit rows to scale by")
+    return Scaling(tuple(r["mean"] for r in rows), tuple(r["std"] for r in rows))
+
+
+def balanced_copies(train: DataFrame, seed: int) -> DataFrame:
+    """Rows repeated in proportion to ``weight``, for an estimator without weights; fractions by a keyed hash."""
+    least = train.agg(F.min("weight").alias("_w"))
+    n = F.col("weight") / F.col("_w")
+    copies = F.floor(n + hash01("copies", F.lit(seed), F.col("sample_id"))).cast("int")
+    return train.crossJoin(F.broadcast(least)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).drop("_copy", "_w")
+
+
+def fit(train: DataFrame, profile: Profile, seed: int, n_features: int, width: int) -> Fitted:
     """Fit one family on weighted train rows; scaling is fitted on these rows only."""
+    scaling = scaling_of(train, n_features)
     w = class_weights(train).withColumnRenamed("label", "_l")
-    t = train.join(F.broadcast(w), F.col("label") == F.col("_l")).drop("_l")  # two rows
+    t = scaling.apply(train).join(F.broadcast(w), F.col("label") == F.col("_l")).drop("_l")  # two rows
     t = prepared(t, profile, n_features, width).withColumn("label", F.col("label").cast("double"))
     p = profile.params
-    scaler = StandardScaler(inputCol="vec", outputCol="scaled", withMean=True, withStd=True)
     if profile.family in ("logit", "trend_linear", "multi_trend_linear"):
-        est = LogisticRegression(featuresCol="scaled", weightCol="weight", regParam=p.get("reg", 0.01), maxIter=p.get("iters", 20))
+        est = LogisticRegression(featuresCol="vec", weightCol="weight", regParam=p.get("reg", 0.01), maxIter=p.get("iters", 20))
     elif profile.family in ("trees", "last_step_trees"):
         tail = early_stop_tail(t.withColumn("label", F.col("label").cast("int")).withColumn("_g", F.lit(0)), ["_g"],
                                0.2, p.get("min_eval", 50), p.get("min_train", 50))
         t = tail.withColumn("label", F.col("label").cast("double"))
-        est = GBTClassifier(featuresCol="scaled", weightCol="weight", maxIter=p.get("iters", 5), maxDepth=p.get("depth", 3), seed=seed)
+        est = GBTClassifier(featuresCol="vec", weightCol="weight", maxIter=p.get("iters", 5), maxDepth=p.get("depth", 3), seed=seed)
         if t.filter("is_stop").limit(1).count():  # a tail too short or of one class means no early stop
             est.setValidationIndicatorCol("is_stop")
     elif profile.family == "last_step_mlp":
-        est = MultilayerPerceptronClassifier(featuresCol="scaled", layers=[n_inputs(profile, n_features, width), p.get("hidden", 8), 2],
+        t = balanced_copies(t, seed)
+        est = MultilayerPerceptronClassifier(featuresCol="vec", layers=[n_inputs(profile, n_features, width), p.get("hidden", 8), 2],
                                              maxIter=p.get("iters", 30), seed=seed)
     else:
         raise ValueError(f"unknown family {profile.family!r}")
-    return Pipeline(stages=[scaler, est]).fit(t)
+    return Fitted(scaling, est.fit(t))
 
 
-def predict(model, rows: DataFrame, profile: Profile, n_features: int, width: int) -> DataFrame:
+def predict(fitted: Fitted, rows: DataFrame, profile: Profile, n_features: int, width: int) -> DataFrame:
     """Prediction rows: identity columns, y_true, p_up and y_pred."""
-    out = model.transform(prepared(rows, profile, n_features, width).drop("features"))
+    out = fitted.model.transform(prepared(fitted.scaling.apply(rows), profile, n_features, width).drop("features"))
     p_up = vector_to_array("probability")[1]
     return out.select("sample_id", "ticker", "trading_day", "target_timestamp", F.col("label").cast("int").alias("y_true"),
                       p_up.alias("p_up"), F.when(p_up >= 0.5, 1).otherwise(0).alias("y_pred"))
@@ -129,23 +162,63 @@ def with_dummy(preds: DataFrame, train: DataFrame, seed: int) -> DataFrame:
     return x.withColumn("base_pred", stratified_dummy(F.col("prior"), F.col("seed"), F.col("sample_id")))
 
 
-def run_units(units: list[dict], rows_of: Callable[[dict], tuple[DataFrame, DataFrame]], hook: FitFunction) -> DataFrame:
-    """Predictions of every unit (profile, seed and its labels), unioned.
+@dataclass(frozen=True)
+class Trials:
+    """What a roster of units gave: predictions of those that were fitted, and (unit, error) of those that failed."""
+
+    preds: DataFrame | None
+    failures: list[tuple[dict, str]]
+
+
+def run_trials(units: list[dict], rows_of: Callable[[dict], tuple[DataFrame, DataFrame]], hook: FitFunction) -> Trials:
+    """Predictions of every unit (profile, seed and its labels), unioned; a unit that fails is recorded and the others go on.
 
     ``rows_of`` gives the unit's train and evaluation rows. Units are a configured roster.
     """
-    def one(u: dict) -> DataFrame:
-        train, evals = rows_of(u)
-        p = with_dummy(hook(train, evals, u["profile"], u["seed"]), train, u["seed"])
+    def one(u: dict) -> DataFrame | str:
+        try:
+            train, evals = rows_of(u)
+            p = with_dummy(hook(train, evals, u["profile"], u["seed"]), train, u["seed"])
+        except Exception as e:  # recorded with the unit
+            return f"{type(e).__name__}: {e}"[:500]
         tags = {k: F.lit(v) for k, v in u.items() if k not in ("profile", "seed")}
         return p.withColumns({**tags, "model_family": F.lit(u["profile"].family), "hpo_profile_id": F.lit(u["profile"].profile_id)})
 
     with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
         parts = list(pool.map(one, units))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    failures = [(u, p) for u, p in zip(units, parts) if isinstance(p, str)]
+    out = None
+    for p in parts:
+        if not isinstance(p, str):
+            out = p if out is None else out.unionByName(p)
+    return Trials(out, failures)
+
+
+def run_units(units: list[dict], rows_of: Callable[[dict], tuple[DataFrame, DataFrame]], hook: FitFunction) -> DataFrame:
+    """Predictions of every unit; raises where one failed, for callers that need all of them."""
+    got = run_trials(units, rows_of, hook)
+    if got.failures:
+        raise RuntimeError("; ".join(f"{u['profile'].family} {u['profile'].profile_id} seed {u['seed']}: {e}" for u, e in got.failures))
+    return got.preds
+
+
+def failures_of(spark: SparkSession, failures: list[tuple[dict, str]], keys: list[str], like: DataFrame | None = None) -> DataFrame:
+    """Ledger rows of failed units: status failed, the error, and null metrics."""
+    def value(u: dict, k: str):
+        return {"model_family": u["profile"].family, "hpo_profile_id": u["profile"].profile_id}.get(k, u.get(k))
+
+    kinds = {k: "int" if k == "seed" else "string" for k in keys}
+    rows = spark.createDataFrame([tuple(value(u, k) for k in keys) + ("failed", e) for u, e in failures],
+                                 ", ".join(f"{k} {t}" for k, t in kinds.items()) + ", fit_status string, error string")
+    return rows if like is None else rows.select(*[F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in like.dtypes])
+
+
+def trial_rows(trials: Trials, keys: list[str], spark: SparkSession) -> DataFrame:
+    """The ledger of a roster: completed units with their metrics, failed ones with their error."""
+    if trials.preds is None:
+        return failures_of(spark, trials.failures, keys)
+    done = ledger_of(trials.preds, keys).withColumn("error", F.lit(None).cast("string"))
+    return done.unionByName(failures_of(spark, trials.failures, keys, done)) if trials.failures else done
 
 
 def ledger_of(preds: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import harmonic, ratio
-from ..session import materialise, scratch_path, small_or_shuffled
+from ..session import materialise, scratch_path
 
 
 def global_position(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -24,33 +24,67 @@ def global_position(df: DataFrame, order: list[Column]) -> DataFrame:
     rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_f"),
                                            F.col("_metadata.row_index").alias("_i"))
     sizes = rows.groupBy("_f").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    # Spark numbers the files in range order; past 100,000 files the names no longer sort like the numbers.
+    before = Window.orderBy(file_number(F.col("_f"))).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     # one row per written file, at most spark.sql.shuffle.partitions
     return rows.join(F.broadcast(offsets), "_f").withColumn(
         "pos", F.col("_o") + F.col("_i")).drop("_f", "_i", "_o")
 
 
+def file_number(name: Column) -> Column:
+    return F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")
+
+
+def join_on_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null group keys meet each other."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, on).drop(*[f"_right_{k}" for k in keys])
+
+
 def group_rank(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """Adds ``rk`` (1-based rank in the group) and ``group_n``."""
     p = global_position(df, [F.col(g) for g in group] + order)
     starts = p.groupBy(*group).agg(F.min("pos").alias("_start"), F.count("*").alias("group_n"))
-    # Written first so its size is known: few groups are broadcast and the ranked rows stay put,
-    # many groups meet them in a shuffle join.
-    starts = small_or_shuffled(materialise(starts, "group-starts"))
-    return p.join(starts, group).withColumn("rk", F.col("pos") - F.col("_start") + 1).drop("pos", "_start")
+    # Written first so that its size is known when the join is planned.
+    starts = materialise(starts, "group-starts")
+    return join_on_groups(p, starts, group).withColumn("rk", F.col("pos") - F.col("_start") + 1).drop("pos", "_start")
+
+
+def running_totals(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """Adds ``<value>_before``: the sum over all rows before, in the (total) order given.
+
+    Rows are range-partitioned and written once; sums run inside each file, and files add up what lies
+    before them.
+    """
+    path = scratch_path(df.sparkSession, "running")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    files = rows.groupBy("_f").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    earlier = Window.orderBy(file_number(F.col("_f"))).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_f", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values])
+    inside = Window.partitionBy("_f").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
+    # one row per written file, at most spark.sql.shuffle.partitions
+    out = out.join(F.broadcast(files), "_f").withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_o_{v}") for v in values})
+    return out.drop("_f", "_i", *[f"_o_{v}" for v in values])
 
 
 def roc_auc(df: DataFrame, group: list[str], y: str = "y_true", score: str = "p_up",
             tie: str = "sample_id") -> DataFrame:
-    """Mann-Whitney form: tied scores share the mean of their ranks; null for one class."""
-    rk = group_rank(df.select(*group, y, score, tie), group, [F.col(score).asc(), F.col(tie).asc()])
-    ties = rk.groupBy(*group, score).agg(F.count("*").alias("_c"), F.sum(y).alias("_p"),
-                                         F.avg("rk").alias("_r"))
-    g = ties.groupBy(*group).agg(F.sum("_c").alias("_n"), F.sum("_p").alias("_pos"),
-                                 F.sum(F.col("_p") * F.col("_r")).alias("_s"))
-    pos, neg = F.col("_pos").cast("double"), (F.col("_n") - F.col("_pos")).cast("double")
-    return g.select(*group, ratio(F.col("_s") - pos * (pos + 1) / 2, pos * neg).alias("roc_auc"))
+    """Mann-Whitney form from the counts per distinct score; null for one class.
+
+    A positive beats the negatives with a lower score and half of those with its own. ``tie`` is not
+    needed any more and is kept for callers.
+    """
+    cells = df.groupBy(*group, score).agg(F.sum(F.lit(1) - F.col(y)).alias("_neg"), F.sum(y).alias("_pos"))
+    run = running_totals(cells, [F.col(g) for g in group] + [F.col(score)], ["_neg"])
+    g = run.groupBy(*group).agg(
+        F.sum("_neg").alias("_n"), F.sum("_pos").alias("_p"), F.min("_neg_before").alias("_start"),
+        F.sum(F.col("_pos") * (2 * F.col("_neg_before") + F.col("_neg")).cast("decimal(38,0)")).alias("_w"))
+    wins = (F.col("_w") - (2 * F.col("_start") * F.col("_p")).cast("decimal(38,0)")).cast("double") / 2
+    return g.select(*group, ratio(wins, F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"))
 
 
 def confidence_rank(df: DataFrame, group: list[str], tie: str = "sample_id") -> DataFrame:
@@ -67,7 +101,7 @@ def prefix_sums(ranked: DataFrame, group: list[str], values: dict[str, Column],
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*group, "_b", *[
         F.coalesce(F.sum("_t_" + k).over(before), F.lit(0)).alias("_t_" + k) for k in values])
-    out = blocked.withColumns({k: F.sum(v).over(inner) for k, v in values.items()}).join(totals, group + ["_b"])
+    out = join_on_groups(blocked.withColumns({k: F.sum(v).over(inner) for k, v in values.items()}), totals, group + ["_b"])
     return out.withColumns({k: F.col(k) + F.col("_t_" + k) for k in values}).drop(
         "_b", *["_t_" + k for k in values])
 
@@ -112,8 +146,8 @@ def exact_quantiles(ranked: DataFrame, group: list[str], value: str, probs: list
         "_e", F.explode(F.array(F.struct(F.lit(True).alias("lo"), (F.floor(h) + 1).alias("rk")),
                                 F.struct(F.lit(False).alias("lo"), (F.ceil(h) + 1).alias("rk")))))
     want = want.select(*group, "q", "_w", "_e.lo", F.col("_e.rk").alias("rk"))
-    want = small_or_shuffled(materialise(want, "quantile-ranks"))
-    g = ranked.select(*group, "rk", value).join(want, group + ["rk"]).groupBy(*group, "q").agg(
+    want = materialise(want, "quantile-ranks")
+    g = join_on_groups(ranked.select(*group, "rk", value), want, group + ["rk"]).groupBy(*group, "q").agg(
         F.max(F.when(F.col("lo"), F.col(value))).alias("_l"), F.max(F.when(~F.col("lo"), F.col(value))).alias("_h"),
         F.max("_w").alias("_w"))
     return g.select(*group, "q", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_w")).alias("quantile"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import confusion as C
-from ..functions.scalar import hash01
 from ..functions.student_t import lcb_agg
 
 BLOCK = ["ticker", "trading_day"]
@@ -48,20 +49,19 @@ def positive_counts(delta_rows: DataFrame, keys: list[str], out: str = "positive
     return delta_rows.groupBy(*keys).agg(F.count_if(F.col("delta_vs_dummy") > 0).alias(out))
 
 
-def trial_ledger(scored: DataFrame, failure_share: float = 0.03) -> DataFrame:
-    """One row per candidate x family x profile x fold (period) x seed.
+def trial_ledger(scored: DataFrame) -> DataFrame:
+    """One row per candidate x family x profile x fold (period) x seed of a prediction table.
 
-    A keyed share of units is marked failed so that completeness rules have something to see.
+    Every unit that has predictions is complete; failed fits are rows of ``models.failures_of``.
     """
     keys = ["candidate_id", "model_family", "hpo_profile_id", "period_id", "seed"]
     t = scored.groupBy(*keys, "ticker", "prior").agg(*C.row_sums())
     pos = t.groupBy(*keys).agg(F.count_if(C.delta_f1() > 0).alias("positive_ticker_count"), *C.resum(),
                                F.max("prior").alias("prior"))
-    failed = hash01("unit", *[F.col(k) for k in keys]) < failure_share
     maj = C.constant_f1(F.when(F.col("prior") > 0.5, 1).otherwise(0))
     return pos.select(
         "candidate_id", "model_family", "hpo_profile_id", F.col("period_id").alias("fold_id"), "seed",
-        F.when(failed, "failed").otherwise("completed").alias("fit_status"), F.col("n").alias("n_rows"),
+        F.lit("completed").alias("fit_status"), F.col("n").alias("n_rows"),
         C.macro_f1().alias("macro_f1"), C.balanced_accuracy().alias("balanced_accuracy"), C.mcc().alias("mcc"),
         C.base_f1().alias("dummy_macro_f1"), maj.alias("majority_macro_f1"),
         C.delta_f1().alias("delta_vs_dummy"), (C.macro_f1() - maj).alias("delta_vs_majority"),
@@ -164,17 +164,31 @@ def budget_ledger(units: DataFrame, stage: str, events: str) -> DataFrame:
     return r.select(F.coalesce(stage, F.lit("total")).alias("stage_name"), "scoring_events")
 
 
-def audit_numbers(source: DataFrame, specs: list[tuple[str, str, str, str, float, int, str]]) -> DataFrame:
+def audit_numbers(source: DataFrame, specs: list[tuple[str, str, str, str, float, int, str]], order: list[str] | None = None) -> DataFrame:
     """Declared numbers re-derived from a table and compared as printed.
 
     A spec is (id, filter, field, aggregate, scale, digits, printed). All specs are conditional
-    aggregates of one pass; rounding is decimal half-up.
+    aggregates of one pass. ``first`` is the first row by ``order``; ``ratio`` takes a field
+    ``numerator/denominator`` and divides their sums. Values become decimals before they are scaled, and
+    rounding is half-up.
     """
-    how = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "first": F.min}
-    one = source.agg(*[how[a](F.when(F.expr(w), F.col(f))).alias(i) for i, w, f, a, *_ in specs])
+    how = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
+
+    def derived(where: str, field: str, aggregate: str) -> Column:
+        hit = F.expr(where)
+        if aggregate == "first":
+            if not order:
+                raise ValueError("first needs an order")
+            return F.min_by(F.col(field), F.when(hit, F.struct(*order)))
+        if aggregate == "ratio":
+            over, under = (F.sum(F.when(hit, F.col(c.strip()))) for c in field.split("/"))
+            return over / F.nullif(under.cast("double"), F.lit(0.0))
+        return how[aggregate](F.when(hit, F.col(field)))
+
+    one = source.agg(*[derived(w, f, a).alias(i) for i, w, f, a, *_ in specs])
     rows = F.array(*[F.struct(
         F.lit(i).alias("number_id"),
-        F.round((F.col(i) * scale).cast("decimal(38,12)"), digits).cast("double").alias("derived"),
+        F.round(F.col(i).cast("decimal(30,15)") * F.lit(Decimal(str(scale))), digits).cast("double").alias("derived"),
         F.lit(float(printed)).alias("printed")) for i, _, _, _, scale, digits, printed in specs])
     out = one.select(F.explode(rows).alias("_r")).select("_r.*")
     return out.withColumn("status", F.when(F.col("derived").isNull(), "unresolved")

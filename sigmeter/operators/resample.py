@@ -12,7 +12,7 @@ from ..functions import confusion as C
 from ..functions.hypergeom import shuffled_true_positives
 from ..functions.scalar import hex01, key_hex
 from ..functions.student_t import lcb_agg
-from ..session import materialise, small_or_shuffled, spread
+from ..session import materialise, spread
 from .ranks import global_position
 from .readouts import BLOCK
 
@@ -53,7 +53,7 @@ def _picks(idx: DataFrame, slices: list[str], n_boot: int, seed: int) -> DataFra
 def bootstrap_picks(blocks: DataFrame, slices: list[str], n_boot: int, seed: int, block: list[str] = BLOCK) -> DataFrame:
     """One row per draw and slot with the picked block's columns."""
     idx = materialise(index_blocks(blocks, slices, block), "blocks")
-    return _picks(idx, slices, n_boot, seed).join(small_or_shuffled(idx), slices + ["idx"])
+    return _picks(idx, slices, n_boot, seed).join(idx, slices + ["idx"])
 
 
 def bootstrap_draws(blocks: DataFrame, slices: list[str], values: list[str], n_boot: int, seed: int,
@@ -144,6 +144,9 @@ def family_cis(per_family: DataFrame, keys: list[str]) -> DataFrame:
     return per_family.groupBy(*keys).agg(*cols) if keys else per_family.agg(*cols)
 
 
+MAX_BLOCKS = 24
+
+
 def cscv_splits(matrix: DataFrame, trial: str = "trial", block: str = "block", perf: str = "perf",
                 is_block_count: int | None = None) -> DataFrame:
     """One row per in-sample split: out-of-sample rank logit of the in-sample winner.
@@ -160,9 +163,15 @@ def cscv_splits(matrix: DataFrame, trial: str = "trial", block: str = "block", p
     m = m.filter((F.col("n_trials") >= 2) & (F.col("n_blocks") >= 2) & (F.col("_cells") == F.col("n_trials") * F.col("n_blocks")))
     k = F.floor(F.col("n_blocks") / 2) if is_block_count is None else F.lit(is_block_count)
     k = F.greatest(F.lit(1), F.least(k, F.col("n_blocks") - 1)).cast("int")
-    masks = F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n_blocks").cast("int")) - 1),
-                     lambda x: F.bit_count(x) == k)
-    x = m.withColumn("_k", k).withColumn("_mask", F.explode(masks))
+    m = m.withColumn("_k", k)
+    # Masks are rows made from two halves of the bits, so no array holds them all.
+    low = F.floor(F.col("n_blocks") / 2).cast("int")
+    ones = lambda n: F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), n) - 1)
+    few = F.when(F.col("n_blocks") > MAX_BLOCKS, F.raise_error(F.lit(f"more than {MAX_BLOCKS} blocks: too many splits to enumerate"))).otherwise(low)
+    splits = m.select("n_blocks", "_k").distinct().withColumn("_high", F.explode(ones((F.col("n_blocks") - low).cast("int")))).withColumn("_low", F.explode(ones(few.cast("int"))))
+    mask = F.call_function("shiftleft", F.col("_high"), low).bitwiseOR(F.col("_low"))
+    splits = splits.select("n_blocks", "_k", mask.alias("_mask")).filter(F.bit_count("_mask") == F.col("_k"))
+    x = m.join(splits, ["n_blocks", "_k"])
     inside = F.getbit(F.col("_mask"), F.col("_b").cast("int")) == 1
     t = x.groupBy("_mask", "_t", "n_trials", "n_blocks", "_k").agg(
         F.avg(F.when(inside, F.col("_v"))).alias("_is"), F.avg(F.when(~inside, F.col("_v"))).alias("_os"))

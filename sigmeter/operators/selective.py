@@ -88,26 +88,28 @@ def bootstrap_bands(ranked: DataFrame, n_boot: int, seed: int) -> DataFrame:
 
 
 def permutation_band(rows: DataFrame, n_perm: int, seed: int) -> DataFrame:
-    """Band of the mean-over-two-seeds risk curve under a random ranking common to both.
+    """Band of the mean-over-seeds risk curve under a random ranking common to all seeds.
 
-    A prefix of a random order holds a hypergeometric number of each error pattern (wrong for
-    both seeds, one, or none), so a draw walks the grid on three counts instead of all rows.
+    A prefix of a random order holds a hypergeometric number of the samples that are wrong for all
+    seeds, of those wrong for all but one, and so on, so a draw walks the grid on these counts instead
+    of all rows. Every sample has a row per seed; the number of seeds is a configured handful.
     """
     from ..functions.hypergeom import random_prefix_errors
     from ..functions.scalar import hex01, key_hex
 
-    per = rows.groupBy("sample_id").agg(F.min(1 - F.col("correct")).alias("_lo"), F.max(1 - F.col("correct")).alias("_hi"))
-    c = per.agg(F.count("*").alias("n"), F.count_if(F.col("_lo") == 1).alias("both"),
-                F.count_if((F.col("_hi") == 1) & (F.col("_lo") == 0)).alias("one"))
+    n_seeds = max(1, rows.select("seed").distinct().count())
+    per = rows.groupBy("sample_id").agg(F.sum(1 - F.col("correct")).alias("_wrong"))
+    c = per.agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("_wrong") == k) for k in range(n_seeds, 0, -1)]).alias("wrong"))
     spark = rows.sparkSession
     draws = spark.range(n_perm, numPartitions=spark.sparkContext.defaultParallelism).withColumnRenamed("id", "draw")
     draws = draws.crossJoin(F.broadcast(c))  # one row of counts
     steps = F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))
 
-    def uniform(start: int) -> Column:
-        return F.transform(steps, lambda i: hex01(key_hex(F.lit(seed), F.col("draw"), i), start))
+    def uniform(level: int) -> Column:
+        return F.transform(steps, lambda i: hex01(key_hex(F.lit(seed), F.col("draw"), i, F.lit(level // 4)), 1 + 13 * (level % 4)))
 
-    curve = random_prefix_errors(F.transform(steps, lambda i: covered(i, F.col("n"))), uniform(1), uniform(14))
+    uniforms = F.flatten(F.array(*[uniform(k) for k in range(n_seeds)]))
+    curve = random_prefix_errors(F.transform(steps, lambda i: covered(i, F.col("n"))), uniforms)
     v = draws.select("draw", F.posexplode(curve).alias("grid_index", "risk"))
     return v.groupBy("grid_index").agg(F.percentile("risk", 0.025).alias("risk_lo"), F.percentile("risk", 0.975).alias("risk_hi"),
                                        F.avg("risk").alias("risk_mean"))

@@ -45,24 +45,53 @@ def sentence_statistics(docs: DataFrame, long_words: int = 35) -> DataFrame:
                     F.when(F.size("_k") >= 6, F.sqrt(ratio(var, F.size("_k")))).alias("length_std"))
 
 
-def numeric_tokens(text: Column) -> Column:
-    """Numbers as written, after range dashes between digits become spaces and thousands commas go."""
-    s = F.regexp_replace(text, r"(?<=\d)\s*(?:---|--|–|—)\s*(?=\d)", " ")
-    s = F.regexp_replace(s, r"(?<=\d),(?=\d{3}(?!\d))", "")
-    return F.regexp_extract_all(s, F.lit(r"[+-]?\d+(?:\.\d+)?"), 0)
+# The patterns that define a written number. Scientific forms come first, in this order.
+SCIENTIFIC = [r"(\d+(?:\.\d+)?)\s*\\(?:times|cdot)\s*10\^\{?(-?\d+)\}?", r"(\d+(?:\.\d+)?)[eE]([+-]?\d+)\b"]
+POWER_OF_TEN = r"10\^\{?(-?\d+)\}?"
+RANGE_DASH = r"(?<=\d)\s*(?:---|--|–|—)\s*(?=\d)"
+THOUSANDS = [r"(?<=\d)\{,\}(?=\d{3})", r"(?<=\d),(?=\d{3}(?!\d))"]
+PLAIN = r"[+-]?\d+(?:\.\d+)?"
+MAX_EXPONENT = 400  # beyond it a number stays as mantissa and exponent
 
 
-def scientific_tokens(text: Column) -> Column:
-    """Numbers written as a x 10^b or aeb, as exact decimal text without trailing zeros."""
-    found = F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?[eE][+-]?\d+\b"), 0)
-    return F.transform(found, lambda x: F.regexp_replace(
-        F.regexp_replace(x.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+def shifted(mantissa: Column, exponent: Column) -> Column:
+    """mantissa x 10^exponent as exact decimal text, by moving the point; no number type is involved.
+
+    Zeros in front and behind the last fraction digit go. Beyond ``MAX_EXPONENT`` the text is
+    ``<mantissa>e<exponent>``.
+    """
+    sign = F.when(F.startswith(exponent, F.lit("-")), -1).otherwise(1)
+    size = F.ltrim(F.regexp_replace(exponent, "^[+-]", ""), F.lit("0"))
+    far = F.length(size) > len(str(MAX_EXPONENT))
+    e = sign * F.when(far | (size == ""), F.lit(0)).otherwise(size.cast("int"))
+    whole = F.split_part(mantissa, F.lit("."), F.lit(1))
+    digits = F.concat(whole, F.split_part(mantissa, F.lit("."), F.lit(2)))
+    point, n = F.length(whole) + e, F.length(digits)
+    pad = lambda k: F.repeat(F.lit("0"), F.greatest(k, F.lit(0)))
+    left = F.concat(F.left(digits, F.greatest(F.least(point, n), F.lit(0))), pad(point - n))
+    right = F.concat(pad(-point), F.substr(digits, F.greatest(point, F.lit(0)) + 1, n))
+    left, right = F.ltrim(left, F.lit("0")), F.rtrim(right, F.lit("0"))
+    out = F.concat(F.when(left == "", "0").otherwise(left), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
+    return F.when(far | (F.abs(e) > MAX_EXPONENT), F.concat(mantissa, F.lit("e"), exponent)).otherwise(out)
+
+
+def written_numbers(text: Column) -> Column:
+    """All numbers of a text: scientific forms and powers of ten as exact decimals, others as written."""
+    found, rest = [], text
+    for pattern in SCIENTIFIC:
+        parts = F.arrays_zip(F.regexp_extract_all(rest, F.lit(pattern), 1).alias("m"), F.regexp_extract_all(rest, F.lit(pattern), 2).alias("e"))
+        found.append(F.transform(parts, lambda p: shifted(p["m"], p["e"])))
+        rest = F.regexp_replace(rest, pattern, " ")
+    found.append(F.transform(F.regexp_extract_all(rest, F.lit(POWER_OF_TEN), 1), lambda e: shifted(F.lit("1"), e)))
+    rest = F.regexp_replace(F.regexp_replace(rest, POWER_OF_TEN, " "), RANGE_DASH, " ")
+    for pattern in THOUSANDS:
+        rest = F.regexp_replace(rest, pattern, "")
+    return F.concat(F.regexp_extract_all(rest, F.lit(PLAIN), 0), *found)
 
 
 def number_inventory(docs: DataFrame) -> DataFrame:
     """(doc_id, token, n): the multiset of a document's numbers."""
-    plain = F.regexp_replace("text", r"\d+(?:\.\d+)?[eE][+-]?\d+\b", " ")
-    t = docs.select("doc_id", F.explode(F.concat(numeric_tokens(plain), scientific_tokens(F.col("text")))).alias("token"))
+    t = docs.select("doc_id", F.explode(written_numbers(F.col("text"))).alias("token"))
     return t.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 

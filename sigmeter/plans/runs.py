@@ -36,7 +36,10 @@ def model_inputs(bars: DataFrame, events: DataFrame, out: str, names: list[str],
 
 def walkforward(windows: DataFrame, periods: list[tuple[str, str, str]], profiles: list[M.Profile], seeds: list[int], out: str,
                 n_features: int, width: int, completed: DataFrame | None = None, hook: M.FitFunction | None = None) -> None:
-    """Refit on the past and score each period once; finished (period, profile, seed) units are skipped."""
+    """Refit on the past and score each period once; finished (period, profile, seed) units are skipped.
+
+    A unit that fails gets a ledger row with its error and is tried again by the next run.
+    """
     spark = windows.sparkSession
     plan = [(p, pr.family, pr.profile_id, s) for p, _, _ in periods for pr in profiles for s in seeds]
     keys = ["period_id", "model_family", "hpo_profile_id", "seed"]
@@ -55,10 +58,19 @@ def walkforward(windows: DataFrame, periods: list[tuple[str, str, str]], profile
         day = F.col("trading_day")
         return windows.filter(day < a), windows.filter((day >= a) & (day < b))
 
-    preds = M.run_units(units, rows_of, hook or M.fit_and_score(n_features, width))
-    write_table(preds, f"{out}/predictions", partition_by=["period_id"])
-    done = spark.read.parquet(f"{out}/predictions")
-    write_table(M.ledger_of(done, keys), f"{out}/ledger")
+    trials = M.run_trials(units, rows_of, hook or M.fit_and_score(n_features, width))
+    # One partition per unit: a resumed run adds its units and leaves finished ones as they are.
+    if trials.preds is not None:
+        write_table(trials.preds, f"{out}/predictions", partition_by=keys)
+    if completed is None and trials.preds is None:
+        write_table(M.failures_of(spark, trials.failures, keys), f"{out}/ledger")
+        return
+    kinds = dict(todo.dtypes)
+    done = spark.read.parquet(f"{out}/predictions").withColumns({k: F.col(k).cast(kinds[k]) for k in keys})
+    ledger = M.ledger_of(done, keys).withColumn("error", F.lit(None).cast("string"))
+    if trials.failures:
+        ledger = ledger.unionByName(M.failures_of(spark, trials.failures, keys, ledger))
+    write_table(ledger, f"{out}/ledger")
 
 
 def diagnostics(dump: DataFrame, out: str, seeds: tuple[int, ...], holdout: str, n_boot: int = 1000, n_perm: int = 200) -> None:

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sigmeter", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,24 +57,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-# Largest table that is sent to every executor, by row count of a materialised table.
-BROADCAST_ROWS = 500_000
-
-
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when a (materialised) table is counted as small; else a shuffle join."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Fan a small input out to every core before work that multiplies its rows.
-
-    A table of few splits (or a materialised aggregate) would otherwise run its whole
-    expansion in as many tasks; an input that already has a split per core is left alone.
-    ``keys`` must be near-unique, so the hash spreads evenly.
-    """
-    width = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= width else df.repartition(width, *keys)
+    """Deal rows over all cores by near-unique keys, before work that multiplies them."""
+    return df.repartition(*keys)
 
 
 def ship_package(spark: SparkSession) -> None:
