@@ -29,13 +29,13 @@ from .components import components
 from .exact_dedup import LOCATOR, file_backed
 from .shingles import mix, sets
 
-K2, N2 = 1, 2  # differences allowed in a part, cells of a part
+K2, N2 = 1, 3  # differences allowed in a part, cells of a part
 SKETCH_WORDS = 8  # 64-bit words of the parity sketch
 FOLDED_WORDS = 4  # words of the sketch that travels with signatures: halves of the other, folded
 SHINGLES_PER_PART = 4 << 20
 BROADCAST_BYTES = 16 << 20
-SAMPLE = 10000  # documents in which frequent shingles are looked for, about
-FREQUENT = 0.0006  # share of the sample from which a shingle is frequent
+SAMPLE = 16000  # documents in which frequent shingles are looked for, about
+FREQUENT = 0.0003  # share of the sample from which a shingle is frequent
 MOST_FREQUENT = 100_000
 
 
@@ -59,7 +59,7 @@ def instances(size: int) -> list[int]:
 def parts_of(instance: int) -> tuple[int, int]:
     """First-level parts and the largest set size of an instance."""
     top = int(BANDS[instance + 1]) - 1
-    return int(np.ceil(1.3 * (2 * top / 7) / (K2 + 1))) + 3, top
+    return int(np.ceil(1.2 * (2 * top / 7) / (K2 + 1))) + 3, top
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -158,12 +158,12 @@ def frequent_shingles(docs: DataFrame, rows: int, sample: int = SAMPLE, share: f
     slot = F.pmod(F.xxhash64(*LOCATOR), F.lit(1 << 30)) / float(1 << 30)
     some = located(docs, [F.col("text")]).filter(slot < sample / max(rows, 1)).select("text")
     counts = some.mapInArrow(_tally, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    least = max(4, int(share * min(sample, rows)))
+    least = max(4, round(share * min(sample, rows)))
     top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
     return np.sort(np.asarray(top["shingle"]).astype(np.int64).view(np.uint64))
 
 
-PACKED = "part int, sigs binary, idx binary, names binary"
+PACKED = "part int, n int, wide int, sigs binary, idx binary, names binary"
 
 
 NAME = np.dtype([("key", "<i8")])
@@ -180,14 +180,26 @@ def _pack(parts: int, sigs: list[np.ndarray], names: np.ndarray) -> Iterator[pa.
     order = np.argsort((part << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF)))
     sig, owner, part = sig[order].astype(np.uint32), owner[order], part[order]
     edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-    rows: list[list] = [[], [], [], []]
+    rows: list[list] = [[], [], [], [], [], []]
     for p in np.flatnonzero(np.diff(edges)):
         a, b = int(edges[p]), int(edges[p + 1])
         held, local = np.unique(owner[a:b], return_inverse=True)
         idx = local.astype(np.uint16 if len(held) <= 65536 else np.uint32)
-        for into, x in zip(rows, (int(p), sig[a:b].tobytes(), idx.tobytes(), names[held].tobytes())):
+        steps = np.diff(sig[a:b], prepend=np.uint32(0))  # sorted, so steps are small
+        for into, x in zip(rows, (int(p), b - a, idx.itemsize, _squeezed(steps), _squeezed(idx), names[held].tobytes())):
             into.append(x)
-    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "sigs", "idx", "names"])
+    yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.int32()) for r in rows[:3]), *(pa.array(r, pa.binary()) for r in rows[3:])], names=["part", "n", "wide", "sigs", "idx", "names"])
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Byte planes, compressed: the high ones hold little."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _spread_out(raw: bytes, n: int, kind: np.dtype) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
 def _emit(parts: int, frequent: np.ndarray):
@@ -221,10 +233,9 @@ def _emit(parts: int, frequent: np.ndarray):
 def _unpack(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """Signature remainders of one part, and what is told of the set of each."""
     sig, name = [], []
-    for sigs, idx, names in zip(*(table.column(c).to_pylist() for c in ("sigs", "idx", "names"))):
-        s, held = np.frombuffer(sigs, np.uint32), np.frombuffer(names, kind)
-        sig.append(s)
-        name.append(held[np.frombuffer(idx, np.uint16 if len(idx) == 2 * len(s) else np.uint32)])
+    for n, wide, sigs, idx, names in zip(*(table.column(c).to_pylist() for c in ("n", "wide", "sigs", "idx", "names"))):
+        sig.append(np.cumsum(_spread_out(sigs, n, np.uint32), dtype=np.uint32))
+        name.append(np.frombuffer(names, kind)[_spread_out(idx, n, np.uint16 if wide == 2 else np.uint32)])
     return np.concatenate(sig), np.concatenate(name)
 
 
