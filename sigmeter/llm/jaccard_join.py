@@ -88,8 +88,8 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 def _over(s: np.ndarray, size: int, t: int, domain: int, empty: bool = False) -> tuple[np.ndarray, bool]:
     """Signatures of one instance over the features ``s`` of a set of ``size``, and whether they suffice.
 
-    At most d // (K2 + 1) parts of a pair have more than K2 differences. If more parts than that hold a
-    feature in every choice of cells (or, where a choice is one cell, if more than d cells hold one), a
+    A part keeps an equal choice that is not empty until K2 + 1 of its cells differ, or all its filled ones
+    if these are fewer. A pair differs in at most d cells, so if all parts together need more than d, a
     similar set shares a choice that is not empty. ``empty`` gives the empty choices instead.
     """
     parts, top = parts_of(t)
@@ -99,7 +99,7 @@ def _over(s: np.ndarray, size: int, t: int, domain: int, empty: bool = False) ->
     np.add.at(content, cell, s)
     filled = (np.bincount(cell, minlength=parts * N2) > 0).reshape(parts, N2)
     content = content.reshape(parts, N2)
-    safe = int((filled.sum(1) > K2).sum()) > d // (K2 + 1) or (N2 - K2 == 1 and int(filled.sum()) > d)
+    safe = int(np.minimum(filled.sum(1), K2 + 1).sum()) > d
     name = np.arange(parts, dtype=np.uint64) + np.uint64((2 * t + domain) << 40)
     out = []
     for c, chosen in enumerate(combinations(range(N2), N2 - K2)):
