@@ -7,12 +7,15 @@ holds ``limit`` chunks, so memory is bounded and results never depend on what it
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_LIBC = ctypes.CDLL(None)
+
 # Bytes that may open a character which is not white space, after ASCII control and space.
 _OPENS_WORD = np.zeros(256, bool)
 _OPENS_WORD[0x21:0x7F] = True
@@ -41,7 +44,7 @@ def cut_at_space_after_other(data: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """chunk -> ids, filled through ``encode(list[bytes]) -> list[list[int]]``."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 250_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 200_000):
         self.encode, self.limit = encode, limit
         self.reset()
 
@@ -84,12 +87,19 @@ class ChunkTable:
         return self.ids[take], np.concatenate([[0], ends]).astype(np.int64)[before]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay alive beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def small(batches: Iterator[pa.RecordBatch], budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each take little memory as Python objects."""
     for batch in batches:
         for a, b in slabs(batch.column("text"), budget):
             yield batch.slice(a, b - a)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def slabs(texts: pa.Array, budget: int = 8 << 20):

@@ -123,7 +123,7 @@ def hashed(text: str, stats: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
+    for batch in (b.slice(i, 256) for b in small(batches) for i in range(0, len(b), 256)):  # dense rows are large
         out = []
         for text in batch.column("text").to_pylist():
             grams, extra = hashed(text, statistics(text))
@@ -150,7 +150,7 @@ class Scorer:
         rows = docs.select("text").filter("text IS NOT NULL").mapInArrow(_vote_keep, "text string, votes string")
         facts = docs.sparkSession.createDataFrame([(p, share[p], self.posterior[p]) for p, _ in patterns], "votes string, share double, good double")
         sample = rows.join(F.broadcast(facts), "votes").filter(slot < F.col("share")).select("text", "good")
-        data = materialise(sample.mapInArrow(_vector, "good double, x array<double>").coalesce(4), "quality-fit")
+        data = materialise(sample.repartition(8).mapInArrow(_vector, "good double, x array<double>"), "quality-fit")
         both = data.select(F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")),
                                              F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight")))).alias("y"), array_to_vector("x").alias("features"))
         both = both.select("y.label", "y.weight", "features").filter("weight > 1e-6")
