@@ -72,7 +72,7 @@ def g8t(spark, sf):
 
 
 def fold_units(names, seeds, n_folds):
-    return [{"profile": PROFILES[n], "seed": s, "fold_id": f"fold_{i}"} for n in names for s in seeds for i in range(n_folds)]
+    return [{"profile": (PROFILES | GRID)[n], "seed": s, "fold_id": f"fold_{i}"} for n in names for s in seeds for i in range(n_folds)]
 
 
 def fold_run(spark, sf, names, seeds=(101,)):
@@ -84,12 +84,16 @@ def fold_run(spark, sf, names, seeds=(101,)):
         m = members.filter(F.col("fold_id") == u["fold_id"]).drop("fold_id")
         return m.filter("fold_side = 'train'").drop("fold_side"), m.filter("fold_side = 'eval'").drop("fold_side")
 
-    return M.run_units(fold_units(names, seeds, N_FOLDS), rows_of, M.fit_and_score(NF, WINDOW))
+    return M.run_trials(fold_units(names, seeds, N_FOLDS), rows_of, M.fit_and_score(NF, WINDOW))
+
+
+GRID = {"logit": M.Profile("logit", "l2", {}), "logit_strong": M.Profile("logit", "l2_strong", {"reg": 0.1}), "trend_linear": PROFILES["trend_linear"]}
 
 
 @query("g14_hpo_grid_run")
 def g14(spark, sf):
-    return rounded(M.ledger_of(fold_run(spark, sf, ["logit", "trend_linear"]), KEYS + ["fold_id"]), 6)
+    """Profiles x folds x seeds; a failed fit is a row with its error."""
+    return rounded(M.trial_rows(fold_run(spark, sf, list(GRID), P.SEEDS), KEYS + ["fold_id"], spark), 6)
 
 
 @query("g15_probe_screening_run")
@@ -125,12 +129,13 @@ def walkforward(spark, sf, names, seeds=(101,)):
         a, b = bounds[u["period_id"]]
         return w.filter(F.col("trading_day") < a), w.filter((F.col("trading_day") >= a) & (F.col("trading_day") < b))
 
-    return M.run_units(units, rows_of, M.fit_and_score(NF, WINDOW))
+    return M.run_trials(units, rows_of, M.fit_and_score(NF, WINDOW))
 
 
 @query("g16_walkforward_refit")
 def g16(spark, sf):
-    return rounded(M.ledger_of(walkforward(spark, sf, ["logit", "multi_trend_linear"]), KEYS + ["period_id"]), 6)
+    """Every family on every period."""
+    return rounded(M.trial_rows(walkforward(spark, sf, list(PROFILES)), KEYS + ["period_id"], spark), 6)
 
 
 @query("g17_frozen_validation_readout")
@@ -140,8 +145,8 @@ def g17(spark, sf):
 
 @query("g18_control_ablation_run")
 def g18(spark, sf):
-    """Controls on the validation rows: linear, trees and the two last-bar controls."""
-    return rounded(M.ledger_of(readout(spark, sf, ["logit", "last_step_mlp", "last_step_trees"]), KEYS), 6)
+    """Linear, trees and the two last-bar controls over folds and seeds."""
+    return rounded(M.trial_rows(fold_run(spark, sf, ["logit", "trees", "last_step_mlp", "last_step_trees"], P.SEEDS), KEYS + ["fold_id"], spark), 6)
 
 
 @query("g20_planted_signal_run")
@@ -151,7 +156,7 @@ def g20(spark, sf):
     from .closing import ARMS, PLANT_SEED, ruled
 
     w = window_rows(spark, sf).filter("split = 'train'").drop("label", "split")
-    arms = {a: ARMS[a] for a in ("arm_000", "arm_300")}
+    arms = ARMS
     lab = PL.inject(ruled(spark, sf), arms, PLANT_SEED).select("sample_id", "arm_id", "label")
     rows = materialise(w.join(lab, "sample_id"), "planted-windows")
     cut = "2024-01-14"
@@ -160,8 +165,8 @@ def g20(spark, sf):
         m = rows.filter(F.col("arm_id") == u["arm_id"]).drop("arm_id")
         return m.filter(F.col("trading_day") < cut), m.filter(F.col("trading_day") >= cut)
 
-    units = [{"profile": PROFILES["logit"], "seed": 101, "arm_id": a} for a in arms]
-    return rounded(M.ledger_of(M.run_units(units, rows_of, M.fit_and_score(NF, WINDOW)), KEYS + ["arm_id"]), 6)
+    units = [{"profile": PROFILES["logit"], "seed": s, "arm_id": a} for s in P.SEEDS for a in arms]
+    return rounded(M.trial_rows(M.run_trials(units, rows_of, M.fit_and_score(NF, WINDOW)), KEYS + ["arm_id"], spark), 6)
 
 
 @query("g21_prediction_dump")
