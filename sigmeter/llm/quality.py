@@ -137,8 +137,10 @@ class Scorer:
     """Soft labels from all documents, a linear scorer from a sample of them."""
 
     def __init__(self, docs: DataFrame):
-        voted = docs.select("text").mapInArrow(_vote, "votes string").filter("votes IS NOT NULL").groupBy("votes").count()
-        patterns = sorted((r["votes"], r["count"]) for r in voted.collect())  # 3 to the number of labellers at most
+        voted = docs.select("text", F.xxhash64("text").alias("slot")).mapInArrow(_vote, "slot long, votes string").filter("votes IS NOT NULL")
+        voted = materialise(voted, "quality-votes")
+        patterns = sorted((r["votes"], r["count"]) for r in voted.groupBy("votes").count().collect())  # 3 to the number of labellers at most
+        self.posterior: dict[str, float] = {}
         self.weights, self.bias = np.zeros(BUCKETS), 0.0
         if not patterns:
             return
@@ -146,10 +148,12 @@ class Scorer:
         total = sum(n for _, n in patterns)
         # Patterns are thinned to a bounded sample, rare ones less.
         share = {p: min(1.0, FIT_ROWS / len(patterns) / n + 0.5 * FIT_ROWS / total) for p, n in patterns}
-        slot = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-        rows = docs.select("text").filter("text IS NOT NULL").mapInArrow(_vote_keep, "text string, votes string")
         facts = docs.sparkSession.createDataFrame([(p, share[p], self.posterior[p]) for p, _ in patterns], "votes string, share double, good double")
-        sample = rows.join(F.broadcast(facts), "votes").filter(slot < F.col("share")).select("text", "good")
+        chance = F.pmod("slot", F.lit(1 << 30)) / float(1 << 30)
+        picked = voted.join(F.broadcast(facts), "votes").filter(chance < F.col("share")).groupBy("slot").agg(F.first("good").alias("good"))
+        picked = materialise(picked, "quality-picked")  # about FIT_ROWS rows whatever the input
+        sample = docs.select("text", F.xxhash64("text").alias("slot")).join(F.broadcast(picked), "slot")
+        sample = sample.groupBy("slot").agg(F.first("text").alias("text"), F.first("good").alias("good")).select("text", "good")  # a text once
         data = materialise(sample.repartition(8).mapInArrow(_vector, "good double, x array<double>"), "quality-fit")
         both = data.select(F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")),
                                              F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight")))).alias("y"), array_to_vector("x").alias("features"))
@@ -157,31 +161,29 @@ class Scorer:
         fit = LogisticRegression(weightCol="weight", regParam=2e-3, maxIter=40).fit(both)
         self.weights, self.bias = fit.coefficients.toArray(), float(fit.intercept)
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """All columns of ``docs`` and ``quality``: chance of good; 0 for null, empty and wordless texts."""
+    def score(self, docs: DataFrame, with_votes: bool = False) -> DataFrame:
+        """All columns of ``docs`` and ``quality``: chance of good; 0 for null, empty and wordless texts. Votes on request."""
         weights, bias = self.weights, self.bias
-        if "quality" in docs.columns:
-            raise ValueError("column quality exists")
+        added = ["quality", "votes"][:1 + with_votes]
+        if set(added) & set(docs.columns):
+            raise ValueError(f"columns {added} must be free")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small(batches):
-                out = []
+                out, voted = [], []
                 for text in batch.column("text").to_pylist():
                     stats = statistics(text or "")
+                    voted.append(None if stats is None else votes(stats))
                     if stats is None:
                         out.append(0.0)
                     else:
                         grams, extra = hashed(text, stats)
                         out.append(float(1 / (1 + np.exp(-np.clip(bias + weights[grams].sum() / (len(grams) + SHORT) + weights[extra].sum(), -50, 50)))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "quality"])
+                more = [pa.array(out, pa.float64()), pa.array(voted, pa.string())][:len(added)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *added])
 
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality", T.DoubleType())]))
-
-
-def _vote_keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        stats = [statistics(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array([None if s is None else votes(s) for s in stats], pa.string())], names=["text", "votes"])
+        kinds = [T.StructField("quality", T.DoubleType()), T.StructField("votes", T.StringType())][:len(added)]
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds]))
 
 
 def rejecting(docs: DataFrame) -> DataFrame:
@@ -196,7 +198,6 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: votes, posterior of its pattern, score of the linear model and whether it is kept."""
     docs = documents(spark, sf_dir)
     scorer = Scorer(docs)
-    facts = getattr(scorer, "posterior", {})
-    told = spark.createDataFrame(list(facts.items()), "votes string, posterior double")
-    scored = scorer.score(docs.select("doc_id", "text")).mapInArrow(_vote, "doc_id long, quality double, votes string")
+    told = spark.createDataFrame(list(scorer.posterior.items()), "votes string, posterior double")
+    scored = scorer.score(docs.select("doc_id", "text"), with_votes=True).drop("text")
     return scored.join(F.broadcast(told), "votes", "left").select("doc_id", "votes", "posterior", F.col("quality").alias("score"), (F.col("quality") >= KEEP).alias("kept"))
