@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialise
-from .chunks import small
+from .chunks import give_back, small
 from .common import documents, located
 from .components import components
 from .exact_dedup import LOCATOR, file_backed
@@ -32,7 +32,7 @@ from .shingles import mix, sets
 K2, N2 = 1, 3  # differences allowed in a part, cells of a part
 SKETCH_WORDS = 8  # 64-bit words of the parity sketch
 FOLDED_WORDS = 4  # words of the sketch that travels with signatures: halves of the other, folded
-SHINGLES_PER_PART = 4 << 20
+SHINGLES_PER_PART = 1 << 20
 BROADCAST_BYTES = 16 << 20
 SAMPLE = 16000  # documents in which frequent shingles are looked for, about
 FREQUENT = 0.0003  # share of the sample from which a shingle is frequent
@@ -221,7 +221,7 @@ def _emit(parts: int, frequent: np.ndarray):
                 else:
                     names.append((set_key(s),))
                 held += len(sigs[-1])
-                if held > 1_500_000:
+                if held > 1_000_000:
                     yield from _pack(parts, sigs, np.array(names, TOLD if told else NAME))
                     sigs, names, held = [], [], 0
         if sigs:
@@ -230,39 +230,40 @@ def _emit(parts: int, frequent: np.ndarray):
     return run
 
 
-def _unpack(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Signature remainders of one part, and what is told of the set of each."""
-    sig, name = [], []
+def _buckets(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shared buckets of one part: starts of runs, run of each row, set of each row, and what is told of the sets.
+
+    Rows are sorted as one number, signature above set, so a part takes two words a row.
+    """
+    rows, told, base = [], [], 0
     for n, wide, sigs, idx, names in zip(*(table.column(c).to_pylist() for c in ("n", "wide", "sigs", "idx", "names"))):
-        sig.append(np.cumsum(_spread_out(sigs, n, np.uint32), dtype=np.uint32))
-        name.append(np.frombuffer(names, kind)[_spread_out(idx, n, np.uint16 if wide == 2 else np.uint32)])
-    return np.concatenate(sig), np.concatenate(name)
-
-
-def _runs(sig: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By signature, then key, each once, without signatures of one set: starts of runs, run of each row, names."""
-    order = np.lexsort((name["key"], sig))
-    sig, name = sig[order], name[order]
-    once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (name["key"][1:] != name["key"][:-1])])
-    sig, name = sig[once], name[once]
-    same = sig[1:] == sig[:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    sig, name = sig[shared], name[shared]
+        sig = np.cumsum(_spread_out(sigs, n, np.uint32), dtype=np.uint32).astype(np.uint64)
+        rows.append((sig << np.uint64(32)) | (_spread_out(idx, n, np.uint16 if wide == 2 else np.uint32).astype(np.uint64) + np.uint64(base)))
+        told.append(np.frombuffer(names, kind))
+        base += len(told[-1])
+    row = np.concatenate(rows)
+    rows.clear()
+    row.sort()
+    same = (row[1:] >> np.uint64(32)) == (row[:-1] >> np.uint64(32))
+    row = row[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    sig = (row >> np.uint64(32)).astype(np.uint32)
     opens = np.concatenate([[True], sig[1:] != sig[:-1]])[:len(sig)]
-    return np.flatnonzero(opens), np.cumsum(opens) - 1, name
+    return np.flatnonzero(opens), np.cumsum(opens) - 1, (row & np.uint64(0xFFFFFFFF)).astype(np.int64), np.concatenate(told)
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    start, run, name = _runs(*_unpack(table, NAME))
-    name = name["key"]
-    hub = name[start][run] if len(name) else name
-    tie = hub != name
-    pairs = np.stack([hub[tie], name[tie]], 1)
+    start, run, at, told = _buckets(table, NAME)
+    key = told["key"]
+    hub, own = key[at[start]][run] if len(at) else key[:0], key[at]
+    tie = hub != own
+    pairs = np.stack([hub[tie], own[tie]], 1)
     if len(pairs):
         pairs, n = np.unique(pairs, axis=0, return_counts=True)
     else:
         n = np.zeros(0, np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "n": n.astype(np.int64)})
+    out = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "n": n.astype(np.int64)})
+    give_back()
+    return out
 
 
 def stars(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
@@ -326,27 +327,30 @@ def verify(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
 def _rest(table: pa.Table) -> pa.Table:
     """Pairs of one part's buckets in different components that pass the size and sketch bounds."""
-    start, run, name = _runs(*_unpack(table, TOLD))
+    start, run, at, told = _buckets(table, TOLD)
+    key, comp, size, parity = (np.ascontiguousarray(told[f]) for f in ("key", "comp", "size", "parity"))
     found = [np.zeros((0, 2), np.int64)]
-    if len(name):
-        mixed = (np.minimum.reduceat(name["comp"], start) != np.maximum.reduceat(name["comp"], start))[run]
-        run, name = run[mixed], name[mixed]
-    key, comp, size, parity = (name[f] for f in ("key", "comp", "size", "parity"))
+    if len(at):
+        own = comp[at]
+        mixed = (np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start))[run]
+        run, at = run[mixed], at[mixed]
     i, step = np.arange(len(run)), 0
     while len(i):  # rows that have a row of their bucket ``step`` places on
         step += 1
         i = i[i + step < len(run)]
         i = i[run[i + step] == run[i]]
-        for a in range(0, len(i), 1 << 18):
-            x = i[a:a + (1 << 18)]
-            x = x[comp[x] != comp[x + step]]
-            y = x + step
+        for a in range(0, len(i), 1 << 17):
+            x, y = at[i[a:a + (1 << 17)]], at[i[a:a + (1 << 17)] + step]
+            ok = comp[x] != comp[y]
+            x, y = x[ok], y[ok]
             ok = 100 * np.minimum(size[x], size[y]) >= 75 * np.maximum(size[x], size[y])
             x, y = x[ok], y[ok]
             ok = 7 * np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64) <= size[x] + size[y]
             if ok.any():
-                found.append(np.unique(np.stack([key[x[ok]], key[y[ok]]], 1), axis=0))
+                pairs = np.stack([np.minimum(key[x[ok]], key[y[ok]]), np.maximum(key[x[ok]], key[y[ok]])], 1)
+                found.append(np.unique(pairs, axis=0))
     pairs = np.unique(np.concatenate(found), axis=0)
+    give_back()
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
