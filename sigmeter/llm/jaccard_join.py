@@ -15,6 +15,7 @@ and parity-sketch bound are verified too, so no link between different component
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,7 +34,7 @@ K2, N2 = 1, 3  # differences allowed in a part, cells of a part
 SKETCH_WORDS = 8  # 64-bit words of the parity sketch
 FOLDED_WORDS = 4  # words of the sketch that travels with signatures: halves of the other, folded
 SHINGLES_PER_PART = 1 << 20
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 48 << 20
 SAMPLE = 16000  # documents in which frequent shingles are looked for, about
 FREQUENT = 0.0003  # share of the sample from which a shingle is frequent
 MOST_FREQUENT = 100_000
@@ -382,6 +383,7 @@ def classes(docs: DataFrame) -> DataFrame:
     parts = max(least, volume // SHINGLES_PER_PART)
     frequent = frequent_shingles(docs, told.count())
     raw = materialise(stars(docs, parts, frequent), "sets-stars")
+    _drop_shuffles(spark)
     ties = materialise(bounded(raw, sizes).select("a", "b", "n"), "sets-ties")
 
     wanted = ties.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -399,6 +401,7 @@ def classes(docs: DataFrame) -> DataFrame:
         wide = raw.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         state = sizes.join(wide, "key", "left_semi").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         state = materialise(state, "sets-state")
+        _drop_shuffles(spark)
         volume = state.agg(F.sum("n_shingles")).first()[0]
         rest = materialise(remaining(docs, state, max(least, volume // SHINGLES_PER_PART), frequent), "sets-rest")
         rest = materialise(bounded(rest, sizes).select("a", "b"), "sets-rest")
@@ -417,6 +420,13 @@ def classes(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished steps, whose results are written, before the next large step."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def _apart(ties: DataFrame, comp: DataFrame) -> DataFrame:
     """Ties whose ends are in different components."""
     a, b = (comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
