@@ -41,6 +41,8 @@ CONTEXT = {
 }
 AGAINST = r"example|sample|version|build|serial|order|invoice|isbn|test"
 NEAR = 48  # code points read on either side
+# Between members of a list at most one word stands ("and", "2.", a name); such a span shares the context of the one before it.
+LISTED = r"^[^\p{L}\p{N}]*+(?:[\p{L}\p{N}]++[^\p{L}\p{N}]*+)?$"
 MIN_SCORE = 0.5
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
@@ -78,9 +80,13 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, before: Column, after: Column) -> Column:
+def _named(kind: str, before: Column, after: Column) -> Column:
+    return F.regexp_like(F.lower(F.concat_ws(" ", before, after)), F.lit(CONTEXT[kind]))
+
+
+def _score(kind: str, before: Column, after: Column, named: Column) -> Column:
     near = F.lower(F.concat_ws(" ", before, after))
-    up = F.when(F.regexp_like(near, F.lit(CONTEXT[kind])), 0.2).otherwise(0.0)
+    up = F.when(named, 0.2).otherwise(0.0)
     down = F.when(F.regexp_like(near, F.lit(AGAINST)), -0.2).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(START_SCORE[kind]) + up + down)), 2)
 
@@ -90,18 +96,20 @@ def _proposals(text: Column, kind: str) -> Column:
     pattern = rf"(?s)\G(.*?)({PATTERN[kind]})(?=(.{{0,{NEAR}}}))"  # without \G the rest of a text is tried from every start
     parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
     rows = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("gap", "hit", "after"))))
-    empty = F.expr(f"struct(0 as pos, cast(array() as {SPAN}) as found)")
+    empty = F.expr(f"struct(0 as pos, '' as tail, false as named, cast(array() as {SPAN}) as found)")
 
     def step(acc, row):
         start = acc["pos"] + F.length(row["gap"])
         end = start + F.length(row["hit"])
-        before = F.right(row["gap"], F.lit(NEAR))
+        before = F.right(F.concat(acc["tail"], row["gap"]), F.lit(NEAR))  # the text before the span, other matches included
+        named = _named(kind, before, row["after"]) | (acc["named"] & F.regexp_like(row["gap"], F.lit(LISTED)))
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"),
-                        end.alias("end"), _score(kind, before, row["after"]).alias("score"))
+                        end.alias("end"), _score(kind, before, row["after"], named).alias("score"))
         ok = valid(kind, row["hit"])
         if kind in EXTRA:
             ok = ok & (span["score"] >= MIN_SCORE)
-        return F.struct(end.alias("pos"), F.when(ok, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+        return F.struct(end.alias("pos"), F.right(F.concat(before, row["hit"]), F.lit(NEAR)).alias("tail"), named.alias("named"),
+                        F.when(ok, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
     hint = F.contains(text, F.lit("@")) if kind == "email" else F.regexp_like(text, F.lit(HINT[kind]))
     return F.when(hint, F.aggregate(rows, empty, step)["found"]).otherwise(F.expr(f"cast(array() as {SPAN})"))

@@ -149,6 +149,16 @@ def test_pii_mod_97_context_and_redaction(spark):
     assert out[1] == ("IBAN [IBAN] ok", 14) and out[3] == ("my ssn is [SSN]", 15) and out[5] == (None, None)
 
 
+def test_pii_every_number_of_a_list_shares_its_heading(spark):
+    some = [f"{a}-{b}-{c}" for a, b, c in zip(range(123, 132), range(45, 54), range(6789, 6798))]
+    texts = ["social security numbers: 123-45-6789, 234-56-7890", "social security numbers: " + ", ".join(some), "SSN\n" + "\n".join(f"{i}. {n}" for i, n in enumerate(some)),
+             "parts: " + ", ".join(some), "the ssn 123-45-6789 is wanted" + " by nobody at all" * 9 + " as 234-56-7890"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.pii_spans if s.kind == "ssn"] for r in pii.find_spans(df).collect()}
+    assert got == {0: ["123-45-6789", "234-56-7890"], 1: some, 2: some, 3: [], 4: ["123-45-6789"]}
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "social security numbers: [SSN], [SSN]"
+
+
 # ---- tokens and packing
 
 ODD = [" ", "  ", "\n", " \n", "a", "the", "é", " ", " ", "\t", "'s", "12", "😀", "<|endoftext|>", "漢", "Z", "!!", "▁", "</s>", "\x00", "\x85"]
