@@ -25,7 +25,7 @@ PATTERN = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9]++(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}",  # the opening; the end is chosen by length and remainder
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 # A cheap test that every text with a match passes; most texts end here.
@@ -40,6 +40,15 @@ CONTEXT = {
     "iban": r"iban|bank|account|transfer|konto|compte|cuenta", "ssn": r"ssn|social|security",
 }
 AGAINST = r"example|sample|version|build|serial|order|invoice|isbn|test"
+# Characters of an account number by country.
+IBAN_LENGTH = {n: codes.split() for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}.items()}
+IBAN_REST = (11, 30)  # characters behind the opening
+IBAN_AHEAD = 2 * IBAN_REST[1] + 1  # code points that they take at most, and one that shows where the last token ends
 NEAR = 48  # code points read on either side
 # Between members of a list at most one word stands ("and", "2.", a name); such a span shares the context of the one before it.
 LISTED = r"^[^\p{L}\p{N}]*+(?:[\p{L}\p{N}]++[^\p{L}\p{N}]*+)?$"
@@ -73,8 +82,6 @@ def valid(kind: str, match: Column) -> Column:
         return F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
-    if kind == "iban":
-        return _mod97(match) == 1
     if kind == "ssn":
         return ~F.regexp_like(match, F.lit("^(?:000|666|9..)|-00-|-0000$"))
     return F.lit(True)
@@ -115,6 +122,49 @@ def _proposals(text: Column, kind: str) -> Column:
     return F.when(hint, F.aggregate(rows, empty, step)["found"]).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
+def _account_end(opening: Column, ahead: Column) -> Column:
+    """Code points of ``ahead`` that belong to the account number begun by ``opening``; 0 if none does.
+
+    Of the token ends where the remainder is 1: the one of the country's length, else the longest.
+    """
+    length = F.coalesce(*(F.when(F.substr(opening, F.lit(1), F.lit(2)).isin(codes), n) for n, codes in IBAN_LENGTH.items()), F.lit(0))
+    tokens = F.regexp_extract_all(F.substr(ahead, F.lit(1), F.lit(IBAN_AHEAD)), F.lit(r"\G( ?[A-Z0-9]++)(?![A-Za-z0-9])"), F.lit(1))
+
+    def step(acc, token):
+        upto = F.concat(acc["upto"], token)
+        n = F.length(F.replace(upto, F.lit(" "), F.lit("")))
+        fits = n.between(*IBAN_REST) & ~acc["exact"]
+        ok = F.when(fits, _mod97(F.concat(opening, upto)) == 1).otherwise(False)
+        return F.struct(upto.alias("upto"), F.when(ok, F.length(upto)).otherwise(acc["end"]).alias("end"),
+                        (acc["exact"] | (ok & (n + 4 == length))).alias("exact"))
+
+    return F.aggregate(tokens, F.expr("struct('' as upto, 0 as end, false as exact)"), step)["end"]
+
+
+def _account_numbers(text: Column) -> Column:
+    """Spans of iban. Every opening is tried, also inside the tokens behind one that came to nothing."""
+    pattern = rf"(?s)\G(.*?)({PATTERN['iban']})(?=(.{{0,{IBAN_AHEAD + NEAR}}}))"
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
+    rows = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("gap", "hit", "ahead"))))
+    # The end is found once per opening, before the spans are put together.
+    rows = F.transform(rows, lambda row: F.struct(row["gap"].alias("gap"), row["hit"].alias("hit"), row["ahead"].alias("ahead"), _account_end(row["hit"], row["ahead"]).alias("more")))
+    empty = F.expr(f"struct(0 as pos, 0 as free, '' as tail, cast(array() as {SPAN}) as found)")
+
+    def step(acc, row):
+        start = acc["pos"] + F.length(row["gap"])
+        pos = start + F.length(row["hit"])
+        end = pos + row["more"]
+        before, after = F.right(F.concat(acc["tail"], row["gap"]), F.lit(NEAR)), F.substr(row["ahead"], row["more"] + 1, F.lit(NEAR))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index("iban")).alias("rank"), F.lit("iban").alias("kind"),
+                        end.alias("end"), _score("iban", before, after, _named("iban", before, after)).alias("score"))
+        ok = (row["more"] > 0) & (start >= acc["free"]) & (span["score"] >= MIN_SCORE)
+        return F.struct(pos.alias("pos"), F.when(ok, end).otherwise(acc["free"]).alias("free"),
+                        F.right(F.concat(before, row["hit"]), F.lit(NEAR)).alias("tail"),
+                        F.when(ok, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+
+    return F.when(F.regexp_like(text, F.lit(HINT["iban"])), F.aggregate(rows, empty, step)["found"]).otherwise(F.expr(f"cast(array() as {SPAN})"))
+
+
 def find_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """Adds ``out``: spans (start, rank, kind, end, score) by start, then kind; code points, end exclusive.
 
@@ -123,7 +173,7 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> D
     if out in docs.columns:
         raise ValueError(f"column {out} exists")
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    found = F.array_sort(F.concat(*(_proposals(value, k) for k in KINDS)))
+    found = F.array_sort(F.concat(*(_account_numbers(value) if k == "iban" else _proposals(value, k) for k in KINDS)))
     has_any = F.regexp_like(value, F.lit("[0-9@]"))
     return docs.withColumn(out, F.when(has_any, found).otherwise(F.expr(f"cast(array() as {SPAN})")))
 

@@ -159,6 +159,17 @@ def test_pii_every_number_of_a_list_shares_its_heading(spark):
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[0] == "social security numbers: [SSN], [SSN]"
 
 
+def test_pii_account_numbers_end_where_they_end(spark):
+    de, gb, xx = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "XX57 1234 5678 9012 345"
+    texts = [f"IBAN {de} BIC COBADEFFXXX", f"IBAN {de.replace(' ', '')} BIC COBADEFFXXX", f"pay {de} EUR 250,00 or {gb} 2024-01-05", f"{xx} EUR", f"{de} {gb} {de} {gb}",
+             f"AB12 3456 7890 1234 {de} TO", f"{de}x", f"{de[:-1]}1 BIC", f"é😀 {gb} Bic", f"{gb}9 EUR", None, de]
+    want = [[de], [de.replace(" ", "")], [de, gb], [xx], [de, gb, de, gb], [de], [], [], [gb], [], [], [de]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.pii_spans if s.kind == "iban"] for r in pii.find_spans(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert {r.doc_id: r.text for r in pii.redact(df.filter("doc_id < 2")).collect()} == {0: "IBAN [IBAN] BIC COBADEFFXXX", 1: "IBAN [IBAN] BIC COBADEFFXXX"}
+
+
 # ---- tokens and packing
 
 ODD = [" ", "  ", "\n", " \n", "a", "the", "é", " ", " ", "\t", "'s", "12", "😀", "<|endoftext|>", "漢", "Z", "!!", "▁", "</s>", "\x00", "\x85"]
