@@ -1,7 +1,7 @@
 """Licence notices by Dice coefficient over word bigrams.
 
-Every sentence, line, paragraph and whole text is normalised to lower-case words and compared with
-templates. With m and t bigrams the coefficient 2 * shared / (m + t) reaches the threshold only if the
+Every sentence, line, paragraph, whole text and stretch of words that begins and ends like a template is
+normalised to lower-case words and compared with templates. With m and t bigrams the coefficient 2 * shared / (m + t) reaches the threshold only if the
 sizes are within a fixed ratio, which prunes templates; and only if enough of the unit's words occur in
 templates at all, which ends most units after one count.
 """
@@ -9,6 +9,7 @@ templates at all, which ends most units after one count.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -62,6 +63,48 @@ class Scanner:
         self.sizes, self.made = [m[0] for m in made], made
         self.opens = {a for _, _, grams in made for a, _ in grams}
 
+        self.index: dict[tuple[str, str], list[int]] = {}
+        for k, (_, _, grams) in enumerate(made):
+            for g in grams:
+                self.index.setdefault(g, []).append(k)
+
+    def windows(self, words: list[str]) -> list[tuple[float, str, tuple[str, ...]]]:
+        """Stretches of words close to a template: coefficient, name and words. Of overlapping ones that with most shared bigrams.
+
+        A best stretch begins and ends with a shared bigram, since cutting others off raises the coefficient.
+        """
+        hits: dict[int, list[int]] = {}
+        grams = list(zip(words, words[1:]))
+        for i, g in enumerate(grams):
+            for k in self.index.get(g, ()):
+                hits.setdefault(k, []).append(i)
+        close = []
+        for k, at in hits.items():
+            t, name, wanted = self.made[k]
+            least, most = max(1, math.ceil(t * self.ratio - 1e-9)), t / self.ratio + 1e-9
+            for a in range(len(at) - least + 1):
+                if at[a + least - 1] - at[a] + 1 > most:
+                    continue
+                shared, used, top = 0, Counter(), None
+                for b in range(a, len(at)):
+                    m = at[b] - at[a] + 1
+                    if m > most:
+                        break
+                    g = grams[at[b]]
+                    used[g] += 1
+                    shared += used[g] <= wanted[g]
+                    d = 2 * shared / (m + t)
+                    if d >= self.threshold and (top is None or d > top[1]):
+                        top = (shared, d, name, at[a], at[b] + 2)
+                if top:
+                    close.append(top)
+        out, covered = [], bytearray(len(words))
+        for _, d, name, a, b in sorted(close, reverse=True):
+            if 1 not in covered[a:b]:
+                covered[a:b] = b"\1" * (b - a)
+                out.append((d, name, tuple(words[a:b])))
+        return out
+
     def best(self, words: list[str]) -> tuple[float, str] | None:
         m = len(words) - 1
         if m < 1:
@@ -74,18 +117,25 @@ class Scanner:
         return max(found, key=lambda x: (x[0], x[1])) if found else None
 
     def scan(self, text: str) -> tuple[list[tuple[float, str]], list[str]]:
-        """Matches of all units, each unit text once, and the licences named."""
+        """Matches of all units and of stretches outside them, each text once, and the licences named."""
         units = [text, *BLANK.split(text)]
         for line in text.split("\n"):
             units.append(line)
             units += SENTENCE.split(line)
-        out, seen = [], set()
+        out, seen, matched = [], set(), set()
         for unit in units:
             if unit not in seen:
                 seen.add(unit)
-                got = self.best(WORD.findall(unit.lower()))
+                words = WORD.findall(unit.lower())
+                got = self.best(words)
                 if got:
                     out.append(got)
+                    matched.add((got[1], f" {' '.join(words)} "))
+        for d, name, words in self.windows(WORD.findall(text.lower())):
+            own = f" {' '.join(words)} "
+            if not any(name == n and own in unit for n, unit in matched):
+                matched.add((name, own))
+                out.append((d, name))
         return out, sorted({name for _, name in out})
 
 

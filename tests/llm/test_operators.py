@@ -427,3 +427,24 @@ def test_licence_scan_matches_plain_dice(spark):
         every = [(licences.dice(licences.bigrams(words), g), n) for _, n, g in scanner.made]
         top = max((e for e in every if e[0] >= 0.8), default=None)
         assert scanner.best(words) == top
+
+
+def test_licence_notice_inside_other_text(spark):
+    texts = ["All of the code in this folder was written by the team. Licensed under the Apache\nLicense, Version 2.0. Ask them for more\nif you need it.",
+             "It is licensed under the Apache License, Version 2.0, and hosted by the team", "We think, as said before, that the code is released\n# under the MIT License and that this is fine",
+             "The apache is a license to all of version two under the team", "Released under the MIT License. " * 400 + "x"]
+    got = [(r["licence"], r["licences"], r["n_matches"]) for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [("Apache-2.0", ["Apache-2.0"], 1), ("Apache-2.0", ["Apache-2.0"], 1), ("MIT", ["MIT"], 1), (None, [], 0), ("MIT", ["MIT"], 1)]
+
+
+def test_licence_windows_match_all_stretches():
+    scanner, rng = licences.Scanner(licences.TEMPLATES, 0.8), random.Random(5)
+    vocabulary = [w for _, t in licences.TEMPLATES for w in licences.WORD.findall(t.lower())]
+    few = [t for t in licences.TEMPLATES if len(t[1].split()) < 25]
+    for _ in range(60):
+        words = licences.WORD.findall(rng.choice(few)[1].lower())
+        for _ in range(rng.randrange(3)):
+            words.insert(rng.randrange(len(words)), rng.choice(vocabulary))
+        words = [rng.choice(vocabulary) for _ in range(4)] + words + [rng.choice(vocabulary) for _ in range(4)]
+        every = [scanner.best(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        assert any(every) == bool(scanner.windows(words))
