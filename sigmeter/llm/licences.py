@@ -43,9 +43,47 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("ISC", "Released under the ISC License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+GNU = [("GPL", "GNU General Public License", ("1", "2", "3")), ("LGPL", "GNU Library General Public License", ("2",)),
+       ("LGPL", "GNU Lesser General Public License", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", ("3",))]
+GNU_NOTICES = [  # suffix of the name, notice
+    ("", "This work is licensed under the {0}, version {1}."),
+    ("", "Licensed under the {0} v{1}."),
+    ("", "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, version {1} of the License."),
+    ("", "This program is free software: you can redistribute it and/or modify it under the terms of the {0} version {1} as published by the Free Software Foundation."),
+    ("-or-later", "This work is licensed under the {0}, version {1} or later."),
+    ("-or-later", "This work is licensed under the {0}, version {1}, or (at your option) any later version."),
+    ("-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."),
+    ("-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version."),
+]
+CC_PARTS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-ND", "Attribution-NoDerivs"),
+            ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+            ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivs")]
+CC_NOTICES = ["Licensed under CC {0} {2}.", "This work is licensed under a Creative Commons {1} {2} {3} License.", "This work is licensed under the Creative Commons {1} {2} {3} License."]
+TEMPLATES += [(f"{n}-{v if '.' in v else v + '.0'}{suffix}", notice.format(title, v)) for n, title, versions in GNU for v in versions for suffix, notice in GNU_NOTICES]
+TEMPLATES += [(f"CC-{short}-{v}", notice.format(short, title, v, kind)) for short, title in CC_PARTS for v, kind in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"))
+              for notice in CC_NOTICES]
+TEMPLATES = list(dict.fromkeys(TEMPLATES))
+
+# Words that tell one licence from its siblings: those of a template must be present, as must its version numbers.
+NAMES = {"mit", "apache", "bsd", "isc", "mozilla", "cc", "attribution"}
+VARIANTS = {"affero", "lesser", "later", "sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives", "noderivs"}  # and no others of these
+REACH = sorted(((i, j) for i in range(4) for j in range(4)), key=sum)
+VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")
+
+
+def telling(words: list[str]) -> tuple[set[str], set[str]]:
+    """Names and versions, and variants, among ``words``; 3, v3 and 3.0 are one version."""
+    versions = {m[1] for w in words if (m := VERSION.fullmatch(w))}
+    library = {"library"} if ("library", "general") in zip(words, words[1:]) else set()  # not "this library is"
+    return versions | (NAMES & set(words)), (VARIANTS & set(words)) | library
+
 
 def bigrams(words: list[str]) -> Counter:
     return Counter(zip(words, words[1:]))
@@ -61,6 +99,8 @@ class Scanner:
         self.threshold, self.ratio = threshold, threshold / (2 - threshold)
         made = sorted(((len(w) - 1, name, bigrams(w)) for name, w in ((n, WORD.findall(t.lower())) for n, t in templates) if len(w) > 1), key=lambda x: x[:2])
         self.sizes, self.made = [m[0] for m in made], made
+        told = {(n, frozenset(bigrams(w).items())): telling(w) for n, w in ((n, WORD.findall(t.lower())) for n, t in templates)}
+        self.told = [told[name, frozenset(grams.items())] for _, name, grams in made]
         self.opens = {a for _, _, grams in made for a, _ in grams}
 
         self.index: dict[tuple[str, str], list[int]] = {}
@@ -68,6 +108,11 @@ class Scanner:
             for g in grams:
                 self.index.setdefault(g, []).append(k)
 
+    def accepts(self, k: int, words: list[str]) -> bool:
+        """Whether ``words`` hold what tells template ``k`` from its siblings."""
+        (need, variants), (own, other) = self.told[k], telling(words)
+        return need <= own and variants == other
+
     def windows(self, words: list[str]) -> list[tuple[float, str, tuple[str, ...]]]:
         """Stretches of words close to a template: coefficient, name and words. Of overlapping ones that with most shared bigrams.
 
@@ -93,9 +138,14 @@ class Scanner:
                     g = grams[at[b]]
                     used[g] += 1
                     shared += used[g] <= wanted[g]
-                    d = 2 * shared / (m + t)
-                    if d >= self.threshold and (top is None or d > top[1]):
-                        top = (shared, d, name, at[a], at[b] + 2)
+                    if 2 * shared / (m + t) < self.threshold or (top and 2 * shared / (m + t) <= top[1]):
+                        continue
+                    # A telling word that is written otherwise (3.0 for 3) may stand just outside the shared bigrams.
+                    for before, after in REACH:
+                        d, lo, hi = 2 * shared / (m + before + after + t), at[a] - before, at[b] + 2 + after
+                        if d >= self.threshold and 0 <= lo and hi <= len(words) and (top is None or d > top[1]) and self.accepts(k, words[lo:hi]):
+                            top = (shared, d, name, lo, hi)
+                            break
                 if top:
                     close.append(top)
         out, covered = [], bytearray(len(words))
@@ -105,6 +155,14 @@ class Scanner:
                 out.append((d, name, tuple(words[a:b])))
         return out
 
+    def named(self, words: list[str]) -> tuple[float, str] | None:
+        """The closest template that ``words`` also name."""
+        if self.best(words) is None:
+            return None
+        own, m = bigrams(words), len(words) - 1
+        lo, hi = bisect.bisect_left(self.sizes, m * self.ratio - 1e-9), bisect.bisect_right(self.sizes, m / self.ratio + 1e-9)
+        return max(((d, self.made[k][1]) for k in range(lo, hi) if (d := dice(own, self.made[k][2])) >= self.threshold and self.accepts(k, words)), default=None)
+
     def best(self, words: list[str]) -> tuple[float, str] | None:
         m = len(words) - 1
         if m < 1:
@@ -127,7 +185,7 @@ class Scanner:
             if unit not in seen:
                 seen.add(unit)
                 words = WORD.findall(unit.lower())
-                got = self.best(words)
+                got = self.named(words)
                 if got:
                     out.append(got)
                     matched.add((got[1], f" {' '.join(words)} "))

@@ -446,5 +446,18 @@ def test_licence_windows_match_all_stretches():
         for _ in range(rng.randrange(3)):
             words.insert(rng.randrange(len(words)), rng.choice(vocabulary))
         words = [rng.choice(vocabulary) for _ in range(4)] + words + [rng.choice(vocabulary) for _ in range(4)]
-        every = [scanner.best(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        every = [scanner.named(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
         assert any(every) == bool(scanner.windows(words))
+
+
+def test_licence_siblings_are_told_apart():
+    scanner = licences.Scanner(licences.TEMPLATES, licences.THRESHOLD)
+    full = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    short = "This work is licensed under the GNU {} License, version {}."
+    cases = [(full.format("General Public", "2"), "GPL-2.0-or-later"), (full.format("General Public", "3"), "GPL-3.0-or-later"), (full.format("Affero General Public", "3"), "AGPL-3.0-or-later"),
+             (full.format("Lesser General Public", "2.1"), "LGPL-2.1-or-later"), (full.format("Lesser General Public", "3"), "LGPL-3.0-or-later"), (short.format("Affero General Public", "3"), "AGPL-3.0"),
+             (short.format("General Public", "3.0"), "GPL-3.0"), ("It is licensed under the GNU General Public License, version 3.0, as we hear, and it is hosted by the team of the day", "GPL-3.0"), (short.format("General Public", "4"), None), (short.format("Other Affero General Public", "2"), None), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+             ("Licensed under CC BY-NC-SA 3.0.", "CC-BY-NC-SA-3.0"), ("Licensed under CC BY-NC 1.0.", None), ("Licensed under the Apache License, Version 3.0.", None)]
+    for text, name in cases + [(t, n) for n, t in licences.TEMPLATES]:
+        for around in (text, "We like it. " + text + " So do they, as we hear", text.replace(" ", "\n# ", 9)):
+            assert scanner.scan(around)[1] == ([name] if name else []), around
