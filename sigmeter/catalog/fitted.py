@@ -87,7 +87,11 @@ def fold_run(spark, sf, names, seeds=(101,)):
     return M.run_trials(fold_units(names, seeds, N_FOLDS), rows_of, M.fit_and_score(NF, WINDOW))
 
 
-GRID = {"logit": M.Profile("logit", "l2", {}), "logit_strong": M.Profile("logit", "l2_strong", {"reg": 0.1}), "trend_linear": PROFILES["trend_linear"]}
+GRID = PROFILES | {
+    "logit_strong": M.Profile("logit", "l2_strong", {"reg": 0.1}),
+    "trees_shallow": M.Profile("trees", "d2", {"iters": 4, "depth": 2}),
+    "last_step_trees_shallow": M.Profile("last_step_trees", "d2", {"iters": 4, "depth": 2}),
+}
 
 
 @query("g14_hpo_grid_run")
@@ -96,23 +100,28 @@ def g14(spark, sf):
     return rounded(M.trial_rows(fold_run(spark, sf, list(GRID), P.SEEDS), KEYS + ["fold_id"], spark), 6)
 
 
+FEATURE_SETS = {"returns": ["log_return", "high_low_range"], "clock": ["time_of_day_sin", "time_of_day_cos"], "all": ["log_return", "high_low_range", "time_of_day_sin", "time_of_day_cos"]}
+WIDTHS = (3, 5)
+
+
 @query("g15_probe_screening_run")
 def g15(spark, sf):
-    """Feature sets x window sizes with the logit probe on the train-inner folds."""
+    """Feature sets x window sizes x probes x seeds on the train-inner folds; a failed fit is a row with its error."""
     out = None
     ev = train_events(spark, sf)
     folds = materialise(FD.train_inner_folds(ev, N_FOLDS), "folds")
     feats = featured(spark, sf)
-    for name, cols, width in (("returns", ["log_return", "high_low_range"], 3), ("returns", ["log_return", "high_low_range"], 5), ("clock", ["time_of_day_sin", "time_of_day_cos"], 3)):
+    for name, cols, width in ((n, c, w) for n, c in FEATURE_SETS.items() for w in WIDTHS):
         rows = materialise(FD.fold_rows(WN.window_dataset(feats, ev, cols, width, name), folds), "probe")
 
         def rows_of(u, rows=rows):
             m = rows.filter(F.col("fold_id") == u["fold_id"]).drop("fold_id")
             return m.filter("fold_side = 'train'"), m.filter("fold_side = 'eval'")
 
-        p = M.run_units(fold_units(["logit"], (101,), N_FOLDS), rows_of, M.fit_and_score(len(cols), width))
-        led = M.ledger_of(p, KEYS + ["fold_id"]).withColumn("candidate_id", F.lit(f"{name}_w{width}"))
-        out = led if out is None else out.unionByName(led)
+        t = M.run_trials(fold_units(list(PROFILES), P.SEEDS, N_FOLDS), rows_of, M.fit_and_score(len(cols), width))
+        # Written per candidate, so that no plan holds the fits of all.
+        led = materialise(M.trial_rows(t, KEYS + ["fold_id"], spark).withColumn("candidate_id", F.lit(f"{name}_w{width}")), "probe-trials")
+        out = led if out is None else out.unionByName(led, allowMissingColumns=True)
     return rounded(out, 6)
 
 
@@ -134,8 +143,8 @@ def walkforward(spark, sf, names, seeds=(101,)):
 
 @query("g16_walkforward_refit")
 def g16(spark, sf):
-    """Every family on every period."""
-    return rounded(M.trial_rows(walkforward(spark, sf, list(PROFILES)), KEYS + ["period_id"], spark), 6)
+    """Every family on every period with every seed."""
+    return rounded(M.trial_rows(walkforward(spark, sf, list(PROFILES), P.SEEDS), KEYS + ["period_id"], spark), 6)
 
 
 @query("g17_frozen_validation_readout")
@@ -151,22 +160,28 @@ def g18(spark, sf):
 
 @query("g20_planted_signal_run")
 def g20(spark, sf):
-    """Planted arms through the same fit: labels replaced, windows untouched."""
-    from ..operators import planted as PL
+    """Planted arms through the same fit on the train-inner folds: labels replaced, windows untouched; with the sentinels of each fit."""
+    from ..operators import planted as PL, readouts as RO, resample as RS
     from .closing import ARMS, PLANT_SEED, ruled
+    from .robust import N_PERM, PERM_SEED
 
     w = window_rows(spark, sf).filter("split = 'train'").drop("label", "split")
-    arms = ARMS
-    lab = PL.inject(ruled(spark, sf), arms, PLANT_SEED).select("sample_id", "arm_id", "label")
-    rows = materialise(w.join(lab, "sample_id"), "planted-windows")
-    cut = "2024-01-14"
+    lab = PL.inject(ruled(spark, sf), ARMS, PLANT_SEED).select("sample_id", "arm_id", "label")
+    folds = FD.train_inner_folds(train_events(spark, sf), N_FOLDS)
+    rows = materialise(FD.fold_rows(w.join(lab, "sample_id"), folds), "planted-windows")
 
     def rows_of(u):
-        m = rows.filter(F.col("arm_id") == u["arm_id"]).drop("arm_id")
-        return m.filter(F.col("trading_day") < cut), m.filter(F.col("trading_day") >= cut)
+        m = rows.filter((F.col("arm_id") == u["arm_id"]) & (F.col("fold_id") == u["fold_id"])).drop("arm_id", "fold_id")
+        return m.filter("fold_side = 'train'").drop("fold_side"), m.filter("fold_side = 'eval'").drop("fold_side")
 
-    units = [{"profile": PROFILES["logit"], "seed": s, "arm_id": a} for s in P.SEEDS for a in arms]
-    return rounded(M.trial_rows(M.run_trials(units, rows_of, M.fit_and_score(NF, WINDOW)), KEYS + ["arm_id"], spark), 6)
+    units = [{**u, "arm_id": a} for u in fold_units(["logit"], P.SEEDS, N_FOLDS) for a in ARMS]
+    trials = M.run_trials(units, rows_of, M.fit_and_score(NF, WINDOW))
+    keys = KEYS + ["fold_id", "arm_id"]
+    if trials.preds is None:
+        return M.trial_rows(trials, keys, spark)
+    preds = materialise(trials.preds, "planted-predictions")
+    sentinels = RS.label_shuffle(RO.block_cells(preds, keys), keys, N_PERM, PERM_SEED).drop("n_rows").join(RS.time_reverse(preds, keys), keys)
+    return rounded(M.trial_rows(M.Trials(preds, trials.failures), keys, spark).join(sentinels, keys, "left"), 6)
 
 
 @query("g21_prediction_dump")
