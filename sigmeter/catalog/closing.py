@@ -360,7 +360,7 @@ def p11r(spark, sf):
 
 # ---- bands and autopsy -----------------------------------------------------------------
 
-BAND_BOOT = 40
+BAND_BOOT = 1000
 cte("rank_cells", """WITH k AS (SELECT seed, i, lag(kk) OVER (PARTITION BY seed ORDER BY i) AS k0, kk FROM (SELECT seed, i, greatest(1, least(nn, ceil(round((0.05::DOUBLE + i * 0.005::DOUBLE) * nn, 9))))::BIGINT AS kk
     FROM (SELECT unnest(range(191)) AS i), (SELECT seed, max(nn) AS nn FROM ranked GROUP BY 1)))
   SELECT r.seed, r.trading_day, k.i, count(*) AS n, sum(1 - r.correct) AS e FROM ranked r JOIN k ON k.seed = r.seed AND r.rk <= k.kk AND r.rk > coalesce(k.k0, 0) GROUP BY 1, 2, 3""")
@@ -389,7 +389,7 @@ def i10(spark, sf):
 
 @query("i11_random_order_band")
 def i11(spark, sf):
-    return rounded(SEL.permutation_band(SEL.with_confidence(P.scored(spark, sf), ["seed"]), 48, PERM_SEED))
+    return rounded(SEL.permutation_band(SEL.with_confidence(P.scored(spark, sf), ["seed"]), BAND_BOOT, PERM_SEED))
 
 
 cte("terc_blocks", """SELECT b.*, unnest(['all', t.activity_tercile]) AS activity_tercile FROM seed_blocks b JOIN day_terciles t USING (ticker, trading_day)""")

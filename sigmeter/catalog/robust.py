@@ -11,8 +11,9 @@ from ..sources import predictions as P, tape as TP
 from .base import (RESUM_SQL, SUMS_SQL, bf1, cf1, cte, delta, div, f1, hx, lcb, query, r, rounded)
 from .scoring import ACC, ALL, cells, ledger, stored, units
 
-N_BOOT, BOOT_SEED = 200, 12345
-N_PERM, PERM_SEED = 50, 20260617
+N_BOOT, BOOT_SEED = 1000, 12345
+N_PERM, PERM_SEED = 200, 20260617
+N_PERM_GUARDED = 50  # k10 alone
 LOO_AXES = ["ticker", "seed", "calendar_year", "calendar_quarter", "time_of_day_hour", "activity_tercile"]
 
 
@@ -158,16 +159,16 @@ def k9(spark, sf):
 
 
 cte("terc_null", f"""SELECT activity_tercile, seed, draw, {f1()} AS f FROM (SELECT activity_tercile, seed, draw, sum(n) AS n, sum(p) AS p, sum(pp) AS pp, sum(xa + xb) AS tp
-  FROM (SELECT s.*, unnest(['all', t.activity_tercile]) AS activity_tercile FROM shuf3 s JOIN day_terciles t USING (ticker, trading_day)) GROUP BY 1, 2, 3)""")
+  FROM (SELECT s.*, unnest(['all', t.activity_tercile]) AS activity_tercile FROM shuf3 s JOIN day_terciles t USING (ticker, trading_day) WHERE draw < {N_PERM_GUARDED}) GROUP BY 1, 2, 3)""")
 cte("terc_seed", f"""SELECT activity_tercile, seed, {RESUM_SQL} FROM (SELECT b.*, unnest(['all', t.activity_tercile]) AS activity_tercile FROM seed_blocks b JOIN day_terciles t USING (ticker, trading_day)) GROUP BY 1, 2""")
 
 
 @query("k10_guarded_label_shuffle", f"""SELECT activity_tercile, o.n_rows, {r('o.om')} AS observed_macro_f1, {r('o.dm')} AS dummy_macro_f1, {r('o.om - o.dm')} AS observed_delta_vs_dummy, {r('s.sm')} AS shuffled_macro_f1_mean,
-  {r('s.sx')} AS shuffled_macro_f1_max, {r('s.sm - o.dm')} AS shuffled_delta_mean, {r('s.sx - o.dm')} AS shuffled_delta_max, {N_PERM} AS n_perms, o.om > s.sx AS observed_exceeds_shuffle_max
+  {r('s.sx')} AS shuffled_macro_f1_max, {r('s.sm - o.dm')} AS shuffled_delta_mean, {r('s.sx - o.dm')} AS shuffled_delta_max, {N_PERM_GUARDED} AS n_perms, o.om > s.sx AS observed_exceeds_shuffle_max
   FROM (SELECT activity_tercile, round(avg(n))::BIGINT AS n_rows, avg({f1()}) AS om, avg({bf1()}) AS dm FROM terc_seed GROUP BY 1) o
   JOIN (SELECT activity_tercile, avg(f) AS sm, max(f) AS sx FROM terc_null GROUP BY 1) s USING (activity_tercile)""")
 def k10(spark, sf):
-    return rounded(SL.guarded_label_shuffle(cells(spark, sf), N_PERM, PERM_SEED))
+    return rounded(SL.guarded_label_shuffle(cells(spark, sf), N_PERM_GUARDED, PERM_SEED))
 
 
 cte("ticker_blocks", f"SELECT seed, ticker, trading_day, {RESUM_SQL} FROM cells_one GROUP BY 1, 2, 3")

@@ -242,3 +242,16 @@ def test_roll_recovers_the_half_spread_and_excludes_its_own_day(spark):
     hit = roll_halfspread(bounce_bars(spark, bump=20)).orderBy("trading_day").collect()
     assert hit[20]["halfspread"] == base[20]["halfspread"] and hit[21]["halfspread"] != base[21]["halfspread"]
     assert corwin_schultz(bounce_bars(spark)).filter("cs_halfspread < 0").count() == 0
+
+
+def test_registered_queries_use_the_declared_draws(monkeypatch):
+    from sigmeter.catalog import closing, robust, spreads
+
+    assert (robust.N_BOOT, closing.N_BOOT, spreads.N_BOOT, closing.BAND_BOOT) == (1000,) * 4 and (robust.N_PERM, robust.N_PERM_GUARDED) == (200, 50)
+    seen = []
+    monkeypatch.setattr(closing.SEL, "permutation_band", lambda rows, n, seed: seen.append(n))
+    monkeypatch.setattr(closing.SEL, "with_confidence", lambda *a: None)
+    monkeypatch.setattr(closing, "rounded", lambda x: x)
+    monkeypatch.setattr(closing.P, "scored", lambda *a: None)
+    closing.i11(None, "")
+    assert seen == [1000]
