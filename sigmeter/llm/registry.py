@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language, licences, packing, pieces, pii, quality, topk, toxicity
+from . import collocations, exact_dedup, jaccard_join, language, licences, packing, pieces, pii, quality, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_licences": licences.op9_licences,
     "op10_language": language.op10_language,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op6_topk": topk.OP6_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
