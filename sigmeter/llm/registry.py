@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, exact_dedup, jaccard_join, language, licences, packing, pieces, pii, quality, topk, toxicity
+from . import collocations, exact_dedup, jaccard_join, language, lexical, licences, neighbours, packing, pieces, pii, quality, topk, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,11 +15,14 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_licences": licences.op9_licences,
     "op10_language": language.op10_language,
+    "op11_lexical": lexical.op11_lexical,
     "op12_collocations": collocations.op12_collocations,
+    "op13_neighbours": neighbours.op13_neighbours,
 }
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op6_topk": topk.OP6_SQL,
+    "op11_lexical": lexical.OP11_SQL,
     "op12_collocations": collocations.OP12_SQL,
 }
