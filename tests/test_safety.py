@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import re
+import shutil
 import subprocess
 import sys
 from decimal import Decimal
@@ -159,6 +160,18 @@ def test_workers_get_the_package_from_any_folder(tmp_path):
     assert "ROWS" in out.stdout, out.stderr[-2000:]
 
 
+@pytest.mark.parametrize("gone", [("sigmeter/llm", "tests/llm"), ("sigmeter/llm", "tests/llm", "corpus_pipeline.py")])
+def test_entry_works_without_the_training_data_folders(tmp_path, gone):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    left_out = {os.path.join(repo, g) for g in gone} | {os.path.join(repo, ".git")}
+    shutil.copytree(repo, copy, ignore=lambda folder, names: [n for n in names if os.path.join(folder, n) in left_out or n == "__pycache__"])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print('NAMES', *e.queries(), *e.oracle_sql())"], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
+    names = out.stdout.rpartition("NAMES")[2].split()
+    assert "k1_block_bootstrap" in names and not [n for n in names if n.startswith("op") or n == "pipeline"], out.stderr[-2000:]
+
+
 def test_model_runs_cover_their_rosters(spark, monkeypatch):
     from sigmeter.catalog import fitted
     from sigmeter.sources import predictions as P
