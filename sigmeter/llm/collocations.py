@@ -16,12 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import materialise, ship_package
-from .chunks import give_back, slabs, utf8
+from .chunks import give_back, slabs
 from .common import documents
 from .shingles import mix
+from .terms import coded_spans
 
 LONGEST = 5
 SLAB_BYTES = 4 << 20
@@ -30,10 +32,9 @@ PART_MASS = 1 << 24  # phrase occurrences a hash partition is planned for
 SLACK = 4  # capacity over mass / threshold
 FILTER_WORDS = 1 << 22  # 64-bit words of the broadcast filter: 32 MB at most
 SPARE_BITS = 6  # bits of a fingerprint beyond those that number all occurrences
+PART_PHRASES = 1 << 17  # frequent phrases a partition of the second pass is planned for
 BUFFER = 1_000_000  # entries joined to a summary at once
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 0x20
 _KIND = np.zeros(256, np.uint8)  # 0 word, 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
@@ -45,24 +46,8 @@ class Words:
     """Words of some texts in order: local word numbers, the distinct words, the piece and language of each."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
-        data, starts = utf8(texts)
-        kind = _KIND[data]
-        inside = kind == 0
-        edge = np.zeros(len(data) + 1, bool)
-        edge[starts] = True  # a text's first byte opens a word whatever ends the text before
-        opens, closes = inside.copy(), inside.copy()
-        opens[1:] &= ~inside[:-1] | edge[1:-1]
-        closes[:-1] &= ~inside[1:] | edge[1:-1]
-        first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        doc = np.searchsorted(starts, first, "right") - 1
-        self.piece = np.cumsum(kind == 2, dtype=np.int32)[first] + doc if len(first) else doc
-        bounds = np.empty(2 * len(first), np.int64)
-        bounds[0::2], bounds[1::2] = first, last
-        n = max(len(bounds) - 1, 0)  # words at even places, what lies between at odd ones
-        chunk = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds if n else np.zeros(1, np.int64)), pa.py_buffer(_FOLD[data])])
-        coded = chunk.dictionary_encode()
-        self.distinct = coded.dictionary.to_pylist()
-        self.ids = np.asarray(coded.indices)[0::2]
+        self.distinct, self.ids, doc, first, data = coded_spans(texts, _KIND == 0)
+        self.piece = np.cumsum(_KIND[data] == 2, dtype=np.int32)[first] + doc if len(first) else doc
         tongue = langs.dictionary_encode()
         self.langs = tongue.dictionary.to_pylist()
         self.lang = np.asarray(tongue.indices)[doc]
@@ -237,9 +222,12 @@ def _exact(ids: np.ndarray, sizes: np.ndarray, lang: np.ndarray, h: np.ndarray,
     return ids[new], sizes[new], lang[new], h[new], np.add.reduceat(n, new)
 
 
-def _count_phrases(sieve, log_words: int, bits: int):
-    """(lang, phrase, count) of the task's phrases that pass the filter."""
-    shift = np.uint64(64 - bits)
+COUNTED = "part long, lang string, k int, size int, phrases binary, counts binary"
+
+
+def _count_phrases(sieve, log_words: int, bits: int, part_bits: int):
+    """Exact counts of the task's phrases that pass the filter, one packet per partition, language and length."""
+    shift, part_shift = np.uint64(64 - bits), np.uint64(64 - part_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(sieve.value, np.uint64)
@@ -249,12 +237,19 @@ def _count_phrases(sieve, log_words: int, bits: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                ids, sizes, lang, _, n = _exact(*(np.concatenate(x) for x in zip(*held)))
+                ids, sizes, lang, h, n = _exact(*(np.concatenate(x) for x in zip(*held)))
                 names, langs = list(words), list(tongues)
-                for a in range(0, len(n), 100_000):
-                    text = [b" ".join([names[j] for j in row[:k]]) for row, k in zip(ids[a:a + 100_000].tolist(), sizes[a:a + 100_000].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array([langs[j] for j in lang[a:a + 100_000].tolist()], pa.string()), pa.array(text, pa.binary()).cast(pa.string()),
-                                                      pa.array(sizes[a:a + 100_000].astype(np.int32)), pa.array(n[a:a + 100_000])], names=["lang", "phrase", "k", "a"])
+                part = (h >> part_shift).astype(np.int64)
+                order = np.lexsort((sizes, lang, part))
+                ids, sizes, lang, n, part = ids[order], sizes[order], lang[order], n[order], part[order]
+                new = (part[1:] != part[:-1]) | (lang[1:] != lang[:-1]) | (sizes[1:] != sizes[:-1])
+                cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(n)]])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    k = int(sizes[a])
+                    text = b"\n".join([b" ".join([names[j] for j in row]) for row in ids[a:b, :k].tolist()])  # no word holds a line break
+                    row = [[int(part[a])], [langs[lang[a]]], [k], [b - a], [zstandard.compress(text)], [_planes(n[a:b].astype(np.uint64))]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])],
+                                                     names=["part", "lang", "k", "size", "phrases", "counts"])
             held.clear()
             words.clear()
             tongues.clear()
@@ -286,6 +281,33 @@ def _count_phrases(sieve, log_words: int, bits: int):
     return run
 
 
+def _summed(threshold: int):
+    """Sums packets, sorted by partition, language and length; gives the phrases that reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, {}
+
+        def done() -> pa.RecordBatch:
+            often = [(p, n) for p, n in total.items() if n >= threshold]
+            return pa.RecordBatch.from_arrays([pa.array([at[1]] * len(often), pa.string()), pa.array([p for p, _ in often], pa.binary()).cast(pa.string()),
+                                               pa.array([at[2]] * len(often), pa.int32()), pa.array([n for _, n in often], pa.int64())], names=["lang", "phrase", "k", "a"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = row["part"], row["lang"], row["k"]
+                if key != at:
+                    if at is not None:
+                        yield done()
+                    at, total = key, {}
+                for phrase, n in zip(zstandard.decompress(row["phrases"]).split(b"\n"), _numbers(row["counts"], row["size"]).tolist()):
+                    total[phrase] = total.get(phrase, 0) + n
+        if at is not None:
+            yield done()
+        give_back()
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Exact counts (lang, phrase, k, a): of all words (k = 1), and of phrases of 2 to 5 words with a >= threshold."""
     spark = docs.sparkSession
@@ -300,13 +322,15 @@ def frequent_phrases(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFr
     capacity = SLACK * (mass // threshold // (1 << part_bits)) + 1024
     packets = rows.mapInArrow(_packets(bits, part_bits), PACKET).repartition(1 << part_bits, "part").sortWithinPartitions("part")
     found = materialise(packets.select("part", "size", "gaps", "counts").mapInArrow(_summaries(capacity, threshold), "print long"), "prints")
-    log_words = min(max(found.count() * 24 // 64, 64).bit_length(), FILTER_WORDS.bit_length() - 1)
+    n_found = found.count()
+    log_words = min(max(n_found * 24 // 64, 64).bit_length(), FILTER_WORDS.bit_length() - 1)
     bitmap = np.zeros(1 << log_words, np.uint64)
     masks = found.mapInArrow(_filter_rows(log_words), "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
     bitmap[np.asarray(masks["at"])] = np.asarray(masks["mask"]).view(np.uint64)
     sieve = spark.sparkContext.broadcast(bitmap.tobytes())
-    counted = rows.mapInArrow(_count_phrases(sieve, log_words, bits), "lang string, phrase string, k int, a long")
-    counted = counted.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("a").alias("a")).filter(F.col("a") >= threshold)
+    part_bits = max(n_found // PART_PHRASES, 8).bit_length()
+    counted = rows.mapInArrow(_count_phrases(sieve, log_words, bits, part_bits), COUNTED).repartition(1 << part_bits, "part")
+    counted = counted.sortWithinPartitions("part", "lang", "k").mapInArrow(_summed(threshold), "lang string, phrase string, k int, a long")
     return words, materialise(counted, "phrases")
 
 
