@@ -31,8 +31,14 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def cte(name: str, body: str) -> None:
+STORED: set[str] = set()
+
+
+def cte(name: str, body: str, stored: bool = False) -> None:
+    """``stored``: to be computed once, where it is read several times."""
     CTES[name] = body
+    if stored:
+        STORED.add(name)
 
 
 def with_ctes(body: str) -> str:
@@ -48,7 +54,7 @@ def with_ctes(body: str) -> str:
     visit(body)
     if not order:
         return body
-    head = ", ".join(f"{n} AS ({CTES[n]})" for n in order)
+    head = ", ".join(f"{n} AS {'MATERIALIZED ' * (n in STORED)}({CTES[n]})" for n in order)
     text = body.lstrip()
     if text[:5].upper() == "WITH ":
         return f"WITH {head}, {text[5:]}"

@@ -361,19 +361,18 @@ def p11r(spark, sf):
 # ---- bands and autopsy -----------------------------------------------------------------
 
 BAND_BOOT = 1000
-cte("rank_cells", """WITH k AS (SELECT seed, i, lag(kk) OVER (PARTITION BY seed ORDER BY i) AS k0, kk FROM (SELECT seed, i, greatest(1, least(nn, ceil(round((0.05::DOUBLE + i * 0.005::DOUBLE) * nn, 9))))::BIGINT AS kk
-    FROM (SELECT unnest(range(191)) AS i), (SELECT seed, max(nn) AS nn FROM ranked GROUP BY 1)))
-  SELECT r.seed, r.trading_day, k.i, count(*) AS n, sum(1 - r.correct) AS e FROM ranked r JOIN k ON k.seed = r.seed AND r.rk <= k.kk AND r.rk > coalesce(k.k0, 0) GROUP BY 1, 2, 3""")
-cte("band_days", "SELECT DISTINCT trading_day FROM rank_cells")
-cte("band_idx", "SELECT trading_day, row_number() OVER (ORDER BY sha256(trading_day)) - 1 AS idx, count(*) OVER () AS nb FROM band_days")
-_bp = "CASE j " + " ".join(f"WHEN {j} THEN {hx('hex', 1 + 13 * j)}" for j in range(4)) + " END"
-cte("band_mult", f"""SELECT draw, b.trading_day, count(*) AS m FROM (SELECT grp * 4 + j AS draw, least(floor({_bp} * nb)::BIGINT, nb - 1) AS pick FROM (SELECT nb, grp, j, sha256('{BOOT_SEED}|' || grp || '|' || idx) AS hex
-  FROM band_idx, (SELECT unnest(range({BAND_BOOT // 4})) AS grp), (SELECT unnest(range(4)) AS j))) p JOIN band_idx b ON b.idx = p.pick GROUP BY 1, 2""")
-cte("band_knots", """SELECT draw, seed, i, sum(n) OVER w / sum(n) OVER (PARTITION BY draw, seed) AS x, sum(e) OVER w / sum(n) OVER w AS y FROM
-  (SELECT draw, seed, i, sum(m * n)::DOUBLE AS n, sum(m * e)::DOUBLE AS e FROM band_mult JOIN rank_cells USING (trading_day) GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY draw, seed ORDER BY i)""")
-cte("band_lists", "SELECT draw, seed, list_sort(list(row(x, y))) AS k FROM band_knots GROUP BY 1, 2")
-cte("band_vals", """SELECT draw, g.i AS grid_index, avg(k[lo][2] + (k[lo + 1][2] - k[lo][2]) * least(1, greatest(0, (0.05::DOUBLE + g.i * 0.005::DOUBLE - k[lo][1]) / (k[lo + 1][1] - k[lo][1])))) AS risk
-  FROM (SELECT *, greatest(1, least(len(list_filter(k, lambda p: p[1] < 0.05::DOUBLE + g.i * 0.005::DOUBLE)), len(k) - 1)) AS lo FROM band_lists, (SELECT unnest(range(191)) AS i) g) g GROUP BY 1, 2""")
+cte("band_days", "SELECT DISTINCT trading_day FROM ranked")
+boot_sql("band", "band_days", [], BAND_BOOT, [], "trading_day")
+# Every draw's rows in rank order with the running covered rows and errors: the plain definition.
+cte("band_runs", """SELECT draw, seed, c, wrong, sum(c) OVER w AS cc, sum(c * wrong) OVER w AS ee, sum(c) OVER (PARTITION BY draw, seed) AS cn
+  FROM (SELECT r.seed, r.rk, i.idx AS p, 1 - r.correct AS wrong FROM ranked r JOIN band_idx i USING (trading_day)) r JOIN band_h0 USING (p) WINDOW w AS (PARTITION BY draw, seed ORDER BY rk)""", True)
+cte("band_totals", """SELECT draw, seed, max(cn) AS n, max(ee) AS e, sum(list_sum(list_transform(range(1, c::BIGINT + 1), lambda j: (ee - c * wrong + wrong * j)::DOUBLE / (cc - c + j)::DOUBLE))) / max(cn) AS aurc FROM band_runs GROUP BY 1, 2""", True)
+cte("band_steps", """SELECT draw, seed, (cc - c)::DOUBLE / cn AS x0, cc::DOUBLE / cn AS x1, CASE WHEN cc = c THEN ee::DOUBLE / cc ELSE (ee - c * wrong)::DOUBLE / (cc - c) END AS y0, ee::DOUBLE / cc AS y1, cc = cn AS ends
+  FROM band_runs WHERE cc = cn OR floor(((cc - c)::DOUBLE / cn - 0.05) / 0.005 - 1e-6) <> floor((cc::DOUBLE / cn - 0.05) / 0.005 + 1e-6)""")
+cte("band_vals", """SELECT draw, i AS grid_index, avg(CASE WHEN g >= x1 THEN y1 WHEN g = x0 THEN y0 ELSE (y1 - y0) / (x1 - x0) * (g - x0) + y0 END) AS risk
+  FROM band_steps, (SELECT i, 0.05::DOUBLE + i * 0.005::DOUBLE AS g FROM (SELECT unnest(range(191)) AS i)) WHERE g >= x0 AND (g < x1 OR ends) GROUP BY 1, 2""")
+cte("band_full", "SELECT draw, avg(e::DOUBLE / n) AS f FROM band_totals GROUP BY 1")
+cte("band_scalars", """SELECT draw, avg(aurc) AS a, avg(e::DOUBLE / n) AS f, avg((e - (n - e) * list_sum(list_transform(range((n - e)::BIGINT + 1, n::BIGINT + 1), lambda k: 1 / k::DOUBLE))) / n) AS o FROM band_totals GROUP BY 1""")
 
 
 def day_ranked(spark, sf):
@@ -381,10 +380,20 @@ def day_ranked(spark, sf):
     return confidence_rank(SEL.with_confidence(stored(spark, sf), ["seed", "trading_day"]), ["seed"])
 
 
-@query("i10_bootstrap_bands", f"""SELECT grid_index, {r('quantile_cont(risk, 0.025)', 7)} AS risk_lo, {r('quantile_cont(risk, 0.975)', 7)} AS risk_hi, {r('avg(risk)', 7)} AS risk_mean FROM band_vals GROUP BY 1""")
+def resampled(spark, sf):
+    return SEL.resampled_curves(day_ranked(spark, sf), BAND_BOOT, BOOT_SEED)
+
+
+@query("i10_bootstrap_bands", f"""SELECT grid_index, {r('quantile_cont(risk, 0.025)', 7)} AS risk_lo, {r('quantile_cont(risk, 0.975)', 7)} AS risk_hi, {r('avg(risk)', 7)} AS risk_mean,
+  {r('quantile_cont((f - risk) * 100, 0.025)', 7)} AS delta_lo, {r('quantile_cont((f - risk) * 100, 0.975)', 7)} AS delta_hi FROM band_vals JOIN band_full USING (draw) GROUP BY 1""")
 def i10(spark, sf):
-    out = SEL.bootstrap_bands(day_ranked(spark, sf), BAND_BOOT, BOOT_SEED)
-    return rounded(out.withColumn("grid_index", F.col("grid_index").cast("long")), 7)
+    return rounded(SEL.bootstrap_bands(*resampled(spark, sf)), 7)
+
+
+@query("i10_scalar_intervals", f"""SELECT statistic, {r('quantile_cont(x, 0.025)', 7)} AS lo, {r('quantile_cont(x, 0.975)', 7)} AS hi, count(*)::BIGINT AS n_draws FROM
+  (SELECT unnest(['aurc', 'delta', 'e_aurc', 'gap', 'rel']) AS statistic, unnest([a, a - f, a - o, (f - a) / (f - o), (a - o) / (f - o)]) AS x FROM band_scalars) GROUP BY 1""")
+def i10s(spark, sf):
+    return rounded(SEL.scalar_intervals(resampled(spark, sf)[1]), 7)
 
 
 @query("i11_random_order_band")

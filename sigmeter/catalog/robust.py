@@ -17,18 +17,41 @@ N_PERM_GUARDED = 50  # k10 alone
 LOO_AXES = ["ticker", "seed", "calendar_year", "calendar_quarter", "time_of_day_hour", "activity_tercile"]
 
 
+TREE_HEIGHT = 14  # the SQL form covers 2**14 blocks a slice
+
+
+def _mix_sql(source: str, c: str) -> str:
+    step = f"(xor({c}, {c} >> 16) * 73244475) & 4294967295"
+    return f"SELECT * REPLACE (xor({c}, {c} >> 16) AS {c}) FROM (SELECT * REPLACE ({step} AS {c}) FROM (SELECT * REPLACE ({step} AS {c}) FROM ({source})))"
+
+
 def boot_sql(name: str, blocks: str, keys: list[str], n_boot: int, sums: list[str], block: str = "ticker || '|' || trading_day") -> None:
-    """CTEs <name>_idx, <name>_draws for a block table: slots pick blocks by hash index."""
-    k = ", ".join(keys)
-    part = f"PARTITION BY {k} " if keys else ""
-    cte(f"{name}_idx", f"""SELECT *, row_number() OVER ({part}ORDER BY sha256({block})) - 1 AS idx, count(*) OVER ({part}) AS n_blocks FROM {blocks}""")
-    pick = "CASE g.j " + " ".join(f"WHEN {j} THEN {hx('g.hex', 1 + 13 * j)}" for j in range(4)) + " END"
-    on = " AND ".join([f"b.{c} = g.{c}" for c in keys] + ["b.idx = least(floor(g.u * g.n_blocks)::BIGINT, g.n_blocks - 1)"])
+    """CTEs <name>_idx, <name>_h0 (draw, p: block index, c: times picked) and <name>_draws for a block table.
+
+    The splitting tree level by level; binomials are inverted on cumulated log-gamma masses.
+    """
+    k = "".join(f"{c}, " for c in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    cte(f"{name}_idx", f"SELECT *, row_number() OVER ({part}ORDER BY sha256({block})) - 1 AS idx, count(*) OVER ({part}) AS n_blocks FROM {blocks}", True)
+    cte(f"{name}_dr", _mix_sql(f"SELECT draw, (draw * 2246822519 + 1) & 4294967295 AS hd FROM (SELECT unnest(range({n_boot})) AS draw)", "hd"), True)
+    cte(f"{name}_h{TREE_HEIGHT}", f"SELECT {k}draw, hd, 0::BIGINT AS p, n_blocks AS n, n_blocks AS c FROM (SELECT DISTINCT {k}n_blocks FROM {name}_idx), {name}_dr", True)
+    for h in range(TREE_HEIGHT, 0, -1):
+        half = 1 << (h - 1)
+        cte(f"{name}_s{h}", f"SELECT *, least({2 * half}, n - p * {2 * half}) AS size, {half}::DOUBLE / least({2 * half}, n - p * {2 * half}) AS q FROM {name}_h{h}", True)
+        cte(f"{name}_c{h}", f"""SELECT c, q, min(j) AS lo, list(cdf ORDER BY j) AS cdf FROM (SELECT c, q, j, sum(pmf) OVER (PARTITION BY c, q ORDER BY j) AS cdf FROM
+  (SELECT c, q, j, exp(lgamma(c + 1) - lgamma(j + 1) - lgamma(c - j + 1) + j * ln(q) + (c - j) * ln(1 - q)) AS pmf FROM
+  (SELECT c, q, unnest(range(greatest(0, mode - w), least(c, mode + w) + 1)) AS j FROM (SELECT c, q, least(floor((c + 1) * q)::BIGINT, c) AS mode, floor(12 * sqrt(c * q * (1 - q)))::BIGINT + 24 AS w
+  FROM (SELECT DISTINCT c, q FROM {name}_s{h} WHERE size > {half}))))) GROUP BY 1, 2""", True)
+        node = _mix_sql(f"SELECT *, ((p * 64 + {h}) * 2654435761 + {BOOT_SEED}) & 4294967295 AS x FROM {name}_s{h}", "x")
+        both = _mix_sql(f"SELECT * REPLACE (xor(x, hd) AS x) FROM ({node})", "x")
+        split = f"""SELECT {k}draw, hd, p, n, c, CASE WHEN size <= {half} THEN c ELSE least(c, lo + len(list_filter(cdf, lambda y: y <= u)))::BIGINT END AS l
+  FROM (SELECT z.*, t.lo, t.cdf, (z.x + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM ({both}) z LEFT JOIN {name}_c{h} t ON t.c = z.c AND t.q = z.q)"""
+        cte(f"{name}_h{h - 1}", f"SELECT {k}draw, hd, 2 * p + side AS p, n, CASE side WHEN 0 THEN l ELSE c - l END AS c FROM ({split}), (SELECT unnest(range(2)) AS side) WHERE CASE side WHEN 0 THEN l ELSE c - l END > 0", True)
+    on = " AND ".join([f"b.{c} = g.{c}" for c in keys] + ["b.idx = g.p"])
     gk = "".join(f"g.{c}, " for c in keys)
-    cte(f"{name}_draws", f"""SELECT {gk}g.draw, {', '.join(f'sum(b.{s}) AS {s}' for s in sums)}, max(g.n_blocks) AS n_blocks
-      FROM (SELECT *, grp * 4 + j AS draw, {pick} AS u FROM (SELECT i.*, d.grp, sha256('{BOOT_SEED}|' || d.grp || '|' || i.idx) AS hex, jj.j
-        FROM {name}_idx i, (SELECT unnest(range({(n_boot + 3) // 4})) AS grp) d, (SELECT unnest(range(4)) AS j) jj) g WHERE grp * 4 + j < {n_boot}) g
-      JOIN {name}_idx b ON {on} GROUP BY {gk}g.draw""")
+    if sums:
+        cte(f"{name}_draws", f"""SELECT {gk}g.draw, {', '.join(f'sum(b.{s} * g.c) AS {s}' for s in sums)}, max(g.n) AS n_blocks
+      FROM {name}_h0 g JOIN {name}_idx b ON {on} GROUP BY {gk}g.draw""")
 
 
 SIX = ["n", "p", "pp", "tp", "bp", "btp"]

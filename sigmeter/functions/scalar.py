@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 TWO_52 = float(2**52)
@@ -64,6 +65,14 @@ def harmonic(n: Column) -> Column:
     return F.when(n < 32, F.get(table, n.cast("int"))).otherwise(series)
 
 
+def harmonic_numbers(n: np.ndarray) -> np.ndarray:
+    """As ``harmonic``, over an array."""
+    x = np.maximum(n, 1).astype(float)
+    series = np.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+    small = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 32))])
+    return np.where(n < 32, small[np.minimum(n, 31)], series)
+
+
 def record_field(json_text: Column, dotted: str) -> Column:
     """Dotted-path lookup in a JSON record: null when any key of the path is absent."""
     return F.get_json_object(json_text, "$." + dotted)

@@ -1,22 +1,28 @@
 """Block bootstrap, label-shuffle and reversal controls, small-sample bounds, PBO.
 
 Resampling never touches rows: blocks ((ticker, trading_day) of a slice) are reduced to integer
-sums once, and every draw works on those. Cost is draws x blocks.
+sums once, and every draw works on those. A bootstrap task expands one index range of blocks for one
+chunk of draws down the splitting tree and multiplies counts by block sums, so no pick is ever a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from ..functions import confusion as C
 from ..functions.hypergeom import shuffled_true_positives
 from ..functions.scalar import hex01, key_hex
+from ..functions.splitting import multiplicities
 from ..functions.student_t import lcb_agg
-from ..session import materialise, spread
+from ..session import materialise, ship_package, spread
 from .ranks import global_position
 from .readouts import BLOCK
 
-PICKS_PER_HASH = 4
+RANGE_HEIGHT = 10  # a task expands 2**RANGE_HEIGHT blocks ...
+DRAW_CHUNK = 250  # ... for this many draws at once
 
 
 def index_blocks(blocks: DataFrame, slices: list[str], block: list[str] = BLOCK) -> DataFrame:
@@ -36,35 +42,44 @@ def index_blocks(blocks: DataFrame, slices: list[str], block: list[str] = BLOCK)
     return out.withColumn("idx", F.col("_i") + F.col("_o")).drop("_h", "_k", "_i", "_o")
 
 
-def _picks(idx: DataFrame, slices: list[str], n_boot: int, seed: int) -> DataFrame:
-    """Every block row stands for one slot and draws its picks itself, keyed by (seed, draw, slot)."""
-    groups = (n_boot + PICKS_PER_HASH - 1) // PICKS_PER_HASH
-    slots = spread(idx.select(*slices, "idx", "n_blocks"), *slices, "idx")
-    return (slots.select(*slices, "idx", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-            .withColumn("_hex", key_hex(F.lit(seed), F.col("_g"), F.col("idx")))
-            .withColumn("_p", F.explode(F.array(*[
-                F.struct((F.col("_g") * PICKS_PER_HASH + j).alias("draw"), hex01(F.col("_hex"), 1 + 13 * j).alias("u"))
-                for j in range(PICKS_PER_HASH)])))
-            .filter(F.col("_p.draw") < n_boot)
-            .select(*slices, F.col("_p.draw").alias("draw"),
-                    F.least(F.floor(F.col("_p.u") * F.col("n_blocks")), F.col("n_blocks") - 1).alias("idx")))
-
-
-def bootstrap_picks(blocks: DataFrame, slices: list[str], n_boot: int, seed: int, block: list[str] = BLOCK) -> DataFrame:
-    """One row per draw and slot with the picked block's columns."""
-    idx = materialise(index_blocks(blocks, slices, block), "blocks")
-    return _picks(idx, slices, n_boot, seed).join(idx, slices + ["idx"])
+def dealt(idx: DataFrame, slices: list[str], n_boot: int) -> DataFrame:
+    """Indexed blocks by (slice, range, chunk of draws): what a task expands. The tasks multiply their rows, so
+    their number is explicit and adaptive execution leaves it."""
+    chunks = -(-n_boot // DRAW_CHUNK)
+    x = idx.withColumn("_range", F.shiftright("idx", RANGE_HEIGHT)).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return spread(x, *slices, "_range", "_chunk")
 
 
 def bootstrap_draws(blocks: DataFrame, slices: list[str], values: list[str], n_boot: int, seed: int,
                     block: list[str] = BLOCK) -> DataFrame:
     """Sums of ``values`` per (slice, draw): n_blocks picks with replacement per draw.
 
-    The picked sums come from an equi-join that broadcasts only a counted-small block table.
+    Each range of blocks gives one row per draw, whatever its blocks; nothing is broadcast or joined.
     """
-    keep = blocks.select(*slices, *block, *values)
-    return bootstrap_picks(keep, slices, n_boot, seed, block).groupBy(*slices, "draw").agg(
-        *[F.sum(v).alias(v) for v in values], F.max("n_blocks").alias("n_blocks"))
+    ship_package(blocks.sparkSession)
+    rest = [b for b in block if b not in slices]
+    idx = materialise(index_blocks(blocks.select(*slices, *rest, *values), slices, block).drop(*rest), "blocks")
+    kinds = {f.name: f.dataType for f in idx.schema}
+    whole = {v: isinstance(kinds[v], (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) for v in values}
+
+    def expand(rows: pa.Table) -> pa.Table:
+        at = rows["_range"][0].as_py() << RANGE_HEIGHT
+        n, chunk = rows["n_blocks"][0].as_py(), rows["_chunk"][0].as_py()
+        draws = np.arange(chunk * DRAW_CHUNK, min((chunk + 1) * DRAW_CHUNK, n_boot))
+        counts = multiplicities(seed, draws, n, at, RANGE_HEIGHT)[:, np.asarray(rows["idx"]) - at]
+        out = {c: pa.array([rows[c][0].as_py()] * len(draws), rows.schema.field(c).type) for c in slices}
+        out["draw"] = pa.array(draws)
+        for v in values:
+            x = np.asarray(rows[v].combine_chunks().fill_null(0))
+            out[v] = pa.array(counts @ x)
+        out["n_blocks"] = pa.array(np.full(len(draws), n))
+        return pa.table(out)
+
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in slices] + [T.StructField("draw", T.LongType())] +
+                          [T.StructField(v, T.LongType() if whole[v] else T.DoubleType()) for v in values] + [T.StructField("n_blocks", T.LongType())])
+    idx = idx.withColumns({"idx": F.col("idx").cast("long"), "n_blocks": F.col("n_blocks").cast("long")} | {v: F.col(v).cast("long" if whole[v] else "double") for v in values})
+    parts = dealt(idx, slices, n_boot).groupBy(*slices, "_range", "_chunk").applyInArrow(expand, schema)
+    return parts.groupBy(*slices, "draw").agg(*[F.sum(v).alias(v) for v in values], F.max("n_blocks").alias("n_blocks"))
 
 
 def block_bootstrap(cells: DataFrame, slices: list[str], n_boot: int = 1000, seed: int = 12345) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import confusion as C
-from ..functions.scalar import ratio
+from ..functions.scalar import harmonic, harmonic_numbers, ratio
+from ..session import spread
 from .ranks import confidence_rank, prefix_sums
 
 # Fixed coverage grid.
@@ -55,36 +58,135 @@ def selective_grid(ranked: DataFrame, group: list[str]) -> DataFrame:
                     acc.alias("selective_accuracy"), C.macro_f1().alias("selective_macro_f1"))
 
 
-def bootstrap_bands(ranked: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """Bands of the mean-over-seeds risk curve under whole-day resampling.
+RANK_BLOCK = 1 << 14  # ranks a bootstrap task holds at once
 
-    Rows reduce to (seed, day, grid cell) counts of the full-sample ranking; a draw re-weights
-    days, which leaves the cells' order unchanged, so risk is exact at the 191 cell ends and
-    linear between them. Cost is draws x (day, cell) counts, not draws x rows.
+
+def resampled_curves(ranked: DataFrame, n_boot: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Exact risk curves under whole-day resampling, per (seed, draw): the curve at the grid, and its sums.
+
+    A draw repeats every row as often as its day is picked and keeps the ranking. Ranks are cut into blocks: a
+    first pass gives what each block covers and errs in a draw, running sums over the blocks give where it
+    starts, and a second pass interpolates the grid points that fall into the block. The mean risk over all
+    prefixes needs harmonic numbers at error rows only: m copies of an error after c covered rows add
+    m H(M) - G(c + m) + G(c) with G(n) = n H(n) - n. Day counts come from the splitting tree in every task.
+
+    Returns (seed, draw, grid_index, risk) and (seed, draw, covered, errors, aurc, oracle_aurc).
     """
-    from ..session import materialise
-    from .resample import bootstrap_picks
-
-    cells = ranked.withColumn("_i", grid_cell(F.col("rk"), F.col("group_n"))).groupBy("seed", "trading_day", "_i").agg(
-        F.count("*").alias("n"), F.sum(1 - F.col("correct")).alias("e"))
-    cells = materialise(cells, "day-cells")
-    picks = bootstrap_picks(cells.select("trading_day").distinct(), [], n_boot, seed, ["trading_day"])
-    mult = picks.groupBy("draw", "trading_day").agg(F.count("*").alias("m"))
-    s = mult.join(cells, "trading_day").groupBy("draw", "seed", "_i").agg(
-        F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("e")).alias("e"))
-    run = Window.partitionBy("draw", "seed").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("draw", "seed")
-    s = s.withColumns({"_cn": F.sum("n").over(run), "_ce": F.sum("e").over(run), "_tn": F.sum("n").over(whole)})
-    s = s.withColumns({"x": ratio("_cn", "_tn"), "y": ratio("_ce", "_cn")})
-    knots = s.groupBy("draw", "seed").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("k"))  # at most 191
-    grid = knots.select("draw", "seed", "k", F.posexplode(F.array(*[F.lit(GRID_MIN + i * GRID_STEP) for i in range(GRID_SIZE)])).alias("grid_index", "c"))
-    after = F.greatest(F.lit(1), F.size(F.filter("k", lambda p: p["x"] < F.col("c"))))
-    b, a = F.get("k", F.least(after, F.size("k") - 1)), F.get("k", F.least(after, F.size("k") - 1) - 1)
-    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("c") - a["x"], b["x"] - a["x"]), F.lit(0.0))))
-    v = grid.select("draw", "grid_index", (a["y"] + (b["y"] - a["y"]) * t).alias("risk"))
-    mean = v.groupBy("draw", "grid_index").agg(F.avg("risk").alias("risk"))
-    return mean.groupBy("grid_index").agg(F.percentile("risk", 0.025).alias("risk_lo"), F.percentile("risk", 0.975).alias("risk_hi"),
-                                          F.avg("risk").alias("risk_mean"))
+    from ..session import materialise, ship_package
+    from .resample import DRAW_CHUNK, index_blocks
+
+    spark = ranked.sparkSession
+    ship_package(spark)
+    days = index_blocks(ranked.select("trading_day").distinct(), [], ["trading_day"]).select("trading_day", F.col("idx").alias("_d"))
+    rows = ranked.select("seed", "trading_day", "rk", (1 - F.col("correct")).alias("_e")).join(days, "trading_day")
+    rows = materialise(rows.select("seed", F.floor((F.col("rk") - 1) / RANK_BLOCK).cast("long").alias("_b"), "rk", F.col("_d").cast("long").alias("_d"),
+                                   F.col("_e").cast("int").alias("_e")), "day-ranks")
+    n_days = days.count()
+    kind = rows.schema["seed"].dataType.simpleString()
+    chunks = -(-n_boot // DRAW_CHUNK)
+    per_chunk = spread(rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), "seed", "_b", "_chunk").groupBy("seed", "_b", "_chunk")
+
+    def totals(part: pa.Table) -> pa.Table:
+        draws, counts, wrong = _picked(part, n_days, n_boot, seed)
+        n = len(draws)
+        return pa.table({"seed": pa.array([part["seed"][0].as_py()] * n, part.schema.field("seed").type), "_b": np.full(n, part["_b"][0].as_py()), "draw": draws,
+                         "c": counts.sum(1), "e": counts @ wrong})
+
+    sums = materialise(per_chunk.applyInArrow(totals, f"seed {kind}, _b long, draw long, c long, e long"), "rank-blocks")
+    before = Window.partitionBy("seed", "draw").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("seed", "draw")
+    offsets = sums.select("seed", "_b", "draw", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"),
+                          F.sum("c").over(whole).alias("covered"), F.sum("e").over(whole).alias("errors"))
+    offsets = materialise(offsets.withColumn("_chunk", F.floor(F.col("draw") / DRAW_CHUNK).cast("int")), "rank-offsets")
+
+    def curve(part: pa.Table, starts: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        if not part.num_rows or not starts.num_rows:
+            return pa.table({"seed": pa.array([], part.schema.field("seed").type), "draw": pa.array([], pa.int64()), "grid_index": pa.array([], pa.int64()), "risk": pa.array([], pa.float64())})
+        starts = starts.sort_by("draw")
+        draws, counts, wrong = _picked(part, n_days, n_boot, seed)
+        c0, e0, all_c = (np.asarray(starts[c].combine_chunks()) for c in ("c0", "e0", "covered"))
+        d, g, risk = _interpolated(counts, wrong, c0, e0, all_c)
+        area = _error_area(counts, wrong, c0, all_c)
+        draw = np.concatenate([draws[d], draws])
+        return pa.table({"seed": pa.array([part["seed"][0].as_py()] * len(draw), part.schema.field("seed").type), "draw": draw,
+                         "grid_index": np.concatenate([g, np.full(len(draws), -1)]), "risk": np.concatenate([risk, area])})
+
+    keys = ["seed", "_b", "_chunk"]
+    left = spread(rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), *keys).groupBy(*keys)
+    points = left.cogroup(spread(offsets, *keys).groupBy(*keys)).applyInArrow(curve, f"seed {kind}, draw long, grid_index long, risk double")
+    points = materialise(points, "risk-points")
+    ends = offsets.groupBy("seed", "draw").agg(F.max("covered").alias("covered"), F.max("errors").alias("errors"))
+    area = points.filter("grid_index < 0").groupBy("seed", "draw").agg(F.sum("risk").alias("_a"))
+    n, e = F.col("covered"), F.col("errors")
+    good = n - e
+    scalars = ends.join(area, ["seed", "draw"]).select("seed", "draw", "covered", "errors", (F.col("_a") / n).alias("aurc"),
+                                                       ((e - good * (harmonic(n) - harmonic(good))) / n).alias("oracle_aurc"))
+    return points.filter("grid_index >= 0"), scalars
+
+
+def _picked(part: pa.Table, n_days: int, n_boot: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Draws of the chunk, draws x rows of how often each row is repeated, and which rows err, in rank order."""
+    from ..functions.splitting import all_multiplicities
+    from .resample import DRAW_CHUNK
+
+    order = np.argsort(np.asarray(part["rk"].combine_chunks()), kind="stable")
+    day, wrong = np.asarray(part["_d"].combine_chunks())[order], np.asarray(part["_e"].combine_chunks())[order].astype(np.int64)
+    chunk = part["_chunk"][0].as_py()
+    first, last = chunk * DRAW_CHUNK, min((chunk + 1) * DRAW_CHUNK, n_boot)
+    return np.arange(first, last), all_multiplicities(seed, first, last, n_days)[:, day], wrong
+
+
+def _interpolated(counts: np.ndarray, wrong: np.ndarray, c0: np.ndarray, e0: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(draw, grid index, risk) of the grid points between the last row before the block and its last row."""
+    grid = GRID_MIN + np.arange(GRID_SIZE) * GRID_STEP
+    out = []
+    for i in range(len(counts)):
+        seen = np.flatnonzero(counts[i])
+        if not len(seen):
+            continue
+        c = c0[i] + np.cumsum(counts[i][seen])
+        y = (e0[i] + np.cumsum((counts[i] * wrong)[seen])) / c
+        x = c / covered[i]
+        first, last = c0[i] / covered[i], x[-1]
+        here = (grid >= first) & ((grid < last) | (c[-1] == covered[i]))
+        if c0[i]:
+            x, y = np.concatenate([[first], x]), np.concatenate([[e0[i] / c0[i]], y])
+        at = np.flatnonzero(here)
+        out.append((np.full(len(at), i), at, np.interp(grid[at], x, y)))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _error_area(counts: np.ndarray, wrong: np.ndarray, c0: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Sum over the prefixes of a draw of their risk, as far as the block's errors make it."""
+    rows = np.flatnonzero(wrong)
+    ends = (c0[:, None] + np.cumsum(counts, 1))[:, rows]
+    m = counts[:, rows]
+    return (m * harmonic_numbers(covered)[:, None] - _harmonic_sum(ends) + _harmonic_sum(ends - m)).sum(1)
+
+
+def _harmonic_sum(n: np.ndarray) -> np.ndarray:
+    return n * harmonic_numbers(n) - n
+
+
+def bootstrap_bands(points: DataFrame, scalars: DataFrame) -> DataFrame:
+    """Pointwise 95 percent bands of the mean-over-seeds risk curve and of its gain over full coverage, in points."""
+    full = scalars.groupBy("draw").agg(F.avg(ratio("errors", "covered")).alias("_full"))
+    v = points.groupBy("draw", "grid_index").agg(F.avg("risk").alias("risk")).join(full, "draw")
+    v = v.withColumn("delta", (F.col("_full") - F.col("risk")) * 100)
+    band = [F.percentile(c, q).alias(f"{c}_{e}") for c in ("risk", "delta") for e, q in (("lo", 0.025), ("hi", 0.975))]
+    return v.groupBy("grid_index").agg(*band, F.avg("risk").alias("risk_mean"))
+
+
+def scalar_intervals(scalars: DataFrame) -> DataFrame:
+    """95 percent intervals of AURC, its difference to full risk, excess AURC, gap closed and relative excess."""
+    m = scalars.groupBy("draw").agg(F.avg("aurc").alias("a"), F.avg("oracle_aurc").alias("o"), F.avg(ratio("errors", "covered")).alias("f"))
+    a, o, f = F.col("a"), F.col("o"), F.col("f")
+    parts = {"aurc": a, "delta": a - f, "e_aurc": a - o, "gap": ratio(f - a, f - o), "rel": ratio(a - o, f - o)}
+    v = m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), x.alias("x")) for k, x in parts.items()])).alias("s")).select("s.*")
+    return v.groupBy("statistic").agg(F.percentile("x", 0.025).alias("lo"), F.percentile("x", 0.975).alias("hi"), F.count("x").alias("n_draws"))
 
 
 def permutation_band(rows: DataFrame, n_perm: int, seed: int) -> DataFrame:

@@ -58,8 +58,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows over all cores by near-unique keys, before work that multiplies them."""
-    return df.repartition(*keys)
+    """Deal rows over all cores by near-unique keys, before work that multiplies them.
+
+    The number is explicit: without one, adaptive execution would merge a small table back into one task.
+    """
+    spark = df.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
 
 
 def ship_package(spark: SparkSession) -> None:
