@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ..functions import confusion as C
-from ..operators import features as FT, folds as FD, guards as G, labels as L, models as M, windows as WN
+from ..operators import features as FT, folds as FD, guards as G, labels as L, many_fits as MF, models as M, windows as WN
 from ..session import materialise
 from ..sources import predictions as P, tape as TP
 from .base import cte, query, r, rounded
@@ -71,20 +73,21 @@ def g8t(spark, sf):
     return windows(spark, sf).select("sample_id", F.round(x[at], 5).alias("last_trend"), F.round(x[NF * WINDOW + at], 5).alias("last_residual"))
 
 
-def fold_units(names, seeds, n_folds):
-    return [{"profile": (PROFILES | GRID)[n], "seed": s, "fold_id": f"fold_{i}"} for n in names for s in seeds for i in range(n_folds)]
+def grouped(names, seeds, groups: dict[str, dict]) -> list[dict]:
+    """Units of profiles x seeds x groups; ``groups`` maps a fit group to its labels."""
+    return [{"profile": GRID[n], "seed": s, "fit_group": g, **labels} for n in names for s in seeds for g, labels in groups.items()]
 
 
-def fold_run(spark, sf, names, seeds=(101,)):
-    """Profiles x folds x seeds on train-inner folds of the window rows."""
-    w = window_rows(spark, sf).filter("split = 'train'")
-    members = materialise(FD.fold_rows(w, FD.train_inner_folds(train_events(spark, sf), N_FOLDS)), "fold-windows")
+def fold_groups():
+    return {f"fold_{i}": {"fold_id": f"fold_{i}"} for i in range(N_FOLDS)}
 
-    def rows_of(u):
-        m = members.filter(F.col("fold_id") == u["fold_id"]).drop("fold_id")
-        return m.filter("fold_side = 'train'").drop("fold_side"), m.filter("fold_side = 'eval'").drop("fold_side")
 
-    return M.run_trials(fold_units(names, seeds, N_FOLDS), rows_of, M.fit_and_score(NF, WINDOW))
+def candidate_run(spark, sf, names, seeds, cols, width, name, folds):
+    """Profiles x folds x seeds of one feature set and window size on the train-inner folds."""
+    ev = train_events(spark, sf)
+    rows = FD.fold_rows(WN.window_dataset(featured(spark, sf), ev, cols, width, name), folds)
+    data = MF.prepare(materialise(rows.withColumn("fit_group", F.col("fold_id")), "candidate"), len(cols))
+    return MF.run_roster(data, grouped(names, seeds, fold_groups()), len(cols), width)
 
 
 GRID = PROFILES | {
@@ -92,53 +95,56 @@ GRID = PROFILES | {
     "trees_shallow": M.Profile("trees", "d2", {"iters": 4, "depth": 2}),
     "last_step_trees_shallow": M.Profile("last_step_trees", "d2", {"iters": 4, "depth": 2}),
 }
+FEATURE_SETS = {"returns": ["log_return", "high_low_range"], "clock": ["time_of_day_sin", "time_of_day_cos"], "all": ["log_return", "high_low_range", "time_of_day_sin", "time_of_day_cos"]}
+WIDTHS = (3, 5)
 
 
-@query("g14_hpo_grid_run")
-def g14(spark, sf):
-    """Profiles x folds x seeds; a failed fit is a row with its error."""
-    return rounded(M.trial_rows(fold_run(spark, sf, list(GRID), P.SEEDS), KEYS + ["fold_id"], spark), 6)
+CANDIDATES_AT_ONCE = 3
 
 
-FEATURE_SETS = {"returns": ["log_return", "high_low_range"], "clock": ["time_of_day_sin", "time_of_day_cos"], "all": ["log_return", "high_low_range", "time_of_day_sin", "time_of_day_cos"]}
-WIDTHS = (3, 5)
+def candidate_ledger(spark, sf, names, candidates):
+    """One ledger over candidates (feature set, window size); each candidate's rows are prepared once for all its fits.
 
+    Candidates are a configured roster; a few run side by side, as their small jobs leave cores idle.
+    """
+    folds = materialise(FD.train_inner_folds(train_events(spark, sf), N_FOLDS), "folds")
+
+    def one(candidate):
+        name, width = candidate
+        t = candidate_run(spark, sf, names, P.SEEDS, FEATURE_SETS[name], width, name, folds)
+        # Written per candidate, so that no plan holds the fits of all.
+        return materialise(M.trial_rows(t, KEYS + ["fold_id"], spark).withColumn("candidate_id", F.lit(f"{name}_w{width}")), "trials")
 
-@query("g15_probe_screening_run")
-def g15(spark, sf):
-    """Feature sets x window sizes x probes x seeds on the train-inner folds; a failed fit is a row with its error."""
     out = None
-    ev = train_events(spark, sf)
-    folds = materialise(FD.train_inner_folds(ev, N_FOLDS), "folds")
-    feats = featured(spark, sf)
-    for name, cols, width in ((n, c, w) for n, c in FEATURE_SETS.items() for w in WIDTHS):
-        rows = materialise(FD.fold_rows(WN.window_dataset(feats, ev, cols, width, name), folds), "probe")
+    with ThreadPoolExecutor(CANDIDATES_AT_ONCE) as pool:
+        for led in pool.map(one, candidates):
+            out = led if out is None else out.unionByName(led, allowMissingColumns=True)
+    return out
 
-        def rows_of(u, rows=rows):
-            m = rows.filter(F.col("fold_id") == u["fold_id"]).drop("fold_id")
-            return m.filter("fold_side = 'train'"), m.filter("fold_side = 'eval'")
 
-        t = M.run_trials(fold_units(list(PROFILES), P.SEEDS, N_FOLDS), rows_of, M.fit_and_score(len(cols), width))
-        # Written per candidate, so that no plan holds the fits of all.
-        led = materialise(M.trial_rows(t, KEYS + ["fold_id"], spark).withColumn("candidate_id", F.lit(f"{name}_w{width}")), "probe-trials")
-        out = led if out is None else out.unionByName(led, allowMissingColumns=True)
-    return rounded(out, 6)
+@query("g14_hpo_grid_run")
+def g14(spark, sf):
+    """Feature sets x window sizes x profiles x folds x seeds in one ledger; a failed fit is a row with its error."""
+    return rounded(candidate_ledger(spark, sf, list(GRID), [(n, w) for n in ("returns", "all") for w in WIDTHS]), 6)
 
 
-PERIODS = [("wf_1", "2024-01-12", "2024-01-17"), ("wf_2", "2024-01-17", "2024-01-22"), ("wf_3", "2024-01-22", "2024-01-27")]
+@query("g15_probe_screening_run")
+def g15(spark, sf):
+    """Feature sets x window sizes x probes x seeds on the train-inner folds; a failed fit is a row with its error."""
+    return rounded(candidate_ledger(spark, sf, list(PROFILES), [(n, w) for n in FEATURE_SETS for w in WIDTHS]), 6)
 
 
-def walkforward(spark, sf, names, seeds=(101,)):
-    """Refit on everything before each period, score the period once."""
-    w = window_rows(spark, sf)
-    units = [{"profile": PROFILES[n], "seed": s, "period_id": p} for n in names for s in seeds for p, _, _ in PERIODS]
-    bounds = {p: (a, b) for p, a, b in PERIODS}
+PERIODS = [("wf_1", "2024-01-12", "2024-01-17"), ("wf_2", "2024-01-17", "2024-01-22"), ("wf_3", "2024-01-22", "2024-01-27")]
 
-    def rows_of(u):
-        a, b = bounds[u["period_id"]]
-        return w.filter(F.col("trading_day") < a), w.filter((F.col("trading_day") >= a) & (F.col("trading_day") < b))
 
-    return M.run_trials(units, rows_of, M.fit_and_score(NF, WINDOW))
+def walkforward(spark, sf, names, seeds):
+    """Refit on everything before each period, score the period once."""
+    w = window_rows(spark, sf).drop("split")
+    bounds = spark.createDataFrame(PERIODS, "period_id string, lo string, hi string")
+    rows = w.join(F.broadcast(bounds), F.col("trading_day") < F.col("hi"))  # a fit on an expanding history reads it once per period
+    rows = rows.withColumns({"fit_group": F.col("period_id"), "fold_side": F.when(F.col("trading_day") < F.col("lo"), "train").otherwise("eval")})
+    data = MF.prepare(materialise(rows, "period-windows"), NF)
+    return MF.run_roster(data, grouped(names, seeds, {p: {"period_id": p} for p, _, _ in PERIODS}), NF, WINDOW)
 
 
 @query("g16_walkforward_refit")
@@ -147,6 +153,13 @@ def g16(spark, sf):
     return rounded(M.trial_rows(walkforward(spark, sf, list(PROFILES), P.SEEDS), KEYS + ["period_id"], spark), 6)
 
 
+@query("g16_walkforward_predictions")
+def g16p(spark, sf):
+    """The predictions of the refits by period, in dump form."""
+    p = walkforward(spark, sf, list(PROFILES), P.SEEDS).preds
+    return rounded(p.select("period_id", *KEYS, "sample_id", "ticker", "target_timestamp", "trading_day", "y_true", "p_up", "y_pred", "base_pred"), 6)
+
+
 @query("g17_frozen_validation_readout")
 def g17(spark, sf):
     return rounded(M.ledger_of(readout(spark, sf, ["last_step_trees"], seeds=P.SEEDS), KEYS), 6)
@@ -155,12 +168,38 @@ def g17(spark, sf):
 @query("g18_control_ablation_run")
 def g18(spark, sf):
     """Linear, trees and the two last-bar controls over folds and seeds."""
-    return rounded(M.trial_rows(fold_run(spark, sf, ["logit", "trees", "last_step_mlp", "last_step_trees"], P.SEEDS), KEYS + ["fold_id"], spark), 6)
+    w = window_rows(spark, sf).filter("split = 'train'")
+    rows = FD.fold_rows(w, FD.train_inner_folds(train_events(spark, sf), N_FOLDS)).withColumn("fit_group", F.col("fold_id"))
+    data = MF.prepare(materialise(rows, "fold-windows"), NF)
+    trials = MF.run_roster(data, grouped(["logit", "trees", "last_step_mlp", "last_step_trees"], P.SEEDS, fold_groups()), NF, WINDOW)
+    return rounded(M.trial_rows(trials, KEYS + ["fold_id"], spark), 6)
+
+
+@query("g19_embargo_run")
+def g19f(spark, sf):
+    """Linear families on every fold; one fit is scored with and without its first evaluation day.
+
+    Scores are counted per day once, so the embargoed variant is the fold's counts minus those of its first day.
+    """
+    w = window_rows(spark, sf).filter("split = 'train'")
+    rows = FD.fold_rows(w, FD.train_inner_folds(train_events(spark, sf), N_FOLDS)).withColumn("fit_group", F.col("fold_id"))
+    data = MF.prepare(materialise(rows, "fold-windows"), NF)
+    trials = MF.run_roster(data, grouped(["logit", "trend_linear"], P.SEEDS, fold_groups()), NF, WINDOW)
+    return rounded(M.embargoed(trials, KEYS + ["fold_id"], spark), 6)
+
+
+@query("p11_embargo_reading_of_fits")
+def p11f(spark, sf):
+    """The embargo reading on margins of fitted units, per seed."""
+    from ..operators import decide as DE
+
+    t = g19f(spark, sf).filter("model_family = 'logit'")
+    return rounded(DE.embargo_reading(t.select("variant_id", "seed", "fold_id", "fit_status", "delta_vs_dummy"))[0], 6)
 
 
 @query("g20_planted_signal_run")
 def g20(spark, sf):
-    """Planted arms through the same fit on the train-inner folds: labels replaced, windows untouched; with the sentinels of each fit."""
+    """Planted arms through the same fits on the train-inner folds: labels replaced, windows untouched; with the sentinels of each fit."""
     from ..operators import planted as PL, readouts as RO, resample as RS
     from .closing import ARMS, PLANT_SEED, ruled
     from .robust import N_PERM, PERM_SEED
@@ -168,20 +207,16 @@ def g20(spark, sf):
     w = window_rows(spark, sf).filter("split = 'train'").drop("label", "split")
     lab = PL.inject(ruled(spark, sf), ARMS, PLANT_SEED).select("sample_id", "arm_id", "label")
     folds = FD.train_inner_folds(train_events(spark, sf), N_FOLDS)
-    rows = materialise(FD.fold_rows(w.join(lab, "sample_id"), folds), "planted-windows")
-
-    def rows_of(u):
-        m = rows.filter((F.col("arm_id") == u["arm_id"]) & (F.col("fold_id") == u["fold_id"])).drop("arm_id", "fold_id")
-        return m.filter("fold_side = 'train'").drop("fold_side"), m.filter("fold_side = 'eval'").drop("fold_side")
-
-    units = [{**u, "arm_id": a} for u in fold_units(["logit"], P.SEEDS, N_FOLDS) for a in ARMS]
-    trials = M.run_trials(units, rows_of, M.fit_and_score(NF, WINDOW))
+    rows = FD.fold_rows(w.join(lab, "sample_id"), folds).withColumn("fit_group", F.concat_ws("|", "arm_id", "fold_id"))
+    groups = {f"{a}|{g}": {**labels, "arm_id": a} for a in ARMS for g, labels in fold_groups().items()}
+    data = MF.prepare(materialise(rows, "planted-windows"), NF)
+    trials = MF.run_roster(data, grouped(["logit", "trend_linear", "last_step_trees"], P.SEEDS, groups), NF, WINDOW)
     keys = KEYS + ["fold_id", "arm_id"]
     if trials.preds is None:
         return M.trial_rows(trials, keys, spark)
-    preds = materialise(trials.preds, "planted-predictions")
+    preds = trials.preds
     sentinels = RS.label_shuffle(RO.block_cells(preds, keys), keys, N_PERM, PERM_SEED).drop("n_rows").join(RS.time_reverse(preds, keys), keys)
-    return rounded(M.trial_rows(M.Trials(preds, trials.failures), keys, spark).join(sentinels, keys, "left"), 6)
+    return rounded(M.trial_rows(trials, keys, spark).join(sentinels, keys, "left"), 6)
 
 
 @query("g21_prediction_dump")

@@ -13,11 +13,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import confusion as C
 from ..functions.scalar import hash01, ratio
+from .baselines import majority, stratified_dummy
 from .folds import early_stop_tail
+from .ranks import roc_auc
 from .windows import last_bar, moving_average
 
 CONCURRENT_FITS = 4
@@ -39,12 +41,13 @@ def class_weights(train: DataFrame, keys: list[str] | None = None, label: str =
     return j.select(*keys, label, ratio("n_all", 2 * F.col("n_class")).alias("weight"))
 
 
-def feature_statistics(train: DataFrame, n_features: int) -> DataFrame:
+def feature_statistics(train: DataFrame, n_features: int, keys: list[str] | None = None) -> DataFrame:
     """Mean and population std per feature over fit rows and time; a std below 1e-6 counts as 1."""
-    x = train.select(F.posexplode("features").alias("_i", "_v"))
-    g = x.groupBy((F.col("_i") % n_features).alias("feature_index")).agg(
+    keys = keys or []
+    x = train.select(*keys, F.posexplode("features").alias("_i", "_v"))
+    g = x.groupBy(*keys, (F.col("_i") % n_features).alias("feature_index")).agg(
         F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("_s"), F.count("*").alias("n_cells"))
-    return g.select("feature_index", "mean", F.when(F.col("_s") < 1e-6, 1.0).otherwise(F.col("_s")).alias("std"), "n_cells")
+    return g.select(*keys, "feature_index", "mean", F.when(F.col("_s") < 1e-6, 1.0).otherwise(F.col("_s")).alias("std"), "n_cells")
 
 
 def trend_and_residual(features: Column, n_features: int, width: int, kernels: list[int]) -> Column:
@@ -155,8 +158,6 @@ def fit_and_score(n_features: int, width: int) -> FitFunction:
 
 def with_dummy(preds: DataFrame, train: DataFrame, seed: int) -> DataFrame:
     """Same-row stratified dummy from the unit's own train prior (one row)."""
-    from .baselines import stratified_dummy
-
     prior = train.agg(F.avg("label").alias("prior"))
     x = preds.crossJoin(F.broadcast(prior)).withColumn("seed", F.lit(seed))
     return x.withColumn("base_pred", stratified_dummy(F.col("prior"), F.col("seed"), F.col("sample_id")))
@@ -164,10 +165,11 @@ def with_dummy(preds: DataFrame, train: DataFrame, seed: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Trials:
-    """What a roster of units gave: predictions of those that were fitted, and (unit, error) of those that failed."""
+    """What a roster of units gave: predictions of those that were fitted, (unit, error) of those that failed, and early-stop records."""
 
     preds: DataFrame | None
     failures: list[tuple[dict, str]]
+    stops: DataFrame | None = None
 
 
 def run_trials(units: list[dict], rows_of: Callable[[dict], tuple[DataFrame, DataFrame]], hook: FitFunction) -> Trials:
@@ -218,13 +220,46 @@ def trial_rows(trials: Trials, keys: list[str], spark: SparkSession) -> DataFram
     if trials.preds is None:
         return failures_of(spark, trials.failures, keys)
     done = ledger_of(trials.preds, keys).withColumn("error", F.lit(None).cast("string"))
+    if trials.stops is not None:
+        on = [c for c in trials.stops.columns if c in keys]
+        done = done.join(F.broadcast(trials.stops), on, "left")  # a row for each unit of the roster
     return done.unionByName(failures_of(spark, trials.failures, keys, done)) if trials.failures else done
 
 
+def embargoed(trials: Trials, keys: list[str], spark: SparkSession) -> DataFrame:
+    """Ledger rows of one scoring with (``no_embargo``) and without (``embargo_1day``) each unit's first evaluation day.
+
+    A unit's counts per day are taken once; the first day's are subtracted. A unit with one day has a failed variant.
+    """
+    if trials.preds is None:
+        return failures_of(spark, trials.failures, keys).withColumn("variant_id", F.lit("no_embargo"))
+    days = trials.preds.groupBy(*keys, "ticker", "trading_day").agg(*C.row_sums())
+    whole = Window.partitionBy(*keys)  # days x tickers of a unit
+    days = days.withColumn("_first", F.col("trading_day") == F.min("trading_day").over(whole))
+    variants = F.array_compact(F.array(F.lit("no_embargo"), F.when(~F.col("_first"), "embargo_1day")))
+    t = days.withColumn("variant_id", F.explode(variants)).groupBy(*keys, "variant_id", "ticker").agg(*C.resum())
+    g = t.groupBy(*keys, "variant_id").agg(F.count_if(C.delta_f1() > 0).alias("positive_ticker_count"), *C.resum())
+    both = days.select(*keys).distinct().withColumn("variant_id", F.explode(F.array(F.lit("no_embargo"), F.lit("embargo_1day"))))
+    out = both.join(g, [*keys, "variant_id"], "left").select(
+        *keys, "variant_id", F.when(F.col("n") > 0, "completed").otherwise("failed").alias("fit_status"), F.col("n").alias("n_rows"), C.macro_f1().alias("macro_f1"),
+        C.base_f1().alias("dummy_macro_f1"), C.delta_f1().alias("delta_vs_dummy"), "positive_ticker_count", F.when(F.col("n").isNull(), "no evaluation day is left").alias("error"))
+    return out.unionByName(failures_of(spark, trials.failures, keys, out)) if trials.failures else out
+
+
 def ledger_of(preds: DataFrame, keys: list[str]) -> DataFrame:
-    """Trial ledger rows from prediction rows: one count aggregate."""
-    t = preds.groupBy(*keys, "ticker").agg(*C.row_sums())
-    g = t.groupBy(*keys).agg(F.count_if(C.delta_f1() > 0).alias("positive_ticker_count"), *C.resum())
-    return g.select(*keys, F.lit("completed").alias("fit_status"), F.col("n").alias("n_rows"), C.macro_f1().alias("macro_f1"),
-                    C.balanced_accuracy().alias("balanced_accuracy"), C.accuracy().alias("accuracy"), C.mcc().alias("mcc"),
-                    C.base_f1().alias("dummy_macro_f1"), C.delta_f1().alias("delta_vs_dummy"), "positive_ticker_count")
+    """Trial ledger rows from prediction rows: one count aggregate, and the ROC-AUC from counts per score.
+
+    With the unit's train ``prior`` beside the rows, the four same-row baselines are scored on the same counts.
+    """
+    known = "prior" in preds.columns
+    t = preds.groupBy(*keys, "ticker").agg(*C.row_sums(), *([F.max("prior").alias("prior")] if known else []))
+    g = t.groupBy(*keys).agg(F.count_if(C.delta_f1() > 0).alias("positive_ticker_count"), *C.resum(), *([F.max("prior").alias("prior")] if known else []))
+    cols = [F.col("n").alias("n_rows"), C.macro_f1().alias("macro_f1"),
+            C.balanced_accuracy().alias("balanced_accuracy"), C.accuracy().alias("accuracy"), C.mcc().alias("mcc"),
+            C.base_f1().alias("dummy_macro_f1"), C.delta_f1().alias("delta_vs_dummy"), F.col("positive_ticker_count")]
+    if known:
+        most = C.constant_f1(majority(F.col("prior")))
+        cols += [most.alias("majority_macro_f1"), (C.macro_f1() - most).alias("delta_vs_majority"),
+                 C.constant_f1(1).alias("constant_up_macro_f1"), C.constant_f1(0).alias("constant_down_macro_f1")]
+    out = g.select(*keys, F.lit("completed").alias("fit_status"), *cols)
+    return out.join(roc_auc(preds, keys), keys, "left")

@@ -176,9 +176,10 @@ def test_model_runs_cover_their_rosters(spark, monkeypatch):
     from sigmeter.catalog import fitted
     from sigmeter.sources import predictions as P
 
-    monkeypatch.setattr(fitted.M, "run_trials", lambda units, rows_of, hook: M.Trials(None, [(u, "not fitted") for u in units]))
+    monkeypatch.setattr(fitted.MF, "run_roster", lambda data, units, n_features, width: M.Trials(None, [(u, "not fitted") for u in units]))
     sf, six = "/root/testdata/sf0.001", set(fitted.PROFILES)
-    for run, keys, n in ((fitted.g14, ["fold_id"], 9 * 2 * 3), (fitted.g15, ["fold_id", "candidate_id"], 6 * 6 * 2 * 3), (fitted.g16, ["period_id"], 6 * 2 * 3), (fitted.g20, ["fold_id", "arm_id"], 4 * 2 * 3)):
+    for run, keys, n in ((fitted.g14, ["fold_id", "candidate_id"], 4 * 9 * 2 * 3), (fitted.g15, ["fold_id", "candidate_id"], 6 * 6 * 2 * 3), (fitted.g16, ["period_id"], 6 * 2 * 3),
+                         (fitted.g20, ["fold_id", "arm_id"], 3 * 4 * 2 * 3)):
         rows = run(spark, sf).select("model_family", "hpo_profile_id", "seed", *keys).collect()
         assert len(rows) == len(set(rows)) == n and {r["seed"] for r in rows} == set(P.SEEDS)
         assert run is fitted.g20 or {r["model_family"] for r in rows} == six
@@ -187,12 +188,13 @@ def test_model_runs_cover_their_rosters(spark, monkeypatch):
 def test_planted_run_has_sentinels_of_every_fit(spark, monkeypatch):
     from sigmeter.catalog import fitted
 
-    def fake(n_features, width):
-        return lambda train, evals, profile, seed: evals.select("sample_id", "ticker", "trading_day", "target_timestamp", F.col("label").cast("int").alias("y_true"),
-                                                                F.lit(0.7).alias("p_up"), F.col("label").cast("int").alias("y_pred"))
+    plain = fitted.MF.run_roster
 
-    monkeypatch.setattr(fitted.M, "fit_and_score", fake)
-    rows = fitted.g20(spark, "/root/testdata/sf0.001").collect()
-    folds = {r["fold_id"] for r in rows}  # the smallest table has a fold without windows to score
-    assert len(folds) >= 2 and len(rows) == len(set((r["fold_id"], r["arm_id"], r["seed"]) for r in rows)) == 4 * 2 * len(folds)
-    assert all(r["fit_status"] == "completed" and r["label_shuffle_p_value"] is not None and r["time_reverse_delta"] is not None for r in rows), rows[:3]
+    def fake(data, group, profile, seed):
+        return data.part(group, "eval").select(*fitted.MF.IDS, F.col("label").cast("double").alias("p_up"))
+
+    monkeypatch.setattr(fitted.MF, "run_roster", lambda *a: plain(*a, hook=fake))
+    rows = [r for r in fitted.g20(spark, "/root/testdata/sf0.001").collect() if r["fit_status"] == "completed"]
+    folds = {r["fold_id"] for r in rows}  # the smallest table has folds without windows to fit or score
+    assert folds and len(rows) == len(set((r["fold_id"], r["arm_id"], r["seed"], r["model_family"]) for r in rows)) == 3 * 4 * 2 * len(folds)
+    assert all(r["macro_f1"] > 0.49 and r["label_shuffle_p_value"] is not None and r["time_reverse_delta"] is not None for r in rows), rows[:3]
