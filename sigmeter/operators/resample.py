@@ -87,12 +87,13 @@ def block_bootstrap(cells: DataFrame, slices: list[str], n_boot: int = 1000, see
 
     F1 is recomputed from each draw's summed counts. One block returns the point.
     """
-    blocks = cells.groupBy(*slices, *BLOCK).agg(*C.resum())
+    keys = list(dict.fromkeys([*slices, *BLOCK]))
+    blocks = materialise(cells.groupBy(*keys).agg(*C.resum()), "block-sums")  # read for the draws and for the point
     draws = bootstrap_draws(blocks, slices, ["n", "p", "pp", "tp", "bp", "btp"], n_boot, seed)
     d = draws.select(*slices, "n_blocks", C.delta_f1().alias("_d"))
     ci = d.groupBy(*slices).agg(F.avg("_d").alias("mean"), F.percentile("_d", 0.025).alias("lcb"),
                                 F.percentile("_d", 0.975).alias("ucb"), F.max("n_blocks").alias("n_blocks"))
-    point = cells.groupBy(*slices).agg(*C.resum()).select(*slices, C.delta_f1().alias("point"))
+    point = blocks.groupBy(*slices).agg(*C.resum()).select(*slices, C.delta_f1().alias("point"))
     return point.join(ci, slices).select(*slices, "point", "mean", "lcb", "ucb", "n_blocks")
 
 
