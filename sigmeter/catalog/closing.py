@@ -42,10 +42,21 @@ def f8(spark, sf):
     return ruled(spark, sf).select("sample_id", "planted_rule_value", "rule_is_null")
 
 
-@query("c4_planted_join", """SELECT (SELECT count(*) FROM events_train)::BIGINT AS left_rows, 0::BIGINT AS unmatched_rows, 0::BIGINT AS duplicate_keys""")
+# Planted defects of the bars: one hour is gone, another is there twice.
+@query("c4_planted_join", """WITH b AS (SELECT 'as_is' AS variant, ticker, "timestamp" AS t FROM bars UNION ALL SELECT 'planted', ticker, "timestamp" FROM bars WHERE hour("timestamp") <> 11
+    UNION ALL SELECT 'planted', ticker, "timestamp" FROM bars WHERE hour("timestamp") = 13),
+  k AS (SELECT variant, ticker, t, count(*) AS n FROM b GROUP BY 1, 2, 3)
+  SELECT v.variant, count(*)::BIGINT AS left_rows, count_if(k.n IS NULL)::BIGINT AS unmatched_rows, max(d.dups)::BIGINT AS duplicate_keys
+  FROM events_train e CROSS JOIN (SELECT unnest(['as_is', 'planted']) AS variant) v JOIN (SELECT variant, count_if(n > 1) AS dups FROM k GROUP BY 1) d ON d.variant = v.variant
+  LEFT JOIN k ON k.variant = v.variant AND k.ticker = e.ticker AND k.t = e.target_timestamp GROUP BY 1""")
 def c4(spark, sf):
     bars = TP.bars(spark, sf).select("ticker", F.col("timestamp").alias("target_timestamp"))
-    return J.join_report(train_events(spark, sf), bars, ["ticker", "target_timestamp"], "planted").select("left_rows", "unmatched_rows", "duplicate_keys")
+    hour = F.hour("target_timestamp")
+    bad, out = bars.filter(hour != 11).unionByName(bars.filter(hour == 13)), None
+    for name, b in (("as_is", bars), ("planted", bad)):
+        row = J.join_report(train_events(spark, sf), b, ["ticker", "target_timestamp"], "planted").select(F.lit(name).alias("variant"), "left_rows", "unmatched_rows", "duplicate_keys")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("f9_relabel_uniforms", f"""SELECT sample_id, {r(u64(f"'{PLANT_SEED}|arm_050|' || sample_id"), 12)} AS u FROM facts""")
@@ -105,11 +116,24 @@ def p8(spark, sf):
 
 # ---- parity and fingerprints -----------------------------------------------------------
 
-@query("c13_event_parity", """SELECT (SELECT count(*) FROM events_train)::BIGINT AS rebuilt_rows, (SELECT count(*) FROM events_train)::BIGINT AS frozen_rows, 0::BIGINT AS one_sided_rows, 0::BIGINT AS label_mismatches""")
+cte("frozen_sets", """SELECT 'as_is' AS variant, sample_id, label FROM events_train
+  UNION ALL SELECT 'planted', CASE WHEN hour(target_timestamp) = 10 THEN sample_id || 'x' ELSE sample_id END, CASE WHEN hour(target_timestamp) = 12 THEN 1 - label ELSE label END FROM events_train WHERE hour(target_timestamp) <> 11""")
+
+
+@query("c13_event_parity", """SELECT variant, count(a)::BIGINT AS rebuilt_rows, count(b)::BIGINT AS frozen_rows, count_if(a IS NULL OR b IS NULL)::BIGINT AS one_sided_rows, count_if(a <> b)::BIGINT AS label_mismatches FROM
+  (SELECT coalesce(e.variant, f.variant) AS variant, e.label AS a, f.label AS b FROM (SELECT variant, sample_id, label FROM events_train, (SELECT unnest(['as_is', 'planted']) AS variant)) e
+   FULL JOIN frozen_sets f ON f.variant = e.variant AND f.sample_id = e.sample_id) GROUP BY 1""")
 def c13(spark, sf):
-    """The frozen cell rebuilt from train bars alone against the label freeze."""
+    """The frozen cell rebuilt from train bars alone against the label freeze, and against one with dropped, renamed and relabelled rows."""
     lab = train_cells(spark, sf).filter((F.col("horizon_k") == TP.HORIZON_K) & (F.col("no_trade_band_bps") == TP.BAND_BPS) & F.col("valid_label"))
-    return J.event_parity(lab.select("sample_id", "label"), train_events(spark, sf))
+    frozen, hour = train_events(spark, sf), F.hour("target_timestamp")
+    bad = frozen.filter(hour != 11).withColumns({"sample_id": F.when(hour == 10, F.concat("sample_id", F.lit("x"))).otherwise(F.col("sample_id")),
+                                                 "label": F.when(hour == 12, 1 - F.col("label")).otherwise(F.col("label"))})
+    out = None
+    for name, f in (("as_is", frozen), ("planted", bad)):
+        row = J.event_parity(lab.select("sample_id", "label"), f).withColumn("variant", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _fp_sql(src: str, group: str, key: str) -> str:
@@ -143,23 +167,36 @@ def q5(spark, sf):
     return _text(Q.fingerprint(train_events(spark, sf), ["split"], F.concat_ws("|", "sample_id", "label")))
 
 
-@query("c14_fingerprint_parity", """SELECT fold_id, fold_side, true AS identical FROM (SELECT DISTINCT fold_id, fold_side FROM fold_member)""")
+# The recorded side lacks the rows of one hour in fold_1, and all of fold_2's evaluation rows.
+cte("recorded_members", "SELECT * FROM fold_member WHERE NOT (fold_id = 'fold_1' AND hour(target_timestamp) = 11) AND NOT (fold_id = 'fold_2' AND fold_side = 'eval')")
+
+
+@query("c14_fingerprint_parity", f"""SELECT fold_id, fold_side, coalesce(a.n_ids = b.n_ids AND a.hash_sum = b.hash_sum AND a.hash_xor = b.hash_xor, false) AS identical
+  FROM ({_fp_sql('fold_member', 'fold_id, fold_side', 'sample_id')}) a FULL JOIN ({_fp_sql('recorded_members', 'fold_id, fold_side', 'sample_id')}) b USING (fold_id, fold_side)""")
 def c14(spark, sf):
-    """Fold fingerprints recorded to a table, recomputed, and compared."""
+    """Fold fingerprints against a recorded table of which two groups differ."""
     keys = ["fold_id", "fold_side"]
     path = scratch_path(spark, "fold-fingerprints")
-    Q.fingerprint(members(spark, sf), keys, F.col("sample_id")).write.parquet(path)
-    again = Q.fingerprint(members(spark, sf), keys, F.col("sample_id"))
+    rows = members(spark, sf)
+    gone = ((F.col("fold_id") == "fold_1") & (F.hour("target_timestamp") == 11)) | ((F.col("fold_id") == "fold_2") & (F.col("fold_side") == "eval"))
+    Q.fingerprint(rows.filter(~gone), keys, F.col("sample_id")).write.parquet(path)
+    again = Q.fingerprint(rows, keys, F.col("sample_id"))
     rec = spark.read.parquet(path).withColumnsRenamed({"n_ids": "_n", "hash_sum": "_s", "hash_xor": "_x"})
     same = (F.col("n_ids") == F.col("_n")) & (F.col("hash_sum") == F.col("_s")) & (F.col("hash_xor") == F.col("_x"))
     return again.join(rec, keys, "full_outer").select(*keys, F.coalesce(same, F.lit(False)).alias("identical"))
 
 
-@query("c15_count_parity", """SELECT ticker, count(*)::BIGINT AS rebuilt, count(*)::BIGINT AS recorded, true AS identical FROM events_train GROUP BY 1""")
+cte("recorded_counts", """SELECT ticker, n FROM (SELECT ticker, count(*) AS n FROM events_train WHERE hour(target_timestamp) <> 11 OR ticker <> 'click' GROUP BY 1) WHERE ticker <> 'view' UNION ALL SELECT 'absent', 1""")
+
+
+@query("c15_count_parity", """SELECT ticker, a.n::BIGINT AS rebuilt, b.n::BIGINT AS recorded, coalesce(a.n = b.n, false) AS identical FROM (SELECT ticker, count(*) AS n FROM events_train GROUP BY 1) a FULL JOIN recorded_counts b USING (ticker)""")
 def c15(spark, sf):
-    """Per-ticker counts against the JSON map of a recorded profile (one entry per ticker)."""
-    per = train_events(spark, sf).groupBy("ticker").agg(F.count("*").alias("rebuilt"))
-    record = per.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ticker", "rebuilt")))).alias("j"))
+    """Per-ticker counts against the JSON map of a recorded profile (one entry per ticker): one count is short, one entry missing, one unknown."""
+    events = train_events(spark, sf)
+    per = events.groupBy("ticker").agg(F.count("*").alias("rebuilt"))
+    kept = events.filter((F.hour("target_timestamp") != 11) | (F.col("ticker") != "click")).filter("ticker <> 'view'").groupBy("ticker").agg(F.count("*").alias("n"))
+    kept = kept.unionByName(spark.createDataFrame([("absent", 1)], "ticker string, n long"))
+    record = kept.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ticker", "n")))).alias("j"))
     rec = record.select(F.explode(F.from_json("j", "map<string,bigint>")).alias("ticker", "recorded"))
     return per.join(rec, "ticker", "full_outer").withColumn("identical", F.coalesce(F.col("rebuilt") == F.col("recorded"), F.lit(False)))
 

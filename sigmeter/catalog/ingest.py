@@ -184,12 +184,29 @@ def b6(spark, sf):
     return G.domain_bounds(ev, ["target_timestamp", "horizon_end_timestamp"], "2024-01-01", "2024-01-21")
 
 
-@query("b7_dump_gate", f"""SELECT count(*)::BIGINT AS n_rows, true AS rows_ok, true AS role_ok, true AS scope_ok,
-  string_agg(DISTINCT seed::VARCHAR, ',' ORDER BY seed::VARCHAR) = '101,202' AS seeds_ok,
-  max(target_timestamp) < TIMESTAMP '{P.HOLDOUT}' AS holdout_ok FROM scored_one""")
+_GATE_VARIANTS = ("as_is", "short", "wrong_role", "wrong_scope", "missing_seed", "past_holdout")
+
+
+@query("b7_dump_gate", f"""WITH d AS (SELECT v.variant, seed, CASE WHEN v.variant = 'wrong_role' AND ticker = 'T2' THEN 'fallback' ELSE 'primary' END AS candidate_role,
+    CASE WHEN v.variant = 'wrong_scope' AND ticker = 'T3' THEN 'train_inner' ELSE 'validation_only' END AS scope,
+    CASE WHEN v.variant = 'past_holdout' AND target_timestamp = (SELECT max(target_timestamp) FROM scored_one) THEN TIMESTAMP '{P.HOLDOUT}' ELSE target_timestamp END AS t
+    FROM scored_one, (SELECT unnest({list(_GATE_VARIANTS)}) AS variant) v WHERE NOT (v.variant = 'missing_seed' AND seed = 202) AND NOT (v.variant = 'short' AND ticker = 'T4'))
+  SELECT variant, count(*)::BIGINT AS n_rows, count(*) = (SELECT count(*) FROM scored_one) AS rows_ok, count_if(candidate_role <> 'primary') = 0 AS role_ok, count_if(scope <> 'validation_only') = 0 AS scope_ok,
+  string_agg(DISTINCT seed::VARCHAR, ',' ORDER BY seed::VARCHAR) = '101,202' AS seeds_ok, max(t) < TIMESTAMP '{P.HOLDOUT}' AS holdout_ok FROM d GROUP BY 1""")
 def b7(spark, sf):
+    """The gate on the dump as it is and on five with one planted fault each."""
     dump = schema.assert_schema(P.dump(spark, sf), schema.PREDICTIONS, "prediction dump")
-    return G.dump_checks(dump, P.SEEDS, P.HOLDOUT)
+    whole = dump.agg(F.count("*").alias("n"), F.max("target_timestamp").alias("t")).first()
+    faults = {
+        "as_is": dump, "short": dump.filter("ticker <> 'T4'"), "missing_seed": dump.filter("seed <> 202"),
+        "wrong_role": dump.withColumn("candidate_role", F.when(F.col("ticker") == "T2", "fallback").otherwise(F.col("candidate_role"))),
+        "wrong_scope": dump.withColumn("scope", F.when(F.col("ticker") == "T3", "train_inner").otherwise(F.col("scope"))),
+        "past_holdout": dump.withColumn("target_timestamp", F.when(F.col("target_timestamp") == F.lit(whole["t"]), F.lit(P.HOLDOUT).cast("timestamp_ntz")).otherwise(F.col("target_timestamp")))}
+    out = None
+    for name in _GATE_VARIANTS:
+        row = G.dump_checks(faults[name], P.SEEDS, P.HOLDOUT, whole["n"]).withColumn("variant", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("b8_dump_derive", f"""SELECT ticker, year(target_timestamp)::VARCHAR AS calendar_year,
@@ -211,11 +228,13 @@ def b9(spark, sf):
                    F.min("c").alias("min_confidence"), F.max("c").alias("max_confidence")))
 
 
-@query("b11_single_domain", """SELECT count(DISTINCT scope)::BIGINT AS n_domains, count(DISTINCT scope) <= 1 AS single_domain
-  FROM (SELECT 'validation_only' AS scope FROM scored_one)""")
+@query("b11_single_domain", """SELECT ticker, count(DISTINCT scope)::BIGINT AS n_domains, count(DISTINCT scope) <= 1 AS single_domain
+  FROM (SELECT ticker, CASE WHEN ticker IN ('T1', 'T3') AND seed = 202 THEN 'train_inner' ELSE 'validation_only' END AS scope FROM scored_one) GROUP BY 1""")
 def b11(spark, sf):
-    return P.dump(spark, sf).agg(F.count_distinct("scope").alias("n_domains"),
-                                 (F.count_distinct("scope") <= 1).alias("single_domain"))
+    """Domains per ticker of a dump in which two tickers mix two domains."""
+    mixed = F.col("ticker").isin("T1", "T3") & (F.col("seed") == 202)
+    d = P.dump(spark, sf).withColumn("scope", F.when(mixed, "train_inner").otherwise(F.col("scope")))
+    return d.groupBy("ticker").agg(F.count_distinct("scope").alias("n_domains"), (F.count_distinct("scope") <= 1).alias("single_domain"))
 
 
 # ---- E/F: windows, labels, folds -------------------------------------------------------
@@ -403,10 +422,16 @@ def e12(spark, sf):
                                      "window_end_position_exclusive", "candidate_id")
 
 
-@query("e13_window_matrix", f"""SELECT sample_id, 15 AS n_cells, {r('fs', 3)} AS cell_sum FROM windows5""")
+# Every cell of the matrix with its place: a wrong order of time or feature gives other rows.
+@query("e13_window_matrix", f"""SELECT w.sample_id, b.bar_no - w.window_start_position - 1 AS step, unnest(['log_return', 'high_low_range', 'time_of_day_sin']) AS feature,
+    unnest([{r('b.log_return::FLOAT', 6)}, {r('b.high_low_range::FLOAT', 6)}, {r('b.time_of_day_sin::FLOAT', 6)}]) AS value
+  FROM windows5 w JOIN (SELECT *, row_number() OVER (PARTITION BY ticker, trading_day ORDER BY "timestamp") AS bar_no FROM features) b
+    ON b.ticker = w.ticker AND b.trading_day = strftime(w.target_timestamp, '%Y-%m-%d') AND b.bar_no > w.window_start_position AND b.bar_no <= w.window_end_position_exclusive""")
 def e13(spark, sf):
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return windows(spark, sf).select("sample_id", F.size("features").alias("n_cells"), F.round(total, 3).alias("cell_sum"))
+    w = windows(spark, sf).select("sample_id", F.posexplode("features").alias("i", "v"))
+    names = F.array(*[F.lit(n) for n in WIN_FEATS])
+    n = len(WIN_FEATS)
+    return w.select("sample_id", F.floor(F.col("i") / n).cast("long").alias("step"), F.get(names, F.col("i") % n).alias("feature"), F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 @query("e14_last_bar_slice", f"""SELECT sample_id, {r('lr::FLOAT', 5)} AS f0, {r('hl::FLOAT', 5)} AS f1, {r('td::FLOAT', 5)} AS f2 FROM windows5""")

@@ -60,6 +60,25 @@ def c3(spark, sf):
         F.count_if(F.col("y_pred") == F.col("base_pred")).alias("n_agree"))
 
 
+# Planted defects of a baseline dump: by the last digit of the sample, dropped, doubled or relabelled rows.
+@query("c3_alignment_report", """WITH b AS (SELECT 'as_is' AS variant, seed, sample_id, y_true FROM scored_one
+    UNION ALL SELECT 'planted', seed, sample_id, CASE WHEN right(sample_id, 1) = '5' THEN 1 - y_true ELSE y_true END FROM scored_one WHERE right(sample_id, 1) <> '7'
+    UNION ALL SELECT 'planted', seed, sample_id, y_true FROM scored_one WHERE right(sample_id, 1) = '3'),
+  k AS (SELECT variant, seed, sample_id, count(*) AS n, min(y_true) AS y FROM b GROUP BY 1, 2, 3)
+  SELECT v.variant, count(*)::BIGINT AS candidate_rows, count_if(k.n IS NULL)::BIGINT AS missing_rows, count_if(k.n > 1)::BIGINT AS repeated_rows,
+    count_if(k.n = 1 AND k.y <> c.y_true)::BIGINT AS label_mismatches, count_if(k.n = 1 AND k.y = c.y_true)::BIGINT AS aligned_rows
+  FROM scored_one c, (SELECT unnest(['as_is', 'planted']) AS variant) v LEFT JOIN k ON k.variant = v.variant AND k.seed = c.seed AND k.sample_id = c.sample_id GROUP BY 1""")
+def c3r(spark, sf):
+    cand, base = P.scored(spark, sf).drop("base_pred", "prior"), P.baseline_dump(spark, sf)
+    end = F.right("sample_id", F.lit(1))
+    bad = base.filter(end != "7").withColumn("y_true", F.when(end == "5", 1 - F.col("y_true")).otherwise(F.col("y_true"))).unionByName(base.filter(end == "3"))
+    on, out = ["seed", "sample_id"], None
+    for name, b in (("as_is", base), ("planted", bad)):
+        row = J.alignment_report(cand, b, on).withColumn("variant", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("c5_tercile_carry", """SELECT b.seed, t.activity_tercile, count(*)::BIGINT AS n, sum(b.base_pred)::BIGINT AS n_base_up
   FROM scored_one b JOIN day_terciles t USING (ticker, trading_day) GROUP BY 1, 2""")
 def c5(spark, sf):
@@ -102,12 +121,15 @@ def c10(spark, sf):
     return rounded(J.baseline_lookup(led.select(*keys, "macro_f1"), base, keys))
 
 
-@query("b14_pending_units", """SELECT candidate_id, model_family, hpo_profile_id, fold_id, seed FROM ledger WHERE fit_status <> 'completed'""")
+@query("b14_pending_units", """SELECT candidate_id, model_family, hpo_profile_id, fold_id, seed FROM ledger WHERE seed = 202 AND fold_id IN ('wf_1996', 'wf_1997')""")
 def b14(spark, sf):
+    """Units to run again from a ledger in which one seed failed in one period and is absent from another."""
     from ..operators.guards import pending_units
     led = ledger(spark, sf)
     keys = ["candidate_id", "model_family", "hpo_profile_id", "fold_id", "seed"]
-    return pending_units(led.select(*keys), led, keys)
+    late = F.col("seed") == 202
+    broken = led.filter(~(late & (F.col("fold_id") == "wf_1997"))).withColumn("fit_status", F.when(late & (F.col("fold_id") == "wf_1996"), "failed").otherwise(F.col("fit_status")))
+    return pending_units(led.select(*keys), broken, keys)
 
 
 @query("c11_overlap_count", """SELECT count(*)::BIGINT AS n_overlap FROM facts WHERE target_timestamp < TIMESTAMP '1997-01-01'
@@ -162,14 +184,31 @@ def g4(spark, sf):
     return rounded(per.groupBy("period_id").agg(F.avg("dummy_macro_f1").alias("mean_dummy_macro_f1"), F.count("*").alias("n_seeds")))
 
 
-@query("g5_dummy_replay_gate", """SELECT seed, (3 + count(DISTINCT ticker))::BIGINT AS n_figures, (3 + count(DISTINCT ticker))::BIGINT AS n_equal,
-  'verified_identical' AS recon_status FROM cells_one GROUP BY 1""")
+# The second dump has one seed's baseline flipped on one ticker.
+cte("replayed", f"""SELECT 'as_is' AS variant, seed, ticker, y_true, y_pred, base_pred, base_pred AS again FROM scored_one
+  UNION ALL SELECT 'planted', seed, ticker, y_true, y_pred, base_pred, CASE WHEN seed = 202 AND ticker = 'T1' THEN 1 - base_pred ELSE base_pred END FROM scored_one""")
+
+
+@query("g5_dummy_replay_gate", f"""WITH s AS (SELECT variant, seed, ticker, count(*) AS n, sum(y_true) AS p, sum(y_pred) AS pp, sum(y_true * y_pred) AS tp, sum(base_pred) AS bp, sum(y_true * base_pred) AS btp,
+    sum(again) AS ap, sum(y_true * again) AS atp FROM replayed GROUP BY 1, 2, 3),
+  t AS (SELECT variant, seed, sum(n) AS n, sum(p) AS p, sum(bp) AS bp, sum(btp) AS btp, sum(ap) AS ap, sum(atp) AS atp FROM s GROUP BY 1, 2),
+  f AS (SELECT variant, seed, ticker AS figure, {f1()} - {f1('n', 'p', 'bp', 'btp')} AS a, {f1()} - {f1('n', 'p', 'ap', 'atp')} AS b FROM s
+    UNION ALL SELECT variant, seed, 'macro_f1', {f1('n', 'p', 'bp', 'btp')}, {f1('n', 'p', 'ap', 'atp')} FROM t
+    UNION ALL SELECT variant, seed, 'accuracy', (n - p - bp + 2 * btp)::DOUBLE / n, (n - p - ap + 2 * atp)::DOUBLE / n FROM t
+    UNION ALL SELECT variant, seed, 'mcc', (n::DOUBLE * btp - p::DOUBLE * bp) / (sqrt(p::DOUBLE * (n - p)) * sqrt(bp::DOUBLE * (n - bp))), (n::DOUBLE * atp - p::DOUBLE * ap) / (sqrt(p::DOUBLE * (n - p)) * sqrt(ap::DOUBLE * (n - ap))) FROM t)
+  SELECT variant, seed, count(*)::BIGINT AS n_figures, count_if(abs(a - b) <= 1e-9)::BIGINT AS n_equal,
+    CASE WHEN min(min(CASE WHEN abs(a - b) <= 1e-9 THEN 1 ELSE 0 END)) OVER (PARTITION BY variant) = 1 THEN 'verified_identical' ELSE 'mismatch_deltas_not_computed' END AS recon_status FROM f GROUP BY 1, 2""")
 def g5(spark, sf):
-    """Figures of a re-drawn dummy against those of the dump joined back by sample."""
+    """Figures of a re-drawn dummy against those of a dump joined back by sample: as stored, and with flipped rows."""
     replay = BL.replay_figures(RO.block_cells(P.scored(spark, sf), ["seed"]))
-    cand = P.scored(spark, sf).drop("base_pred")
-    dump = J.align_baseline(cand, P.baseline_dump(spark, sf), ["seed", "sample_id"])
-    return BL.replay_gate(replay, BL.replay_figures(RO.block_cells(dump, ["seed"])))
+    cand, base = P.scored(spark, sf).drop("base_pred"), P.baseline_dump(spark, sf)
+    flipped = base.withColumn("y_pred", F.when((F.col("seed") == 202) & (F.col("ticker") == "T1"), 1 - F.col("y_pred")).otherwise(F.col("y_pred")))
+    out = None
+    for name, b in (("as_is", base), ("planted", flipped)):
+        dump = J.align_baseline(cand, b, ["seed", "sample_id"])
+        rows = BL.replay_gate(replay, BL.replay_figures(RO.block_cells(dump, ["seed"]))).withColumn("variant", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # ---- H: metrics ------------------------------------------------------------------------

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import ContractError, assert_columns
+from ..schema import assert_columns
 
 
 def bar_position(events: DataFrame, bars: DataFrame) -> DataFrame:
@@ -29,14 +29,31 @@ def join_report(left: DataFrame, right: DataFrame, keys: list[str], probe: str)
     return miss.crossJoin(dup)  # one row each
 
 
+def partner_check(what: str, extra: dict[str, Column] | None = None) -> Column:
+    """Null for a row that met exactly one partner, else an error that stops the job when the row is read.
+
+    ``_n`` is the number of right rows of the key; ``extra`` names further faults.
+    """
+    out = F.when(F.col("_n").isNull(), F.raise_error(F.lit(f"{what}: a row without a partner"))).when(
+        F.col("_n") > 1, F.raise_error(F.lit(f"{what}: a key with several partners")))
+    for fault, bad in (extra or {}).items():
+        out = out.when(bad, F.raise_error(F.lit(f"{what}: {fault}")))
+    return out
+
+
 def checked_left_join(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Left join that must match every row exactly once; raises otherwise."""
+    """Left join in which every row must meet exactly one partner.
+
+    The check rides on the join: the right side is counted per key first, so a repeated key cannot multiply
+    rows, and a fault raises where a joined column of its row is computed. Building the frame runs no job.
+    """
     assert_columns(left, keys, what)
     assert_columns(right, keys, what)
-    rep = join_report(left, right, keys, what).first()
-    if rep["duplicate_keys"] or rep["unmatched_rows"]:
-        raise ContractError(f"{what}: {rep['duplicate_keys']} duplicate keys, {rep['unmatched_rows']} misses")
-    return left.join(right, keys, "left")
+    rest = [c for c in right.columns if c not in keys]
+    once = right.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    joined = left.join(once, keys, "left")
+    fault = partner_check(what)
+    return joined.withColumns({c: F.when(fault.isNotNull(), F.lit(None)).otherwise(F.col(c)) for c in rest}).drop("_n")
 
 
 def attach_day_column(dump: DataFrame, days: DataFrame, column: str) -> DataFrame:
@@ -44,20 +61,23 @@ def attach_day_column(dump: DataFrame, days: DataFrame, column: str) -> DataFram
                              f"attach {column}")
 
 
-def align_baseline(cand: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:
-    """Candidate rows with ``base_pred``; every row must match once and agree on y_true.
+def _baseline_once(base: DataFrame, on: list[str]) -> DataFrame:
+    return base.groupBy(*on).agg(F.count("*").alias("_n"), F.first("y_pred").alias("base_pred"), F.first("y_true").alias("_y"))
 
-    Checks ride on the join itself: matches are counted per candidate group in one aggregate.
-    """
-    b = base.select(*on, F.col("y_pred").alias("base_pred"), F.col("y_true").alias("_y"))
-    joined = cand.join(b, on, "left")
-    chk = joined.agg(F.count_if(F.col("_y").isNull()).alias("missing"),
-                     F.count_if(F.col("_y") != F.col("y_true")).alias("mismatch"))
-    dup = b.groupBy(*on).count().filter("count > 1").limit(1).count()
-    row = chk.first()
-    if dup or row["missing"] or row["mismatch"]:
-        raise ContractError(f"baseline alignment: duplicate={dup} missing={row['missing']} mismatch={row['mismatch']}")
-    return joined.drop("_y")
+
+def align_baseline(cand: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:
+    """Candidate rows with ``base_pred``; a row without one match, or with another y_true, raises when it is read."""
+    joined = cand.join(_baseline_once(base, on), on, "left")
+    fault = partner_check("baseline alignment", {"labels differ": ~F.col("_y").eqNullSafe(F.col("y_true"))})
+    return joined.withColumn("base_pred", F.when(fault.isNotNull(), F.lit(None)).otherwise(F.col("base_pred"))).drop("_y", "_n")
+
+
+def alignment_report(cand: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:
+    """One row: rows that align, and rows with no partner, several partners or another label."""
+    j = cand.join(_baseline_once(base, on), on, "left")
+    one = F.col("_n") == 1
+    return j.agg(F.count("*").alias("candidate_rows"), F.count_if(F.col("_n").isNull()).alias("missing_rows"), F.count_if(F.col("_n") > 1).alias("repeated_rows"),
+                 F.count_if(one & (F.col("_y") != F.col("y_true"))).alias("label_mismatches"), F.count_if(one & (F.col("_y") == F.col("y_true"))).alias("aligned_rows"))
 
 
 def baseline_lookup(trials: DataFrame, baselines: DataFrame, keys: list[str]) -> DataFrame:
