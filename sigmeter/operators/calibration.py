@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import ratio
 from ..session import materialise
-from .ranks import exact_quantiles, group_rank
 
 SCHEMES = ("equal_width", "equal_mass")
 
@@ -20,39 +19,94 @@ def calibration_views(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.withColumn("_v", F.explode(views)).select(*keep, "sample_id", "y_true", "_v.*")
 
 
-def bin_edges(values: DataFrame, group: list[str], bin_counts: list[int]) -> DataFrame:
-    """Edge arrays per (group, scheme, n_bins): a handful of rows per group.
+CELL_BITS = (12, 24)  # cells of the two counting passes over [0, 1]
+SUMS = ("n", "v", "o", "y", "sq")
 
-    Equal-mass edges are exact quantiles read off global ranks; duplicates are dropped.
+
+def value_sums() -> list[Column]:
+    d = F.col("value") - F.col("outcome")
+    return [F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("outcome").alias("o"), F.sum("y_true").alias("y"), F.sum(d * d).alias("sq")]
+
+
+def _cell(bits: int, value: Column | str = "value") -> Column:
+    """Cell of a score in [0, 1]; 1 itself is in the last."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.greatest(F.lit(0), F.least(F.floor(v * float(1 << bits)), F.lit((1 << bits) - 1))).cast("long")
+
+
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join in which null keys meet; the right side's keys are dropped."""
+    right = right.withColumnsRenamed({k: "_r_" + k for k in keys})
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col("_r_" + k))
+        cond = c if cond is None else cond & c
+    return left.join(right, cond, how).drop(*["_r_" + k for k in keys if how == "inner" or how == "left"])
+
+
+def _located(cells: DataFrame, wanted: DataFrame, group: list[str], within: list[str], place: str) -> DataFrame:
+    """For each wanted (group, rank, base) the cell that holds the rank, and the rows before that cell.
+
+    ``cells``: counts ``n`` per (group, within, place); at most a few thousand cells per (group, within).
+    """
+    run = Window.partitionBy(*group, *within).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    held = cells.select(*group, *within, F.struct(F.sum("n").over(run).alias("c"), F.col("n").alias("n"), F.col(place).alias("p")).alias("_s"))
+    held = held.groupBy(*group, *within).agg(F.array_sort(F.collect_list("_s")).alias("_a"))
+    j = _on(wanted, held, group + within, "inner")
+    hit = F.element_at(F.filter("_a", lambda x: x["c"] > F.col("rank") - F.col("base")), 1)
+    return j.withColumn("_h", hit).select(*group, *within, "rank", F.col("_h.p").alias(place), (F.col("base") + F.col("_h.c") - F.col("_h.n")).alias("base"))
+
+
+def pieces_and_edges(values: DataFrame, group: list[str], bin_counts: list[int], expand=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Sums over pieces of [0, 1] that no bin edge cuts, and the edge arrays per (group, scheme, n_bins).
+
+    Rows are counted into cells; only cells that hold an edge are counted again, finer, and at last by value. So
+    equal-mass edges are exact quantiles (linear between two ranks, duplicates dropped), nothing is sorted by row,
+    and a row is searched for in no array. ``expand`` maps rows or sums to the groups that they belong to, so that
+    pooled groups are sums of their parts. Scores lie in [0, 1].
     """
-    ranked = group_rank(values.select(*group, "value", "sample_id"), group,
-                        [F.col("value").asc(), F.col("sample_id").asc()])
     probs = sorted({i / n for n in bin_counts for i in range(n + 1)})
-    qs = exact_quantiles(ranked, group, "value", probs).groupBy(*group).agg(
-        F.map_from_entries(F.collect_list(F.struct("q", "quantile"))).alias("_m"))  # a few dozen entries
+    coarse, fine = CELL_BITS
+    base = values.select(*group, "value", "outcome", "y_true")
+    add = [F.sum(c).alias(c) for c in SUMS]
+    one = materialise(expand(base.groupBy(*group, _cell(coarse).alias("_c")).agg(*value_sums())).groupBy(*group, "_c").agg(*add), "coarse-cells")
+    sizes = one.groupBy(*group).agg(F.sum("n").alias("total"))
+    h = lambda q: F.lit(float(q)) * (F.col("total") - 1)
+    ranks = F.array_distinct(F.array(*[f(h(q)).cast("long") for q in probs for f in (F.floor, F.ceil)]))
+    wanted = sizes.select(*group, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("base"))
+    at_one = materialise(_located(one, wanted, group, [], "_c"), "rank-cells")
+    widths = lambda bits: F.array(*[_cell(bits, F.lit(float(q))) for q in probs])
+    cut_one = at_one.select(*group, "_c").unionByName(sizes.select(*group, F.explode(widths(coarse)).alias("_c"))).distinct()
+    rows = _on(expand(base.withColumn("_c", _cell(coarse))), cut_one, group + ["_c"], "left_semi")
+    two = materialise(rows.groupBy(*group, "_c", _cell(fine).alias("_f")).agg(*value_sums()), "fine-cells")
+    at_two = materialise(_located(two, at_one, group, ["_c"], "_f"), "rank-cells")
+    cut_two = at_two.select(*group, "_f").unionByName(sizes.select(*group, F.explode(widths(fine)).alias("_f"))).distinct()
+    rows = _on(expand(base.withColumn("_f", _cell(fine))), cut_two, group + ["_f"], "left_semi")
+    three = materialise(rows.groupBy(*group, "_f", "value").agg(*value_sums()), "edge-values")
+    known = _located(three, at_two.drop("_c"), group, ["_f"], "value").groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"))
+    known = _on(known, sizes, group, "inner")
     options = []
+
+    def quantile(q: float) -> Column:
+        lo, hi = F.col("_m")[F.floor(h(q)).cast("long")], F.col("_m")[F.ceil(h(q)).cast("long")]
+        return lo + (hi - lo) * (h(q) - F.floor(h(q)))
+
     for n in bin_counts:
-        mass = F.array_sort(F.array_distinct(F.array(*[F.col("_m")[F.lit(i / n)] for i in range(n + 1)])))
+        mass = F.array_sort(F.array_distinct(F.array(*[quantile(i / n) for i in range(n + 1)])))
         mass = F.when(F.size(mass) < 2, F.array(mass[0], mass[0])).otherwise(mass)
         width = F.array(*[F.lit(i / n) for i in range(n + 1)])
         for scheme, e in zip(SCHEMES, (width, mass)):
             options.append(F.struct(F.lit(scheme).alias("binning_scheme"), F.lit(n).alias("n_bins"), e.alias("edges")))
-    return qs.select(*group, F.explode(F.array(*options)).alias("_o")).select(*group, "_o.*")
-
-
-def merged_cells(values: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
-    """Sums per (group, cell) where the cells are cut by all of the group's edges together.
-
-    Each row makes one search; every scheme, bin count and score is then a sum of cells.
-    """
-    merged = edges.groupBy(*group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("_m"))
-    at = F.greatest(F.lit(0), F.size(F.filter("_m", lambda b: b <= F.col("value"))) - 1)
-    d = F.col("value") - F.col("outcome")
-    # One short array per group, from a written table: its real size decides the join.
-    cells = values.join(materialise(merged, "merged-edges"), group).groupBy(*group, at.alias("_c")).agg(
-        F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("outcome").alias("o"), F.sum("y_true").alias("y"),
-        F.sum(d * d).alias("sq"))
-    return cells.join(merged, group).withColumn("low", F.get("_m", F.col("_c"))).drop("_m", "_c")
+    edges = known.select(*group, F.explode(F.array(*options)).alias("_o")).select(*group, "_o.*")
+    # An interpolated edge may fall between its two ranks into a cell without rows, or at a value: no piece is cut by it
+    # unless both ranks lie in other cells with rows between them, and between neighbouring ranks there are none.
+    keep = ["low", *SUMS]
+    parts = [_on(one, cut_one, group + ["_c"], "left_anti").withColumn("low", F.col("_c") / float(1 << coarse)),
+             _on(two, cut_two, group + ["_f"], "left_anti").withColumn("low", F.col("_f") / float(1 << fine)), three.withColumn("low", F.col("value"))]
+    out = parts[0].select(*group, *keep)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*group, *keep))
+    return out, edges
 
 
 def reliability_bins(cells: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
@@ -97,13 +151,16 @@ def calibration_frames(rows: DataFrame, bin_counts: list[int], primary: tuple[st
     combination, and seed means."""
     keys = ["seed", "ticker", "view"]
     views = calibration_views(rows, ["seed", "ticker"])
-    pooled = views.withColumn("ticker", F.lit("pooled"))
-    by_ticker = views.filter(F.col("view") == primary[0])
-    allv = pooled.unionByName(by_ticker)
-    edges = bin_edges(allv, keys, bin_counts)
+
+    def expand(df: DataFrame) -> DataFrame:
+        """Every row or sum under 'pooled', those of the primary view also under their ticker."""
+        own = F.array_compact(F.array(F.lit("pooled"), F.when(F.col("view") == primary[0], F.col("ticker"))))
+        return df.withColumn("ticker", F.explode(own))
+
+    pieces, edges = pieces_and_edges(views, keys, bin_counts, expand)
     edges = materialise(edges, "bin-edges").filter((F.col("ticker") == "pooled") | ((F.col("binning_scheme") == primary[1])
                                                            & (F.col("n_bins") == primary[2])))
-    cells = materialise(merged_cells(allv, edges, keys), "calibration-cells")
+    cells = materialise(pieces, "calibration-cells")
     bins = materialise(reliability_bins(cells, edges, keys), "bins")
     combo = keys + ["binning_scheme", "n_bins"]
     summary = (calibration_errors(bins, combo).join(brier_terms(bins, combo), combo)

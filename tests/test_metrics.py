@@ -73,8 +73,8 @@ def test_student_t(spark):
 def _reliability(spark, y, p, n, scheme):
     rows = [("g", f"{i:03d}", v, o, o) for i, (o, v) in enumerate(zip(y, p))]
     df = spark.createDataFrame(rows, "k string, sample_id string, value double, outcome int, y_true int")
-    edges = CAL.bin_edges(df, ["k"], [n]).filter(F.col("binning_scheme") == scheme)
-    cells = CAL.merged_cells(df, edges, ["k"])
+    cells, edges = CAL.pieces_and_edges(df, ["k"], [n])
+    edges = edges.filter(F.col("binning_scheme") == scheme)
     return CAL.reliability_bins(cells, edges, ["k"])
 
 

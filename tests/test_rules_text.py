@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sigmeter.functions.scalar import hash01, text_flag, uniform64
@@ -24,17 +25,26 @@ def test_text_flags(spark):
     assert [r[0] for r in df.select(text_flag(F.col("x"))).collect()] == [True, False, True, False, True]
 
 
-def test_checked_joins_raise(spark):
+def test_checked_joins_run_nothing_until_read_and_then_raise(spark):
     a = spark.createDataFrame([("A", "d1"), ("A", "d2")], ["ticker", "trading_day"])
-    with pytest.raises(ContractError):
-        J.attach_day_column(a, spark.createDataFrame([("A", "d1", "low")], ["ticker", "trading_day", "t"]), "t")
-    dup = spark.createDataFrame([("A", "d1", "low"), ("A", "d1", "mid"), ("A", "d2", "mid")], ["ticker", "trading_day", "t"])
-    with pytest.raises(ContractError):
-        J.attach_day_column(a, dup, "t")
     cand = spark.createDataFrame([(1, "s", 1)], ["seed", "sample_id", "y_true"])
-    base = spark.createDataFrame([(1, "s", 0, 1)], ["seed", "sample_id", "y_true", "y_pred"])
-    with pytest.raises(ContractError):
-        J.align_baseline(cand, base, ["seed", "sample_id"])
+    base = lambda *rows: spark.createDataFrame(rows, ["seed", "sample_id", "y_true", "y_pred"])
+    days = lambda *rows: spark.createDataFrame(rows, ["ticker", "trading_day", "t"])
+    spark.sparkContext.setJobGroup("building", "no job may run here")
+    good = J.attach_day_column(a, days(("A", "d1", "low"), ("A", "d2", "mid"), ("B", "d1", "low")), "t")
+    short = J.attach_day_column(a, days(("A", "d1", "low")), "t")
+    double = J.attach_day_column(a, days(("A", "d1", "low"), ("A", "d1", "mid"), ("A", "d2", "mid")), "t")
+    aligned = J.align_baseline(cand, base((1, "s", 1, 0), (1, "other", 0, 0)), ["seed", "sample_id"])
+    faults = {"labels differ": base((1, "s", 0, 1)), "several partners": base((1, "s", 1, 1), (1, "s", 1, 1)), "without a partner": base((1, "z", 1, 1))}
+    broken = {k: J.align_baseline(cand, b, ["seed", "sample_id"]) for k, b in faults.items()}
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["t"] for r in good.collect()) == ["low", "mid"] and [r["base_pred"] for r in aligned.collect()] == [0]
+    for frame, word in ((short, "without a partner"), (double, "several partners"), *((f, k) for k, f in broken.items())):
+        with pytest.raises(PySparkException, match=word):
+            frame.collect()
+    report = J.alignment_report(cand, faults["labels differ"], ["seed", "sample_id"]).first()
+    assert (report["label_mismatches"], report["aligned_rows"], report["missing_rows"]) == (1, 0, 0)
 
 
 def test_manifest_statuses(spark):
