@@ -283,6 +283,41 @@ def p3(spark, sf):
     return rounded(picks(spark, sf))
 
 
+# Ledgers of the gate's cases: as it is, without rows, with a failed trial (and the same where that is allowed), below both baselines, and of one profile.
+_CASES = ("as_is", "empty", "failed_trial", "failed_trial_allowed", "nothing_eligible", "one_profile")
+cte("gate_ledger", """SELECT v.c, l.* REPLACE (CASE WHEN v.c LIKE 'failed_trial%' AND seed = 202 AND fold_id = 'wf_1996' AND model_family = (SELECT min(model_family) FROM picks WHERE selected_role = 'primary') THEN 'failed' ELSE fit_status END AS fit_status,
+    CASE WHEN v.c = 'nothing_eligible' THEN -abs(delta_vs_dummy) ELSE delta_vs_dummy END AS delta_vs_dummy)
+  FROM ledger l, (SELECT unnest(['as_is', 'empty', 'failed_trial', 'failed_trial_allowed', 'nothing_eligible', 'one_profile']) AS c) v WHERE v.c <> 'empty'
+    AND (v.c <> 'one_profile' OR (l.candidate_id, l.model_family, l.hpo_profile_id) IN (SELECT candidate_id, model_family, hpo_profile_id FROM picks WHERE selected_role = 'primary'))""")
+cte("gate_summary", f"""SELECT c, candidate_id, model_family, hpo_profile_id, count(*) AS expected, count_if(fit_status = 'completed') AS done, avg(delta_vs_dummy) FILTER (fit_status = 'completed') AS md, avg(delta_vs_majority) FILTER (fit_status = 'completed') AS mm,
+    avg(macro_f1) FILTER (fit_status = 'completed') AS mf, min(positive_ticker_count) FILTER (fit_status = 'completed') AS mt, {lcb("CASE WHEN fit_status = 'completed' THEN delta_vs_dummy END")} AS lo FROM gate_ledger GROUP BY 1, 2, 3, 4""")
+cte("gate_ranked", """SELECT *, row_number() OVER (PARTITION BY c ORDER BY lo DESC NULLS LAST, md DESC NULLS LAST, mf DESC NULLS LAST, mt DESC NULLS LAST, candidate_id, model_family, hpo_profile_id) AS rk FROM gate_summary WHERE expected = done AND md > 0 AND mm > 0 AND mt >= 1""")
+cte("gate_first", "SELECT * FROM gate_ranked WHERE rk = 1")
+cte("gate_second", """SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.c ORDER BY CASE WHEN r.rk = w.rk THEN 0 ELSE 1 END, r.rk) AS o FROM gate_ranked r JOIN gate_first f ON f.c = r.c AND f.model_family <> r.model_family
+    JOIN (SELECT c, candidate_id, min(rk) AS rk FROM gate_ranked GROUP BY 1, 2) w ON w.c = r.c AND w.candidate_id = r.candidate_id WHERE r.rk > 1) WHERE o = 1""")
+
+
+@query("p3_selection_bundle", f"""WITH z AS (SELECT v.c, (SELECT count(*) FROM gate_summary s WHERE s.c = v.c) AS n, (SELECT count(*) FROM gate_ledger l WHERE l.c = v.c AND fit_status <> 'completed') AS open_trials,
+    (SELECT count(*) FROM gate_ranked r WHERE r.c = v.c) AS able, f.candidate_id || '|' || f.model_family || '|' || f.hpo_profile_id AS p, s.candidate_id || '|' || s.model_family || '|' || s.hpo_profile_id AS b
+    FROM (SELECT unnest({list(_CASES)}) AS c) v LEFT JOIN gate_first f ON f.c = v.c LEFT JOIN gate_second s ON s.c = v.c),
+  k AS (SELECT *, CASE WHEN n = 0 THEN 1 WHEN open_trials > 0 AND c <> 'failed_trial_allowed' THEN 2 WHEN able = 0 THEN 3 WHEN p IS NULL OR b IS NULL THEN 4 ELSE 5 END AS g FROM z)
+  SELECT c AS case_id, g = 5 AS ready_for_next_stage, {[d for d, _ in DE.GATE] + [DE.READY]}[g] AS decision, {[x for _, x in DE.GATE] + ['']}[g] AS block_reason, CASE WHEN g > 3 THEN p END AS primary, CASE WHEN g > 3 THEN b END AS fallback FROM k""")
+def p3b(spark, sf):
+    """The gate on the ledger as it is and on one ledger for each way to be blocked."""
+    led = materialise(ledger(spark, sf), "ledger")
+    first = DE.primary_and_fallback(RO.hpo_summary(led), 1, 1).filter("selected_role = 'primary'").select(*DE.HPO_KEYS)
+    family = first.select(F.col("model_family").alias("_f"))
+    hit = (F.col("seed") == 202) & (F.col("fold_id") == "wf_1996") & (F.col("model_family") == F.col("_f"))
+    failed = led.crossJoin(F.broadcast(family)).withColumn("fit_status", F.when(hit, "failed").otherwise(F.col("fit_status"))).drop("_f")  # one row
+    cases = {"as_is": led, "empty": led.limit(0), "failed_trial": failed, "failed_trial_allowed": failed,
+             "nothing_eligible": led.withColumn("delta_vs_dummy", -F.abs("delta_vs_dummy")), "one_profile": led.join(F.broadcast(first), DE.HPO_KEYS, "left_semi")}
+    out = None
+    for name in _CASES:
+        row = DE.selection_bundle(RO.hpo_summary(cases[name]), cases[name], 1, 1, name != "failed_trial_allowed").withColumn("case_id", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("p4_best_profile_per_family", f"""SELECT candidate_id, model_family, hpo_profile_id, {', '.join(f'{r(c)} AS {c}' for c in _HO)} FROM (SELECT *, row_number() OVER (PARTITION BY model_family
   ORDER BY lcb_delta_vs_dummy DESC NULLS LAST, mean_delta_vs_dummy DESC NULLS LAST, mean_macro_f1 DESC NULLS LAST, candidate_id, hpo_profile_id) AS rk FROM hpo) WHERE rk = 1""")
 def p4(spark, sf):

@@ -492,8 +492,8 @@ def d4(spark, sf):
 @query("c9_walkforward_rows", """SELECT period_id, CASE WHEN target_timestamp < period_start THEN 'train' ELSE 'test' END AS fold_side,
   count(*)::BIGINT AS n, sum(y_true)::BIGINT AS n_up FROM facts JOIN periods ON target_timestamp < period_end GROUP BY 1, 2""")
 def c9(spark, sf):
-    return FD.walkforward_rows(P.facts(spark, sf), periods(spark, sf)).groupBy("period_id", "fold_side").agg(
-        F.count("*").alias("n"), F.sum("y_true").alias("n_up"))
+    """Counts of every period's sides from running sums over the periods: no row is repeated per later period."""
+    return FD.expanding_sums(P.facts(spark, sf), periods(spark, sf), {"n": F.lit(1), "n_up": F.col("y_true")})
 
 
 @query("c9_walkforward_priors", f"""SELECT 'wf_' || yr AS period_id, {r('prior')} AS prior FROM priors WHERE yr >= 1996""")

@@ -59,6 +59,38 @@ def primary_and_fallback(summary: DataFrame, min_tickers: int, family_cap: int =
     return e.withColumn("selected_role", role).filter(role.isNotNull()).select("selected_role", *HPO_KEYS, *HPO_ORDER)
 
 
+# Fixed decision and block-reason names of the selection gate, in the order in which they are tried.
+GATE = (
+    ("do_not_start_stage03_no_hpo_summary_rows", "no_hpo_summary_rows"),
+    ("do_not_start_stage03_hpo_trials_incomplete", "one_or_more_hpo_trials_failed_or_skipped"),
+    ("do_not_start_stage03_no_hpo_candidate_cleared_selection_gates", "no_hpo_candidate_cleared_baseline_or_ticker_robustness_gates"),
+    ("do_not_start_stage03_missing_primary_or_fallback_candidate", "stage02_requires_primary_and_fallback_candidates"),
+)
+READY = "ready_for_stage03_frozen_train_inner_hpo_candidates"
+
+
+def selection_bundle(summary: DataFrame, ledger: DataFrame, min_tickers: int, family_cap: int = 1, require_completed: bool = True) -> DataFrame:
+    """One row: whether the next stage may start, the decision, why it is blocked, and the two picks.
+
+    The first fault counts: no summary, an unfinished trial (where all must be finished), nothing eligible, or no
+    second pick. Picks are named where the gate got as far as choosing them. Every input is a roster, and each part is one row.
+    """
+    n = summary.agg(F.count("*").alias("_summary"))
+    open_ = ledger.agg(F.count_if(~F.col("fit_status").eqNullSafe("completed")).alias("_open"))
+    able = eligible_profiles(summary, min_tickers).agg(F.count("*").alias("_able"))
+    picks = primary_and_fallback(summary, min_tickers, family_cap)
+    name = F.concat_ws("|", *HPO_KEYS)
+    two = picks.agg(*[F.max(F.when(F.col("selected_role") == role, name)).alias(role) for role in ("primary", "fallback")])
+    x = n.crossJoin(open_).crossJoin(able).crossJoin(two)  # one row each
+    faults = (F.col("_summary") == 0, F.lit(require_completed) & (F.col("_open") > 0), F.col("_able") == 0, F.col("primary").isNull() | F.col("fallback").isNull())
+    decision, reason, chosen = F.when(F.lit(False), ""), F.when(F.lit(False), ""), F.when(F.lit(False), False)
+    for i, (fault, (d, r)) in enumerate(zip(faults, GATE)):
+        decision, reason, chosen = decision.when(fault, d), reason.when(fault, r), chosen.when(fault, i == 3)
+    decision, reason, chosen = decision.otherwise(READY), reason.otherwise(""), chosen.otherwise(True)
+    return x.select((decision == READY).alias("ready_for_next_stage"), decision.alias("decision"), reason.alias("block_reason"),
+                    F.when(chosen, F.col("primary")).alias("primary"), F.when(chosen, F.col("fallback")).alias("fallback"))
+
+
 def best_profile_per_family(summary: DataFrame) -> DataFrame:
     return ranked(summary, HPO_ORDER[:3], ["model_family"], ["candidate_id", "hpo_profile_id"], "_r").filter("_r = 1").drop("_r")
 

@@ -62,6 +62,26 @@ def walkforward_rows(rows: DataFrame, periods: DataFrame, ts: str = "target_time
         "period_start", "period_end")
 
 
+def expanding_sums(rows: DataFrame, periods: DataFrame, sums: dict[str, Column], ts: str = "target_timestamp") -> DataFrame:
+    """Sums over every period's expanding train side and bounded test side: (period_id, fold_side, sums).
+
+    Periods follow each other without gaps. A row is counted once, in the segment between two period starts that it
+    falls into; running sums over the few segments give every train side, so history is never repeated per period.
+    """
+    starts = periods.agg(F.array_sort(F.collect_list(F.struct("period_start", "period_end", "period_id"))).alias("_p"))  # one row of configured periods
+    t = F.col(ts)
+    at = F.size(F.filter("_p", lambda p: p["period_start"] <= t))  # 0: before the first period
+    tagged = rows.crossJoin(F.broadcast(starts)).withColumn("_s", at).filter((F.col("_s") == 0) | (t < F.element_at("_p", F.greatest(F.col("_s"), F.lit(1)))["period_end"]))
+    per = tagged.groupBy("_s").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    grid = starts.select(F.posexplode("_p").alias("_i", "_q")).select((F.col("_i") + 1).alias("_s"), "_q.period_id")
+    every = grid.unionByName(grid.select(F.lit(0).alias("_s"), F.lit(None).cast("string").alias("period_id")).limit(1)).join(per, "_s", "left")
+    past = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # one row a period
+    run = every.select("period_id", *[F.struct(F.sum(k).over(past).alias("train"), F.col(k).alias("test")).alias(k) for k in sums]).filter("period_id IS NOT NULL")
+    sides = [run.select("period_id", F.lit(side).alias("fold_side"), *[F.col(f"{k}.{side}").alias(k) for k in sums]) for side in ("train", "test")]
+    first = next(iter(sums))
+    return sides[0].unionByName(sides[1]).filter(F.col(first).isNotNull())
+
+
 def stride_hit(pos: Column, n: Column, per: Column) -> Column:
     """Whether 0-based ``pos`` of ``n`` is one of ``per`` even-stride positions (all if they fit)."""
     step = (n - 1).cast("double") / F.greatest(per - 1, F.lit(1)).cast("double")
