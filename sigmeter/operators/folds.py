@@ -77,9 +77,8 @@ def expanding_sums(rows: DataFrame, periods: DataFrame, sums: dict[str, Column],
     every = grid.unionByName(grid.select(F.lit(0).alias("_s"), F.lit(None).cast("string").alias("period_id")).limit(1)).join(per, "_s", "left")
     past = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # one row a period
     run = every.select("period_id", *[F.struct(F.sum(k).over(past).alias("train"), F.col(k).alias("test")).alias(k) for k in sums]).filter("period_id IS NOT NULL")
-    sides = [run.select("period_id", F.lit(side).alias("fold_side"), *[F.col(f"{k}.{side}").alias(k) for k in sums]) for side in ("train", "test")]
-    first = next(iter(sums))
-    return sides[0].unionByName(sides[1]).filter(F.col(first).isNotNull())
+    sides = F.array(*[F.struct(F.lit(side).alias("fold_side"), *[F.col(f"{k}.{side}").alias(k) for k in sums]) for side in ("train", "test")])
+    return run.select("period_id", F.explode(sides).alias("_x")).select("period_id", "_x.*").filter(F.col(next(iter(sums))).isNotNull())
 
 
 def stride_hit(pos: Column, n: Column, per: Column) -> Column:
