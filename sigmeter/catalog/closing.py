@@ -220,11 +220,15 @@ def q3(spark, sf):
 
 @query("a3_file_integrity")
 def a3(spark, sf):
-    """Files of the data folder against a manifest recorded beforehand."""
+    """Files of the data folder, by plain sha256, against a recorded manifest with planted faults: a changed digest, another size, a file that is gone and one that was not recorded."""
     path = scratch_path(spark, "manifest")
-    Q.file_inventory(spark, f"{sf}/*.parquet").write.parquet(path)
-    v = Q.verify_manifest(Q.file_inventory(spark, f"{sf}/*.parquet"), spark.read.parquet(path))
-    return v.select("relative_path", "bytes", "sha256", "status")
+    found = materialise(Q.file_inventory(spark, f"{sf}/*.parquet", sequential=True), "inventory")
+    name = F.col("relative_path")
+    bad = found.filter(name != "supplier.parquet").withColumns({
+        "sha256": F.when(name == "nation.parquet", F.reverse("sha256")).otherwise(F.col("sha256")), "bytes": F.when(name == "region.parquet", F.col("bytes") + 1).otherwise(F.col("bytes")),
+        "relative_path": F.when(name == "part.parquet", "gone.parquet").otherwise(name)})
+    bad.write.parquet(path)
+    return Q.verify_manifest(found, spark.read.parquet(path)).select("relative_path", "bytes", "sha256", "status")
 
 
 @query("a9_artifact_inventory")

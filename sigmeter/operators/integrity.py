@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import ContractError
+from ..sources.file_ranges import file_digests
 
 
-def file_inventory(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per file: base name, bytes and sha256, hashed where the file is read."""
-    files = spark.read.format("binaryFile").load(glob)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("relative_path"),
-                        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def file_inventory(spark: SparkSession, pattern: str, sequential: bool = False) -> DataFrame:
+    """One row per file: base name, bytes and digest, hashed by ranges where the file is read (see ``file_digests``)."""
+    return file_digests(spark, pattern, sequential)
 
 
 def verify_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
