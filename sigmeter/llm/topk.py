@@ -5,7 +5,7 @@ nearest to the pivot; from these and a query group's centre and radius follows a
 of the group is sure to reach k times. A data row is sent to a query group only if its best possible
 score there reaches that bound. Groups are solved in blocks: (query block, data block) pairs give partial
 lists, and lists meet per query. Copies of a vector beyond the k + 1 smallest ids can enter no list and are
-set aside before.
+set aside before. Vectors travel as bytes of 64-bit integers in Arrow batches.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import materialise
+from ..session import materialise, ship_package
+from .chunks import give_back
 from .common import table
 
 PIVOTS = 32  # bounds what reaches the driver: PIVOTS * (k + 1) vectors
 QUERY_BLOCK = 1024
-DATA_BLOCK = 16384
+DATA_BLOCK = 8192
+QUERY_STEP = 64  # queries scored against a data block at once
 EXACT_FLOAT = float(1 << 53)
 
 
@@ -33,8 +35,38 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
-def _matrix(col: pa.Array | pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.int64) for x in (col.to_pylist() if isinstance(col, pa.Array) else col)])
+def packed(vectors: DataFrame) -> DataFrame:
+    """vec_id and v as bytes, one row per id: of the vectors of an id the first in byte order stays.
+
+    Left out are rows without id or vector and those that differ in length from the most frequent length (of equally
+    frequent ones the smaller).
+    """
+    rows = vectors.select("vec_id", "v").filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    most = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
+    dim = most["n"] if most else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column("v")), dim))
+            x = np.asarray(batch.column("v").flatten().cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), _bytes(x.reshape(-1, dim))], names=["vec_id", "v"])
+        give_back()
+
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"vec_id {kind}, v binary").groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(x) + 1, dtype=np.int64) * x.shape[1] * 8
+    return pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
+def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    arr = col.cast(pa.large_binary())
+    offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset:arr.offset + len(arr) + 1]
+    raw = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    return raw.view(np.int64).reshape(len(arr), -1) if len(arr) else np.zeros((0, 1), np.int64)
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -52,14 +84,15 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _grouped(pivots: np.ndarray):
     """Adds the nearest pivot and the distance to it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pivots.astype(float)
-        for rows in batches:
-            if len(rows):
-                x = _matrix(rows["v"]).astype(float)
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("v")).astype(float)
                 d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1), 0)
                 cell = d.argmin(1)
-                yield rows.assign(cell=cell.astype(np.int32), far=np.sqrt(d[np.arange(len(x)), cell]))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(x)), cell]))], names=["vec_id", "v", "cell", "far"])
+        give_back()
 
     return run
 
@@ -84,101 +117,133 @@ class Bounds:
 
 
 def _replicated(bounds: Bounds, query_blocks: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if not len(rows):
-                continue
-            r, g = np.nonzero(bounds.wanted(_matrix(rows["v"])))
-            n = query_blocks[g]
-            r, g = np.repeat(r, n), np.repeat(g, n)
-            block = np.concatenate([np.arange(m) for m in n]) if len(n) else np.zeros(0, int)
-            out = rows.iloc[r][["vec_id", "v"]].reset_index(drop=True)
-            yield out.assign(grp=g.astype(np.int32), qb=block.astype(np.int32))
+    """Each row once for every query block of every group whose lists it may enter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                r, g = np.nonzero(bounds.wanted(_matrix(part.column("v"))))
+                n = query_blocks[g]
+                ends = np.cumsum(n)
+                block = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+                take = pa.array(np.repeat(r, n))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(take), part.column("v").take(take), pa.array(np.repeat(g, n).astype(np.int32)), pa.array(block.astype(np.int32))],
+                                                 names=["vec_id", "v", "grp", "qb"])
+        give_back()
 
     return run
 
 
+def best_of(queries: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of each query's k best rows but its own; ``ids`` rise, so of equal scores the smaller ids stay."""
+    out = []
+    for a in range(0, len(queries), QUERY_STEP):
+        s = scores(queries[a:a + QUERY_STEP], x)
+        mine = own[a:a + QUERY_STEP]
+        at = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+        hit = ids[at] == mine
+        s[np.flatnonzero(hit), at[hit]] = np.iinfo(np.int64).min
+        for i, row in enumerate(s):
+            if len(row) > k:
+                cut = np.partition(row, len(row) - k)[len(row) - k]
+                over = np.flatnonzero(row > cut)
+                pick = np.concatenate([over, np.flatnonzero(row == cut)[:k - len(over)]])
+            else:
+                pick = np.arange(len(row))
+            pick = pick[ids[pick] != mine[i]]
+            out.append((np.full(len(pick), mine[i]), ids[pick], row[pick]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _solve(k: int):
-    def run(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query_id", "vec_id", "score"]
-        if not len(queries) or not len(data):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in cols})
-        data = data.sort_values("vec_id", kind="stable")
-        ids, x, out = data["vec_id"].to_numpy(), _matrix(data["v"]), []
-        for a in range(0, len(queries), 256):
-            part = queries.iloc[a:a + 256]
-            own = part["vec_id"].to_numpy()
-            s = scores(_matrix(part["v"]), x)
-            s[own[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-            for i, q in enumerate(own):
-                row = s[i]
-                if len(row) > k:
-                    cut = np.partition(row, len(row) - k)[len(row) - k]
-                    pick = np.concatenate([np.flatnonzero(row > cut), np.flatnonzero(row == cut)])  # ids rise, so ties keep the smaller
-                    over = int((row > cut).sum())
-                    pick = pick[:over + (k - over)]
-                else:
-                    pick = np.arange(len(row))
-                pick = pick[ids[pick] != q]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[pick], "score": row[pick]}))
-        return pd.concat(out)
+    """Streams rows sorted by block, queries first, and scores the queries of a block against its rows."""
+
+    def block(rows: pa.Table) -> pa.RecordBatch | None:
+        n = pc.sum(pc.cast(rows["asks"], pa.int64())).as_py()
+        if not n or n == rows.num_rows:
+            return None
+        ids = np.asarray(rows["vec_id"].combine_chunks())
+        x = _matrix(rows["v"])
+        order = np.argsort(ids[n:], kind="stable")
+        q, i, s = best_of(x[:n], ids[:n], x[n:][order], ids[n:][order], k)
+        return pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            key = np.stack([np.asarray(batch.column(c)) for c in ("grp", "qb", "db")], 1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                if a == b:
+                    continue
+                if held and tuple(key[a]) != last:
+                    out = block(pa.Table.from_batches(held))
+                    held = []
+                    if out is not None:
+                        yield out
+                    give_back()
+                held.append(batch.slice(a, b - a))
+                last = tuple(key[a])
+        out = block(pa.Table.from_batches(held)) if held else None
+        if out is not None:
+            yield out
+        give_back()
 
     return run
 
 
 def distinct_enough(data: DataFrame, k: int) -> DataFrame:
-    """Of equal vectors the k + 1 smallest ids: no list can hold another. Copies fold within tasks before they move."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                name = rows["v"].map(lambda v: np.asarray(v, np.int64).tobytes())
-                rows = rows.assign(_v=name).sort_values("vec_id", kind="stable")
-                yield rows[rows.groupby("_v").cumcount() <= k][["vec_id", "v"]]
-
-    folded = data.mapInPandas(fold, "vec_id long, v array<long>")
+    """Of equal vectors the k + 1 smallest ids: no list can hold another. Tasks keep k + 1 of each before they shuffle."""
     # Two levels, so that a vector that is everywhere meets in one task as few rows as there are slots.
     for slot in (F.pmod("vec_id", F.lit(64)), F.lit(0)):
-        w = Window.partitionBy("h", "v", "slot").orderBy("vec_id")
-        folded = folded.withColumn("slot", slot).withColumn("h", F.xxhash64("v")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select("vec_id", "v")
-    return folded
+        w = Window.partitionBy("v", "slot").orderBy("vec_id")
+        data = data.withColumn("slot", slot).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).select("vec_id", "v")
+    return data
 
 
 def top_k(data: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``data`` for each query, its own id left out.
 
-    Both frames have vec_id long and v array<long> of one length; ids are unique. Ties go to the smaller
-    vec_id. With k candidates or fewer all are returned; without queries or data, no rows.
+    Both frames have vec_id long and v array<long>; see ``packed`` for repeated ids and vectors of another length. Ties
+    go to the smaller vec_id. With k candidates or fewer all are returned; without queries or data, no rows.
     """
     schema = "query_id long, rank int, vec_id long, score long"
     spark = data.sparkSession
-    data, queries = materialise(data.filter("vec_id IS NOT NULL"), "topk-data"), materialise(queries.filter("vec_id IS NOT NULL"), "topk-queries")
-    some = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()
-    if not len(some) or queries.isEmpty():
+    ship_package(spark)
+    data, queries = materialise(packed(data), "topk-data"), materialise(packed(queries), "topk-queries")
+    some = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toArrow()
+    if not some.num_rows or queries.isEmpty():
         return spark.createDataFrame([], schema)
     centre = np.unique(_matrix(some["v"]), axis=0)
-    celled = "vec_id long, v array<long>, cell int, far double"
-    thin = materialise(distinct_enough(data, k).mapInPandas(_grouped(centre), celled), "topk-cells")
-    asked = materialise(queries.mapInPandas(_grouped(centre), celled), "topk-asked")
+    if centre.shape[1] * 8 != len(queries.first()["v"]):  # no query has the length of the data
+        return spark.createDataFrame([], schema)
+    celled = "vec_id long, v binary, cell int, far double"
+    thin = materialise(distinct_enough(data, k).mapInArrow(_grouped(centre), celled), "topk-cells")
+    asked = materialise(queries.mapInArrow(_grouped(centre), celled), "topk-asked")
 
     near = Window.partitionBy("cell", "slot").orderBy("far", "vec_id")
     inner = thin.withColumn("slot", F.pmod("vec_id", F.lit(64))).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1)
     inner = inner.withColumn("slot", F.lit(0)).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k + 1)
-    members = _matrix(inner.select("v").toPandas()["v"])  # at most pivots * (k + 1)
+    members = _matrix(inner.select("v").toArrow()["v"])  # at most pivots * (k + 1)
     told = asked.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()
     radius, size = np.full(len(centre), -1.0), np.zeros(len(centre), int)
     for r in told:
         radius[r["cell"]], size[r["cell"]] = r["far"] * (1 + 1e-9) + 1e-9, r["n"]
     bounds = Bounds(centre, radius, members, k)
     blocks = np.maximum(1, -(-size // QUERY_BLOCK))
-    pairs = thin.select("vec_id", "v").mapInPandas(_replicated(bounds, blocks), "vec_id long, v array<long>, grp int, qb int")
-    n_data = max(1, -(-thin.count() // DATA_BLOCK))
+    pairs = thin.select("vec_id", "v").mapInArrow(_replicated(bounds, blocks), "vec_id long, v binary, grp int, qb int")
+    n_rows = thin.count()
+    n_data = max(1, -(-n_rows // DATA_BLOCK))
     block_of = F.array(*(F.lit(int(b)) for b in blocks))
     q = asked.select("vec_id", "v", F.col("cell").alias("grp")).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.element_at(block_of, F.col("grp") + 1)).cast("int"))
-    q = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
-    d = pairs.withColumn("db", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_data)).cast("int"))
+    q = q.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1)))).withColumn("asks", F.lit(True))
+    d = pairs.withColumn("db", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_data)).cast("int")).withColumn("asks", F.lit(False))
     keys = ["grp", "qb", "db"]
-    lists = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(blocks.sum()) * n_data // 4)
+    met = q.unionByName(d).repartition(parts, *keys).sortWithinPartitions(*keys, F.desc("asks"))
+    lists = met.mapInArrow(_solve(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

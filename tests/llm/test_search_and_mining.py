@@ -208,3 +208,20 @@ def test_probing_order_is_by_distance_to_walls():
     assert names.shape == (5, 81) and (np.diff(score, axis=1) >= -1e-12).all()
     assert all(len(set(row)) == 81 for row in names.tolist())
     assert (names[:, 0] == h.names(np.floor(h.places(x, 1)), 1)).all()
+
+
+def test_top_k_of_repeated_ids_and_ragged_vectors(spark):
+    from sigmeter.llm import topk
+
+    rng = np.random.default_rng(9)
+    rows = [(i, [int(x) for x in rng.integers(-9, 9, 3)]) for i in range(30)]
+    odd = [(31, [1, 2]), (32, [1, 2, 3, 4]), (33, None), (34, []), (None, [9, 9, 9]), (5, [100, 100, 100])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows + rows + odd], "vec_id long, v array<long>, score int")
+    kept = dict(rows)
+    kept[5] = min(rows[5][1], [100, 100, 100], key=lambda v: np.array(v, "<i8").tobytes())
+    got = [tuple(r) for r in topk.top_k(frame, frame.filter("vec_id % 10 IN (0, 5) OR vec_id > 30"), 4, pivots=3).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in sorted(i for i in kept if i % 10 in (0, 5)):
+        best = sorted((-sum(a * b for a, b in zip(kept[q], v)), i) for i, v in kept.items() if i != q)[:4]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == want
