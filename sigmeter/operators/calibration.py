@@ -20,6 +20,7 @@ def calibration_views(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 CELL_BITS = (12, 24)  # cells of the two counting passes over [0, 1]
+CROWDED = 1 << 20  # a cell with more rows is counted a second time before its values are
 SUMS = ("n", "v", "o", "y", "sq")
 
 
@@ -54,7 +55,7 @@ def _located(cells: DataFrame, wanted: DataFrame, group: list[str], within: list
     held = held.groupBy(*group, *within).agg(F.array_sort(F.collect_list("_s")).alias("_a"))
     j = _on(wanted, held, group + within, "inner")
     hit = F.element_at(F.filter("_a", lambda x: x["c"] > F.col("rank") - F.col("base")), 1)
-    return j.withColumn("_h", hit).select(*group, *within, "rank", F.col("_h.p").alias(place), (F.col("base") + F.col("_h.c") - F.col("_h.n")).alias("base"))
+    return j.withColumn("_h", hit).select(*group, *within, "rank", F.col("_h.p").alias(place), (F.col("base") + F.col("_h.c") - F.col("_h.n")).alias("base"), F.col("_h.n").alias("n"))
 
 
 def pieces_and_edges(values: DataFrame, group: list[str], bin_counts: list[int], expand=lambda df: df) -> tuple[DataFrame, DataFrame]:
@@ -76,14 +77,23 @@ def pieces_and_edges(values: DataFrame, group: list[str], bin_counts: list[int],
     wanted = sizes.select(*group, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("base"))
     at_one = materialise(_located(one, wanted, group, [], "_c"), "rank-cells")
     widths = lambda bits: F.array(*[_cell(bits, F.lit(float(q))) for q in probs])
-    cut_one = at_one.select(*group, "_c").unionByName(sizes.select(*group, F.explode(widths(coarse)).alias("_c"))).distinct()
-    rows = _on(expand(base.withColumn("_c", _cell(coarse))), cut_one, group + ["_c"], "left_semi")
-    two = materialise(rows.groupBy(*group, "_c", _cell(fine).alias("_f")).agg(*value_sums()), "fine-cells")
-    at_two = materialise(_located(two, at_one, group, ["_c"], "_f"), "rank-cells")
-    cut_two = at_two.select(*group, "_f").unionByName(sizes.select(*group, F.explode(widths(fine)).alias("_f"))).distinct()
-    rows = _on(expand(base.withColumn("_f", _cell(fine))), cut_two, group + ["_f"], "left_semi")
-    three = materialise(rows.groupBy(*group, "_f", "value").agg(*value_sums()), "edge-values")
-    known = _located(three, at_two.drop("_c"), group, ["_f"], "value").groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"))
+
+    def narrowed(at: DataFrame, place: str, bits: int) -> tuple[DataFrame, DataFrame]:
+        """The cells that hold a wanted rank or an equal-width edge, and their rows."""
+        cut = at.select(*group, place).unionByName(sizes.select(*group, F.explode(widths(bits)).alias(place))).distinct()
+        return cut, _on(expand(base.withColumn(place, _cell(bits))), cut, group + [place], "left_semi")
+
+    cut, rows = narrowed(at_one, "_c", coarse)
+    parts = [_on(one, cut, group + ["_c"], "left_anti").withColumn("low", F.col("_c") / float(1 << coarse))]
+    place, at = "_c", at_one
+    if (at_one.agg(F.max("n")).first()[0] or 0) > CROWDED:
+        two = materialise(rows.groupBy(*group, "_c", _cell(fine).alias("_f")).agg(*value_sums()), "fine-cells")
+        place, at = "_f", materialise(_located(two, at_one.drop("n"), group, ["_c"], "_f"), "rank-cells").drop("_c")
+        cut, rows = narrowed(at, "_f", fine)
+        parts.append(_on(two, cut, group + ["_f"], "left_anti").withColumn("low", F.col("_f") / float(1 << fine)))
+    last = materialise(rows.groupBy(*group, place, "value").agg(*value_sums()), "edge-values")
+    parts.append(last.withColumn("low", F.col("value")))
+    known = _located(last, at.drop("n"), group, [place], "value").groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_m"))
     known = _on(known, sizes, group, "inner")
     options = []
 
@@ -100,12 +110,9 @@ def pieces_and_edges(values: DataFrame, group: list[str], bin_counts: list[int],
     edges = known.select(*group, F.explode(F.array(*options)).alias("_o")).select(*group, "_o.*")
     # An interpolated edge may fall between its two ranks into a cell without rows, or at a value: no piece is cut by it
     # unless both ranks lie in other cells with rows between them, and between neighbouring ranks there are none.
-    keep = ["low", *SUMS]
-    parts = [_on(one, cut_one, group + ["_c"], "left_anti").withColumn("low", F.col("_c") / float(1 << coarse)),
-             _on(two, cut_two, group + ["_f"], "left_anti").withColumn("low", F.col("_f") / float(1 << fine)), three.withColumn("low", F.col("value"))]
-    out = parts[0].select(*group, *keep)
+    out = parts[0].select(*group, "low", *SUMS)
     for p in parts[1:]:
-        out = out.unionByName(p.select(*group, *keep))
+        out = out.unionByName(p.select(*group, "low", *SUMS))
     return out, edges
 
 

@@ -33,8 +33,9 @@ def test_expanding_sums_equal_repeated_history(spark):
     got = FD.expanding_sums(df, periods, {"n": F.lit(1), "up": F.col("y_true")})
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
-@pytest.mark.parametrize("shape", ["even", "ties", "narrow"])
-def test_cells_give_exact_edges_and_bins(spark, shape):
+@pytest.mark.parametrize("shape, crowded", [("even", 1 << 20), ("ties", 1 << 20), ("narrow", 1 << 20), ("even", 0), ("ties", 0), ("narrow", 0)])
+def test_cells_give_exact_edges_and_bins(spark, monkeypatch, shape, crowded):
+    monkeypatch.setattr(CAL, "CROWDED", crowded)
     rng = random.Random(6)
     draw = {"even": rng.random, "ties": lambda: rng.choice([0.0, 0.1, 0.25, 0.5, 1.0]), "narrow": lambda: 0.5 + rng.random() * 1e-9}[shape]
     rows = [(g, f"T{i % 2}", draw(), rng.randrange(2)) for g in ("a", None) for i in range(400)]
