@@ -11,7 +11,7 @@ from ..session import materialise, scratch_path
 from ..sources import predictions as P, tape as TP
 from ..sources.tables import table
 from . import spreads as SP
-from .base import RESUM_SQL, SUMS_SQL, bf1, cf1, cte, delta, f1, h01, hx, lcb, query, r, rounded
+from .base import RESUM_SQL, SUMS_SQL, bf1, cf1, cte, delta, f1, h01, lcb, query, r, rounded
 from .ingest import CELLS, N_FOLDS, featured, labelled, members, train_cells, train_events
 from .robust import BOOT_SEED, N_BOOT, PERM_SEED, SIX, boot_sql, hg
 from .scoring import ALL, cells, ledger, stored

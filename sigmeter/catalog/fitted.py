@@ -6,12 +6,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from ..functions import confusion as C
-from ..operators import features as FT, folds as FD, guards as G, labels as L, many_fits as MF, models as M, windows as WN
+from ..operators import folds as FD, many_fits as MF, models as M, windows as WN
 from ..session import materialise
-from ..sources import predictions as P, tape as TP
+from ..sources import predictions as P
 from .base import cte, query, r, rounded
-from .ingest import N_FOLDS, WIN_FEATS, WINDOW, featured, labelled, train_events, windows
+from .ingest import N_FOLDS, WIN_FEATS, WINDOW, featured, train_events, windows
 
 NF = len(WIN_FEATS)
 PROFILES = {
