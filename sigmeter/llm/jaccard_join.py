@@ -8,9 +8,11 @@ one signature; similar pairs share one with certainty (see ``signatures``). Shin
 documents share are left out of signatures wherever enough others remain.
 
 A bucket of equal signatures is not expanded into pairs. Every member is tied to one hub (a star), the
-ties are verified on the full sets, and components are formed. Only pairs of a bucket that are still in
-different components afterwards are looked at, inside the bucket's task, and those that pass a size
-and parity-sketch bound are verified too, so no link between different components is lost.
+member of smallest key, so that all buckets of a cluster prefer the same hubs; the ties are verified on
+the full sets, and components are formed. Only pairs of a bucket that are still in different components
+afterwards are looked at, inside the bucket's task, and those that pass a size and parity-sketch bound
+are verified too, so no link between different components is lost. The sketch grows with the set, as one
+of fixed length would be full, and exclude nothing, for long texts.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialise
 from .chunks import give_back, small
@@ -31,9 +33,8 @@ from .exact_dedup import LOCATOR, file_backed
 from .shingles import mix, sets
 
 K2, N2 = 1, 3  # differences allowed in a part, cells of a part
-SKETCH_WORDS = 8  # 64-bit words of the parity sketch
-FOLDED_WORDS = 4  # words of the sketch that travels with signatures: halves of the other, folded
-SHINGLES_PER_PART = 1 << 20
+SKETCH_WORDS = 8  # 64-bit words of the parity sketch, at least
+SHINGLES_PER_PART = 1 << 21
 BROADCAST_BYTES = 48 << 20
 SAMPLE = 16000  # documents in which frequent shingles are looked for, about
 FREQUENT = 0.0003  # share of the sample from which a shingle is frequent
@@ -113,9 +114,13 @@ def _over(s: np.ndarray, size: int, t: int, domain: int, empty: bool = False) ->
     return np.concatenate(out), safe
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the features in each of 512 cells: two sets differ in at least as many features as parities."""
-    bits = SKETCH_WORDS * 64
+def sketch(s: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Parity of the features in each cell: two sets differ in at least as many features as parities.
+
+    The cells are the power of two from twice the set's size, 512 at least, or as many as ``words`` hold.
+    Halves of a longer sketch, folded by exclusive or, are the shorter one.
+    """
+    bits = 64 * (words or max(SKETCH_WORDS, (1 << (2 * len(s) - 1).bit_length()) >> 6))
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -168,7 +173,7 @@ PACKED = "part int, n int, wide int, sigs binary, idx binary, names binary"
 
 
 NAME = np.dtype([("key", "<i8")])
-TOLD = np.dtype([("key", "<i8"), ("comp", "<i8"), ("size", "<i8"), ("parity", "<u8", (FOLDED_WORDS,))])
+TOLD = np.dtype([("key", "<i8"), ("comp", "<i8"), ("size", "<i8"), ("parity", "<u8", (SKETCH_WORDS,))])
 
 
 def _pack(parts: int, sigs: list[np.ndarray], names: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -204,29 +209,28 @@ def _spread_out(raw: bytes, n: int, kind: np.dtype) -> np.ndarray:
 
 
 def _emit(parts: int, frequent: np.ndarray):
-    """Packed signatures of a table of texts; where comp, n_shingles and parity are told, they go along."""
+    """Packed signatures of a table of texts, equal sets of a slab once; where comp is told, facts of the sets go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, names, held = [], [], 0
+        sigs, names, seen, held, kind = [], [], set(), 0, NAME
         for batch in small(batches):
             told = "comp" in batch.schema.names
-            facts = zip(*(batch.column(c).to_pylist() for c in ("comp", "n_shingles", "parity"))) if told else None
+            kind = TOLD if told else NAME
+            comps = iter(batch.column("comp").to_pylist()) if told else None
             for s in sets(batch.column("text")):
-                fact = next(facts) if told else ()
-                if not len(s):
+                comp = next(comps) if told else None
+                key = set_key(s) if len(s) else None
+                if key is None or key in seen:
                     continue
+                seen.add(key)
                 sigs.append(signatures(s, frequent))
-                if told:
-                    parity = np.array(fact[2], np.int64).view(np.uint64).reshape(-1, FOLDED_WORDS)
-                    names.append((set_key(s), fact[0], fact[1], np.bitwise_xor.reduce(parity, axis=0)))
-                else:
-                    names.append((set_key(s),))
+                names.append((key, comp, len(s), sketch(s, SKETCH_WORDS).view(np.uint64)) if told else (key,))
                 held += len(sigs[-1])
                 if held > 1_000_000:
-                    yield from _pack(parts, sigs, np.array(names, TOLD if told else NAME))
-                    sigs, names, held = [], [], 0
+                    yield from _pack(parts, sigs, np.array(names, kind))
+                    sigs, names, seen, held = [], [], set(), 0
         if sigs:
-            yield from _pack(parts, sigs, np.array(names, TOLD if len(names[0]) > 1 else NAME))
+            yield from _pack(parts, sigs, np.array(names, kind))
 
     return run
 
@@ -234,22 +238,26 @@ def _emit(parts: int, frequent: np.ndarray):
 def _buckets(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shared buckets of one part: starts of runs, run of each row, set of each row, and what is told of the sets.
 
-    Rows are sorted as one number, signature above set, so a part takes two words a row.
+    Sets are numbered by key, so equal sets of different slabs are one and a bucket begins with its smallest
+    key. Rows are sorted as one number, signature above set, so a part takes two words a row.
     """
-    rows, told, base = [], [], 0
+    told = np.concatenate([np.frombuffer(names, kind) for names in table.column("names").to_pylist()])
+    _, first, number = np.unique(told["key"], return_index=True, return_inverse=True)
+    number = number.astype(np.uint64)
+    rows, base = [], 0
     for n, wide, sigs, idx, names in zip(*(table.column(c).to_pylist() for c in ("n", "wide", "sigs", "idx", "names"))):
         sig = np.cumsum(_spread_out(sigs, n, np.uint32), dtype=np.uint32).astype(np.uint64)
-        rows.append((sig << np.uint64(32)) | (_spread_out(idx, n, np.uint16 if wide == 2 else np.uint32).astype(np.uint64) + np.uint64(base)))
-        told.append(np.frombuffer(names, kind))
-        base += len(told[-1])
+        rows.append((sig << np.uint64(32)) | number[base + _spread_out(idx, n, np.uint16 if wide == 2 else np.uint32).astype(np.int64)])
+        base += len(names) // kind.itemsize
     row = np.concatenate(rows)
     rows.clear()
     row.sort()
+    row = row[np.concatenate([[True], row[1:] != row[:-1]])]
     same = (row[1:] >> np.uint64(32)) == (row[:-1] >> np.uint64(32))
     row = row[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
     sig = (row >> np.uint64(32)).astype(np.uint32)
     opens = np.concatenate([[True], sig[1:] != sig[:-1]])[:len(sig)]
-    return np.flatnonzero(opens), np.cumsum(opens) - 1, (row & np.uint64(0xFFFFFFFF)).astype(np.int64), np.concatenate(told)
+    return np.flatnonzero(opens), np.cumsum(opens) - 1, (row & np.uint64(0xFFFFFFFF)).astype(np.int64), told[first]
 
 
 def _stars(table: pa.Table) -> pa.Table:
@@ -275,10 +283,18 @@ def stars(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and parity sketches allow the threshold."""
+    """Pairs (a, b) whose sizes and parity sketches allow the threshold.
+
+    Where the sizes do, one sketch is at most twice as long as the other, and folded once.
+    """
+    def alike(p: str, q: str) -> Column:
+        half = (F.size(p) / 2).cast("int")
+        halves = F.zip_with(F.slice(p, 1, half), F.slice(p, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(p) > F.size(q), halves).otherwise(F.col(p))
+
     for c in "ab":
         pairs = pairs.join(sizes.select(F.col("key").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("parity").alias(f"p{c}")), c)
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with(alike("pa", "pb"), alike("pb", "pa"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fits = (100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")) & (7 * apart <= F.col("na") + F.col("nb"))
     return pairs.filter(fits)
 
@@ -296,8 +312,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     moves; beyond that, texts and locators meet in a shuffle.
     """
     at = materialise(wanted.select(F.xxhash64("rep.src_file", "rep.src_row").alias("slot"), "rep.src_row", *(c for c in wanted.columns if c != "rep")), "sets-wanted")
-    width = 200 if "parity" in wanted.columns else 48  # bytes of a row in memory, at most
-    few = at.count() * width <= BROADCAST_BYTES
+    few = at.count() * 64 <= BROADCAST_BYTES  # bytes of a row in memory, at most
     texts = located(docs, [F.col("text")]).withColumn("slot", F.xxhash64(*LOCATOR)).drop("src_file")
     return texts.join(F.broadcast(at) if few else at, ["slot", "src_row"])
 
@@ -358,10 +373,9 @@ def _rest(table: pa.Table) -> pa.Table:
 def remaining(docs: DataFrame, state: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
     """Pairs (a, b) that share a bucket, are in different components and may reach the threshold.
 
-    ``state`` has rep, comp, n_shingles and parity of every set that shares a bucket; only their texts are
-    read again.
+    ``state`` has rep and comp of every set in a bucket of several components; only their texts are read again.
     """
-    packed = texts_of(docs, state.select("rep", "comp", "n_shingles", "parity")).select("text", "comp", "n_shingles", "parity").mapInArrow(_emit(parts, frequent), PACKED)
+    packed = texts_of(docs, state.select("rep", "comp")).select("text", "comp").mapInArrow(_emit(parts, frequent), PACKED)
     return packed.groupBy("part").applyInArrow(_rest, "a long, b long").distinct()
 
 
@@ -379,8 +393,7 @@ def classes(docs: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", *LOCATOR)).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
     sizes = materialise(sizes, "sets-distinct")
     volume = told.agg(F.sum("n_shingles")).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, volume // SHINGLES_PER_PART)
+    parts = 1 + volume // SHINGLES_PER_PART
     frequent = frequent_shingles(docs, told.count())
     raw = materialise(stars(docs, parts, frequent), "sets-stars")
     _drop_shuffles(spark)
@@ -397,13 +410,16 @@ def classes(docs: DataFrame) -> DataFrame:
         links = links.unionByName(more)
         comp = components(links)
     # Two members of a bucket may be similar where neither is similar to its hub.
-    if not _apart(raw, comp).isEmpty():
-        wide = raw.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        state = sizes.join(wide, "key", "left_semi").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    # Such a bucket has a member apart from its hub, and all its members are tied to that hub.
+    hubs = materialise(_apart(raw, comp).select("a").distinct(), "sets-hubs")
+    if not hubs.isEmpty():
+        wide = raw.join(hubs, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        state = sizes.join(wide, "key", "left_semi").join(comp.withColumnRenamed("node", "key"), "key", "left").select(
+            "rep", "n_shingles", F.coalesce("comp", "key").alias("comp"))
         state = materialise(state, "sets-state")
         _drop_shuffles(spark)
         volume = state.agg(F.sum("n_shingles")).first()[0]
-        rest = materialise(remaining(docs, state, max(least, volume // SHINGLES_PER_PART), frequent), "sets-rest")
+        rest = materialise(remaining(docs, state, 1 + volume // SHINGLES_PER_PART, frequent), "sets-rest")
         rest = materialise(bounded(rest, sizes).select("a", "b"), "sets-rest")
         if not rest.isEmpty():
             wanted = rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()

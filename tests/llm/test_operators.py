@@ -287,6 +287,33 @@ def test_sketch_is_a_lower_bound():
     assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("size", [5, 200, 256, 257, 1000, 4100])
+def test_long_sketch_folds_to_the_short_one(size):
+    s = np.unique(np.random.default_rng(size).integers(0, 2**63, size, np.uint64))
+    own = jaccard_join.sketch(s).view(np.uint64)
+    assert len(own) * 64 >= max(512, 2 * len(s))
+    assert (np.bitwise_xor.reduce(own.reshape(-1, 8), axis=0) == jaccard_join.sketch(s, 8).view(np.uint64)).all()
+
+
+def test_size_and_sketch_bounds_never_drop_a_link(spark):
+    """Pairs on both sides of a doubling of the sketch, similar or not; every similar one must stay."""
+    rng = np.random.default_rng(11)
+    rows, pairs, similar = [], [], set()
+    for i, size in enumerate([240, 250, 256, 300, 500, 512, 530, 1000, 1024, 1100] * 6):
+        a = np.unique(rng.integers(0, 2**63, size, np.uint64))
+        cut = int(size * rng.choice([0.0, 0.05, 0.13, 0.2, 0.6]))
+        b = np.unique(np.concatenate([a[cut:], rng.integers(0, 2**63, int(cut * rng.random()), np.uint64)]))
+        for k, s in ((2 * i, a), (2 * i + 1, b)):
+            rows.append((k, len(s), jaccard_join.sketch(s).tolist()))
+        pairs.append((2 * i, 2 * i + 1))
+        shared = len(np.intersect1d(a, b))
+        if 100 * shared >= 75 * (len(a) + len(b) - shared):
+            similar.add(pairs[-1])
+    sizes = spark.createDataFrame(rows, "key long, n_shingles long, parity array<long>")
+    kept = {(r["a"], r["b"]) for r in jaccard_join.bounded(spark.createDataFrame(pairs, "a long, b long"), sizes).collect()}
+    assert similar and similar <= kept and len(kept) < len(pairs)
+
+
 # ---- search
 
 def test_top_k_matches_brute_force_with_copies_and_odd_rows(spark):
