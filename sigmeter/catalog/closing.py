@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confusion as C
 from ..operators import (decide as DE, features as FT, folds as FD, guards as G, integrity as Q, joins as J, labels as L,
-                         planted as PL, readouts as RO, resample as RS, selective as SEL, slices as SL, textqa as TX)
+                         planted as PL, readouts as RO, records as RC, resample as RS, selective as SEL, slices as SL, textqa as TX)
 from ..session import materialise, scratch_path
 from ..sources import predictions as P, tape as TP
 from ..sources.tables import table
@@ -167,6 +167,36 @@ def q5(spark, sf):
     return _text(Q.fingerprint(train_events(spark, sf), ["split"], F.concat_ws("|", "sample_id", "label")))
 
 
+@query("q4_recorded_digest", """SELECT fold_id, fold_side, sha256(string_agg(sample_id, chr(10) ORDER BY target_timestamp, sample_id)) AS ids_sha256, count(*)::BIGINT AS n_ids
+  FROM fold_member GROUP BY 1, 2""")
+def q4d(spark, sf):
+    return Q.recorded_sha256(members(spark, sf), ["fold_id", "fold_side"], ["target_timestamp", "sample_id"], F.col("sample_id"))
+
+
+@query("q5_recorded_digest", """SELECT split, sha256(string_agg(sample_id || '|' || label, chr(10) ORDER BY target_timestamp, ticker, sample_id)) AS ids_sha256, count(*)::BIGINT AS n_ids
+  FROM events_train GROUP BY 1""")
+def q5b(spark, sf):
+    return Q.recorded_sha256(train_events(spark, sf), ["split"], ["target_timestamp", "ticker", "sample_id"], F.concat_ws("|", "sample_id", "label"))
+
+
+# A record per ticker and day. Its delta is null where no label is up; records of an odd number of rows have no ``counts.up``.
+RECORD_PATHS = ["scope.ticker", "counts.rows", "counts.up", "delta.rows_less_up", "counts.rows.deeper"]
+_record_values = ["ticker", "n::VARCHAR", "CASE WHEN n % 2 = 0 THEN up::VARCHAR END", "CASE WHEN up > 0 THEN (n - up)::VARCHAR END", "NULL::VARCHAR"]
+_record_status = ["'resolved'", "'resolved'", "CASE WHEN n % 2 = 0 THEN 'resolved' ELSE 'missing' END", "CASE WHEN up > 0 THEN 'resolved' ELSE 'recorded_null' END", "'missing'"]
+
+
+@query("r16_record_fields", "WITH g AS (SELECT ticker, trading_day, count(*) AS n, sum(label)::BIGINT AS up FROM events_train GROUP BY 1, 2) " + " UNION ALL ".join(
+    f"SELECT ticker, trading_day, '{p}' AS path, {v} AS value, {s} AS status FROM g" for p, v, s in zip(RECORD_PATHS, _record_values, _record_status)))
+def r16(spark, sf):
+    g = train_events(spark, sf).groupBy("ticker", "trading_day").agg(F.count("*").alias("rows"), F.sum("label").cast("long").alias("up"))
+    scope, rest = F.struct("ticker").alias("scope"), F.struct(F.when(F.col("up") > 0, F.col("rows") - F.col("up")).alias("rows_less_up")).alias("delta")
+    keep = {"ignoreNullFields": "false"}
+    full = F.to_json(F.struct(scope, F.struct("rows", "up").alias("counts"), rest), keep)
+    odd = F.to_json(F.struct(scope, F.struct("rows").alias("counts"), rest), keep)
+    records = g.select("ticker", "trading_day", F.when(F.col("rows") % 2 == 0, full).otherwise(odd).alias("record"))
+    return RC.record_fields(records, ["ticker", "trading_day"], "record", RECORD_PATHS)
+
+
 # The recorded side lacks the rows of one hour in fold_1, and all of fold_2's evaluation rows.
 cte("recorded_members", "SELECT * FROM fold_member WHERE NOT (fold_id = 'fold_1' AND hour(target_timestamp) = 11) AND NOT (fold_id = 'fold_2' AND fold_side = 'eval')")
 

@@ -71,8 +71,3 @@ def harmonic_numbers(n: np.ndarray) -> np.ndarray:
     series = np.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
     small = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 32))])
     return np.where(n < 32, small[np.minimum(n, 31)], series)
-
-
-def record_field(json_text: Column, dotted: str) -> Column:
-    """Dotted-path lookup in a JSON record: null when any key of the path is absent."""
-    return F.get_json_object(json_text, "$." + dotted)
