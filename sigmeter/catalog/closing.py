@@ -197,6 +197,34 @@ def r16(spark, sf):
     return RC.record_fields(records, ["ticker", "trading_day"], "record", RECORD_PATHS)
 
 
+# Printed texts over the labelled events: right ones, wrong ones and one that no row answers.
+TEXT_AUDIT = [RO.TextAudit("first_day", "date", "true", "trading_day", "from 2024-01-01 on, frozen 2024-02-30"),
+              RO.TextAudit("first_day_of_views", "date", "ticker = 'view'", "trading_day", "from 1999-12-31 on"),
+              RO.TextAudit("first_minute", "regex_int", "true", "sample_id", "minutes 0 to 59", pattern=r"T\d+:(\d+):"),
+              RO.TextAudit("no_such_part", "regex_int", "true", "sample_id", "7", pattern=r"fold_(\d+)"),
+              RO.TextAudit("up_share", "range", "true", "label", "between 30 and 70 percent", scale="100", digits=1, lo="30", hi="70"),
+              RO.TextAudit("up_share_ends", "range", "true", "label", "between 30 and 71 percent", scale="100", digits=1, lo="30", hi="70"),
+              RO.TextAudit("absent", "range", "ticker = 'absent'", "label", "1 to 2", lo="1", hi="2")]
+
+
+def _text_audit_sql(s: RO.TextAudit) -> str:
+    if s.mode == "range":
+        v = f"(SELECT round(({s.how}({s.field}) * {s.scale})::DECIMAL(38,12), {s.digits})::DOUBLE FROM events_train WHERE {s.where})".replace("mean(", "avg(")
+        ends = f"list_contains(regexp_extract_all('{s.printed}', '[0-9]+'), '{s.lo}') AND list_contains(regexp_extract_all('{s.printed}', '[0-9]+'), '{s.hi}')"
+        return f"""SELECT '{s.number_id}' AS number_id, 'range' AS mode, NULL::VARCHAR AS derived_text, v AS derived, CASE WHEN v IS NULL THEN 'unresolved'
+          WHEN v BETWEEN {s.lo} AND {s.hi} AND {ends} THEN 'match' ELSE 'review' END AS status FROM (SELECT {v} AS v)"""
+    first = f"(SELECT {s.field}::VARCHAR FROM events_train WHERE {s.where} ORDER BY target_timestamp, sample_id LIMIT 1)"
+    v, same = (first, f"contains('{s.printed}', v)") if s.mode == "date" else (
+        f"nullif(regexp_extract({first}, '{s.pattern}', 1), '')", f"list_contains(list_transform(regexp_extract_all('{s.printed}', '[0-9]+'), lambda x: x::INT), v::INT)")
+    return f"""SELECT '{s.number_id}' AS number_id, '{s.mode}' AS mode, v AS derived_text, NULL::DOUBLE AS derived, CASE WHEN v IS NULL THEN 'unresolved'
+      WHEN {same} THEN 'match' ELSE 'mismatch' END AS status FROM (SELECT {v} AS v)"""
+
+
+@query("h19_text_audit", " UNION ALL ".join(map(_text_audit_sql, TEXT_AUDIT)))
+def h19_texts(spark, sf):
+    return RO.audit_texts(train_events(spark, sf), TEXT_AUDIT, ["target_timestamp", "sample_id"])
+
+
 # The recorded side lacks the rows of one hour in fold_1, and all of fold_2's evaluation rows.
 cte("recorded_members", "SELECT * FROM fold_member WHERE NOT (fold_id = 'fold_1' AND hour(target_timestamp) = 11) AND NOT (fold_id = 'fold_2' AND fold_side = 'eval')")
 

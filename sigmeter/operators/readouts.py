@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -193,3 +194,66 @@ def audit_numbers(source: DataFrame, specs: list[tuple[str, str, str, str, float
     out = one.select(F.explode(rows).alias("_r")).select("_r.*")
     return out.withColumn("status", F.when(F.col("derived").isNull(), "unresolved")
                           .when(F.abs(F.col("derived") - F.col("printed")) < 1e-9, "match").otherwise("mismatch"))
+
+
+class TextAudit(NamedTuple):
+    """A printed text and what it has to hold. ``mode`` is ``date``, ``regex_int`` or ``range``.
+
+    ``how`` (mean, min, max, sum), ``scale``, ``digits``, ``lo`` and ``hi`` belong to ranges, ``pattern`` with one group to
+    ``regex_int``.
+    """
+
+    number_id: str
+    mode: str
+    where: str
+    field: str
+    printed: str
+    how: str = "mean"
+    pattern: str = ""
+    scale: str = "1"
+    digits: int = 0
+    lo: str = "0"
+    hi: str = "0"
+
+
+def audit_texts(source: DataFrame, specs: list[TextAudit], order: list[str]) -> DataFrame:
+    """Dates, whole numbers inside texts and descriptive ranges, re-derived from a table and looked up as printed.
+
+    A date is the trimmed field of the first row by ``order`` and has to be among the printed dates; a ``regex_int`` is
+    the pattern's group in that row's field and has to be among the printed numbers. A range holds where the
+    rounded aggregate lies within lo and hi and both ends are printed; else it is for ``review``. No row, or
+    no match of the pattern, is ``unresolved``. All specs are conditional aggregates of one pass.
+    """
+    how = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
+
+    def raw(s: TextAudit) -> Column:
+        hit = F.expr(s.where)
+        if s.mode == "range":
+            return how[s.how](F.when(hit, F.col(s.field))).cast("decimal(30,15)")
+        return F.trim(F.min_by(F.col(s.field).cast("string"), F.when(hit, F.struct(*order))))
+
+    def row(s: TextAudit) -> Column:
+        printed, none = F.lit(s.printed), F.lit(None)
+        numbers = F.regexp_extract_all(printed, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)).cast("array<decimal(30,15)>")
+        text, value = none.cast("string"), none.cast("double")
+        if s.mode == "range":
+            lo, hi = (F.lit(Decimal(x)).cast("decimal(30,15)") for x in (s.lo, s.hi))
+            rounded = F.round(F.col(s.number_id) * F.lit(Decimal(s.scale)), s.digits)
+            ends = F.array_contains(numbers, lo) & F.array_contains(numbers, hi)
+            value = rounded.cast("double")
+            status = F.when(rounded.isNull(), "unresolved").when(rounded.between(lo, hi) & ends, "match").otherwise("review")
+        else:
+            if s.mode == "date":
+                text = F.col(s.number_id)
+                found = F.array_contains(F.regexp_extract_all(printed, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1)), text)
+            elif s.mode == "regex_int":
+                text = F.nullif(F.regexp_extract(s.number_id, s.pattern, 1), F.lit(""))
+                found = F.array_contains(numbers, text.cast("decimal(30,15)"))
+            else:
+                raise ValueError(f"unknown audit mode {s.mode}")
+            status = F.when(text.isNull(), "unresolved").when(found, "match").otherwise("mismatch")
+        return F.struct(F.lit(s.number_id).alias("number_id"), F.lit(s.mode).alias("mode"), text.alias("derived_text"),
+                        value.alias("derived"), status.alias("status"))
+
+    one = source.agg(*[raw(s).alias(s.number_id) for s in specs])
+    return one.select(F.explode(F.array(*map(row, specs))).alias("_r")).select("_r.*")

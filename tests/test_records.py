@@ -1,11 +1,11 @@
-"""Decision records by dotted path, and digests in their recorded form."""
+"""Decision records by dotted path, printed texts, and digests in their recorded form."""
 
 import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from sigmeter.operators import integrity, records
+from sigmeter.operators import integrity, readouts, records
 
 PATHS = ["a.b", "a.c", "x", "a.b.c", "odd key"]
 
@@ -38,3 +38,19 @@ def test_recorded_digest_is_plain_sha256_of_the_joined_ids(spark):
     assert got == want
     assert got["one", 1][0] == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"  # of the letter x
     assert integrity.recorded_sha256(df.limit(0), ["g", "h"], ["at"], F.col("id")).count() == 0
+
+
+def test_text_audit_by_hand(spark):
+    df = spark.createDataFrame([(2, " 2024-03-05 ", "run 12 of 9", 0.5), (1, "2024-03-04", "run 007 of 9", 0.25), (3, None, None, None)], "i int, day string, note string, x double")
+    A = readouts.TextAudit
+    specs = [A("d1", "date", "true", "day", "2024-03-04 to 2024-03-09"), A("d2", "date", "i = 2", "day", "on 2024-03-06"), A("d3", "date", "i = 3", "day", "2024-03-06"),
+             A("n1", "regex_int", "true", "note", "all 7 runs", pattern=r"run (\d+)"), A("n2", "regex_int", "i > 1", "note", "all 7 runs", pattern=r"run (\d+)"),
+             A("n3", "regex_int", "true", "note", "7", pattern=r"fold (\d+)"),
+             A("r1", "range", "true", "x", "37 to 38.0", scale="100", digits=0, lo="37", hi="38"), A("r2", "range", "true", "x", "37 to 39", scale="100", lo="37", hi="38"),
+             A("r3", "range", "true", "x", "1 to 2", how="max", lo="1", hi="2", digits=1), A("r4", "range", "i = 9", "x", "1 to 2", lo="1", hi="2")]
+    got = {r["number_id"]: (r["derived_text"], r["derived"], r["status"]) for r in readouts.audit_texts(df, specs, ["i"]).collect()}
+    assert got == {"d1": ("2024-03-04", None, "match"), "d2": ("2024-03-05", None, "mismatch"), "d3": (None, None, "unresolved"),
+                   "n1": ("007", None, "match"), "n2": ("12", None, "mismatch"), "n3": (None, None, "unresolved"),
+                   "r1": (None, 38.0, "match"), "r2": (None, 38.0, "review"), "r3": (None, 0.5, "review"), "r4": (None, None, "unresolved")}
+    with pytest.raises(ValueError, match="mode"):
+        readouts.audit_texts(df, [A("z", "other", "true", "x", "1")], ["i"])
