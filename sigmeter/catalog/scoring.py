@@ -229,14 +229,14 @@ cte("auc", AUC_SQL)
 @query("h2_score_classifier", f"""SELECT model_family, seed, n AS n_rows, {r(f1())} AS macro_f1, {r(BAL)} AS balanced_accuracy, {r(ACC)} AS accuracy,
   {r(MCC)} AS mcc, {r('roc_auc')} AS roc_auc FROM (SELECT model_family, seed, {RESUM_SQL} FROM cells_all GROUP BY 1, 2) JOIN auc USING (model_family, seed)""")
 def h2(spark, sf):
-    rows = stored(spark, sf, ALL, "model_family", "seed", "ticker", "trading_day", "sample_id", "y_true", "y_pred", "base_pred", "p_up")
-    m = RO.metrics(RO.block_cells(rows, ["model_family", "seed"]), ["model_family", "seed"])
+    rows = stored(spark, sf, ALL, "model_family", "seed", "y_true", "y_pred", "base_pred", "p_up")
+    m = RO.metrics(rows.groupBy("model_family", "seed").agg(*C.row_sums()), ["model_family", "seed"])
     return rounded(m.join(R.roc_auc(rows, ["model_family", "seed"]), ["model_family", "seed"]))
 
 
 @query("h3_roc_auc", f"""SELECT model_family, seed, {r('roc_auc')} AS roc_auc FROM auc""")
 def h3(spark, sf):
-    return rounded(R.roc_auc(stored(spark, sf, ALL, "model_family", "seed", "sample_id", "y_true", "p_up"), ["model_family", "seed"]))
+    return rounded(R.roc_auc(P.scored(spark, sf, ALL), ["model_family", "seed"]))
 
 
 @query("h3_roc_auc_tied_scores", f"""WITH s AS (SELECT seed, ticker, y_true, round(p_up, 1) AS s FROM scored_one), k AS (SELECT *,
@@ -244,7 +244,7 @@ def h3(spark, sf):
   SELECT seed, ticker, {r('(sum(CASE WHEN y_true = 1 THEN ar END) - sum(y_true)::DOUBLE * (sum(y_true) + 1) / 2) / (sum(y_true)::DOUBLE * (count(*) - sum(y_true)))')} AS roc_auc
   FROM k GROUP BY 1, 2""")
 def h3b(spark, sf):
-    rows = stored(spark, sf).withColumn("p_up", F.round("p_up", 1))
+    rows = P.scored(spark, sf).withColumn("p_up", F.round("p_up", 1))
     return rounded(R.roc_auc(rows, ["seed", "ticker"]))
 
 

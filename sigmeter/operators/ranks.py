@@ -9,10 +9,15 @@ The written table also cuts lineage, so lost executors cost no re-sort.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import harmonic, ratio
-from ..session import materialise, scratch_path
+from ..session import materialise, scratch_path, ship_package
 
 
 def global_position(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -52,39 +57,93 @@ def group_rank(df: DataFrame, group: list[str], order: list[Column]) -> DataFram
     return join_on_groups(p, starts, group).withColumn("rk", F.col("pos") - F.col("_start") + 1).drop("pos", "_start")
 
 
-def running_totals(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
-    """Adds ``<value>_before``: the sum over all rows before, in the (total) order given.
-
-    Rows are range-partitioned and written once; sums run inside each file, and files add up what lies
-    before them.
-    """
-    path = scratch_path(df.sparkSession, "running")
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
-    rows = df.sparkSession.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-    files = rows.groupBy("_f").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    earlier = Window.orderBy(file_number(F.col("_f"))).rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("_f", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values])
-    inside = Window.partitionBy("_f").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values})
-    # one row per written file, at most spark.sql.shuffle.partitions
-    out = out.join(F.broadcast(files), "_f").withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_o_{v}") for v in values})
-    return out.drop("_f", "_i", *[f"_o_{v}" for v in values])
+CELL_SHIFT = 46  # a cell of scores shares sign, exponent and the first 6 bits of the fraction
+PACK_ROWS = 1 << 20  # rows that a task packs at once
+
+
+def _ordered(score: pa.ChunkedArray) -> np.ndarray:
+    """Unsigned keys in the order of the scores: null below all, NaN above all, both zeros alike."""
+    x = np.array(score.fill_null(0.0), float) + 0.0
+    x[np.isnan(x)] = np.nan
+    bits = x.view(np.uint64)
+    key = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+    return np.where(np.asarray(score.is_null()), np.uint64(0), key)
+
+
+def _pack_scores(group: list[str], rows: pa.Table) -> pa.RecordBatch:
+    """Counts per distinct score, packed by (group, cell)."""
+    code = np.zeros(rows.num_rows, np.int64)
+    for c in group:
+        coded = rows[c].combine_chunks().dictionary_encode("encode")
+        code = code * max(len(coded.dictionary), 1) + np.asarray(coded.indices)
+    key, pos = _ordered(rows["_score"]), np.asarray(rows["_pos"])
+    neg = np.asarray(rows["_neg"])
+    order = np.lexsort((key, code))
+    code, key, pos, neg = code[order], key[order], pos[order], neg[order]
+    new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (key[1:] != key[:-1])]))
+    first, code, key = order[new], code[new], key[new]
+    pos, neg = np.add.reduceat(pos, new), np.add.reduceat(neg, new)
+    cell = (key >> np.uint64(CELL_SHIFT)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (cell[1:] != cell[:-1])]))
+    packs = [np.concatenate([key[a:b].view(np.int64), neg[a:b], pos[a:b]]).tobytes() for a, b in zip(at, np.append(at[1:], len(key)))]
+    held = rows.select(group).take(pa.array(first[at])).combine_chunks()
+    return pa.RecordBatch.from_arrays(
+        [*(held[c].combine_chunks() for c in group), pa.array(cell[at]), pa.array([pa.compress(p, "zstd", asbytes=True) for p in packs], pa.binary()),
+         pa.array([len(p) for p in packs], pa.int64())], names=[*group, "_cell", "_pack", "_bytes"])
+
+
+def _pairs_of(group: list[str]):
+    """Counts of one (group, cell), and twice the pairs that its positives win against its own negatives."""
+    def run(rows: pa.Table) -> pa.Table:
+        raw = (np.frombuffer(pa.decompress(p, n, "zstd", asbytes=True), np.int64).reshape(3, -1) for p, n in zip(rows["_pack"].to_pylist(), rows["_bytes"].to_pylist()))
+        key, neg, pos = np.concatenate(list(raw), 1)
+        order = np.argsort(key.view(np.uint64), kind="stable")
+        key, neg, pos = key[order], neg[order], pos[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        neg, pos = np.add.reduceat(neg, at), np.add.reduceat(pos, at)
+        beaten = 2 * (np.cumsum(neg) - neg) + neg
+        wins = (int((pos * (beaten >> 31)).sum()) << 31) + int((pos * (beaten & (2**31 - 1))).sum())  # may pass 64 bits
+        return pa.table({**{c: rows[c].slice(0, 1) for c in [*group, "_cell"]}, "_neg": [int(neg.sum())], "_pos": [int(pos.sum())],
+                         "_wins": pa.array([Decimal(wins)], pa.decimal128(38, 0))})
+
+    return run
 
 
 def roc_auc(df: DataFrame, group: list[str], y: str = "y_true", score: str = "p_up",
             tie: str = "sample_id") -> DataFrame:
     """Mann-Whitney form from the counts per distinct score; null for one class.
 
-    A positive beats the negatives with a lower score and half of those with its own. ``tie`` is not
-    needed any more and is kept for callers.
+    A positive beats the negatives with a lower score and half of those with its own. Tasks pack the counts of
+    their rows by group and cell of scores, so rows move once, as bytes, and none is written; pairs inside a
+    cell are counted where its packets meet, pairs across cells from a few thousand sums per group. ``tie`` is
+    not needed any more and is kept for callers.
     """
-    cells = df.groupBy(*group, score).agg(F.sum(F.lit(1) - F.col(y)).alias("_neg"), F.sum(y).alias("_pos"))
-    run = running_totals(cells, [F.col(g) for g in group] + [F.col(score)], ["_neg"])
-    g = run.groupBy(*group).agg(
-        F.sum("_neg").alias("_n"), F.sum("_pos").alias("_p"), F.min("_neg_before").alias("_start"),
-        F.sum(F.col("_pos") * (2 * F.col("_neg_before") + F.col("_neg")).cast("decimal(38,0)")).alias("_w"))
-    wins = (F.col("_w") - (2 * F.col("_start") * F.col("_p")).cast("decimal(38,0)")).cast("double") / 2
-    return g.select(*group, ratio(wins, F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"))
+    ship_package(df.sparkSession)
+    kind = dict(df.dtypes)
+    named = [f"`{c}` {kind[c]}" for c in group]
+    slim = df.select(*group, F.col(score).cast("double").alias("_score"), F.coalesce(F.col(y).cast("long"), F.lit(0)).alias("_pos"),
+                     F.coalesce(1 - F.col(y).cast("long"), F.lit(0)).alias("_neg"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= PACK_ROWS:
+                yield _pack_scores(group, pa.Table.from_batches(held))
+                held, n = [], 0
+        if held:
+            yield _pack_scores(group, pa.Table.from_batches(held))
+
+    packs = slim.mapInArrow(pack, ", ".join([*named, "_cell long, _pack binary, _bytes long"]))
+    cells = packs.groupBy(*group, "_cell").applyInArrow(_pairs_of(group), ", ".join([*named, "_cell long, _neg long, _pos long, _wins decimal(38,0)"]))
+    below = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
+    g = cells.groupBy(*group).agg(
+        F.sum("_neg").alias("_n"), F.sum("_pos").alias("_p"),
+        F.sum(F.col("_wins") + F.col("_pos").cast("decimal(19,0)") * (2 * F.col("_below")).cast("decimal(19,0)")).alias("_w"))
+    return g.select(*group, ratio(F.col("_w").cast("double") / 2, F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"))
 
 
 def confidence_rank(df: DataFrame, group: list[str], tie: str = "sample_id") -> DataFrame:
