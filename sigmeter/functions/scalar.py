@@ -65,9 +65,12 @@ def harmonic(n: Column) -> Column:
     return F.when(n < 32, F.get(table, n.cast("int"))).otherwise(series)
 
 
+def harmonic_series(x: np.ndarray) -> np.ndarray:
+    """Harmonic numbers of 32 or more, also between the integers."""
+    return np.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+
+
 def harmonic_numbers(n: np.ndarray) -> np.ndarray:
     """As ``harmonic``, over an array."""
-    x = np.maximum(n, 1).astype(float)
-    series = np.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
     small = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 32))])
-    return np.where(n < 32, small[np.minimum(n, 31)], series)
+    return np.where(n < 32, small[np.minimum(n, 31)], harmonic_series(np.maximum(n, 1).astype(float)))

@@ -106,3 +106,9 @@ def all_multiplicities(seed: int, first: int, last: int, n_blocks: int, height:
     """Draws first to last - 1 over all blocks, for tasks whose blocks are few; a worker keeps the last ones."""
     draws = np.arange(first, last)
     return np.concatenate([multiplicities(seed, draws, n_blocks, a, height) for a in range(0, n_blocks, 1 << height)], 1)
+
+
+@lru_cache(maxsize=8)
+def day_table(seed: int, first: int, last: int, n_blocks: int) -> np.ndarray:
+    """As ``all_multiplicities``, blocks x draws in floating point: the draws of a block lie side by side."""
+    return np.ascontiguousarray(all_multiplicities(seed, first, last, n_blocks).T.astype(float))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import confusion as C
-from ..functions.scalar import harmonic, harmonic_numbers, ratio
+from ..functions.scalar import harmonic, harmonic_numbers, harmonic_series, ratio
 from ..session import spread
 from .ranks import confidence_rank, prefix_sums
 
@@ -65,15 +65,18 @@ def resampled_curves(ranked: DataFrame, n_boot: int, seed: int) -> tuple[DataFra
     """Exact risk curves under whole-day resampling, per (seed, draw): the curve at the grid, and its sums.
 
     A draw repeats every row as often as its day is picked and keeps the ranking. Ranks are cut into blocks: a
-    first pass gives what each block covers and errs in a draw, running sums over the blocks give where it
-    starts, and a second pass interpolates the grid points that fall into the block. The mean risk over all
-    prefixes needs harmonic numbers at error rows only: m copies of an error after c covered rows add
-    m H(M) - G(c + m) + G(c) with G(n) = n H(n) - n. Day counts come from the splitting tree in every task.
+    first pass gives what each block covers and errs in a draw, from its rows per day; running sums over the
+    blocks give where it starts, and a second pass interpolates the grid points that fall into the block, for
+    the draws that have one there. The mean risk over all prefixes needs harmonic numbers at error rows only: m
+    copies of an error after c covered rows add m H(M) - G(c + m) + G(c) with G(n) = n H(n) - n, summed by
+    row near the start and by ``_smooth_area`` from ``SMOOTH_FROM`` on. Day counts come from the splitting tree in every
+    task, which takes a block with all draws.
 
     Returns (seed, draw, grid_index, risk) and (seed, draw, covered, errors, aurc, oracle_aurc).
     """
+    from ..functions.splitting import day_table
     from ..session import materialise, ship_package
-    from .resample import DRAW_CHUNK, index_blocks
+    from .resample import index_blocks
 
     spark = ranked.sparkSession
     ship_package(spark)
@@ -83,38 +86,47 @@ def resampled_curves(ranked: DataFrame, n_boot: int, seed: int) -> tuple[DataFra
                                    F.col("_e").cast("int").alias("_e")), "day-ranks")
     n_days = days.count()
     kind = rows.schema["seed"].dataType.simpleString()
-    chunks = -(-n_boot // DRAW_CHUNK)
-    per_chunk = spread(rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), "seed", "_b", "_chunk").groupBy("seed", "_b", "_chunk")
+    keys = ["seed", "_b"]
+    blocks = spread(rows, *keys).groupBy(*keys)
 
     def totals(part: pa.Table) -> pa.Table:
-        draws, counts, wrong = _picked(part, n_days, n_boot, seed)
-        n = len(draws)
-        return pa.table({"seed": pa.array([part["seed"][0].as_py()] * n, part.schema.field("seed").type), "_b": np.full(n, part["_b"][0].as_py()), "draw": draws,
-                         "c": counts.sum(1), "e": counts @ wrong})
+        day, wrong = _by_rank(part)
+        per_day = np.stack([np.bincount(day, minlength=n_days), np.bincount(day[wrong], minlength=n_days)]).astype(float)
+        both = np.concatenate([per_day @ day_table(seed, a, b, n_days) for a, b in _chunks(n_boot)], 1).astype(np.int64)
+        return pa.table({"seed": pa.array([part["seed"][0].as_py()] * n_boot, part.schema.field("seed").type), "_b": np.full(n_boot, part["_b"][0].as_py()),
+                         "draw": np.arange(n_boot), "c": both[0], "e": both[1]})
 
-    sums = materialise(per_chunk.applyInArrow(totals, f"seed {kind}, _b long, draw long, c long, e long"), "rank-blocks")
+    sums = materialise(blocks.applyInArrow(totals, f"seed {kind}, _b long, draw long, c long, e long"), "rank-blocks")
     before = Window.partitionBy("seed", "draw").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("seed", "draw")
     offsets = sums.select("seed", "_b", "draw", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"),
                           F.sum("c").over(whole).alias("covered"), F.sum("e").over(whole).alias("errors"))
-    offsets = materialise(offsets.withColumn("_chunk", F.floor(F.col("draw") / DRAW_CHUNK).cast("int")), "rank-offsets")
+    offsets = materialise(offsets, "rank-offsets")
 
     def curve(part: pa.Table, starts: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         if not part.num_rows or not starts.num_rows:
             return pa.table({"seed": pa.array([], part.schema.field("seed").type), "draw": pa.array([], pa.int64()), "grid_index": pa.array([], pa.int64()), "risk": pa.array([], pa.float64())})
         starts = starts.sort_by("draw")
-        draws, counts, wrong = _picked(part, n_days, n_boot, seed)
-        c0, e0, all_c = (np.asarray(starts[c].combine_chunks()) for c in ("c0", "e0", "covered"))
-        d, g, risk = _interpolated(counts, wrong, c0, e0, all_c)
-        area = _error_area(counts, wrong, c0, all_c)
-        draw = np.concatenate([draws[d], draws])
+        day, wrong = _by_rank(part)
+        at = {c: np.asarray(starts[c].combine_chunks()) for c in ("c", "c0", "e0", "covered")}
+        draw, index, risk = [], [], []
+        for first, last in _chunks(n_boot):
+            table, (c, c0, e0, all_c) = day_table(seed, first, last, n_days), (x[first:last] for x in at.values())
+            held = _holds_grid_point(c, c0, all_c)
+            d, g, r = _interpolated(table[:, held].T[:, day].astype(np.int64), wrong, c0[held], e0[held], all_c[held])
+            if c0.min() < SMOOTH_FROM:
+                area = _error_area(table.T[:, day].astype(np.int64), wrong, c0, all_c)
+            else:
+                area = _smooth_area(table, day, wrong, c0, all_c)
+            draw += [first + held[d], np.arange(first, last)]
+            index += [g, np.full(last - first, -1)]
+            risk += [r, area]
+        draw = np.concatenate(draw)
         return pa.table({"seed": pa.array([part["seed"][0].as_py()] * len(draw), part.schema.field("seed").type), "draw": draw,
-                         "grid_index": np.concatenate([g, np.full(len(draws), -1)]), "risk": np.concatenate([risk, area])})
+                         "grid_index": np.concatenate(index), "risk": np.concatenate(risk)})
 
-    keys = ["seed", "_b", "_chunk"]
-    left = spread(rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), *keys).groupBy(*keys)
-    points = left.cogroup(spread(offsets, *keys).groupBy(*keys)).applyInArrow(curve, f"seed {kind}, draw long, grid_index long, risk double")
+    points = blocks.cogroup(spread(offsets, *keys).groupBy(*keys)).applyInArrow(curve, f"seed {kind}, draw long, grid_index long, risk double")
     points = materialise(points, "risk-points")
     ends = offsets.groupBy("seed", "draw").agg(F.max("covered").alias("covered"), F.max("errors").alias("errors"))
     area = points.filter("grid_index < 0").groupBy("seed", "draw").agg(F.sum("risk").alias("_a"))
@@ -125,16 +137,25 @@ def resampled_curves(ranked: DataFrame, n_boot: int, seed: int) -> tuple[DataFra
     return points.filter("grid_index >= 0"), scalars
 
 
-def _picked(part: pa.Table, n_days: int, n_boot: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draws of the chunk, draws x rows of how often each row is repeated, and which rows err, in rank order."""
-    from ..functions.splitting import all_multiplicities
+def _chunks(n_boot: int) -> list[tuple[int, int]]:
+    """First and last draw of each chunk of draws."""
     from .resample import DRAW_CHUNK
 
+    return [(a, min(a + DRAW_CHUNK, n_boot)) for a in range(0, n_boot, DRAW_CHUNK)]
+
+
+def _by_rank(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Day of each row of a block, and whether it errs, in rank order."""
     order = np.argsort(np.asarray(part["rk"].combine_chunks()), kind="stable")
-    day, wrong = np.asarray(part["_d"].combine_chunks())[order], np.asarray(part["_e"].combine_chunks())[order].astype(np.int64)
-    chunk = part["_chunk"][0].as_py()
-    first, last = chunk * DRAW_CHUNK, min((chunk + 1) * DRAW_CHUNK, n_boot)
-    return np.arange(first, last), all_multiplicities(seed, first, last, n_days)[:, day], wrong
+    return np.asarray(part["_d"].combine_chunks())[order], np.asarray(part["_e"].combine_chunks())[order].astype(bool)
+
+
+def _holds_grid_point(c: np.ndarray, c0: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """The draws of which a grid point lies between the last row before the block and its last row."""
+    grid = GRID_MIN + np.arange(GRID_SIZE) * GRID_STEP
+    first, last = c0 / covered, (c0 + c) / covered
+    ends = np.where(c0 + c == covered, GRID_SIZE, np.searchsorted(grid, last))
+    return np.flatnonzero((c > 0) & (np.searchsorted(grid, first) < ends))
 
 
 def _interpolated(counts: np.ndarray, wrong: np.ndarray, c0: np.ndarray, e0: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +188,33 @@ def _error_area(counts: np.ndarray, wrong: np.ndarray, c0: np.ndarray, covered:
     return (m * harmonic_numbers(covered)[:, None] - _harmonic_sum(ends) + _harmonic_sum(ends - m)).sum(1)
 
 
+SMOOTH_FROM = 1 << 17  # covered rows from which harmonic numbers are expanded
+SMOOTH_ROWS = 256  # ranks of one expansion
+
+
+def _smooth_area(table: np.ndarray, day: np.ndarray, wrong: np.ndarray, c0: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """As ``_error_area``, by expanding H to second order around the middle of every ``SMOOTH_ROWS`` ranks.
+
+    Every row counts with its own place. With w rows covered around x the next terms are (w / 2x)^3 / 3 with changing
+    signs and (w / 2x)^4 / 4, below 1e-9 and 1e-12 of a row at ``SMOOTH_FROM`` and falling with the cube of x.
+    """
+    top, base, out = harmonic_numbers(covered), c0.astype(float), np.zeros(len(c0))
+    for a in range(0, len(day), SMOOTH_ROWS):
+        m = table[day[a:a + SMOOTH_ROWS]]
+        ends = np.cumsum(m, 0)
+        c = ends[-1].copy()
+        bad = wrong[a:a + SMOOTH_ROWS]
+        m, y = m[bad], ends[bad]
+        y *= 2
+        y -= m
+        y -= c  # twice the distance of a run's middle from the middle of all
+        t = m * y
+        x = base + (c - 1) / 2
+        out += m.sum(0) * (top - harmonic_series(x)) - (1 / x - 1 / (2 * x**2) + 1 / (6 * x**3)) * t.sum(0) / 2 + (1 / x**2 - 1 / x**3) * np.einsum("rd,rd->d", t, y) / 8
+        base += c
+    return out
+
+
 def _harmonic_sum(n: np.ndarray) -> np.ndarray:
     return n * harmonic_numbers(n) - n
 
