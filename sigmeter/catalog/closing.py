@@ -511,7 +511,7 @@ cte("band_scalars", """SELECT draw, avg(aurc) AS a, avg(e::DOUBLE / n) AS f, avg
 
 def day_ranked(spark, sf):
     from ..operators.ranks import confidence_rank
-    return confidence_rank(SEL.with_confidence(stored(spark, sf), ["seed", "trading_day"]), ["seed"])
+    return confidence_rank(SEL.with_confidence(stored(spark, sf, None, "seed", "trading_day", "sample_id", "y_true", "y_pred", "p_up"), ["seed", "trading_day"]), ["seed"], keep_tie=False)
 
 
 def resampled(spark, sf):

@@ -20,12 +20,12 @@ from ..functions.scalar import harmonic, ratio
 from ..session import materialise, scratch_path, ship_package
 
 
-def global_position(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ``pos`` (0-based) in the order given; the order must be total."""
+def global_position(df: DataFrame, order: list[Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``pos`` (0-based) in the order given; the order must be total. Columns of ``drop`` only order, and are not written."""
     spark = df.sparkSession
     path = scratch_path(spark, "ranked")
     # No partition count: adaptive execution merges neighbouring ranges to sensible file sizes.
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*drop).write.parquet(path)
     rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_f"),
                                            F.col("_metadata.row_index").alias("_i"))
     sizes = rows.groupBy("_f").agg(F.count("*").alias("_n"))
@@ -48,9 +48,9 @@ def join_on_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return left.join(named, on).drop(*[f"_right_{k}" for k in keys])
 
 
-def group_rank(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Adds ``rk`` (1-based rank in the group) and ``group_n``."""
-    p = global_position(df, [F.col(g) for g in group] + order)
+def group_rank(df: DataFrame, group: list[str], order: list[Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``rk`` (1-based rank in the group) and ``group_n``; without the columns of ``drop``."""
+    p = global_position(df, [F.col(g) for g in group] + order, drop)
     starts = p.groupBy(*group).agg(F.min("pos").alias("_start"), F.count("*").alias("group_n"))
     # Written first so that its size is known when the join is planned.
     starts = materialise(starts, "group-starts")
@@ -146,9 +146,9 @@ def roc_auc(df: DataFrame, group: list[str], y: str = "y_true", score: str = "p_
     return g.select(*group, ratio(F.col("_w").cast("double") / 2, F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"))
 
 
-def confidence_rank(df: DataFrame, group: list[str], tie: str = "sample_id") -> DataFrame:
-    """Most confident first, ties by ``tie`` ascending."""
-    return group_rank(df, group, [F.col("confidence").desc(), F.col(tie).asc()])
+def confidence_rank(df: DataFrame, group: list[str], tie: str = "sample_id", keep_tie: bool = True) -> DataFrame:
+    """Most confident first, ties by ``tie`` ascending; without ``keep_tie`` the ranking is written without it."""
+    return group_rank(df, group, [F.col("confidence").desc(), F.col(tie).asc()], () if keep_tie else (tie,))
 
 
 def prefix_sums(ranked: DataFrame, group: list[str], values: dict[str, Column],

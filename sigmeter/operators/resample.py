@@ -146,7 +146,7 @@ def time_reverse(rows: DataFrame, slices: list[str], order: tuple[str, ...] = ("
     """
     keys = slices + BLOCK
     p = global_position(rows.select(*keys, *order, "y_true", "y_pred", "base_pred"),
-                        [F.col(k).asc() for k in keys] + [F.col(o).asc() for o in order])
+                        [F.col(k).asc() for k in keys] + [F.col(o).asc() for o in order], order)
     ends = p.groupBy(*keys).agg((F.min("pos") + F.max("pos")).alias("_ends"))
     left = p.select(*keys, "pos", "y_true", "base_pred").join(ends, keys).withColumn("_mirror", F.col("_ends") - F.col("pos"))
     right = p.select(F.col("pos").alias("_mirror"), "y_pred")

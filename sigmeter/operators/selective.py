@@ -275,7 +275,7 @@ def selective_autopsy(rows: DataFrame, day_terciles: DataFrame, block_sums: Data
     t = with_confidence(rows, ["seed", "ticker", "trading_day"]).join(day_terciles, ["ticker", "trading_day"])
     t = t.select("seed", "sample_id", "confidence", "correct", F.explode(F.array(F.lit("all"), F.col("activity_tercile"))).alias("activity_tercile"))
     keys = ["activity_tercile", "seed"]
-    s = selective_summary(confidence_rank(t, keys), keys).drop("oracle_aurc")
+    s = selective_summary(confidence_rank(t, keys, keep_tie=False), keys).drop("oracle_aurc")
     tc = materialise(tercile_cells(block_sums), "tercile-cells")
     m = tc.groupBy(*keys).agg(*C.resum()).select(*keys, C.macro_f1().alias("macro_f1"), C.accuracy().alias("accuracy"), C.delta_f1().alias("delta_vs_dummy"))
     ci = block_bootstrap(tc, keys, n_boot, boot_seed).select(*keys, "lcb")
