@@ -189,6 +189,11 @@ cte("replayed", f"""SELECT 'as_is' AS variant, seed, ticker, y_true, y_pred, bas
   UNION ALL SELECT 'planted', seed, ticker, y_true, y_pred, base_pred, CASE WHEN seed = 202 AND ticker = 'T1' THEN 1 - base_pred ELSE base_pred END FROM scored_one""")
 
 
+def figure_sums(rows, *more):
+    """Confusion sums per seed and ticker."""
+    return rows.groupBy(*more, "seed", "ticker").agg(*C.row_sums())
+
+
 @query("g5_dummy_replay_gate", f"""WITH s AS (SELECT variant, seed, ticker, count(*) AS n, sum(y_true) AS p, sum(y_pred) AS pp, sum(y_true * y_pred) AS tp, sum(base_pred) AS bp, sum(y_true * base_pred) AS btp,
     sum(again) AS ap, sum(y_true * again) AS atp FROM replayed GROUP BY 1, 2, 3),
   t AS (SELECT variant, seed, sum(n) AS n, sum(p) AS p, sum(bp) AS bp, sum(btp) AS btp, sum(ap) AS ap, sum(atp) AS atp FROM s GROUP BY 1, 2),
@@ -200,13 +205,16 @@ cte("replayed", f"""SELECT 'as_is' AS variant, seed, ticker, y_true, y_pred, bas
     CASE WHEN min(min(CASE WHEN abs(a - b) <= 1e-9 THEN 1 ELSE 0 END)) OVER (PARTITION BY variant) = 1 THEN 'verified_identical' ELSE 'mismatch_deltas_not_computed' END AS recon_status FROM f GROUP BY 1, 2""")
 def g5(spark, sf):
     """Figures of a re-drawn dummy against those of a dump joined back by sample: as stored, and with flipped rows."""
-    replay = BL.replay_figures(RO.block_cells(P.scored(spark, sf), ["seed"]))
-    cand, base = P.scored(spark, sf).drop("base_pred"), P.baseline_dump(spark, sf)
-    flipped = base.withColumn("y_pred", F.when((F.col("seed") == 202) & (F.col("ticker") == "T1"), 1 - F.col("y_pred")).otherwise(F.col("y_pred")))
+    rows = P.scored(spark, sf)
+    replay = BL.replay_figures(materialise(figure_sums(rows), "replay-sums"))
+    cand, base = rows.drop("base_pred"), P.baseline_dump(spark, sf)
+    # Both dumps ride on one join; figures need sums per seed and ticker only.
+    flip = F.when((F.col("seed") == 202) & (F.col("ticker") == "T1"), 1 - F.col("y_pred")).otherwise(F.col("y_pred"))
+    dump = J.align_baselines(cand, base.select("seed", "sample_id", "y_true", F.col("y_pred").alias("as_is"), flip.alias("planted")), ["seed", "sample_id"], ["as_is", "planted"])
+    sums = materialise(figure_sums(dump, "variant"), "dump-sums")
     out = None
-    for name, b in (("as_is", base), ("planted", flipped)):
-        dump = J.align_baseline(cand, b, ["seed", "sample_id"])
-        rows = BL.replay_gate(replay, BL.replay_figures(RO.block_cells(dump, ["seed"]))).withColumn("variant", F.lit(name))
+    for name in ("as_is", "planted"):
+        rows = BL.replay_gate(replay, BL.replay_figures(sums.filter(F.col("variant") == name).drop("variant"))).withColumn("variant", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -479,7 +487,7 @@ CAL_STATS = ["ece", "mce", "brier_score", "brier_reliability", "brier_resolution
 
 
 def calibration(spark, sf):
-    return CAL.calibration_frames(stored(spark, sf), BINS, ("p_up", "equal_mass", 10))
+    return CAL.calibration_frames(stored(spark, sf, None, "seed", "ticker", "y_true", "y_pred", "p_up"), BINS, ("p_up", "equal_mass", 10))
 
 
 @query("i1_reliability_bins", f"""SELECT seed, view, binning_scheme, n_bins, bin_index, {r('bin_lower')} AS bin_lower, {r('bin_upper')} AS bin_upper, n_rows,
@@ -512,8 +520,8 @@ cte("ranked", """SELECT *, row_number() OVER w AS rk, count(*) OVER (PARTITION B
   WINDOW w AS (PARTITION BY seed ORDER BY confidence DESC, sample_id)""")
 
 
-def ranked(spark, sf):
-    return R.confidence_rank(SEL.with_confidence(stored(spark, sf, None, "seed", "sample_id", "y_true", "y_pred", "p_up"), ["seed"]), ["seed"])
+def ranked(spark, sf, keep_tie=False):
+    return R.confidence_rank(SEL.with_confidence(stored(spark, sf, None, "seed", "sample_id", "y_true", "y_pred", "p_up"), ["seed"]), ["seed"], keep_tie=keep_tie)
 
 
 @query("i5_risk_coverage_curve", f"""SELECT seed, rk AS n_covered, {r('rk::DOUBLE / nn')} AS coverage, {r('confidence')} AS confidence_at_coverage,
@@ -568,4 +576,4 @@ def e17(spark, sf):
 
 @query("e18_selective_order", f"""SELECT seed, sample_id, rk FROM ranked""")
 def e18(spark, sf):
-    return ranked(spark, sf).select("seed", "sample_id", "rk")
+    return ranked(spark, sf, keep_tie=True).select("seed", "sample_id", "rk")

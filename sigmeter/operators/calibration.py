@@ -16,7 +16,7 @@ def calibration_views(rows: DataFrame, keep: list[str]) -> DataFrame:
     correct = (F.col("y_true") == F.col("y_pred")).cast("int")
     views = F.array(F.struct(F.lit("p_up").alias("view"), F.col("p_up").alias("value"), F.col("y_true").alias("outcome")),
                     F.struct(F.lit("top_label_confidence").alias("view"), conf.alias("value"), correct.alias("outcome")))
-    return rows.withColumn("_v", F.explode(views)).select(*keep, "sample_id", "y_true", "_v.*")
+    return rows.withColumn("_v", F.explode(views)).select(*keep, "y_true", "_v.*")
 
 
 CELL_BITS = (12, 24)  # cells of the two counting passes over [0, 1]

@@ -72,6 +72,18 @@ def align_baseline(cand: DataFrame, base: DataFrame, on: list[str]) -> DataFrame
     return joined.withColumn("base_pred", F.when(fault.isNotNull(), F.lit(None)).otherwise(F.col("base_pred"))).drop("_y", "_n")
 
 
+def align_baselines(cand: DataFrame, base: DataFrame, on: list[str], variants: list[str]) -> DataFrame:
+    """Candidate rows once per variant, with ``variant`` and its ``base_pred``; ``base`` has a prediction column per variant.
+
+    Checked as ``align_baseline``; the two sides meet once, whatever the number of variants.
+    """
+    once = base.groupBy(*on).agg(F.count("*").alias("_n"), F.first("y_true").alias("_y"), *[F.first(v).alias(f"_v_{v}") for v in variants])
+    joined = cand.join(once, on, "left")
+    fault = partner_check("baseline alignment", {"labels differ": ~F.col("_y").eqNullSafe(F.col("y_true"))})
+    each = F.array(*[F.struct(F.lit(v).alias("variant"), F.when(fault.isNotNull(), F.lit(None)).otherwise(F.col(f"_v_{v}")).alias("base_pred")) for v in variants])
+    return joined.withColumn("_each", F.explode(each)).select(*cand.columns, "_each.*")
+
+
 def alignment_report(cand: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:
     """One row: rows that align, and rows with no partner, several partners or another label."""
     j = cand.join(_baseline_once(base, on), on, "left")
