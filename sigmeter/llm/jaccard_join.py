@@ -7,10 +7,14 @@ features must agree on some ``N2 - K2`` of its cells. The content of every such
 one signature; similar pairs share one with certainty (see ``signatures``). Shingles that very many
 documents share are left out of signatures wherever enough others remain.
 
+Signatures are dealt to parts of equal volume, an instance after the other, so a pair, which meets in two
+instances at most, comes out of the few parts of these and not of all.
+
 A bucket of equal signatures is not expanded into pairs. Every member is tied to one hub (a star), the
 member of smallest key, so that all buckets of a cluster prefer the same hubs; the ties are verified on
-the full sets, and components are formed. Only pairs of a bucket that are still in different components
-afterwards are looked at, inside the bucket's task, and those that pass a size and parity-sketch bound
+the full sets, and components are formed. Only pairs of a bucket of three sets or more that are still in
+different components afterwards are looked at, inside the bucket's task (a bucket of two is its one tie),
+and those that pass a size and parity-sketch bound
 are verified too, so no link between different components is lost. The sketch grows with the set, as one
 of fixed length would be full, and exclude nothing, for long texts.
 """
@@ -34,7 +38,7 @@ from .shingles import mix, sets
 
 K2, N2 = 1, 3  # differences allowed in a part, cells of a part
 SKETCH_WORDS = 8  # 64-bit words of the parity sketch, at least
-SHINGLES_PER_PART = 1 << 21
+SIGNATURES_PER_PART = 1 << 21  # as estimated from set sizes
 BROADCAST_BYTES = 48 << 20
 SAMPLE = 16000  # documents in which frequent shingles are looked for, about
 FREQUENT = 0.0003  # share of the sample from which a shingle is frequent
@@ -64,8 +68,40 @@ def parts_of(instance: int) -> tuple[int, int]:
     return int(np.ceil(1.2 * (2 * top / 7) / (K2 + 1))) + 3, top
 
 
+class Deal:
+    """Parts of equal volume over the signatures of all instances, in the order of instances.
+
+    ``sets`` is the number of sets in each band. An instance reaches over as many neighbouring parts as
+    its volume asks for, and small instances share one.
+    """
+
+    def __init__(self, sets: dict[int, int], capacity: int = SIGNATURES_PER_PART):
+        load = np.zeros(max(sets, default=0) + 2)
+        for t in range(len(load)):
+            held = sets.get(t, 0) + sets.get(t - 1, 0)
+            load[t] = held * min(3 * parts_of(t)[0], 2 * int(BANDS[t]))
+        self.load, self.before, self.capacity = load, np.cumsum(load) - load, capacity
+        self.parts = int(load.sum() // capacity) + 1
+
+    def part(self, instance: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        """By instance and the high 32 bits of a signature."""
+        at = self.before[instance] + (sig >> np.uint64(32)).astype(float) * (self.load[instance] / 2.0**32)
+        return np.minimum(at / self.capacity, self.parts - 1).astype(np.uint64)
+
+
+def deal(sized: DataFrame) -> Deal:
+    """Parts for the sets of a table with ``n_shingles``: one count per band goes to the driver."""
+    band = F.size(F.filter(F.array(*(F.lit(int(b)) for b in BANDS)), lambda b: b <= F.col("n_shingles"))) - 1
+    return Deal({r["band"]: r["count"] for r in sized.filter("n_shingles > 0").groupBy(band.alias("band")).count().collect()})
+
+
 def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """All signatures of one set; ``frequent`` are shingles that many documents share, sorted.
+    """All signatures of one set; ``frequent`` are shingles that many documents share, sorted."""
+    return np.concatenate([sig for _, sig in by_instance(s, frequent)])
+
+
+def by_instance(s: np.ndarray, frequent: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Signatures of one set with the instance they belong to.
 
     A pair that differs in at most d features differs in at most d of those left when the frequent ones are
     taken out, so signatures over the others alone are complete too, as long as enough cells hold one. A set
@@ -78,13 +114,13 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     out = []
     for t in instances(len(s)):
         first, safe = _over(rare, len(s), t, 0)
-        out.append(first)
+        out.append((t, first))
         if not safe:
             second, safe = _over(s, len(s), t, 1)
-            out.append(second)
+            out.append((t, second))
             if not safe:
-                out.append(_over(s, len(s), t, 1, True)[0])
-    return np.concatenate(out)
+                out.append((t, _over(s, len(s), t, 1, True)[0]))
+    return out
 
 
 def _over(s: np.ndarray, size: int, t: int, domain: int, empty: bool = False) -> tuple[np.ndarray, bool]:
@@ -176,16 +212,17 @@ NAME = np.dtype([("key", "<i8")])
 TOLD = np.dtype([("key", "<i8"), ("comp", "<i8"), ("size", "<i8"), ("parity", "<u8", (SKETCH_WORDS,))])
 
 
-def _pack(parts: int, sigs: list[np.ndarray], names: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pack(dealt: Deal, sigs: list[list[tuple[int, np.ndarray]]], names: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Signatures of a slab by part: 32 bits of each (beside the part), its set's index, and what is told of the sets."""
     if not sigs:
         return
-    sig = np.concatenate(sigs)
-    owner = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs]).astype(np.uint32)
-    part = (sig >> np.uint64(32)) % np.uint64(parts)
+    sig = np.concatenate([x for own in sigs for _, x in own])
+    owner = np.repeat(np.arange(len(sigs)), [sum(len(x) for _, x in own) for own in sigs]).astype(np.uint32)
+    instance = np.repeat([t for own in sigs for t, _ in own], [len(x) for own in sigs for _, x in own])
+    part = dealt.part(instance, sig)
     order = np.argsort((part << np.uint64(32)) | (sig & np.uint64(0xFFFFFFFF)))
     sig, owner, part = sig[order].astype(np.uint32), owner[order], part[order]
-    edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    edges = np.searchsorted(part, np.arange(dealt.parts + 1, dtype=np.uint64))
     rows: list[list] = [[], [], [], [], [], []]
     for p in np.flatnonzero(np.diff(edges)):
         a, b = int(edges[p]), int(edges[p + 1])
@@ -208,7 +245,7 @@ def _spread_out(raw: bytes, n: int, kind: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
-def _emit(parts: int, frequent: np.ndarray):
+def _emit(dealt: Deal, frequent: np.ndarray):
     """Packed signatures of a table of texts, equal sets of a slab once; where comp is told, facts of the sets go along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,14 +260,14 @@ def _emit(parts: int, frequent: np.ndarray):
                 if key is None or key in seen:
                     continue
                 seen.add(key)
-                sigs.append(signatures(s, frequent))
+                sigs.append(by_instance(s, frequent))
                 names.append((key, comp, len(s), sketch(s, SKETCH_WORDS).view(np.uint64)) if told else (key,))
-                held += len(sigs[-1])
+                held += sum(len(x) for _, x in sigs[-1])
                 if held > 1_000_000:
-                    yield from _pack(parts, sigs, np.array(names, kind))
+                    yield from _pack(dealt, sigs, np.array(names, kind))
                     sigs, names, seen, held = [], [], set(), 0
         if sigs:
-            yield from _pack(parts, sigs, np.array(names, kind))
+            yield from _pack(dealt, sigs, np.array(names, kind))
 
     return run
 
@@ -260,26 +297,31 @@ def _buckets(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, n
     return np.flatnonzero(opens), np.cumsum(opens) - 1, (row & np.uint64(0xFFFFFFFF)).astype(np.int64), told[first]
 
 
+def _coded(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs of set numbers as one number."""
+    return (x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64)
+
+
 def _stars(table: pa.Table) -> pa.Table:
     start, run, at, told = _buckets(table, NAME)
     key = told["key"]
-    hub, own = key[at[start]][run] if len(at) else key[:0], key[at]
-    tie = hub != own
-    pairs = np.stack([hub[tie], own[tie]], 1)
-    if len(pairs):
-        pairs, n = np.unique(pairs, axis=0, return_counts=True)
-    else:
-        n = np.zeros(0, np.int64)
-    out = pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "n": n.astype(np.int64)})
+    hub = at[start][run]
+    tie = hub != at
+    crowd = np.diff(start, append=len(at))[run] > 2
+    pair, n = np.unique(_coded(hub[tie], at[tie]), return_counts=True)
+    a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    crowded = np.isin(pair, _coded(hub[tie & crowd], at[tie & crowd]))
+    out = pa.table({"a": key[a], "b": key[b], "n": n.astype(np.int64), "crowded": crowded})
     give_back()
     return out
 
 
-def stars(docs: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
-    """(a, b, n): each set of a shared bucket tied to the bucket's hub, and the number of buckets that tie them."""
-    packed = docs.select("text").mapInArrow(_emit(parts, frequent), PACKED)
-    ties = packed.groupBy("part").applyInArrow(_stars, "a long, b long, n long")
-    return ties.groupBy("a", "b").agg(F.sum("n").alias("n"))
+def stars(docs: DataFrame, dealt: Deal, frequent: np.ndarray) -> DataFrame:
+    """(a, b, n, crowded): each set of a shared bucket tied to the bucket's hub, the number of buckets that tie them,
+    and whether one of these holds a third set."""
+    packed = docs.select("text").mapInArrow(_emit(dealt, frequent), PACKED)
+    ties = packed.groupBy("part").applyInArrow(_stars, "a long, b long, n long, crowded boolean")
+    return ties.groupBy("a", "b").agg(F.sum("n").alias("n"), F.bool_or("crowded").alias("crowded"))
 
 
 def bounded(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -345,7 +387,7 @@ def _rest(table: pa.Table) -> pa.Table:
     """Pairs of one part's buckets in different components that pass the size and sketch bounds."""
     start, run, at, told = _buckets(table, TOLD)
     key, comp, size, parity = (np.ascontiguousarray(told[f]) for f in ("key", "comp", "size", "parity"))
-    found = [np.zeros((0, 2), np.int64)]
+    found, loose = [np.zeros(0, np.uint64)], 0
     if len(at):
         own = comp[at]
         mixed = (np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start))[run]
@@ -363,19 +405,22 @@ def _rest(table: pa.Table) -> pa.Table:
             x, y = x[ok], y[ok]
             ok = 7 * np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64) <= size[x] + size[y]
             if ok.any():
-                pairs = np.stack([np.minimum(key[x[ok]], key[y[ok]]), np.maximum(key[x[ok]], key[y[ok]])], 1)
-                found.append(np.unique(pairs, axis=0))
-    pairs = np.unique(np.concatenate(found), axis=0)
+                found.append(np.unique(_coded(np.minimum(x[ok], y[ok]), np.maximum(x[ok], y[ok]))))
+                loose += len(found[-1])
+                if loose > 1 << 20:
+                    found, loose = [np.unique(np.concatenate(found))], 0
+    pairs = np.unique(np.concatenate(found))
+    out = pa.table({"a": key[(pairs >> np.uint64(32)).astype(np.int64)], "b": key[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]})
     give_back()
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    return out
 
 
-def remaining(docs: DataFrame, state: DataFrame, parts: int, frequent: np.ndarray) -> DataFrame:
+def remaining(docs: DataFrame, state: DataFrame, dealt: Deal, frequent: np.ndarray) -> DataFrame:
     """Pairs (a, b) that share a bucket, are in different components and may reach the threshold.
 
-    ``state`` has rep and comp of every set in a bucket of several components; only their texts are read again.
+    ``state`` has rep and comp of every set in a crowded bucket of several components; only their texts are read again.
     """
-    packed = texts_of(docs, state.select("rep", "comp")).select("text", "comp").mapInArrow(_emit(parts, frequent), PACKED)
+    packed = texts_of(docs, state.select("rep", "comp")).select("text", "comp").mapInArrow(_emit(dealt, frequent), PACKED)
     return packed.groupBy("part").applyInArrow(_rest, "a long, b long").distinct()
 
 
@@ -392,10 +437,8 @@ def classes(docs: DataFrame) -> DataFrame:
     sizes = told.filter("key IS NOT NULL").groupBy("key").agg(
         F.min(F.struct("doc_id", *LOCATOR)).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
     sizes = materialise(sizes, "sets-distinct")
-    volume = told.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = 1 + volume // SHINGLES_PER_PART
     frequent = frequent_shingles(docs, told.count())
-    raw = materialise(stars(docs, parts, frequent), "sets-stars")
+    raw = materialise(stars(docs, deal(told), frequent), "sets-stars")
     _drop_shuffles(spark)
     ties = materialise(bounded(raw, sizes).select("a", "b", "n"), "sets-ties")
 
@@ -410,16 +453,16 @@ def classes(docs: DataFrame) -> DataFrame:
         links = links.unionByName(more)
         comp = components(links)
     # Two members of a bucket may be similar where neither is similar to its hub.
-    # Such a bucket has a member apart from its hub, and all its members are tied to that hub.
-    hubs = materialise(_apart(raw, comp).select("a").distinct(), "sets-hubs")
+    # Such a bucket has three or more members, one of them apart from its hub, and all are tied to that hub.
+    crowded = raw.filter("crowded")
+    hubs = materialise(_apart(crowded, comp).select("a").distinct(), "sets-hubs")
     if not hubs.isEmpty():
-        wide = raw.join(hubs, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wide = crowded.join(hubs, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("key")).distinct()
         state = sizes.join(wide, "key", "left_semi").join(comp.withColumnRenamed("node", "key"), "key", "left").select(
             "rep", "n_shingles", F.coalesce("comp", "key").alias("comp"))
         state = materialise(state, "sets-state")
         _drop_shuffles(spark)
-        volume = state.agg(F.sum("n_shingles")).first()[0]
-        rest = materialise(remaining(docs, state, 1 + volume // SHINGLES_PER_PART, frequent), "sets-rest")
+        rest = materialise(remaining(docs, state, deal(state), frequent), "sets-rest")
         rest = materialise(bounded(rest, sizes).select("a", "b"), "sets-rest")
         if not rest.isEmpty():
             wanted = rest.select(F.explode(F.array("a", "b")).alias("key")).distinct()
