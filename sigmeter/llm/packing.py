@@ -32,7 +32,7 @@ BLOCK = 16384  # pieces in a block
 ISLANDS = 2
 POPULATION = 3
 EPOCHS = 2
-GENERATIONS = 3
+GENERATIONS = 3  # without a gain
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 GENOME = "block long, island int, pieces binary, sizes binary, bins binary"
 
@@ -174,16 +174,18 @@ def crossover(giver: list[list[int]], taker: list[list[int]], size: list[int], c
 
 
 def evolve(population: list[list[list[int]]], size: list[int], capacity: int, rng: np.random.Generator, generations: int) -> list[list[list[int]]]:
+    """Until the fewest sequences that can be, or ``generations`` of them on end without one sequence fewer."""
     least = -(-sum(size) // capacity)
     scored = sorted(((fitness(p, size, capacity), p) for p in population), key=lambda x: x[0], reverse=True)
-    for _ in range(generations):
-        if -scored[0][0][0] == least:
-            break
+    idle = 0
+    while idle < generations and -scored[0][0][0] > least:
+        fewest = scored[0][0][0]
         giver, taker = scored[0][1], scored[1 + int(rng.integers(len(scored) - 1))][1]
         if rng.random() < 0.5:
             giver, taker = taker, giver
         child = crossover(giver, taker, size, capacity, rng)
         scored = sorted([*scored, (fitness(child, size, capacity), child)], key=lambda x: x[0], reverse=True)[:len(population)]
+        idle = 0 if scored[0][0][0] > fewest else idle + 1
     return [p for _, p in scored]
 
 
