@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _LIBC = ctypes.CDLL(None)
+HELD: list[Callable[[], None]] = []  # what drops the tables that a Python worker keeps between tasks
 
 # Bytes that may open a character which is not white space, after ASCII control and space.
 _OPENS_WORD = np.zeros(256, bool)
@@ -94,6 +95,13 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+def forget_tables() -> None:
+    """Before another operator's work in the same worker: the tables of earlier ones go; they are filled anew when wanted."""
+    for drop in HELD:
+        drop()
+    give_back()
+
+
 def small(batches: Iterator[pa.RecordBatch], budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each take little memory as Python objects."""
     for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialise
-from .chunks import give_back, small
+from .chunks import forget_tables, give_back, small
 from .common import documents, located
 from .components import components
 from .exact_dedup import LOCATOR, file_backed
@@ -167,6 +167,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_tables()
     for batch in small(batches):
         n, key, parity = [], [], []
         for s in sets(batch.column("text")):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialise
-from .chunks import ChunkTable, cut_at_space_before_word, give_back, slabs, utf8
+from .chunks import HELD, ChunkTable, cut_at_space_before_word, give_back, slabs, utf8
 from .common import documents
 
 CAPACITY = 1024
@@ -70,6 +70,9 @@ def token_table(path: str) -> ChunkTable:
     return ChunkTable(encode)
 
 
+HELD.append(token_table.cache_clear)
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
