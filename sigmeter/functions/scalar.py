@@ -35,6 +35,11 @@ def hex01(hexed: Column, start: int = 1) -> Column:
     return F.conv(F.substring(hexed, start, 13), 16, 10).cast("long").cast("double") / F.lit(TWO_52)
 
 
+def hash13(*parts: Column | str | int) -> Column:
+    """The digits of ``hash01``: in the order of its numbers, without making them."""
+    return F.substring(key_hex(*parts), 1, 13)
+
+
 def hash01(*parts: Column | str | int) -> Column:
     """Uniform in [0,1) keyed by the parts, so any partitioning draws the same number."""
     return hex01(key_hex(*parts))

@@ -55,9 +55,15 @@ def trial_ledger(scored: DataFrame) -> DataFrame:
 
     Every unit that has predictions is complete; failed fits are rows of ``models.failures_of``.
     """
-    keys = ["candidate_id", "model_family", "hpo_profile_id", "period_id", "seed"]
-    t = scored.groupBy(*keys, "ticker", "prior").agg(*C.row_sums())
-    pos = t.groupBy(*keys).agg(F.count_if(C.delta_f1() > 0).alias("positive_ticker_count"), *C.resum(),
+    return ledger_of_counts(scored.groupBy(*LEDGER_KEYS).agg(*C.row_sums()))
+
+
+LEDGER_KEYS = ["candidate_id", "model_family", "hpo_profile_id", "period_id", "seed", "ticker", "prior"]
+
+
+def ledger_of_counts(per_ticker: DataFrame) -> DataFrame:
+    """``trial_ledger`` from the seven sums per ``LEDGER_KEYS``."""
+    pos = per_ticker.groupBy(*LEDGER_KEYS[:5]).agg(F.count_if(C.delta_f1() > 0).alias("positive_ticker_count"), *C.resum(),
                                F.max("prior").alias("prior"))
     maj = C.constant_f1(F.when(F.col("prior") > 0.5, 1).otherwise(0))
     return pos.select(
