@@ -168,7 +168,8 @@ boot_sql("k8", "bd_values", ["model_family"], N_BOOT, ["value", "one"])
   FROM (SELECT model_family, n_blocks, value / one AS m FROM k8_draws) GROUP BY 1""")
 def k8(spark, sf):
     """Block deltas averaged over seeds, then the bootstrap of their mean, per family."""
-    bd = RO.deltas(cells(spark, sf, ALL), ["model_family", "seed", "ticker", "trading_day"])
+    keys = ["model_family", "seed", "ticker", "trading_day"]
+    bd = RO.deltas(cells(spark, sf, ALL, keys), keys)
     v = bd.groupBy("model_family", "ticker", "trading_day").agg(F.avg("delta_vs_dummy").alias("value"))
     return rounded(RS.bootstrap_mean_lcb(v, ["model_family"], N_BOOT, BOOT_SEED))
 

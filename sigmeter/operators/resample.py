@@ -104,7 +104,7 @@ def minimum_detectable_effect(ci: DataFrame) -> DataFrame:
 
 def bootstrap_mean_lcb(block_values: DataFrame, slices: list[str], n_boot: int, seed: int) -> DataFrame:
     """2.5 percent bound of the bootstrap mean of per-block values (already averaged per block)."""
-    b = block_values.withColumn("one", F.lit(1))
+    b = materialise(block_values, "block-values").withColumn("one", F.lit(1))  # read for the sizes and for the places
     draws = bootstrap_draws(b, slices, ["value", "one"], n_boot, seed)
     m = draws.select(*slices, "n_blocks", (F.col("value") / F.col("one")).alias("_m"))
     return m.groupBy(*slices).agg(F.percentile("_m", 0.025).alias("lcb"), F.avg("_m").alias("mean"),
