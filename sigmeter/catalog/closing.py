@@ -606,7 +606,7 @@ def r4(spark, sf):
 def r4b(spark, sf):
     """Numbers the web pages hold beyond those of the documents, as a multiset."""
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return TX.tokens_added(TX.number_inventory(docs(spark, sf)), TX.number_inventory(pages))
+    return TX.tokens_added(TX.number_counts(docs(spark, sf)), TX.number_counts(pages))
 
 
 def _norm(x):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -75,24 +76,62 @@ def shifted(mantissa: Column, exponent: Column) -> Column:
     return F.when(far | (F.abs(e) > MAX_EXPONENT), F.concat(mantissa, F.lit("e"), exponent)).otherwise(out)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+# A text without the mark has no match of the pattern. The first two belong to ``SCIENTIFIC``.
+MARKS = [r"\\(?:times|cdot)", r"\d[eE][+-]?\d"]
+NONE = "array<string>"
+
+
 def written_numbers(text: Column) -> Column:
-    """All numbers of a text: scientific forms and powers of ten as exact decimals, others as written."""
-    found, rest = [], text
-    for pattern in SCIENTIFIC:
-        parts = F.arrays_zip(F.regexp_extract_all(rest, F.lit(pattern), 1).alias("m"), F.regexp_extract_all(rest, F.lit(pattern), 2).alias("e"))
-        found.append(F.transform(parts, lambda p: shifted(p["m"], p["e"])))
-        rest = F.regexp_replace(rest, pattern, " ")
-    found.append(F.transform(F.regexp_extract_all(rest, F.lit(POWER_OF_TEN), 1), lambda e: shifted(F.lit("1"), e)))
-    rest = F.regexp_replace(F.regexp_replace(rest, POWER_OF_TEN, " "), RANGE_DASH, " ")
-    for pattern in THOUSANDS:
-        rest = F.regexp_replace(rest, pattern, "")
-    return F.concat(F.regexp_extract_all(rest, F.lit(PLAIN), 0), *found)
+    """All numbers of a text: scientific forms and powers of ten as exact decimals, others as written.
+
+    A form is looked for, and cut out, only in texts that hold its mark.
+    """
+    empty = F.array().cast(NONE)
+
+    def plain(rest: Column) -> Column:
+        rest = F.when(rest.contains("--") | rest.contains("–") | rest.contains("—"), F.regexp_replace(rest, RANGE_DASH, " ")).otherwise(rest)
+        rest = F.when(rest.contains("{,}"), F.regexp_replace(rest, THOUSANDS[0], "")).otherwise(rest)
+        return F.regexp_extract_all(bound(rest, lambda t: F.when(t.rlike(r"\d,\d"), F.regexp_replace(t, THOUSANDS[1], "")).otherwise(t)), F.lit(PLAIN), 0)
+
+    def powers(rest: Column) -> Column:
+        has = rest.contains("10^")
+        found = F.when(has, F.transform(F.regexp_extract_all(rest, F.lit(POWER_OF_TEN), 1), lambda e: shifted(F.lit("1"), e))).otherwise(empty)
+        return F.concat(bound(F.when(has, F.regexp_replace(rest, POWER_OF_TEN, " ")).otherwise(rest), plain), found)
+
+    def scientific(rest: Column, step: int) -> Column:
+        if step == len(SCIENTIFIC):
+            return powers(rest)
+        pattern = SCIENTIFIC[step]
+
+        def cut(hit: Column) -> Column:
+            t, has = hit["t"], hit["has"]
+            parts = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), 1).alias("m"), F.regexp_extract_all(t, F.lit(pattern), 2).alias("e"))
+            found = F.when(has, F.transform(parts, lambda p: shifted(p["m"], p["e"]))).otherwise(empty)
+            return F.concat(bound(F.when(has, F.regexp_replace(t, pattern, " ")).otherwise(t), lambda t: scientific(t, step + 1)), found)
+
+        return bound(F.struct(rest.alias("t"), rest.rlike(MARKS[step]).alias("has")), cut)
+
+    return F.when(text.rlike(r"\d"), scientific(text, 0))
+
+
+def numbers(docs: DataFrame) -> DataFrame:
+    """(doc_id, token) of every number, repeats included."""
+    return docs.select("doc_id", F.explode(written_numbers(F.col("text"))).alias("token"))
 
 
 def number_inventory(docs: DataFrame) -> DataFrame:
     """(doc_id, token, n): the multiset of a document's numbers."""
-    t = docs.select("doc_id", F.explode(written_numbers(F.col("text"))).alias("token"))
-    return t.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return numbers(docs).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+def number_counts(docs: DataFrame) -> DataFrame:
+    """(token, n): the multiset of the numbers of all documents."""
+    return numbers(docs).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def tokens_added(original: DataFrame, candidate: DataFrame) -> DataFrame:
