@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import ratio
+from ..session import materialise
 
 
 def phrase_hits(docs: DataFrame, phrases: list[str]) -> DataFrame:
@@ -155,75 +156,97 @@ def title_match(a: Column, b: Column, threshold: float = 0.6) -> Column:
 
 
 def contained_short(short: DataFrame, s_name: str, whole: DataFrame, w_name: str) -> DataFrame:
-    """Pairs where a title of one or two tokens is text inside another title.
+    """Pairs (of title numbers) where a title of one or two tokens is text inside another title.
 
     One token lies inside some token; two tokens are the end of a token and the start of the
     next. The pieces are cut from the distinct tokens and token pairs, not from every title.
+    Both tables are (number, title); the numbers bear the names.
     """
-    s = short.filter(F.size(F.split(s_name, " ")) < 3)
-    w = F.split(w_name, " ")
+    s = short.filter(F.size(F.split("title", " ")) < 3)
+    w = F.split("title", " ")
     last = F.size(w) - 1
     pairs = F.when(last > 0, F.zip_with(F.slice(w, F.lit(1), last), F.slice(w, F.lit(2), last),
                                         lambda x, y: F.struct(x.alias("t1"), y.alias("t2"))))
     tokens = whole.select(w_name, F.explode(F.array_distinct(w)).alias("token"))
     bigrams = whole.select(w_name, F.explode(F.array_distinct(pairs)).alias("_b")).select(w_name, "_b.*")
     width = int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    longest = s.agg(F.coalesce(F.max(F.length(F.split_part(s_name, F.lit(" "), F.lit(1)))), F.lit(0)).alias("_max"))
+    longest = s.agg(F.coalesce(F.max(F.length(F.split_part("title", F.lit(" "), F.lit(1)))), F.lit(0)).alias("_max"))
     words_seen = tokens.select("token").distinct().repartition(width, "token")  # few bytes, many pieces
     words_seen = words_seen.crossJoin(F.broadcast(longest)).filter("_max > 0")  # one row: no longer piece can match
     n = F.length("token")
     inside = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
         F.sequence(F.lit(1), F.least(n - i + 1, F.col("_max"))), lambda k: F.substring(F.col("token"), i, k)))))
     ends = F.transform(F.sequence(F.lit(1), F.least(n, F.col("_max"))), lambda i: F.substring(F.col("token"), -i, i))
-    one = s.filter(~F.col(s_name).contains(" ")).select(s_name, F.col(s_name).alias("piece"))
-    hit1 = one.join(words_seen.select("token", F.explode(inside).alias("piece")), "piece").join(tokens, "token")
-    two = s.filter(F.col(s_name).contains(" ")).select(
-        s_name, F.split_part(s_name, F.lit(" "), F.lit(1)).alias("piece"), F.split_part(s_name, F.lit(" "), F.lit(2)).alias("_y"))
-    hit2 = two.join(words_seen.select(F.col("token").alias("t1"), F.explode(ends).alias("piece")), "piece").join(
-        bigrams, "t1").filter(F.startswith("t2", "_y"))
+    one = s.filter(~F.col("title").contains(" ")).select(s_name, F.col("title").alias("piece"))
+    two = s.filter(F.col("title").contains(" ")).select(
+        s_name, F.split_part("title", F.lit(" "), F.lit(1)).alias("piece"), F.split_part("title", F.lit(" "), F.lit(2)).alias("_y"))
+    # Words that hold a short title are written, so that where they are few the tokens of all titles do not move.
+    held = materialise(one.join(words_seen.select("token", F.explode(inside).alias("piece")), "piece").select(s_name, "token"), "held")
+    begun = materialise(two.join(words_seen.select(F.col("token").alias("t1"), F.explode(ends).alias("piece")), "piece").select(s_name, "t1", "_y"), "begun")
+    hit1 = tokens.join(held, "token")
+    hit2 = bigrams.join(begun, "t1").filter(F.startswith("t2", "_y"))
     return hit1.select(s_name, w_name).unionByName(hit2.select(s_name, w_name)).distinct()
 
 
+def numbered_titles(titled: DataFrame, name: str) -> DataFrame:
+    """(number, title): the distinct titles, written once; a number stands for its title where rows move."""
+    return materialise(titled.select("title").distinct().select(F.monotonically_increasing_id().alias(name), "title"), "titles")
+
+
+def shared_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(token, df) of the tokens that titles of both sides hold."""
+    def counted(t: DataFrame, name: str) -> DataFrame:
+        return t.select(F.explode(F.array_distinct(F.split("title", " "))).alias("token")).groupBy("token").agg(F.count("*").alias(name))
+
+    both = counted(left, "_l").join(counted(right, "_r"), "token")
+    return materialise(both.select("token", (F.col("_l") + F.col("_r")).alias("df")), "tokens")
+
+
+def title_tokens(titles: DataFrame, name: str, shared: DataFrame, threshold: float) -> DataFrame:
+    """The shared tokens of each title: whether one is among the rarest (``in_prefix``), and the one to look up (``probe``).
+
+    Tokens of one side alone come before all others in the order of rarity. They are counted, not moved.
+    """
+    inner = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0)))
+    x = titles.select(name, F.split("title", " ").alias("_w"))
+    x = x.withColumns({"n_all": F.size("_w"), "_n": F.size(F.array_distinct("_w")), "_n_inner": F.size(F.array_distinct(inner))})  # before the rows multiply
+    x = x.select(name, "n_all", "_n", "_n_inner", F.posexplode("_w").alias("at", "token")).join(shared, "token")
+    x = x.groupBy(name, "token").agg(F.max((F.col("at") > 0) & (F.col("at") < F.col("n_all") - 1)).alias("inner"),
+                                     *[F.first(c).alias(c) for c in ("n_all", "_n", "_n_inner", "df")])
+    of = Window.partitionBy(name)  # one title's distinct tokens
+    x = x.withColumn("_rk", F.col("_n") - F.count("*").over(of) + F.row_number().over(of.orderBy("df", "token")))
+    keep = F.col("_rk") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n")) + 1
+    whole = F.count_if("inner").over(of) == F.col("_n_inner")  # else no title of the other side holds this one
+    first = F.row_number().over(of.orderBy(F.col("inner").desc(), "df", "token")) == 1
+    return x.select(name, "token", keep.alias("in_prefix"), (first & whole & F.col("inner") & (F.col("n_all") >= 3)).alias("probe"))
+
+
 def title_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
     """All matching (left_id, right_id) pairs of two (id, title) tables, exactly.
 
-    Identical titles are grouped first, so copies cannot multiply the comparison. Candidates
+    Identical titles are grouped first, so copies cannot multiply the comparison, and numbers stand for
+    them until a candidate pair is compared. Candidates
     share one token among the rarest of both sides: a pair above the threshold must share one
     of each side's n - ceil(t n) + 1 rarest tokens, and a contained title of three tokens or
     more has its inner tokens in the other, of which the rarest is looked up among all tokens
     there. Titles below three tokens are found by equality with pieces of tokens and of
     neighbouring token pairs. Every step is an equi-join.
     """
-    def prep(df: DataFrame, tag: str) -> DataFrame:
-        t = df.select(F.col("id"), normal_title(F.col("title")).alias("title")).filter("title <> ''")
-        return t.withColumnRenamed("id", f"{tag}_id").withColumnRenamed("title", f"{tag}_title")
-
-    l, r = prep(left, "left"), prep(right, "right")
-    lt, rt = l.select("left_title").distinct(), r.select("right_title").distinct()
-    both = lt.select(F.col("left_title").alias("t")).unionByName(rt.select(F.col("right_title").alias("t")))
-    freq = both.select(F.explode(F.array_distinct(F.split("t", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-    def tokens(t: DataFrame, name: str) -> DataFrame:
-        inner = F.col("n_all") - 1
-        x = t.select(name, F.split(name, " ").alias("_w")).withColumn("n_all", F.size("_w"))
-        x = x.select(name, "n_all", F.posexplode("_w").alias("at", "token")).groupBy(name, "n_all", "token").agg(
-            F.max((F.col("at") > 0) & (F.col("at") < inner)).alias("inner"))
-        x = x.join(freq, "token")
-        w = Window.partitionBy(name)  # one title's distinct tokens
-        x = x.withColumn("_n", F.count("*").over(w)).withColumn("_rk", F.row_number().over(w.orderBy("df", "token")))
-        keep = F.col("_rk") <= F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n")) + 1
-        first = F.row_number().over(w.orderBy(F.col("inner").desc(), "df", "token")) == 1
-        return x.select(name, "token", keep.alias("in_prefix"), (first & F.col("inner") & (F.col("n_all") >= 3)).alias("probe"))
-
-    a, b = tokens(lt, "left_title"), tokens(rt, "right_title").withColumnsRenamed({"in_prefix": "r_prefix", "probe": "r_probe"})
+    l, r = (t.select("id", normal_title(F.col("title")).alias("title")).filter("title <> ''") for t in (left, right))
+    lt, rt = numbered_titles(l, "left_t"), numbered_titles(r, "right_t")
+    shared = shared_tokens(lt, rt)
+    a = title_tokens(lt, "left_t", shared, threshold)
+    b = title_tokens(rt, "right_t", shared, threshold).withColumnsRenamed({"in_prefix": "r_prefix", "probe": "r_probe"})
+    a, b = materialise(a, "left-tokens"), materialise(b, "right-tokens")
     # One row per side meets per shared token unless it is a prefix or probe token of either side.
-    cand = a.join(b.filter("r_prefix or r_probe"), "token").filter("(in_prefix and r_prefix) or r_probe").select("left_title", "right_title")
-    cand2 = a.filter("probe").join(b, "token").select("left_title", "right_title")
-    text = contained_short(lt, "left_title", rt, "right_title").unionByName(
-        contained_short(rt, "right_title", lt, "left_title").select("left_title", "right_title"))
-    pairs = cand.unionByName(cand2).unionByName(text.select("left_title", "right_title")).distinct()
-    hit = pairs.filter(title_match(F.col("left_title"), F.col("right_title"), threshold))
-    return hit.join(l, "left_title").join(r, "right_title").select("left_id", "right_id")
+    cand = a.join(b.filter("r_prefix or r_probe"), "token").filter("(in_prefix and r_prefix) or r_probe").select("left_t", "right_t")
+    cand2 = a.filter("probe").join(b, "token").select("left_t", "right_t")
+    text = contained_short(lt, "left_t", rt, "right_t").unionByName(contained_short(rt, "right_t", lt, "left_t").select("left_t", "right_t"))
+    pairs = materialise(cand.unionByName(cand2).unionByName(text).distinct(), "title-pairs")
+    named = pairs.join(lt.withColumnRenamed("title", "left_title"), "left_t").join(rt.withColumnRenamed("title", "right_title"), "right_t")
+    hit = materialise(named.filter(title_match(F.col("left_title"), F.col("right_title"), threshold)).select("left_title", "right_title"), "title-hits")
+    return hit.join(l.select(F.col("id").alias("left_id"), F.col("title").alias("left_title")), "left_title").join(
+        r.select(F.col("id").alias("right_id"), F.col("title").alias("right_title")), "right_title").select("left_id", "right_id")
 
 
 def unanchored_paragraphs(docs: DataFrame, min_words: int, lexicon: list[str]) -> DataFrame:
