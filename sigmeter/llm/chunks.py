@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _LIBC = ctypes.CDLL(None)
-HELD: list[Callable[[], None]] = []  # what drops the tables that a Python worker keeps between tasks
+HELD: dict[str, Callable[[], None]] = {}  # what drops the tables that a Python worker keeps between tasks
 
 # Bytes that may open a character which is not white space, after ASCII control and space.
 _OPENS_WORD = np.zeros(256, bool)
@@ -95,10 +95,11 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-def forget_tables() -> None:
+def forget_tables(but: str = "") -> None:
     """Before another operator's work in the same worker: the tables of earlier ones go; they are filled anew when wanted."""
-    for drop in HELD:
-        drop()
+    for name, drop in HELD.items():
+        if name != but:
+            drop()
     give_back()
 
 

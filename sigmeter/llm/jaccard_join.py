@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialise
+from ..session import materialise, small_batches
 from .chunks import forget_tables, give_back, small
 from .common import documents, located
 from .components import components
@@ -167,7 +167,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forget_tables()
+    forget_tables("shingles")
     for batch in small(batches):
         n, key, parity = [], [], []
         for s in sets(batch.column("text")):
@@ -434,6 +434,7 @@ def classes(docs: DataFrame) -> DataFrame:
     * An empty table gives no rows. Columns other than doc_id and text are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     told = materialise(describe(docs), "sets-described")
     sizes = told.filter("key IS NOT NULL").groupBy("key").agg(
         F.min(F.struct("doc_id", *LOCATOR)).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))

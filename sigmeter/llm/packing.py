@@ -21,8 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import materialise
-from .chunks import HELD, ChunkTable, cut_at_space_before_word, give_back, slabs, utf8
+from ..session import materialise, small_batches
+from .chunks import HELD, ChunkTable, cut_at_space_before_word, forget_tables, give_back, slabs, utf8
 from .common import documents
 
 CAPACITY = 1024
@@ -48,35 +48,41 @@ def token_table(path: str) -> ChunkTable:
     """Chunk table of a tokenizer file. Where the same vocabulary is beside it as ranks, the faster library segments."""
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+    whole = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))
+    special = [t.content.encode() for t in whole().get_added_tokens_decoder().values()]
     ranks = path.removesuffix(".json") + ".tiktoken"
     fast = None
     if os.path.exists(ranks):
         import tiktoken
         from public_tokenizers import PATTERN
 
+        probed = [whole().encode(t, add_special_tokens=False).ids for t in PROBES]
+        whole.cache_clear()  # only texts that hold a special token need it again
+        give_back()
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        if any(fast.encode_ordinary(t) != tok.encode(t, add_special_tokens=False).ids for t in PROBES):
+        if [fast.encode_ordinary(t) for t in PROBES] != probed:
             fast = None
+        del table
+        give_back()
 
     def encode(chunks: list[bytes]) -> list[list[int]]:
         if fast is None or any(s in c for s in special for c in chunks):
-            return [e.ids for e in tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+            return [e.ids for e in whole().encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
         return [fast.encode_ordinary(c.decode()) for c in chunks]
 
     return ChunkTable(encode)
 
 
-HELD.append(token_table.cache_clear)
+HELD["tokens"] = token_table.cache_clear
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_tables("tokens")
         uid = TaskContext.get().partitionId() << 40
         table = token_table(path)
         for batch in batches:
@@ -283,6 +289,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     Null and empty texts are one piece that holds the end id. Repeated rows are packed as rows of their
     own. Other columns are not read. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     pieces = materialise(cut(docs, tokenizer, capacity, end_id), "pieces")
     whole = pieces.filter(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

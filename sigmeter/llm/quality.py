@@ -18,8 +18,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..session import materialise
-from .chunks import small
+from ..session import materialise, small_batches
+from .chunks import forget_tables, small
 from .common import documents
 
 FIT_ROWS = 4000  # documents that the scorer is fitted on, about
@@ -75,6 +75,7 @@ def votes(stats: dict[str, float]) -> str:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_tables()
     for batch in small(batches):
         out = []
         for text in batch.column("text").to_pylist():
@@ -137,6 +138,7 @@ class Scorer:
     """Soft labels from all documents, a linear scorer from a sample of them."""
 
     def __init__(self, docs: DataFrame):
+        small_batches(docs.sparkSession)
         voted = docs.select("text", F.xxhash64("text").alias("slot")).mapInArrow(_vote, "slot long, votes string").filter("votes IS NOT NULL")
         voted = materialise(voted, "quality-votes")
         patterns = sorted((r["votes"], r["count"]) for r in voted.groupBy("votes").count().collect())  # 3 to the number of labellers at most
@@ -169,6 +171,7 @@ class Scorer:
             raise ValueError(f"columns {added} must be free")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget_tables()
             for batch in small(batches):
                 out, voted = [], []
                 for text in batch.column("text").to_pylist():

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .chunks import slabs, utf8
+from .chunks import HELD, slabs, utf8
 
 WIDTH = 5
 _RNG = np.random.default_rng(20240229)
@@ -19,7 +19,7 @@ _FOLD[0x41:0x5B] += 0x20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_BLOCK = 1 << 21
+_BLOCK = (1 << 20) + 1  # a slab of texts and one
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -32,12 +32,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _TABLES: dict[str, np.ndarray] = {}
+HELD["shingles"] = _TABLES.clear
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_TABLES.get("up", ())) < n:
-        n = max(n, _BLOCK)
-        _TABLES.update(up=_powers(_BASE, n), down=_powers(_INVERSE, n))
+    if n > _BLOCK:  # one long text; what it needs is not kept
+        return _powers(_BASE, n), _powers(_INVERSE, n)
+    if not _TABLES:
+        _TABLES.update(up=_powers(_BASE, _BLOCK), down=_powers(_INVERSE, _BLOCK))
     return _TABLES["up"], _TABLES["down"]
 
 
