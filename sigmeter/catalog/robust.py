@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import confusion as C
-from ..operators import joins as J, micro as MI, ranks as R, readouts as RO, resample as RS, selective as SEL, slices as SL
+from ..operators import joins as J, micro as MI, readouts as RO, resample as RS, selective as SEL, slices as SL
 from ..session import materialise
 from ..sources import predictions as P, tape as TP
 from .base import (RESUM_SQL, SUMS_SQL, bf1, cf1, cte, delta, div, f1, hx, lcb, query, r, rounded)
@@ -106,21 +106,17 @@ cte("mirrored", """SELECT a.seed, a.ticker, a.trading_day, a.y_true, b.y_pred, a
 cte("reversed", f"SELECT seed, {delta()} AS time_reverse_delta FROM (SELECT seed, {SUMS_SQL} FROM mirrored GROUP BY 1)")
 
 
+REVERSED = ["seed", "ticker", "trading_day", "target_timestamp", "sample_id", "y_true", "y_pred", "base_pred"]  # what a reversal reads
+
+
 @query("k4_time_reverse", f"SELECT seed, {r('time_reverse_delta')} AS time_reverse_delta FROM reversed")
 def k4(spark, sf):
-    return rounded(RS.time_reverse(stored(spark, sf), ["seed"]))
+    return rounded(RS.time_reverse(stored(spark, sf, None, *REVERSED), ["seed"]))
 
 
 @query("e21_within_block_reverse", """SELECT seed, count(*)::BIGINT AS n, sum(y_true * y_pred)::BIGINT AS tp_reversed FROM mirrored GROUP BY 1""")
 def e21(spark, sf):
-    rows = stored(spark, sf)
-    keys = ["seed", "ticker", "trading_day"]
-    p = R.global_position(rows.select(*keys, "target_timestamp", "sample_id", "y_true", "y_pred"),
-                          [F.col(k).asc() for k in keys + ["target_timestamp", "sample_id"]])
-    ends = p.groupBy(*keys).agg((F.min("pos") + F.max("pos")).alias("e"))
-    m = p.join(ends, keys).select("seed", (F.col("e") - F.col("pos")).alias("m"), "y_true")
-    j = m.join(p.select(F.col("pos").alias("m"), "y_pred"), "m")
-    return j.groupBy("seed").agg(F.count("*").alias("n"), F.sum(F.col("y_true") * F.col("y_pred")).alias("tp_reversed"))
+    return RS.reversed_sums(stored(spark, sf, None, *REVERSED), ["seed"]).select("seed", "n", F.col("tp").alias("tp_reversed"))
 
 
 @query("k5_metric_lcb", f"""SELECT model_family, {r(lcb('delta_vs_dummy'))} AS lcb, {r('avg(delta_vs_dummy)')} AS mean, count(delta_vs_dummy)::BIGINT AS n_values FROM ledger GROUP BY 1""")
@@ -178,8 +174,7 @@ def k8(spark, sf):
   {r('label_shuffle_p_value')} AS label_shuffle_p_value, {r('time_reverse_delta')} AS time_reverse_delta, {N_PERM} AS n_perm, 'computed' AS sentinel_status FROM shuf_sum JOIN reversed USING (seed)""")
 def k9(spark, sf):
     s = RS.label_shuffle(cells(spark, sf), ["seed"], N_PERM, PERM_SEED).drop("label_shuffle_sd")
-    rows = stored(spark, sf, None, "seed", "ticker", "trading_day", "target_timestamp", "sample_id", "y_true", "y_pred", "base_pred")
-    t = RS.time_reverse(rows, ["seed"])
+    t = RS.time_reverse(stored(spark, sf, None, *REVERSED), ["seed"])
     return rounded(s.join(t, "seed").withColumns({"n_perm": F.lit(N_PERM), "sentinel_status": F.lit("computed")}))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions import confusion as C
@@ -138,20 +138,50 @@ def label_shuffle(cells: DataFrame, slices: list[str], n_perm: int = 200, seed:
         ((1 + F.count_if(F.col("_d") >= F.col("observed_delta"))).cast("double") / (n_perm + 1)).alias("label_shuffle_p_value"))
 
 
-def time_reverse(rows: DataFrame, slices: list[str], order: tuple[str, ...] = ("target_timestamp", "sample_id")) -> DataFrame:
-    """Delta with y_pred reversed inside each block.
+WORD_BITS = 6  # a word holds a bit each of 2**WORD_BITS neighbouring positions
+
+
+def _moved(word: Column, by: Column) -> Column:
+    """The word with its bits moved up, or down where ``by`` is negative, by fewer than 64 places."""
+    return F.when(by >= 0, F.call_function("shiftleft", word, by)).otherwise(F.call_function("shiftrightunsigned", word, -by))
+
 
-    Rows get a global position in block order; a row's mirror is at start + end - position, so
-    the pairing is an equi-join on unique positions whatever the block sizes.
+def reversed_sums(rows: DataFrame, slices: list[str], order: tuple[str, ...] = ("target_timestamp", "sample_id")) -> DataFrame:
+    """Sums of ``row_sums`` but q11 per slice, with y_pred reversed inside each block. Labels and predictions are 0, 1 or null.
+
+    Rows get a global position in block order; a row's mirror is at start + end - position. Only tp depends on it, so no
+    row is joined to another: tasks pack the labels of 64 neighbouring positions into a word and their predictions, back
+    to front, into another. The second lies across two words of its block, and bits that meet there are counted.
     """
     keys = slices + BLOCK
     p = global_position(rows.select(*keys, *order, "y_true", "y_pred", "base_pred"),
                         [F.col(k).asc() for k in keys] + [F.col(o).asc() for o in order], order)
-    ends = p.groupBy(*keys).agg((F.min("pos") + F.max("pos")).alias("_ends"))
-    left = p.select(*keys, "pos", "y_true", "base_pred").join(ends, keys).withColumn("_mirror", F.col("_ends") - F.col("pos"))
-    right = p.select(F.col("pos").alias("_mirror"), "y_pred")
-    g = left.join(right, "_mirror").groupBy(*slices).agg(*C.row_sums())
-    return g.select(*slices, C.delta_f1().alias("time_reverse_delta"))
+    last = (1 << WORD_BITS) - 1
+    at = F.col("pos").bitwiseAND(last).cast("int")
+    bits = lambda c, place: F.bit_or(_moved(F.coalesce(F.col(c).cast("long"), F.lit(0)), place))
+    own = ["n", "p", "pp", "bp", "btp"]
+    words = p.groupBy(*keys, F.shiftright("pos", WORD_BITS).alias("_w")).agg(
+        bits("y_true", at).alias("_y"), bits("y_pred", last - at).alias("_back"), F.min("pos").alias("_first"), F.max("pos").alias("_last"),
+        F.count(F.lit(1)).alias("n"), F.sum("y_true").alias("p"), F.sum("y_pred").alias("pp"), F.sum("base_pred").alias("bp"),
+        F.sum(F.col("y_true") * F.col("base_pred")).alias("btp"))
+    words = materialise(words, "mirror-words")  # read for the ends of blocks and for the bits
+    ends = words.groupBy(*keys).agg((F.min("_first") + F.max("_last")).alias("_ends"))
+    # The word's mirror begins at _to: its bits move up by _to mod 64, and those past the word's end belong to the next.
+    x = words.join(ends, keys).withColumn("_to", F.col("_ends") - F.shiftleft("_w", WORD_BITS) - last)
+    up = F.col("_to").bitwiseAND(last).cast("int")
+    none, at = F.lit(0).cast("long"), F.shiftright("_to", WORD_BITS)
+    over = F.when(up > 0, _moved(F.col("_back"), up - last - 1)).otherwise(none)
+    piece = lambda w, y, back, mine: F.struct(w.alias("_w"), y.alias("_y"), back.alias("_back"), *[(F.col(c) if mine else F.lit(None)).cast("long").alias(c) for c in own])
+    pieces = F.array(piece(F.col("_w"), F.col("_y"), none, True), piece(at, none, _moved(F.col("_back"), up), False), piece(at + 1, none, over, False))
+    # _ends rises from block to block, so it names the block.
+    met = x.select(*slices, "_ends", F.explode(pieces).alias("_p")).select(*slices, "_ends", "_p.*").groupBy(*slices, "_ends", "_w").agg(
+        F.bit_count(F.bit_or("_y").bitwiseAND(F.bit_or("_back"))).alias("tp"), *[F.sum(c).alias(c) for c in own])
+    return met.groupBy(*slices).agg(*[F.sum(c).alias(c) for c in ["n", "p", "pp", "tp", "bp", "btp"]])
+
+
+def time_reverse(rows: DataFrame, slices: list[str], order: tuple[str, ...] = ("target_timestamp", "sample_id")) -> DataFrame:
+    """Delta with y_pred reversed inside each block."""
+    return reversed_sums(rows, slices, order).select(*slices, C.delta_f1().alias("time_reverse_delta"))
 
 
 def family_cis(per_family: DataFrame, keys: list[str]) -> DataFrame:
