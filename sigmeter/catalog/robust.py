@@ -173,8 +173,9 @@ def k8(spark, sf):
 @query("k9_sentinel_frames", f"""SELECT seed, n_rows, n_blocks, {r('observed_delta')} AS observed_delta, {r('label_shuffle_mean')} AS label_shuffle_mean, {r('label_shuffle_p95')} AS label_shuffle_p95,
   {r('label_shuffle_p_value')} AS label_shuffle_p_value, {r('time_reverse_delta')} AS time_reverse_delta, {N_PERM} AS n_perm, 'computed' AS sentinel_status FROM shuf_sum JOIN reversed USING (seed)""")
 def k9(spark, sf):
-    s = RS.label_shuffle(cells(spark, sf), ["seed"], N_PERM, PERM_SEED).drop("label_shuffle_sd")
-    t = RS.time_reverse(stored(spark, sf, None, *REVERSED), ["seed"])
+    rows = stored(spark, sf, None, *REVERSED)  # predictions are made once for both controls
+    s = RS.label_shuffle(RO.block_cells(rows, ["seed"]), ["seed"], N_PERM, PERM_SEED).drop("label_shuffle_sd")
+    t = RS.time_reverse(rows, ["seed"])
     return rounded(s.join(t, "seed").withColumns({"n_perm": F.lit(N_PERM), "sentinel_status": F.lit("computed")}))
 
 
